@@ -9,6 +9,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import public_tokenizers
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -25,62 +26,92 @@ SENTENCE_COST, HARD_COST = 4, 64
 HARD_STEP = 256
 #: A stretch of the stream is cut up at once when it has so many tokens; it ends with a document.
 SHARD_TOKENS = 1 << 20
+#: Documents that are encoded together.
+ROWS = 2048
 #: Words whose ids a worker keeps.
-CACHED_WORDS = 300_000
+CACHED_WORDS = 800_000
 #: Fixed: the tokenizer's mark of a word's end, and signs that end a sentence.
 WORD_END, STOP = "</w>", re.compile(r"[.!?…。！？]")
+#: Signs that often follow a word; words are kept without them.
+TAIL = ".,;:!?"
 
 
 class WordEncoder(dict):
-    """Ids by words. The tokenizer drops white space and joins nothing across it, so a text's ids
-    are its words' ids in a row, and each distinct word needs the tokenizer once."""
+    """Ids by words. The tokenizer lowers case, drops white space and joins nothing across it, so a
+    text's ids are its words' ids in a row, and each distinct word needs the tokenizer once."""
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         vocabulary = self.tokenizer.get_vocab()
         self.stops = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.ends = self.stops.copy()
         for token, at in vocabulary.items():
             sign = token.removesuffix(WORD_END)
+            self.ends[at] = token != sign
             self.stops[at] = token != sign and bool(STOP.search(sign)) and not any(map(str.isalnum, sign))
         self.reset()
 
     def reset(self) -> None:
         self.clear()
         self.new: list[str] = []
-        self.starts, self.lengths, self.flat = (np.zeros(0, np.int64) for _ in range(3))
-        self.flat = self.flat.astype(np.uint32)
+        self.starts, self.lengths = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.flat = np.zeros(0, np.uint32)
 
     def __missing__(self, word: str) -> int:
         self[word] = at = len(self)
         self.new.append(word)
         return at
 
+    def fresh(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of new words in a row, and how many each has. Words of letters alone go to the
+        tokenizer as one text, cut again where ids end words."""
+        if all(map(str.isalpha, words)):
+            ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, np.uint32)
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            if len(stops) == len(words):
+                return ids, np.diff(np.r_[0, stops])
+        parts = [x.ids for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        return np.array([x for part in parts for x in part], np.uint32), np.array(list(map(len, parts)), np.int64)
+
     def learn(self) -> None:
-        parts = [np.array(x.ids, np.uint32) for x in self.tokenizer.encode_batch(self.new, add_special_tokens=False)]
-        lengths = np.array([len(x) for x in parts], np.int64)
-        starts = len(self.flat) + np.cumsum(lengths) - lengths
+        new, lengths, pieces = self.new, np.zeros(len(self.new), np.int64), []
+        plain = np.array(list(map(str.isalpha, new)), bool)
+        order = np.r_[np.flatnonzero(plain), np.flatnonzero(~plain)]
+        edge = int(plain.sum())
+        for start in [*range(0, edge, 256), *range(edge, len(new), 4096)]:
+            some = order[start : min(start + 256, edge) if start < edge else start + 4096]
+            ids, lengths[some] = self.fresh([new[k] for k in some])
+            pieces.append(ids)
+        starts = np.empty(len(new), np.int64)
+        starts[order] = len(self.flat) + np.cumsum(lengths[order]) - lengths[order]
         self.starts, self.lengths = np.r_[self.starts, starts], np.r_[self.lengths, lengths]
-        self.flat, self.new = np.concatenate([self.flat, *parts]), []
+        self.flat, self.new = np.concatenate([self.flat, *pieces]), []
+
+    def tail(self, word: str) -> str:
+        """The signs after a word's letters, which the tokenizer splits off."""
+        base = word.rstrip(TAIL)
+        return word[len(base) :] if base and base != word and base[-1].isalpha() else ""
 
-    def encode(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All texts' ids in a row, end_id after each, and the number of ids of each text."""
         if len(self) > CACHED_WORDS:
             self.reset()
-        words: list[int] = []
-        counts = np.zeros(len(texts), np.int64)
-        at = self.__getitem__
-        for k, text in enumerate(texts):
-            found = text.replace("\n", " ").split(" ")
-            words.extend(map(at, found))
-            counts[k] = len(found)
+        lowered = pa.compute.replace_substring(pa.compute.ascii_lower(texts), "\n", " ")
+        found = pa.compute.split_pattern(lowered, " ")
+        ends = found.offsets.to_numpy()[1:] - found.offsets[0].as_py()
+        coded = found.flatten().dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        tails = [self.tail(word) for word in distinct]
+        head = np.array([self[word[: len(word) - len(tail)]] for word, tail in zip(distinct, tails)], np.int64)
+        signs = np.array([self[tail] for tail in tails], np.int64)
         self.learn()
-        which = np.array(words, np.int64)
+        index = coded.indices.to_numpy()
+        which = np.stack([head[index], signs[index]], axis=1).ravel()
         lengths = self.lengths[which]
-        ends = np.cumsum(counts)
-        sizes = np.diff(np.r_[0, np.cumsum(lengths)[ends - 1]]) if len(texts) else counts
-        shift = np.repeat(self.starts[which] - (np.cumsum(lengths) - lengths), lengths)
-        ids = self.flat[shift + np.arange(len(shift))]
+        sums = np.cumsum(lengths)
+        sizes = np.diff(np.r_[0, sums[2 * ends - 1]]) if len(texts) else np.zeros(0, np.int64)
+        ids = self.flat[np.repeat(self.starts[which] - (sums - lengths), lengths) + np.arange(lengths.sum())]
         return np.insert(ids, np.cumsum(sizes), end_id), sizes + 1
 
 
@@ -233,8 +264,8 @@ def pack_documents(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = encoder(path)
         packer = Packer(words.stops, capacity, TaskContext.get().partitionId() << 33)
-        for batch in slices(batches):
-            ids, sizes = words.encode(batch.column(1).to_pylist(), end_id)
+        for batch in slices(batches, ROWS):
+            ids, sizes = words.encode(batch.column(1), end_id)
             packer.add(batch.column(0), ids, sizes)
             if packer.held >= shard_tokens:
                 yield from packer.pieces()
