@@ -6,42 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stash
-from .common import SPACE, text_or_empty
+from .common import SPACE, join_groups, text_or_empty, with_filter
 
 PREFIX_CHARS = 256
-#: Bits of the filter that the full-hash pass tests; all pages of it are 8 MB.
-FILTER_BITS = 1 << 26
-#: Fixed: bits in one of Spark's bitmaps.
-PAGE_BITS = 32768
-#: A group with at least this share of the rows (and LEAST_HOT rows) is hot; so there are at most
-#: MOST_HOT hot groups, which bounds their broadcast.
-MOST_HOT, LEAST_HOT = 4096, 64
-
 
 def normalised(text_col: str = "text") -> Column:
     return F.regexp_replace(text_or_empty(text_col), SPACE, " ")
 
 
-def filter_bit() -> Column:
-    return F.pmod(F.xxhash64("_chars", "_prefix"), F.lit(FILTER_BITS))
-
-
-def filter_pages(groups: DataFrame) -> DataFrame:
-    """A bitmap of the surviving (length, prefix hash), bounded whatever the input; a false hit
-    only costs one full hash, which then finds no partner."""
-    bit = filter_bit()
-    return (
-        groups.select((bit / PAGE_BITS).cast("int").alias("_page"), (bit % PAGE_BITS).alias("at"))
-        .groupBy("_page")
-        .agg(F.bitmap_construct_agg("at").alias("_bits"))
-    )
-
-
-def is_set(bits: str, at: Column) -> Column:
-    byte = F.conv(F.hex(F.substring(F.col(bits), F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    return F.coalesce(F.floor(byte / F.pow(F.lit(2), at % 8)) % 2 == 1, F.lit(False))
-
-
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hash_all: bool = False) -> DataFrame:
     """All columns of docs but text_col, and for each row keep_id, group_size, kept, text_sha256.
 
@@ -55,10 +27,9 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     null text counts as empty. An empty table gives an empty result. Columns of docs named like
     an added one are replaced.
 
-    Texts are not shuffled. No group is dealt to one task by its key if it is large: the at most
-    MOST_HOT largest groups are broadcast, only the others shuffled.
+    Texts are not shuffled. No group is dealt to one task by its key if it is large: the few
+    largest groups (their number is bounded) are broadcast, only the others shuffled.
     """
-    spark = docs.sparkSession
     added = {text_col, "keep_id", "group_size", "kept", "text_sha256"}
     names = [c for c in docs.columns if c not in added or c == id_col]
     text = normalised(text_col)
@@ -67,26 +38,21 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     total = counted.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
     lengths = counted.groupBy("_chars").agg(F.sum("n").alias("of_length")).where("of_length > 1")
-    pages = filter_pages(counted.join(lengths, "_chars", "left_semi").where("n > 1"))
-    rows = docs.select(*names, *marks, text.alias("_text")).withColumn("_bit", filter_bit())
-    rows = rows.withColumn("_page", (F.col("_bit") / PAGE_BITS).cast("int")).join(F.broadcast(pages), "_page", "left")
-    wanted = F.lit(True) if hash_all else is_set("_bits", F.col("_bit") % PAGE_BITS)
-    full = F.when(wanted, F.sha2(F.encode("_text", "UTF-8"), 256))
+    surviving = counted.join(lengths, "_chars", "left_semi").where("n > 1")
+    rows = with_filter(docs.select(*names, *marks, text.alias("_text")), surviving, ["_chars", "_prefix"])
+    full = F.when(F.lit(hash_all) | F.col("_maybe"), F.sha2(F.encode("_text", "UTF-8"), 256))
     hashed = stash(rows.select(*names, "_chars", "_prefix", full.alias("text_sha256")), "exact-hashes")
 
     groups = hashed.where("text_sha256 IS NOT NULL").groupBy("_chars", "_prefix", "text_sha256")
     groups = groups.agg(F.min(id_col).alias("keep_id"), F.count("*").alias("group_size")).where("group_size > 1")
     groups = stash(groups.drop("_chars", "_prefix"), "exact-groups")
-    hot = F.broadcast(groups.where(F.col("group_size") >= max(LEAST_HOT, total / MOST_HOT)))
-    cold = groups.where(F.col("group_size") < max(LEAST_HOT, total / MOST_HOT))
-    alone = hashed.where("text_sha256 IS NULL").withColumn("keep_id", F.col(id_col)).withColumn("group_size", F.lit(1).cast("long"))
-    some = hashed.where("text_sha256 IS NOT NULL")
-    in_hot = some.join(hot, "text_sha256")
-    in_cold = some.join(hot, "text_sha256", "left_anti").join(cold, "text_sha256", "left")
+    one = F.lit(1).cast("long")
+    out = join_groups(hashed.where("text_sha256 IS NOT NULL"), groups, ["text_sha256"], "group_size", total)
     keep = F.when(F.col("group_size").isNull(), F.col(id_col)).otherwise(F.col("keep_id"))
-    in_cold = in_cold.withColumn("keep_id", keep).withColumn("group_size", F.coalesce("group_size", F.lit(1).cast("long")))
-    out = in_hot.unionByName(in_cold)
-    out = out if hash_all else out.unionByName(alone)
+    out = out.withColumn("keep_id", keep).withColumn("group_size", F.coalesce("group_size", one))
+    if not hash_all:
+        alone = hashed.where("text_sha256 IS NULL").withColumn("keep_id", F.col(id_col)).withColumn("group_size", one)
+        out = out.unionByName(alone)
     return out.withColumn("kept", F.col("keep_id").eqNullSafe(F.col(id_col))).select(
         *names, "keep_id", "group_size", "kept", "text_sha256"
     )

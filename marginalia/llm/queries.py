@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, media, packing, suffix, tokens
+from . import exact, media, near, packing, suffix, tokens
 from .common import documents
 
 
@@ -42,6 +42,10 @@ def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near.near_components(documents(spark, sf_dir), n_words=4)
+
+
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffix.repeated_spans(documents(spark, sf_dir).select("doc_id", "text"))
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda total, x: total + x["stop"] - x["start"])
@@ -54,7 +58,7 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op4_exact_dedup, op5_byte_bpe, op6_media, op9_suffix_dedup)}
+QUERIES = {f.__name__: f for f in (op1_packing, op4_exact_dedup, op5_byte_bpe, op6_media, op8_minhash, op9_suffix_dedup)}
 
 ORACLES = {
     "op4_exact_dedup": r"""
