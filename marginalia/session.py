@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -56,6 +57,13 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete shuffle files that no DataFrame needs any more, now rather than when the
+    driver next collects its garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def unstash(*tables: DataFrame) -> None:
     """Deletes tables made by stash(); call only when nothing lazy reads them any more."""
     for df in tables:
