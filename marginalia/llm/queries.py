@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, media, near, packing, suffix, tokens
-from .common import documents
+from . import exact, media, near, packing, quality, suffix, tokens, toxicity
+from .common import documents, remainder
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +16,17 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def scored(rows: DataFrame, threshold: float) -> DataFrame:
+    held_out = (remainder(4) == 2).alias("held_out")
+    return rows.select("doc_id", held_out, "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = quality.fit(docs, labels, "quality")
+    return scored(quality.quality_scores(docs, model, carry=["doc_id"]), 0.7)
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = exact.exact_groups(documents(spark, sf_dir).select("doc_id", "text"), hash_all=True)
     return groups.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -42,6 +53,12 @@ def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = toxicity.fit(docs, labels, "toxic")
+    return scored(toxicity.toxicity_scores(docs, model, carry=["doc_id"]), 0.3)
+
+
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.near_components(documents(spark, sf_dir), n_words=4)
 
@@ -58,7 +75,19 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op4_exact_dedup, op5_byte_bpe, op6_media, op8_minhash, op9_suffix_dedup)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_packing,
+        op3_quality,
+        op4_exact_dedup,
+        op5_byte_bpe,
+        op6_media,
+        op7_toxicity,
+        op8_minhash,
+        op9_suffix_dedup,
+    )
+}
 
 ORACLES = {
     "op4_exact_dedup": r"""
