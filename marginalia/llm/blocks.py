@@ -25,7 +25,7 @@ ANSWERS = "block long, answers array<struct<bucket:long,body:binary>>"
 
 def to_bytes(table: pa.Table | pa.RecordBatch) -> bytes:
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 6))) as out:
         out.write(table)
     return sink.getvalue().to_pybytes()
 
@@ -86,25 +86,31 @@ def ids_of(table: pa.Table, id_col: str) -> np.ndarray:
     return pa.compute.fill_null(table.column(id_col).cast(pa.int64()), np.iinfo(np.int64).max).to_numpy()
 
 
-def send(block: int, owner: np.ndarray, *arrays: np.ndarray) -> Iterator[dict]:
-    """A row for each bucket in owner, which ascends: the arrays' parts that it owns."""
+def send(block: int, owner: np.ndarray, ids: np.ndarray, *arrays: np.ndarray) -> Iterator[dict]:
+    """A row for each bucket in owner, which ascends: the arrays' parts that it owns. Ids go as 32-bit
+    distances from the least where they fit."""
+    base = int(ids.min()) if len(ids) else 0
+    short = len(ids) > 0 and int(ids.max()) - base < 1 << 32
+    packed = (ids - base).astype("<u4") if short else ids.astype("<i8")
     starts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]]) if len(owner) else []
     for start, stop in zip(starts, [*starts[1:], len(owner)]):
-        parts = [np.ascontiguousarray(x[start:stop]) for x in arrays]
-        head = np.array([stop - start], "<i8").tobytes()
+        parts = [np.ascontiguousarray(x[start:stop]) for x in (packed, *arrays)]
+        head = np.array([stop - start, base, short], "<i8").tobytes()
         yield {"bucket": int(owner[start]), "block": block, "body": head + b"".join(x.tobytes() for x in parts)}
 
 
 def receive(table: pa.Table, *kinds: str) -> tuple[list[int], np.ndarray, list[np.ndarray]]:
     """All entries that reached a bucket: the blocks, each entry's block (as a place in that list),
-    and the arrays joined."""
+    and the ids and arrays joined."""
     froms = table.column("block").to_pylist()
-    counts, columns = [], [[] for _ in kinds]
+    counts, columns = [], [[] for _ in range(len(kinds) + 1)]
     for body in table.column("body").to_pylist():
-        n, at = int.from_bytes(body[:8], "little"), 8
+        n, base, short = np.frombuffer(body, "<i8", 3).tolist()
         counts.append(n)
-        for column, kind in zip(columns, kinds):
-            column.append(np.frombuffer(body, kind, n, at))
+        at = 24
+        for k, kind in enumerate(("<u4" if short else "<i8", *kinds)):
+            column = np.frombuffer(body, kind, n, at)
+            columns[k].append(column.astype(np.int64) + base if short and not k else column)
             at += n * np.dtype(kind).itemsize
     return froms, np.repeat(np.arange(len(froms)), counts), [np.concatenate(x) for x in columns]
 

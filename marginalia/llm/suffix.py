@@ -4,9 +4,10 @@ Suffixes are taken at anchors only: of the grams inside each window of LENGTH by
 the least hash. Equal windows choose the same anchor at the same offset, so windows can only be
 equal where their anchors' suffixes begin with the same gram. Sampled splitters range-partition the
 suffixes by that leading gram; each bucket sorts its own by multikey quicksort and compares
-neighbours. Equal leading grams never straddle a boundary. Where all suffixes of a gram stand in the
-same surroundings, one comparison settles all their windows; where surroundings differ (the edges of
-shared passages) the windows themselves are compared by 64-bit fingerprints.
+neighbours. Equal leading grams never straddle a boundary. Suffixes in the same surroundings are
+settled together, for the earliest document. What is left are the earliest documents of surroundings
+whose gram also stands in others (the edges of shared passages): their windows are compared by 64-bit
+fingerprints.
 """
 
 from __future__ import annotations
@@ -21,16 +22,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import stash
+from ..session import release, stash, unstash
 from .blocks import answers, blocks, from_bytes, ids_of, multikey_sort, receive, send, text_buffer, to_bytes
 
 LENGTH = 50
 GRAM = 18
 #: Bytes of text that are hashed at once, at least one whole document.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 #: Entries in a bucket, about; and the most splitters.
 BUCKET_ENTRIES = 1 << 18
 MOST_BUCKETS = 1 << 14
+#: Different surroundings of a gram that a block sends one by one; where it has more, it says so
+#: and sends the windows themselves.
+MOST_AROUND = 4
 #: Low bits of a sort key that hold the place: documents of up to 256 MB.
 PLACE_BITS = 28
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -128,19 +132,25 @@ class Block:
         self.doc, self.id = doc, self.ids[doc]
 
     def entries(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct codes, ascending; their surroundings, 0 if several; their least id. Sets
-        self.entry: each anchor's entry."""
+        """Distinct codes with their surroundings, ascending, and the least id of each. A code with
+        more than MOST_AROUND surroundings is one entry with surroundings 0. Sets self.entry: each
+        anchor's entry."""
         order = multikey_sort(self.code, self.around)
-        code, around = self.code[order], self.around[order]
-        new = np.r_[True, code[1:] != code[:-1]] if len(code) else np.zeros(0, bool)
+        code, around = self.code[order], self.around[order] | np.uint64(1)
+        if not len(code):
+            self.entry = np.zeros(0, np.int64)
+            return code, around, self.id
+        new_code = np.r_[True, code[1:] != code[:-1]]
+        new = new_code | np.r_[True, around[1:] != around[:-1]]
+        kinds = np.cumsum(new) - 1
+        firsts = np.flatnonzero(new_code)
+        many = np.diff(np.r_[kinds[firsts], kinds[-1] + 1]) > MOST_AROUND
+        many = many[np.cumsum(new_code) - 1]
+        new = new_code | (new & ~many)
         starts = np.flatnonzero(new)
         self.entry = np.empty(len(order), np.int64)
         self.entry[order] = np.cumsum(new) - 1
-        if not len(starts):
-            return code, around, self.id
-        ends = np.r_[starts[1:], len(code)] - 1
-        one = around[starts] == around[ends]
-        return code[starts], np.where(one, around[starts] | np.uint64(1), np.uint64(0)), np.minimum.reduceat(self.id[order], starts)
+        return code[starts], np.where(many[starts], np.uint64(0), around[starts]), np.minimum.reduceat(self.id[order], starts)
 
 
 def narrow(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -155,32 +165,37 @@ def frame(rows: list[dict], schema: pa.Schema) -> pa.RecordBatch:
 SENT = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("body", pa.binary())])
 
 
+def runs(new: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """Each entry's group, new marking groups' first entries in order."""
+    group = np.empty(len(order), np.int64)
+    group[order] = np.cumsum(new) - 1
+    return group
+
+
 def earlier(table: pa.Table) -> pa.Table:
-    """A bucket of leading grams: answers the entries whose windows an earlier document holds
-    (gram in one surroundings everywhere), and those whose windows must be compared."""
-    froms, source, (key, high, low, ids) = receive(table, "<u4", "<u4", "u1", "<i8")
+    """A bucket of leading grams: answers the entries that an earlier document has in the same
+    surroundings, and of the others those whose gram also stands in different ones."""
+    froms, source, (ids, key, high, low) = receive(table, "<u4", "<u4", "u1")
     around = (high.astype(np.uint64) << np.uint64(8)) | low
     order = multikey_sort(key, around)
     k, a = key[order], around[order]
-    new = np.r_[True, k[1:] != k[:-1]]
-    starts = np.flatnonzero(new)
+    new_key = np.r_[True, k[1:] != k[:-1]]
+    new = new_key | np.r_[True, a[1:] != a[:-1]]
+    starts = np.flatnonzero(new_key)
     ends = np.r_[starts[1:], len(k)] - 1
-    mixed = (a[starts] != a[ends]) | (a[starts] == 0)
-    least = np.minimum.reduceat(ids[order], starts)
-    group = np.empty(len(order), np.int64)
-    group[order] = np.cumsum(new) - 1
-    return answered(table, froms, source, ~mixed[group] & (least[group] < ids), mixed[group])
+    mixed = ((a[starts] != a[ends]) | (a[starts] == 0))[runs(new_key, order)]
+    least = np.minimum.reduceat(ids[order], np.flatnonzero(new))[runs(new, order)]
+    gone = (around != 0) & (least < ids)
+    return answered(table, froms, source, gone, mixed & ~gone)
 
 
 def earlier_windows(table: pa.Table) -> pa.Table:
     """A bucket of windows' fingerprints: answers the entries that an earlier document holds."""
-    froms, source, (key, ids) = receive(table, "<u8", "<i8")
+    froms, source, (ids, key) = receive(table, "<u8")
     order = np.argsort(key, kind="stable")
     new = np.r_[True, key[order][1:] != key[order][:-1]]
-    least = np.minimum.reduceat(ids[order], np.flatnonzero(new))
-    group = np.empty(len(order), np.int64)
-    group[order] = np.cumsum(new) - 1
-    return answered(table, froms, source, least[group] < ids)
+    least = np.minimum.reduceat(ids[order], np.flatnonzero(new))[runs(new, order)]
+    return answered(table, froms, source, least < ids)
 
 
 def answered(table: pa.Table, froms: list[int], source: np.ndarray, *flags: np.ndarray) -> pa.Table:
@@ -250,8 +265,7 @@ def repeated_spans(
         for batch in batches:
             for number, body in zip(batch.column(0).to_pylist(), batch.column(1)):
                 code, around, least = Block(body.as_py(), id_col, text_col, length, gram).entries()
-                key = code.astype(np.uint32)
-                yield frame(list(send(number, range_of(code), key, *narrow(around), least)), SENT)
+                yield frame(list(send(number, range_of(code), least, code.astype(np.uint32), *narrow(around))), SENT)
 
     def window_codes(raw: np.ndarray, bounds: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The windows low to high, one after the other, and their fingerprints."""
@@ -306,18 +320,19 @@ def repeated_spans(
         chosen = np.repeat(rows, np.diff(bounds))
         return raw[chosen], np.r_[0, np.cumsum(np.diff(bounds)[rows])], gone[chosen]
 
-    KINDS = pa.schema([("kind", pa.string()), *SENT])
+    KINDS = pa.schema([("kind", pa.string()), ("block", pa.int64()), ("body", pa.binary())])
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Blocks with the first answers: rows done (documents with results), sent (windows to
-        compare) and open (documents whose result waits for that)."""
+        """Blocks with the first answers: rows done (documents with results) and open (documents
+        with windows still to compare: their bytes gone so far, and the runs of windows)."""
         for batch in batches:
             for number, body, reply in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
                 block = Block(body.as_py(), id_col, text_col, length, gram)
-                code, _, least = block.entries()
+                code, around, least = block.entries()
                 gone_entry, mixed_entry = flags(reply.as_py(), range_of(code), 2)
-                gone_entry, mixed = gone_entry[block.entry], mixed_entry[block.entry]
-                whole = gone_entry | (~mixed & (block.id > least[block.entry]) if len(least) else gone_entry)
+                at = block.entry
+                whole = gone_entry[at] | ((around != 0)[at] & (block.id > least[at]))
+                mixed = mixed_entry[at] & ~whole
                 gone = cover(len(block.raw), block.low[whole], block.high[whole] + length)
                 waits = np.zeros(len(block.ids), bool)
                 waits[block.doc[mixed]] = True
@@ -326,35 +341,40 @@ def repeated_spans(
                     table = block.table.filter(pa.array(~waits))
                     rows.append({"kind": "done", "block": number, "body": to_bytes(finished(table, *part(block.raw, block.bounds, gone, ~waits)))})
                 if waits.any():
-                    raw, bounds, gone = part(block.raw, block.bounds, gone, waits)
+                    _, bounds, gone = part(block.raw, block.bounds, gone, waits)
                     shift = bounds[:-1][np.cumsum(waits) - 1] - block.bounds[:-1]
                     moved = shift[block.doc[mixed]]
                     low, high = block.low[mixed] + moved, block.high[mixed] + moved
                     order = np.argsort(low)
-                    low, high = low[order].astype(np.int32), high[order].astype(np.int32)
-                    held = pickle.dumps((np.packbits(gone), low, (high - low).astype(np.uint8 if length < 256 else np.int32)))
+                    held = pickle.dumps((np.packbits(gone), low[order].astype(np.int32), (high - low)[order].astype(np.uint8 if length < 256 else np.int32)))
                     table = block.table.filter(pa.array(waits))
                     rows.append({"kind": "open", "block": number, "body": pickle.dumps((to_bytes(table), pa.compress(held, "zstd", asbytes=True), len(held)))})
-                    place, codes = window_codes(raw, bounds, low.astype(np.int64), high.astype(np.int64))
-                    ids = block.ids[waits][np.searchsorted(bounds[1:], place, "right")]
-                    key, _, first = shared(codes, ids)
-                    rows += [x | {"kind": "sent"} for x in send(number, range_of_window(key), key, first)]
                 yield frame(rows, KINDS)
 
+    def reopened(body: bytes) -> tuple:
+        """An open block: table, bytes, bounds, gone, and its windows' places, owners' ids,
+        distinct fingerprints, places among them and least ids."""
+        packed_docs, held, size = pickle.loads(body)
+        table = from_bytes(packed_docs)
+        raw, bounds = text_buffer(table.column(text_col))
+        bits, low, more = pickle.loads(pa.decompress(held, size, "zstd", asbytes=True))
+        gone = np.unpackbits(bits, count=len(raw)).astype(bool)
+        place, codes = window_codes(raw, bounds, low.astype(np.int64), low.astype(np.int64) + more)
+        own = ids_of(table, id_col)[np.searchsorted(bounds[1:], place, "right")]
+        return table, raw, bounds, gone, place, own, *shared(codes, own)
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for number, body in zip(batch.column(0).to_pylist(), batch.column(1)):
+                *_, key, _, least = reopened(body.as_py())
+                yield frame(list(send(number, range_of_window(key), least, key)), SENT)
+
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for body, reply in zip(batch.column(0), batch.column(1)):
-                packed_docs, held, size = pickle.loads(body.as_py())
-                table = from_bytes(packed_docs)
-                raw, bounds = text_buffer(table.column(text_col))
-                ids = ids_of(table, id_col)
-                bits, low, more = pickle.loads(pa.decompress(held, size, "zstd", asbytes=True))
-                gone = np.unpackbits(bits, count=len(raw)).astype(bool)
-                place, codes = window_codes(raw, bounds, low.astype(np.int64), low.astype(np.int64) + more)
-                own = ids[np.searchsorted(bounds[1:], place, "right")]
-                key, which, first = shared(codes, own)
+                table, raw, bounds, gone, place, own, key, which, least = reopened(body.as_py())
                 (hit,) = flags(reply.as_py(), range_of_window(key), 1)
-                hits = place[hit[which] | (own > first[which])]
+                hits = place[hit[which] | (own > least[which])]
                 gone |= cover(len(raw), hits, hits + length)
                 yield from emit(finished(table, raw, bounds, gone))
 
@@ -370,10 +390,14 @@ def repeated_spans(
     first = packed.select("block", "docs").mapInArrow(suffixes, sent_schema)
     replies = answers(first.groupBy("bucket").applyInArrow(earlier, sent_schema))
     with_replies = packed.join(replies, "block", "left").select("block", "docs", "answers")
-    settled = stash(with_replies.mapInArrow(settle, f"kind string, {sent_schema}"), "suffix-settled")
-    second = settled.where("kind = 'sent'").drop("kind")
+    settled = stash(with_replies.mapInArrow(settle, f"kind string, block long, body binary"), "suffix-settled")
+    unstash(packed)
+    first = replies = with_replies = packed = None
+    release(docs.sparkSession)
+    still = settled.where("kind = 'open'").select("block", "body")
+    second = still.mapInArrow(windows, sent_schema)
     replies = answers(second.groupBy("bucket").applyInArrow(earlier_windows, sent_schema))
-    waiting = settled.where("kind = 'open'").select("block", "body").join(replies, "block", "left")
+    waiting = still.join(replies, "block", "left")
     done = settled.where("kind = 'done'").select("body")
     more = T._parse_datatype_string("n_bytes long, spans array<struct<start:long,stop:long>>, kept binary")
     schema = T.StructType([*docs.schema.fields, *more.fields])
