@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, media, near, packing, quality, suffix, tokens, toxicity
+from . import exact, language, media, near, packing, quality, suffix, tokens, toxicity
 from .common import documents, remainder
 
 
@@ -75,6 +75,10 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.language_scores(documents(spark, sf_dir))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -86,6 +90,7 @@ QUERIES = {
         op7_toxicity,
         op8_minhash,
         op9_suffix_dedup,
+        op10_language,
     )
 }
 
