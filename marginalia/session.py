@@ -5,7 +5,10 @@ from __future__ import annotations
 import gc
 import os
 import tempfile
+import time
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -48,20 +51,45 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Paths of stashed tables, by the innermost recording() that was open.
+_RECORDS: list[list[str]] = []
+
+
+@contextmanager
+def recording() -> Iterator[list[str]]:
+    """Collects the paths of tables that are stashed meanwhile, for a later drop_paths()."""
+    paths: list[str] = []
+    _RECORDS.append(paths)
+    try:
+        yield paths
+    finally:
+        _RECORDS.remove(paths)
+
+
+def drop_paths(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def stash(df: DataFrame, name: str) -> DataFrame:
     """Writes df as a table in the shared folder and reads it back: lineage ends here, and a
     lost executor costs only a reread."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
+    if _RECORDS:
+        _RECORDS[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def release(spark: SparkSession) -> None:
     """Lets Spark delete shuffle files that no DataFrame needs any more, now rather than when the
     driver next collects its garbage."""
-    gc.collect()
-    spark._jvm.System.gc()
+    for _ in range(2):  # what the first pass finalises, the second frees
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def unstash(*tables: DataFrame) -> None:
