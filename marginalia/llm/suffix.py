@@ -403,3 +403,21 @@ def repeated_spans(
     schema = T.StructType([*docs.schema.fields, *more.fields])
     out = waiting.select("body", "answers").mapInArrow(decide, schema).union(done.mapInArrow(unpack, schema))
     return out.select(*names, "n_bytes", "spans", "kept")
+
+
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """docs with the bytes that repeated_spans() finds taken out of text_col. Where a cut leaves a
+    part of a character, that part goes too. A null text stays null, an emptied one is empty."""
+    names = docs.columns
+    at = names.index(text_col)
+
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            old, kept = batch.column(at), batch.column(len(names))
+            texts = [None if x is None else y.decode("utf-8", "ignore") for x, y in zip(old.to_pylist(), kept.to_pylist())]
+            columns = list(batch.columns[: len(names)])
+            columns[at] = pa.array(texts, pa.string())
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    found = repeated_spans(docs, id_col, text_col, **how).select(*names, "kept")
+    return found.mapInArrow(decode, T.StructType(found.schema.fields[: len(names)]))
