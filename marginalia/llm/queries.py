@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, language, media, near, packing, quality, suffix, tokens, toxicity
+from . import chat, exact, language, media, near, packing, quality, suffix, tokens, toxicity
 from .common import documents, remainder
 
 
@@ -16,6 +16,10 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.render_conversations(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def scored(rows: DataFrame, threshold: float) -> DataFrame:
     held_out = (remainder(4) == 2).alias("held_out")
     return rows.select("doc_id", held_out, "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
@@ -83,6 +87,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_packing,
+        op2_chat,
         op3_quality,
         op4_exact_dedup,
         op5_byte_bpe,
@@ -95,6 +100,26 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op2_chat": r"""
+        WITH turns AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text,
+                row_number() OVER (PARTITION BY conv_id ORDER BY turn, coalesce(role, ''), coalesce(text, '')) AS place
+            FROM (SELECT DISTINCT conv_id, turn, role, text FROM conversations)
+        ), whole AS (
+            SELECT conv_id, count(*) AS n_turns, list(struct_pack(r := role, t := text) ORDER BY place) AS said,
+                string_agg(
+                    '<|im_start|>' || role || chr(10)
+                    || regexp_replace(text, '<\|(im_start|im_end)\|>', '<| \1 |>', 'g') || '<|im_end|>' || chr(10),
+                    '' ORDER BY place
+                ) AS rendered
+            FROM turns GROUP BY conv_id
+        ), begun AS (
+            SELECT DISTINCT w.said[1:k] AS said FROM whole w, LATERAL unnest(range(1, n_turns)) AS u(k)
+        )
+        SELECT min(conv_id) AS conv_id, n_turns, count(*) AS n_copies, any_value(rendered) AS rendered
+        FROM whole WHERE said NOT IN (SELECT said FROM begun)
+        GROUP BY said, n_turns
+    """,
     "op4_exact_dedup": r"""
         WITH hashed AS (
             SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256
