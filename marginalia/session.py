@@ -32,7 +32,9 @@ def builder(master: str = "local[8]", shuffle_partitions: int = 8) -> SparkSessi
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Lets Python workers import this package, whatever folder the driver runs in."""
+    """Lets Python workers import this package, whatever folder the driver runs in, and keeps the batches
+    that they get small: texts may be long."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     env = spark.sparkContext.environment
     paths = env.get("PYTHONPATH", "").split(os.pathsep)
     if ROOT not in paths:
@@ -51,6 +53,8 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Rows in a batch for Python workers.
+BATCH_ROWS = 2048
 #: Paths of stashed tables, by the innermost recording() that was open.
 _RECORDS: list[list[str]] = []
 
