@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from marginalia.llm import exact, near, packing, quality, suffix
 from marginalia.llm.common import documents
-from marginalia.session import drop_paths, recording, release, stash
+from marginalia.session import drop_paths, prepare, recording, release, stash
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Documents with a lower quality score go.
@@ -25,6 +25,7 @@ _left: list[str] = []
 
 def stage(build: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable:
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        prepare(spark)
         read = docs.inputFiles()
         done = [path for path in _left if not any(path in file for file in read)]
         drop_paths(spark, done)
@@ -61,7 +62,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 @stage
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of 50 bytes or more that an earlier document holds go; the rest of the text stays."""
-    cut = suffix.without_repeats(docs.select(*COLUMNS))
+    cut = suffix.repeated_spans(docs.select(*COLUMNS), cut_text=True)
     return cut.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 

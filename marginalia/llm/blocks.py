@@ -17,6 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import map_arrow
 from ..session import stash
 
 BLOCK_BYTES = 4 << 20
@@ -66,7 +67,7 @@ def blocks(docs: DataFrame, text_col: str, name: str, block_bytes: int = BLOCK_B
         if held:
             yield row()
 
-    return stash(docs.mapInArrow(pack, "block long, n_bytes long, docs binary, sample array<long>"), name)
+    return stash(map_arrow(docs, pack, "block long, n_bytes long, docs binary, sample array<long>"), name)
 
 
 def text_buffer(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:

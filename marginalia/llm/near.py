@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..session import stash
 from .blocks import text_buffer
-from .common import join_groups, slices, text_or_empty, with_filter
+from .common import map_arrow, join_groups, slices, text_or_empty, with_filter
 from .graph import components
 from .shingles import bands, minhash, odd_sketch, shingle_sets, similarity
 
@@ -169,11 +169,11 @@ def near_components(
         """Links within tiles: rows (g1, g2, g3, id, comp, side, within), with sets put beside."""
         rows = tiles.join(sets, "id").repartition("g1", "g2", "g3").sortWithinPartitions("g1", "g2", "g3")
         columns = ["g1", "g2", "g3", "id", "comp", "side", "within", "sketch", "shingles"]
-        return rows.select(*columns).mapInArrow(confirm, "a long, b long")
+        return map_arrow(rows.select(*columns), confirm, "a long, b long")
 
     texts = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
     schema = "id long, n_shingles long, mark1 long, mark2 long, keys array<long>, sketch binary"
-    marked = stash(texts.mapInArrow(features, schema), "near-features")
+    marked = stash(map_arrow(texts, features, schema), "near-features")
     total = marked.count()
     linkable = marked.where("id IS NOT NULL AND n_shingles > 0")
 
@@ -200,7 +200,7 @@ def near_components(
     needed = held.select("id").distinct()
     some = with_filter(texts.where("id IS NOT NULL"), needed, ["id"]).where("_maybe").drop("_maybe")
     some = some.join(needed.hint("shuffle_hash"), "id", "left_semi").join(members, "id", "left_anti")
-    shingles = some.select("id", "text").mapInArrow(full_sets, "id long, shingles binary").where("length(shingles) > 0")
+    shingles = map_arrow(some.select("id", "text"), full_sets, "id long, shingles binary").where("length(shingles) > 0")
     sketches = linkable.select("id", "sketch")
     sketches = with_filter(sketches, needed, ["id"]).where("_maybe").drop("_maybe")
     sets = stash(shingles.join(sketches, "id").dropDuplicates(["id"]), "near-sets")

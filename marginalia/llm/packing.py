@@ -29,7 +29,7 @@ SHARD_TOKENS = 1 << 20
 #: Documents that are encoded together.
 ROWS = 2048
 #: Words whose ids a worker keeps.
-CACHED_WORDS = 800_000
+CACHED_WORDS = 400_000
 #: Fixed: the tokenizer's mark of a word's end, and signs that end a sentence.
 WORD_END, STOP = "</w>", re.compile(r"[.!?…。！？]")
 #: Signs that often follow a word; words are kept without them.

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .blocks import text_buffer
-from .common import slices
+from .common import map_arrow, slices
 from .samples import labelled
 from .shingles import words
 from .suffix import Hashed, chunks
@@ -124,8 +124,8 @@ def term_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int = MOST_LABELLED, folds=(0, 1, 3)) -> Model:
     """Fits on at most 2 * most labelled documents, a documented bound: their terms are collected."""
-    sample = labelled(docs, labels, label, most, list(folds)).mapInArrow(term_rows, "label int, terms binary")
-    rows = sample.orderBy("label", F.xxhash64("terms"), "terms").collect()
+    sample = map_arrow(labelled(docs, labels, label, most, list(folds)), term_rows, "label int, terms binary")
+    rows = sorted(sample.collect())
     terms, marks = np.zeros((len(rows), N_TERMS), np.float32), np.array([r["label"] for r in rows], np.float64)
     for k, row in enumerate(rows):
         n = len(row["terms"]) // 6
@@ -150,13 +150,14 @@ def quality_scores(docs: DataFrame, model: Model, text_col: str = "text", carry:
     Rows come back as often as they came; a column of docs named score is replaced.
     """
     names = [c for c in (carry or docs.columns) if c != "score"]
-    at = len(names)
+    # a text that is carried anyway goes to the workers once
+    at = names.index(text_col) if text_col in names else len(names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, ROWS):
             scores = model.scores(term_counts(*text_buffer(batch.column(at))))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(scores, pa.float64())], names=[*names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(scores, pa.float64())], names=[*names, "score"])
 
     schema = T.StructType([*(docs.schema[c] for c in names), T.StructField("score", T.DoubleType())])
-    rows = docs.select(*names, F.col(text_col).cast("string").alias("_text"))
-    return rows.mapInArrow(run, schema)
+    rows = docs.select(*names) if at < len(names) else docs.select(*names, F.col(text_col).cast("string").alias("_text"))
+    return map_arrow(rows, run, schema)

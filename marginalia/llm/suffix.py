@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import map_arrow
 from ..session import release, stash, unstash
 from .blocks import answers, blocks, from_bytes, ids_of, multikey_sort, receive, send, text_buffer, to_bytes
 
@@ -223,7 +224,12 @@ def flags(reply: list[dict] | None, owner: np.ndarray, n_flags: int) -> list[np.
 
 
 def repeated_spans(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    length: int = LENGTH,
+    gram: int = GRAM,
+    cut_text: bool = False,
 ) -> DataFrame:
     """docs with n_bytes, spans (array of start and stop, in bytes) and kept (the other bytes).
 
@@ -231,7 +237,9 @@ def repeated_spans(
     id; matches are judged on the input, overlaps count and none crosses documents. Texts are UTF-8;
     a null text is empty and comes back null, with no spans. Ids are integers; rows with equal ids
     are never earlier than each other, and a null id is later than every other. Very long texts are
-    read whole. Columns of docs named n_bytes, spans or kept are replaced. An empty table gives an
+    read whole. Columns of docs named n_bytes, spans or kept are replaced. With cut_text the result is
+    docs with the bytes taken out of text_col instead; where a cut leaves a part of a character, that
+    part goes too, and an emptied text is empty. An empty table gives an
     empty result.
 
     Texts move twice in compressed blocks; suffixes move as packed arrays, each leading gram once
@@ -311,6 +319,10 @@ def repeated_spans(
 
     def finished(table: pa.Table, raw: np.ndarray, bounds: np.ndarray, gone: np.ndarray) -> pa.Table:
         more = results(table, raw, bounds, gone)
+        if cut_text:
+            at, old = names.index(text_col), table.column(text_col).to_pylist()
+            cut = [None if x is None else y.decode("utf-8", "ignore") for x, y in zip(old, more["kept"].to_pylist())]
+            return table.set_column(at, text_col, pa.array(cut, pa.string()))
         for name, column in more.items():
             table = table.append_column(name, column)
         return table
@@ -387,37 +399,19 @@ def repeated_spans(
                 yield from emit(from_bytes(body.as_py()))
 
     sent_schema = "bucket long, block long, body binary"
-    first = packed.select("block", "docs").mapInArrow(suffixes, sent_schema)
+    first = map_arrow(packed.select("block", "docs"), suffixes, sent_schema)
     replies = answers(first.groupBy("bucket").applyInArrow(earlier, sent_schema))
     with_replies = packed.join(replies, "block", "left").select("block", "docs", "answers")
-    settled = stash(with_replies.mapInArrow(settle, f"kind string, block long, body binary"), "suffix-settled")
+    settled = stash(map_arrow(with_replies, settle, f"kind string, block long, body binary"), "suffix-settled")
     unstash(packed)
     first = replies = with_replies = packed = None
     release(docs.sparkSession)
     still = settled.where("kind = 'open'").select("block", "body")
-    second = still.mapInArrow(windows, sent_schema)
+    second = map_arrow(still, windows, sent_schema)
     replies = answers(second.groupBy("bucket").applyInArrow(earlier_windows, sent_schema))
     waiting = still.join(replies, "block", "left")
     done = settled.where("kind = 'done'").select("body")
     more = T._parse_datatype_string("n_bytes long, spans array<struct<start:long,stop:long>>, kept binary")
-    schema = T.StructType([*docs.schema.fields, *more.fields])
-    out = waiting.select("body", "answers").mapInArrow(decide, schema).union(done.mapInArrow(unpack, schema))
-    return out.select(*names, "n_bytes", "spans", "kept")
-
-
-def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """docs with the bytes that repeated_spans() finds taken out of text_col. Where a cut leaves a
-    part of a character, that part goes too. A null text stays null, an emptied one is empty."""
-    names = docs.columns
-    at = names.index(text_col)
-
-    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            old, kept = batch.column(at), batch.column(len(names))
-            texts = [None if x is None else y.decode("utf-8", "ignore") for x, y in zip(old.to_pylist(), kept.to_pylist())]
-            columns = list(batch.columns[: len(names)])
-            columns[at] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays(columns, names=names)
-
-    found = repeated_spans(docs, id_col, text_col, **how).select(*names, "kept")
-    return found.mapInArrow(decode, T.StructType(found.schema.fields[: len(names)]))
+    schema = T.StructType([*docs.schema.fields, *([] if cut_text else more.fields)])
+    out = map_arrow(waiting.select("body", "answers"), decide, schema).union(map_arrow(done, unpack, schema))
+    return out

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices
+from .common import map_arrow, slices
 from .samples import labelled, share
 from .suffix import Hashed
 
@@ -221,7 +221,7 @@ def fit(
     """Counts words of at most 2 * counted labelled documents in folds, and calibrates the score on
     at most 2 * calibrated in last_fold: documented bounds, so that both may be collected."""
     sample = labelled(docs, labels, label, counted, list(folds))
-    rows = sample.mapInArrow(word_counts, "word string, ordinary long, toxic long").where("word <> ''")
+    rows = map_arrow(sample, word_counts, "word string, ordinary long, toxic long").where("word <> ''")
     table = rows.groupBy("word").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic")).toArrow().sort_by("word")
     model = train(table.column("word").to_pylist(), table.column("toxic").to_numpy(), table.column("ordinary").to_numpy())
 
@@ -229,7 +229,7 @@ def fit(
         for batch in slices(batches, ROWS):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.ratios(batch.column(1)))], names=["label", "ratio"])
 
-    found = labelled(docs, labels, label, calibrated, [last_fold]).mapInArrow(rated, "label int, ratio double").toArrow()
+    found = map_arrow(labelled(docs, labels, label, calibrated, [last_fold]), rated, "label int, ratio double").toArrow()
     x, y = found.column("ratio").to_numpy(), found.column("label").to_numpy().astype(np.float64)
     base = share(labels, label, [*folds, last_fold])
     model.base = base
@@ -254,12 +254,14 @@ def toxicity_scores(docs: DataFrame, model: Model, text_col: str = "text", carry
     is replaced.
     """
     names = [c for c in (carry or docs.columns) if c != "score"]
-    at = len(names)
+    # a text that is carried anyway goes to the workers once
+    at = names.index(text_col) if text_col in names else len(names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, ROWS):
             scores = model.scores(batch.column(at))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(scores)], names=[*names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(scores)], names=[*names, "score"])
 
     schema = T.StructType([*(docs.schema[c] for c in names), T.StructField("score", T.DoubleType())])
-    return docs.select(*names, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text")).mapInArrow(run, schema)
+    rows = docs.select(*names) if at < len(names) else docs.select(*names, F.col(text_col).cast("string").alias("_text"))
+    return map_arrow(rows, run, schema)
