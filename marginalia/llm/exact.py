@@ -31,8 +31,11 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     largest groups (their number is bounded) are broadcast, only the others shuffled.
     """
     added = {text_col, "keep_id", "group_size", "kept", "text_sha256"}
-    names = [c for c in docs.columns if c not in added or c == id_col]
-    text = normalised(text_col)
+    old = [(f"c{k}", c) for k, c in enumerate(docs.columns) if c not in added or c == id_col]
+    # columns are numbered meanwhile, so that their names cannot clash
+    docs, own = docs.toDF(*(f"c{k}" for k in range(len(docs.columns)))), docs.columns
+    names, text = [c for c, _ in old], normalised(f"c{own.index(text_col)}")
+    id_col = f"c{own.index(id_col)}"
     marks = [F.length(text).alias("_chars"), F.xxhash64(F.substring(text, 1, PREFIX_CHARS)).alias("_prefix")]
     counted = stash(docs.select(*marks).groupBy("_chars", "_prefix").agg(F.count("*").alias("n")), "exact-marks")
     total = counted.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
@@ -54,7 +57,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         alone = hashed.where("text_sha256 IS NULL").withColumn("keep_id", F.col(id_col)).withColumn("group_size", one)
         out = out.unionByName(alone)
     return out.withColumn("kept", F.col("keep_id").eqNullSafe(F.col(id_col))).select(
-        *names, "keep_id", "group_size", "kept", "text_sha256"
+        *(F.col(c).alias(name) for c, name in old), "keep_id", "group_size", "kept", "text_sha256"
     )
 
 
@@ -66,7 +69,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     dropped = groups.where("NOT kept").select(F.col(id_col).alias("_id"), F.col("text_sha256").alias("_sha"))
     again = groups.where("kept").groupBy(id_col, "text_sha256").count().where("count > 1")
     repeated = bool(again.take(1))
-    rows = docs.withColumn("_full", F.sha2(F.encode(normalised(text_col), "UTF-8"), 256))
-    same = rows[id_col].eqNullSafe(dropped["_id"]) & (rows["_full"] == dropped["_sha"])
+    rows = docs.toDF(*(f"c{k}" for k in range(len(docs.columns))))
+    key, text = (f"c{docs.columns.index(c)}" for c in (id_col, text_col))
+    rows = rows.withColumn("_full", F.sha2(F.encode(normalised(text), "UTF-8"), 256))
+    same = rows[key].eqNullSafe(dropped["_id"]) & (rows["_full"] == dropped["_sha"])
     rows = rows.join(dropped.distinct().hint("shuffle_hash"), same, "left_anti")
-    return (rows.dropDuplicates([id_col, "_full"]) if repeated else rows).drop("_full")
+    return (rows.dropDuplicates([key, "_full"]) if repeated else rows).drop("_full").toDF(*docs.columns)

@@ -245,7 +245,8 @@ def repeated_spans(
     Texts move twice in compressed blocks; suffixes move as packed arrays, each leading gram once
     for each block, so that a string in many documents is never gathered in one place.
     """
-    docs = docs.drop("n_bytes", "spans", "kept") if {"n_bytes", "spans", "kept"} & set(docs.columns) else docs
+    if not cut_text:
+        docs = docs.drop("n_bytes", "spans", "kept")
     docs = docs.withColumn(text_col, F.col(text_col).cast("string"))
     names = docs.columns
 

@@ -17,16 +17,16 @@ from .samples import labelled, share
 from .suffix import Hashed
 
 #: Labelled documents of each class whose words are counted, and that calibrate, at most.
-MOST_COUNTED, MOST_CALIBRATED = 3000, 1500
+MOST_COUNTED, MOST_CALIBRATED = 2000, 1500
 #: Bytes in a gram: the predicted one and what it depends on, at most.
 ORDER = 8
 DISCOUNT = 0.75
-#: A word whose two log-likelihoods differ by less counts alike in both classes, and another by what
-#: it differs more: the mix of languages and subjects in the samples shifts all words a little, which
-#: would drown the few telling ones in long texts.
-DEAD_ZONE = 2.0
-#: Counts that each class takes over from both classes' shared distribution of a context.
-SHARED = 10.0
+#: Counts that each class takes over from both classes' shared distribution of a context: choices.
+SHARED = (3.0, 30.0)
+#: A word whose two log-likelihoods differ by less than the dead zone counts alike in both classes, and
+#: another by what it differs more: choices. The mix of languages and subjects in the samples shifts all
+#: words a little, which would drown the few telling ones in long texts.
+DEAD_ZONES = (1.0, 2.0, 3.0, 4.0, 5.0)
 ROWS = 1024
 CACHED_WORDS = 500_000
 #: Signs around a word that do not belong to it.
@@ -86,7 +86,7 @@ class Model:
     context_ratios: np.ndarray
     slope: float = 1.0
     intercept: float = 0.0
-    base: float = 0.5
+    dead_zone: float = DEAD_ZONES[1]
     cache: dict = field(default_factory=dict)
 
     def __getstate__(self):
@@ -99,11 +99,11 @@ class Model:
         ratio = lookup(self.grams, self.gram_ratios, gram, np.nan)
         ratio = np.where(np.isnan(ratio), lookup(self.contexts, self.context_ratios, context), ratio)
         ratio = np.bincount(owner, ratio, len(words))
-        ratio = np.sign(ratio) * np.maximum(np.abs(ratio) - DEAD_ZONE, 0)
         self.cache.update(zip(words, ratio.tolist()))
 
-    def ratios(self, texts: pa.Array) -> np.ndarray:
-        """The log-likelihood ratio of each text, divided by its number of words; 0 without words."""
+    def ratios(self, texts: pa.Array, zones: tuple[float, ...] = ()) -> np.ndarray:
+        """The log-likelihood ratio of each text, divided by its number of words; 0 without words. A
+        column for each of zones, if given."""
         bounds, words, which = split_words(texts)
         if len(self.cache) > CACHED_WORDS:
             self.cache.clear()
@@ -111,11 +111,14 @@ class Model:
         new = list({w for w in words if w not in self.cache})
         if new:
             self.learn(new)
-        known = np.array([self.cache[w] for w in words] or [0.0])
-        real = np.array([bool(w) for w in words] or [False])
-        sums = np.r_[0.0, np.cumsum(known[which])]
-        counts = np.r_[0, np.cumsum(real[which])]
-        return (sums[bounds[1:]] - sums[bounds[:-1]]) / np.maximum(counts[bounds[1:]] - counts[bounds[:-1]], 1)
+        raw = np.array([self.cache[w] for w in words] or [0.0])
+        counts = np.r_[0, np.cumsum(np.array([bool(w) for w in words] or [False])[which])]
+        n = np.maximum(counts[bounds[1:]] - counts[bounds[:-1]], 1)
+        out = []
+        for zone in zones or (self.dead_zone,):
+            sums = np.r_[0.0, np.cumsum((np.sign(raw) * np.maximum(np.abs(raw) - zone, 0))[which])]
+            out.append((sums[bounds[1:]] - sums[bounds[:-1]]) / n)
+        return np.stack(out, axis=1) if zones else out[0]
 
     def scores(self, texts: pa.Array) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * self.ratios(texts) + self.intercept, -30, 30)))
@@ -163,8 +166,8 @@ def interpolated(
     return np.where(seen > 0, kept, 0) + rest * backoff, (keys, left)
 
 
-def train(words: list[str], toxic: np.ndarray, ordinary: np.ndarray) -> Model:
-    """words: distinct; the others: how often each class has them."""
+def train(words: list[str], toxic: np.ndarray, ordinary: np.ndarray, shared: float = SHARED[-1]) -> Model:
+    """words: distinct; the others: how many documents of each class have them."""
     if not words:
         empty = np.zeros(0, np.uint64)
         return Model(empty, np.zeros(0), empty, np.zeros(0))
@@ -177,7 +180,7 @@ def train(words: list[str], toxic: np.ndarray, ordinary: np.ndarray) -> Model:
     pooled, _ = interpolated(gram, context, (toxic + ordinary)[owner], chosen, backoff, 0.0)
     logs, spreads = [], []
     for weight in (toxic, ordinary):
-        value, spread = interpolated(gram, context, weight[owner], chosen, pooled, SHARED)
+        value, spread = interpolated(gram, context, weight[owner], chosen, pooled, shared)
         logs.append(np.log(value))
         spreads.append(spread)
     contexts = np.union1d(spreads[0][0], spreads[1][0])
@@ -199,47 +202,67 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, f
 
 
 def word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A document counts a word once, so that texts that repeat one do not make it a sign."""
     for batch in slices(batches, ROWS):
         label = batch.column(0).to_numpy()
         bounds, words, which = split_words(batch.column(1))
-        of = np.repeat(label, np.diff(bounds))
-        counts = [np.bincount(which[of == k], minlength=len(words)) for k in (0, 1)]
+        doc = np.repeat(np.arange(len(label)), np.diff(bounds))
+        once = np.unique(doc * max(1, len(words)) + which)
+        doc, which = once // max(1, len(words)), once % max(1, len(words))
+        counts = [np.bincount(which[label[doc] == k], minlength=len(words)) for k in (0, 1)]
         yield pa.RecordBatch.from_arrays(
             [pa.array(words, pa.string()), *(pa.array(x.astype(np.int64)) for x in counts)], names=["word", "ordinary", "toxic"]
         )
 
 
+def counted_words(docs: DataFrame, labels: DataFrame, label: str, most: int, folds: list[int]) -> tuple:
+    sample = labelled(docs, labels, label, most, folds)
+    rows = map_arrow(sample, word_counts, "word string, ordinary long, toxic long").where("word <> ''")
+    table = rows.groupBy("word").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic")).toArrow().sort_by("word")
+    return table.column("word").to_pylist(), table.column("toxic").to_numpy(), table.column("ordinary").to_numpy()
+
+
 def fit(
     docs: DataFrame,
     labels: DataFrame,
     label: str = "toxic",
-    counted: int = MOST_COUNTED,
+    most: int = MOST_COUNTED,
     calibrated: int = MOST_CALIBRATED,
     folds=(0, 1),
     last_fold: int = 3,
 ) -> Model:
-    """Counts words of at most 2 * counted labelled documents in folds, and calibrates the score on
-    at most 2 * calibrated in last_fold: documented bounds, so that both may be collected."""
-    sample = labelled(docs, labels, label, counted, list(folds))
-    rows = map_arrow(sample, word_counts, "word string, ordinary long, toxic long").where("word <> ''")
-    table = rows.groupBy("word").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic")).toArrow().sort_by("word")
-    model = train(table.column("word").to_pylist(), table.column("toxic").to_numpy(), table.column("ordinary").to_numpy())
+    """Counts words of at most 2 * most labelled documents in folds, and calibrates on at most
+    2 * calibrated in last_fold the score of each choice of SHARED and DEAD_ZONES. The best choice then
+    counts in all these folds, at most 2 * most documents again: documented bounds, so that words and
+    ratios may be collected."""
+    counts = counted_words(docs, labels, label, most, list(folds))
+    models = [train(*counts, shared) for shared in SHARED]
+    del counts
 
     def rated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, ROWS):
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.ratios(batch.column(1)))], names=["label", "ratio"])
+            table = np.hstack([model.ratios(batch.column(1), DEAD_ZONES) for model in models])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(table))], names=["label", "ratios"])
 
-    found = map_arrow(labelled(docs, labels, label, calibrated, [last_fold]), rated, "label int, ratio double").toArrow()
-    x, y = found.column("ratio").to_numpy(), found.column("label").to_numpy().astype(np.float64)
+    found = map_arrow(labelled(docs, labels, label, calibrated, [last_fold]), rated, "label int, ratios array<double>").toArrow()
+    del models
+    y = found.column("label").to_numpy().astype(np.float64)
     base = share(labels, label, [*folds, last_fold])
-    model.base = base
+    best, shared, zone, slope, intercept = np.inf, SHARED[-1], DEAD_ZONES[1], 1.0, float(np.log((base + 1e-6) / (1 - base + 1e-6)))
     if len(y) and 0 < y.sum() < len(y):
         weight = np.where(y > 0, base / y.mean(), (1 - base) / (1 - y.mean()))
-        scale = float(np.std(x)) or 1.0
-        slope, model.intercept = logistic(x / scale, y, weight)
-        model.slope = slope / scale
-    else:
-        model.intercept = float(np.log((base + 1e-6) / (1 - base + 1e-6)))
+        table = np.array(found.column("ratios").to_pylist())
+        for k, x in enumerate(table.T):
+            scale = float(np.std(x)) or 1.0
+            a, b = logistic(x / scale, y, weight)
+            p = np.clip(1 / (1 + np.exp(-np.clip(a * x / scale + b, -30, 30))), 1e-6, 1 - 1e-6)
+            loss = -float((weight * (y * np.log(p) + (1 - y) * np.log(1 - p))).mean())
+            # a model that takes toxic words for ordinary ones has learned noise
+            if loss < best and a > 0:
+                best, slope, intercept = loss, a / scale, b
+                shared, zone = SHARED[k // len(DEAD_ZONES)], DEAD_ZONES[k % len(DEAD_ZONES)]
+    model = train(*counted_words(docs, labels, label, most, [*folds, last_fold]), shared)
+    model.dead_zone, model.slope, model.intercept = zone, slope, intercept
     return model
 
 
