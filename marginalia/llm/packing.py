@@ -27,9 +27,9 @@ HARD_STEP = 256
 #: A stretch of the stream is cut up at once when it has so many tokens; it ends with a document.
 SHARD_TOKENS = 1 << 20
 #: Documents that are encoded together.
-ROWS = 2048
+ROWS = 1024
 #: Words whose ids a worker keeps.
-CACHED_WORDS = 400_000
+CACHED_WORDS = 200_000
 #: Fixed: the tokenizer's mark of a word's end, and signs that end a sentence.
 WORD_END, STOP = "</w>", re.compile(r"[.!?…。！？]")
 #: Signs that often follow a word; words are kept without them.
