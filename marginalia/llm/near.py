@@ -21,18 +21,21 @@ N_WORDS, PERCENT = 5, 80
 N_BANDS, BAND_ROWS = 48, 7
 SKETCH_BITS = 2048
 #: How many standard errors below the limit a sketch's estimate may lie before a pair is refused.
-ERRORS = 6
+ERRORS = 5
 #: Members of a bucket that one task compares with as many others.
 TILE = 512
-#: Bytes of text in a slice.
+#: Documents in a slice.
 ROWS = 256
 
 
-def margin(n_samples: int, percent: int) -> float:
-    """The least estimate that goes on to confirmation; 1.6 covers the sketch's own error, as
-    measured (0.0146 for 512 samples folded into 2048 bits)."""
+def margin(n_samples: int, percent: int, bits: int = SKETCH_BITS) -> float:
+    """The least estimate that goes on to confirmation: ERRORS standard errors below the limit, of the
+    samples and of the sketch that folds them. A true pair falls below in one of some millions."""
     limit = percent / 100
-    return limit - ERRORS * 1.6 * (limit * (1 - limit) / n_samples) ** 0.5 / 1.5
+    flips = 2 * n_samples * (1 - limit)
+    spread = bits / 4 * -np.expm1(-4 * flips / bits)
+    slope = 1 / (2 * n_samples * np.exp(-2 * flips / bits))
+    return float(limit - ERRORS * np.sqrt(limit * (1 - limit) / n_samples + spread * slope**2))
 
 
 def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -123,7 +126,7 @@ def near_components(
     components, in tiles of bounded size. Links come back as spanning trees, never as all pairs.
     """
     n_samples = n_bands * band_rows
-    least = margin(n_samples, percent)
+    least = margin(n_samples, percent, bits)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, ROWS):
