@@ -21,9 +21,9 @@ from .common import map_arrow, slices, text_or_empty
 CAPACITY = 4096
 END_ID = 2
 #: What a cut inside a document costs, in tokens of padding: after a sentence, or elsewhere.
-SENTENCE_COST, HARD_COST = 4, 64
+SENTENCE_COST, HARD_COST = 4, 24
 #: Stretches without the end of a sentence may be cut at multiples of so many tokens.
-HARD_STEP = 256
+HARD_STEP = 64
 #: A stretch of the stream is cut up at once when it has so many tokens; it ends with a document.
 SHARD_TOKENS = 1 << 20
 #: Documents that are encoded together.
