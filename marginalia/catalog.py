@@ -432,6 +432,10 @@ def link_validate_fix(spark, d):
     return L.validated(link_states(spark, d), docs(spark, d), fix=True).select("path", "pos", "target", "status", "correction")
 
 
+def link_fuzzy(spark, d):
+    return L.repairs(L.proposals(link_states(spark, d)), docs(spark, d)).select("target", "by_name", "by_fuzzy")
+
+
 def link_validation_counts(spark, d):
     return L.validation_counts(L.validated(link_states(spark, d), docs(spark, d), fix=True))
 
@@ -498,6 +502,7 @@ LINK_SQL = {
             CASE WHEN exact OR by_name IS NOT NULL THEN 'valid' WHEN by_fuzzy IS NOT NULL THEN 'fixable' ELSE 'invalid' END AS status,
             CASE WHEN NOT exact AND by_name IS NULL THEN by_fuzzy END AS correction FROM checked""",
     "link_validate_fix": f"WITH {VALID} SELECT path, pos, target, status, correction FROM fixes",
+    "link_fuzzy": f"""WITH {VALID} SELECT target, by_name, CASE WHEN NOT exact AND by_name IS NULL THEN by_fuzzy END AS by_fuzzy FROM repaired""",
     "link_validation_counts": f"""WITH {VALID} SELECT count_if(fine) AS valid, count_if(status = 'removed') AS invalid,
             count_if(status = 'fixed') AS fixed, count_if(status = 'removed') AS removed FROM fixes""",
     "links_fixed": f"""WITH {VALID}, kept AS (
@@ -679,6 +684,32 @@ def parse_verdicts(spark, d):
     return parsed.select("path", "confirmed", "reason", "link_to")
 
 
+def judged_pairs(spark: SparkSession, d: str) -> DataFrame:
+    states = stash(tagged_states(spark, d), "states")
+    pairs = T.shared_tag_pairs(T.tag_index(states), MIN_SHARED, CAP)
+    replies = stash(E.verified(pairs, docs(spark, d), states, E.SharedTags(3)), "verdicts")
+    return E.parsed_verdicts(replies)
+
+
+def pairs_verified(spark, d):
+    return judged_pairs(spark, d).select("note_a", "note_b", "confirmed", "reason", "link_from", "link_to")
+
+
+def discovery_counts(spark, d):
+    rows = judged_pairs(spark, d)
+    return rows.agg(F.count("*").alias("candidates"), F.count_if("confirmed").alias("confirmed"), F.count_if(~F.col("confirmed")).alias("skipped"))
+
+
+def read_note(spark, d):
+    rows = docs(spark, d)
+    return Q.read_note(rows, rows.orderBy("doc_id").first()["path"])
+
+
+def note_metadata(spark, d):
+    rows = Q.metadata(fronted(docs(spark, d)))
+    return rows.select("path", F.array_join(F.array_sort(F.map_keys("fields")), ",").alias("keys"), F.array_join("tags", ",").alias("tags"))
+
+
 def vault_source_roundtrip(spark, d):
     """Writes notes as files, reads them back as a vault, and edits them there. Only where the shared
     folder is one of the local file system."""
@@ -703,6 +734,12 @@ MODEL_SQL = {
     "enrich_mapinpandas": f"WITH {TAGGED} SELECT path, string_agg(tag, ',' ORDER BY tag_pos) AS tags FROM entries GROUP BY path",
     "parse_replies": f"""WITH {NOTES} SELECT path, doc_id % 6 IN (0, 1, 5) AS ok, CASE WHEN doc_id % 6 IN (0, 1, 5) THEN lang ELSE '' END AS tags FROM docs""",
     "parse_verdicts": f"WITH {NOTES} SELECT path, doc_id % 7 IN (0, 2, 4) AS confirmed, 'r' AS reason, path AS link_to FROM docs",
+    "pairs_verified": f"""WITH {PAIRS} SELECT note_a, note_b, n_shared >= 3 AS confirmed, 'shared tags: ' || replace(shared, ',', ', ') AS reason,
+            note_a AS link_from, note_b AS link_to FROM pairs""",
+    "discovery_counts": f"""WITH {PAIRS} SELECT count(*) AS candidates, count_if(n_shared >= 3) AS confirmed, count_if(n_shared < 3) AS skipped FROM pairs""",
+    "read_note": f"WITH {NOTES} SELECT path, content FROM docs ORDER BY doc_id LIMIT 1",
+    "note_metadata": rf"""WITH {FRONTED} SELECT path, CASE WHEN doc_id % 5 IN (0, 2) THEN 'tags' WHEN doc_id % 5 = 1 THEN 'key' ELSE '' END AS keys,
+            array_to_string(list_sort(list_distinct(regexp_extract_all(head || body, '(?:^|\s)#([a-zA-Z][\w/-]*)', 1))), ',') AS tags FROM fronted""",
     "vault_source_roundtrip": f"""WITH {NOTES} SELECT path, substr(sha256(content || chr(10) || 'end'), 1, 16) AS content_hash FROM docs WHERE doc_id % 4 = 0""",
 }
 
