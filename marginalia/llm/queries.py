@@ -130,4 +130,49 @@ ORACLES = {
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256
         FROM hashed JOIN grouped USING (text_sha256)
     """,
+    "op8_minhash": r"""
+        WITH RECURSIVE words AS (
+            SELECT doc_id, list_filter(string_split_regex(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'
+            ), lambda x: x <> '') AS w FROM documents
+        ), shingles AS (
+            SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+                ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) END) AS s
+            FROM words
+        ), sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id), common AS (
+            SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n
+            FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL
+        ), links AS (
+            SELECT a, b FROM common c JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+            WHERE 100 * c.n >= 80 * (x.n + y.n - c.n)
+        ), ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links), reached AS (
+            SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, w.b FROM reached r JOIN ways w ON w.a = r.b
+        ), least AS (SELECT a AS doc_id, min(b) AS component_id FROM reached GROUP BY a)
+        SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept
+        FROM documents JOIN least USING (doc_id) LEFT JOIN sizes USING (doc_id)
+    """,
+    "op9_suffix_dedup": r"""
+        WITH bytes AS (
+            SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n_bytes FROM documents
+        ), windows AS (
+            SELECT doc_id, p, hash(substr(h, 2 * p + 1, 100)) AS w FROM (SELECT doc_id, h, unnest(range(0, n_bytes - 49)) AS p FROM bytes)
+        ), later AS (
+            SELECT doc_id, p FROM windows JOIN (SELECT w, min(doc_id) AS least FROM windows GROUP BY w HAVING count(*) > 1) USING (w)
+            WHERE doc_id > least
+        ), marked AS (
+            SELECT doc_id, p, CASE WHEN p <= lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 50 THEN 0 ELSE 1 END AS new FROM later
+        ), numbered AS (
+            SELECT doc_id, p, sum(new) OVER (PARTITION BY doc_id ORDER BY p) AS k FROM marked
+        ), spans AS (
+            SELECT doc_id, k, min(p) AS start, max(p) + 50 AS stop FROM numbered GROUP BY doc_id, k
+        ), gaps AS (
+            SELECT doc_id, coalesce(lag(stop) OVER (PARTITION BY doc_id ORDER BY start), 0) AS start, start AS stop FROM spans
+            UNION ALL SELECT doc_id, coalesce(max(stop), 0), n_bytes FROM bytes LEFT JOIN spans USING (doc_id) GROUP BY doc_id, n_bytes
+        ), kept AS (
+            SELECT doc_id, sha256(unhex(string_agg(substr(h, 2 * start + 1, 2 * (stop - start)), '' ORDER BY start))) AS kept_sha256
+            FROM gaps JOIN bytes USING (doc_id) GROUP BY doc_id
+        ), counts AS (SELECT doc_id, sum(stop - start) AS n_removed, count(*) AS n_spans FROM spans GROUP BY doc_id)
+        SELECT doc_id, n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0) AS n_spans, kept_sha256
+        FROM bytes JOIN kept USING (doc_id) LEFT JOIN counts USING (doc_id)
+    """,
 }
