@@ -23,7 +23,7 @@ SKETCH_BITS = 2048
 #: How many standard errors below the limit a sketch's estimate may lie before a pair is refused.
 ERRORS = 5
 #: Members of a bucket that one task compares with as many others.
-TILE = 512
+TILE = 256
 #: Documents in a slice.
 ROWS = 256
 
