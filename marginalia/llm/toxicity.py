@@ -12,12 +12,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_arrow, slices
+from .common import map_arrow, slices, tidy
 from .samples import labelled, share
 from .suffix import Hashed
 
 #: Labelled documents of each class whose words are counted, and that calibrate, at most.
-MOST_COUNTED, MOST_CALIBRATED = 2000, 1500
+MOST_COUNTED, MOST_CALIBRATED = 1500, 1000
 #: Bytes in a gram: the predicted one and what it depends on, at most.
 ORDER = 8
 DISCOUNT = 0.75
@@ -185,7 +185,10 @@ def train(words: list[str], toxic: np.ndarray, ordinary: np.ndarray, shared: flo
         spreads.append(spread)
     contexts = np.union1d(spreads[0][0], spreads[1][0])
     left = [np.log(lookup(*spread, contexts, 1.0)) for spread in spreads]
-    return Model(grams, logs[0] - logs[1], contexts, left[0] - left[1])
+    ratios = [(x[0] - x[1]).astype(np.float32) for x in (logs, left)]
+    del logs, left, spreads, hashed, gram, context, backoff, pooled
+    tidy()
+    return Model(grams, ratios[0], contexts, ratios[1])
 
 
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
