@@ -49,11 +49,11 @@ LINKED = f"""{NOTES}, linked AS (
 
 
 def tagged_states(spark: SparkSession, d: str) -> DataFrame:
-    """State records of English notes with deterministic tags."""
+    """State records of English notes with deterministic tags, written as the store would."""
     notes = docs(spark, d).where("lang = 'en'")
     tags = T.deterministic_tags(notes.select("path", "content"))
     rows = notes.join(tags, "path").select("path", F.col("doc_id").alias("ord"), X.content_hash(F.col("content")).alias("content_hash"), "proposed_tags")
-    return rows.select(
+    rows = rows.select(
         "path",
         "ord",
         "content_hash",
@@ -63,6 +63,7 @@ def tagged_states(spark: SparkSession, d: str) -> DataFrame:
         (F.col("ord") % 3 == 0).alias("tags_applied"),
         F.lit(False).alias("links_applied"),
     )
+    return stash(rows, "states")
 
 
 TAGGED = f"""{NOTES}, words AS (
@@ -685,7 +686,7 @@ def parse_verdicts(spark, d):
 
 
 def judged_pairs(spark: SparkSession, d: str) -> DataFrame:
-    states = stash(tagged_states(spark, d), "states")
+    states = tagged_states(spark, d)
     pairs = T.shared_tag_pairs(T.tag_index(states), MIN_SHARED, CAP)
     replies = stash(E.verified(pairs, docs(spark, d), states, E.SharedTags(3)), "verdicts")
     return E.parsed_verdicts(replies)
