@@ -56,7 +56,19 @@ class WordEncoder(dict):
         self.clear()
         self.new: list[str] = []
         self.starts, self.lengths = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.flat = np.zeros(0, np.uint32)
+        self.flat, self.hits = np.zeros(0, np.uint32), np.zeros(0, np.int32)
+
+    def shrink(self, most: int) -> None:
+        """Forgets all but the `most` words that were met most often, and of these the ones met once."""
+        order = np.argsort(-self.hits, kind="stable")[:most]
+        order = np.sort(order[self.hits[order] > 1])
+        words = list(self)
+        lengths = self.lengths[order]
+        ends = np.cumsum(lengths)
+        self.flat = self.flat[np.repeat(self.starts[order] - (ends - lengths), lengths) + np.arange(lengths.sum())]
+        self.starts, self.lengths, self.hits = ends - lengths, lengths, self.hits[order] // 2
+        self.clear()
+        self.update((words[k], at) for at, k in enumerate(order.tolist()))
 
     def __missing__(self, word: str) -> int:
         self[word] = at = len(self)
@@ -86,28 +98,34 @@ class WordEncoder(dict):
         starts = np.empty(len(new), np.int64)
         starts[order] = len(self.flat) + np.cumsum(lengths[order]) - lengths[order]
         self.starts, self.lengths = np.r_[self.starts, starts], np.r_[self.lengths, lengths]
+        self.hits = np.r_[self.hits, np.zeros(len(new), np.int32)]
         self.flat, self.new = np.concatenate([self.flat, *pieces]), []
 
-    def tail(self, word: str) -> str:
-        """The signs after a word's letters, which the tokenizer splits off."""
-        base = word.rstrip(TAIL)
-        return word[len(base) :] if base and base != word and base[-1].isalpha() else ""
+    def places(self, words: pa.Array) -> np.ndarray:
+        """Each word's place; a new word is noted and gets the next one."""
+        coded = words.dictionary_encode()
+        found = np.fromiter(map(self.__getitem__, coded.dictionary.to_pylist()), np.int64, len(coded.dictionary))
+        return found[coded.indices.to_numpy()]
 
     def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All texts' ids in a row, end_id after each, and the number of ids of each text."""
         if len(self) > CACHED_WORDS:
-            self.reset()
+            self.shrink(CACHED_WORDS // 2)
         lowered = pa.compute.replace_substring(pa.compute.ascii_lower(texts), "\n", " ")
         found = pa.compute.split_pattern(lowered, " ")
         ends = found.offsets.to_numpy()[1:] - found.offsets[0].as_py()
         coded = found.flatten().dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
-        tails = [self.tail(word) for word in distinct]
-        head = np.array([self[word[: len(word) - len(tail)]] for word, tail in zip(distinct, tails)], np.int64)
-        signs = np.array([self[tail] for tail in tails], np.int64)
+        distinct = coded.dictionary
+        # the tokenizer splits signs from the letters before them, so words are kept without them
+        base = pa.compute.utf8_rtrim(distinct, TAIL)
+        split = pa.compute.utf8_is_alpha(pa.compute.utf8_slice_codeunits(base, -1))
+        signs = pa.compute.struct_field(pa.compute.extract_regex(distinct, f"(?P<signs>[{TAIL}]*)$"), [0])
+        head = self.places(pa.compute.if_else(split, base, distinct))
+        tail = self.places(pa.compute.if_else(split, signs, ""))
         self.learn()
         index = coded.indices.to_numpy()
-        which = np.stack([head[index], signs[index]], axis=1).ravel()
+        which = np.stack([head[index], tail[index]], axis=1).ravel()
+        self.hits += np.bincount(head[index], minlength=len(self)).astype(np.int32)
         lengths = self.lengths[which]
         sums = np.cumsum(lengths)
         sizes = np.diff(np.r_[0, sums[2 * ends - 1]]) if len(texts) else np.zeros(0, np.int64)

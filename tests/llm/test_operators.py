@@ -9,6 +9,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest_texts import words_of
 from hypothesis import given, settings
@@ -54,6 +55,20 @@ def test_monotone_queue_finds_the_least_cost(steps):
     assert least_cost(places.tolist(), cost.tolist(), 64) <= paid + packing.padding(int(places[-1]) - last, 64)
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text(alphabet=st.sampled_from("aBé.,!?' \n\t\x1c\xa0ſİßΣ1²字-—‘s"), max_size=60), min_size=1, max_size=6))
+def test_words_encode_as_texts(texts):
+    """Also when the cache shrinks between batches."""
+    coder = packing.encoder(packing.public_tokenizers.path("word_bpe_49k.json"))
+    old, packing.CACHED_WORDS = packing.CACHED_WORDS, 20
+    try:
+        ids, sizes = coder.encode(pa.array(texts, pa.string()), 2)
+    finally:
+        packing.CACHED_WORDS = old
+    want = [[*x.ids, 2] for x in coder.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert np.split(ids, np.cumsum(sizes))[:-1] and [x.tolist() for x in np.split(ids, np.cumsum(sizes))[:-1]] == want
+
+
 def test_cuts_prefer_sentences():
     stops = np.zeros(200, bool)
     stops[[58, 99, 150, 199]] = True
