@@ -45,14 +45,15 @@ def search(notes: DataFrame, query: str, most: int = MOST_LINES) -> DataFrame:
     """(path, line_no, line, truncated): all matching lines of the notes, in path order, up to and
     including the note that brings the total above most. truncated marks that note's lines.
 
-    Only counts for each note pass through the one ordered window, not lines.
+    Each note found has a line at least, so the first most + 1 of them settle the cutoff: a distributed
+    top-k, and an ordered window over its few rows.
     """
     found = search_lines(notes, query)
-    counts = found.groupBy("path").agg(F.count("*").alias("n"))
+    counts = found.groupBy("path").agg(F.count("*").alias("n")).orderBy(sort_key(F.col("path"))).limit(most + 1)
     before = Window.orderBy(sort_key(F.col("path"))).rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).where(F.col("before") <= most)
     counts = counts.select("path", (F.col("before") + F.col("n") > most).alias("truncated"))
-    return found.join(counts, "path").select("path", "line_no", "line", "truncated")
+    return found.join(F.broadcast(counts), "path").select("path", "line_no", "line", "truncated")
 
 
 def list_notes(notes: DataFrame, folder: str = "") -> DataFrame:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import is_hidden, sort_key
+from ..session import stash
 
 LINK = "struct<target:string,reason:string>"
 RECORD = (
@@ -42,6 +43,19 @@ def in_order(notes: DataFrame) -> DataFrame:
     return notes.orderBy(sort_key(F.col("path")))
 
 
+def numbered(rows: DataFrame, *order: Column, name: str = "seq") -> DataFrame:
+    """rows with consecutive numbers from 0 in an order: sorted by ranges, numbered within each, and
+    shifted by the sizes of the ranges before. Only those sizes meet in one task."""
+    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    within = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    ranged = ranged.withColumn("_range", F.spark_partition_id()).withColumn("_row", within)
+    ranged = stash(ranged, "numbered")
+    sizes = ranged.groupBy("_range").agg(F.count("*").alias("_size"))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("_range", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"))
+    return ranged.join(F.broadcast(starts), "_range").withColumn(name, F.col("_start") + F.col("_row")).drop("_range", "_row", "_start")
+
+
 def mark_processed(states: DataFrame, results: DataFrame, now: Column | None = None) -> DataFrame:
     """states with the records of results (path, content_hash, proposed_tags, proposed_links, seq) put
     in: flags reset, the old place kept, new notes after all others by seq."""

@@ -6,7 +6,7 @@ import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import sort_key
@@ -47,10 +47,7 @@ class Notebook:
         now.last_run = self.now()
         now = self.store.commit(now)
         todo = stash(S.changed(self.notes(), now.states, force), "todo")
-        place = Window.orderBy(sort_key(F.col("path")))
-        # only paths pass through the ordered window
-        places = todo.select("path").withColumn("seq", (F.row_number().over(place) - 1).cast("long"))
-        places = stash(places, "todo-places")
+        places = stash(S.numbered(todo.select("path"), sort_key(F.col("path"))), "todo-places")
         total, processed, errors = places.count(), 0, 0
         for start in range(0, total, self.batch_notes):
             some = places.where((F.col("seq") >= start) & (F.col("seq") < start + self.batch_notes))
@@ -85,9 +82,8 @@ class Notebook:
         asked = left.join(linked, ["note_a", "note_b"], "left_anti")
         replies = stash(E.verified(asked, notes, now.states, self.verifier), "verdicts")
         verdicts = E.parsed_verdicts(replies)
-        best_first = Window.orderBy(F.desc("n_shared"), "note_a", "note_b")
         confirmed = verdicts.where("confirmed").select("note_a", "note_b", "n_shared", "link_from", "link_to", "reason")
-        confirmed = stash(confirmed.withColumn("seq", F.row_number().over(best_first).cast("long")), "confirmed")
+        confirmed = stash(S.numbered(confirmed, F.desc("n_shared"), F.col("note_a"), F.col("note_b")), "confirmed")
         states = L.with_verdicts(now.states, confirmed)
         self.store.commit(Snapshot(states, S.mark_evaluated(now.evaluated, left), now.last_run, now.last_completed_run))
         n_left, n_confirmed = left.count(), confirmed.count()

@@ -152,6 +152,14 @@ def test_stream(spark, tmp_path):
     assert states["a.md"]["proposed_tags"] == ["documents"]
 
 
+def test_numbers_follow_the_order(spark):
+    rows = spark.createDataFrame([(f"{k % 7}/{k}",) for k in range(50)], "path string").repartition(5)
+    got = S.numbered(rows, S.sort_key(F.col("path"))).orderBy("seq").collect()
+    assert [r["seq"] for r in got] == list(range(50))
+    assert [r["path"] for r in got] == sorted((r["path"] for r in got), key=lambda p: p.split("/"))
+    assert S.numbered(rows.limit(0), F.col("path")).count() == 0
+
+
 def test_hash(spark):
     row = spark.createDataFrame([("é",)], "content string").select(Q.content_hash(F.col("content")).alias("h")).first()
     assert row["h"] == "4a99557e4033c3539de2eb65472017cad5f9557f7a0625a09f1c3f6e2ba69c4c"[:16]
