@@ -27,8 +27,13 @@ def probes(strings: DataFrame, column: str, threshold: int) -> DataFrame:
     start = F.floor(F.col("piece") * F.col("size") / n).cast("int")
     stop = F.floor((F.col("piece") + 1) * F.col("size") / n).cast("int")
     rows = rows.withColumn("start", start).withColumn("length", stop - start)
-    rows = rows.withColumn("at", F.explode(F.sequence(F.col("start") - threshold, F.col("start") + threshold)))
-    rows = rows.where("at >= 0 AND at + length <= own")
+    # if the first intact piece is the k-th, k edits at least lie before it and threshold - k at most
+    # after it; so it moved by k places at most, seen from the left, and as many as are left, from the right
+    end = F.col("start") + F.col("own") - F.col("size")
+    low = F.greatest(F.col("start") - F.col("piece"), end - (threshold - F.col("piece")), F.lit(0))
+    high = F.least(F.col("start") + F.col("piece"), end + (threshold - F.col("piece")), F.col("own") - F.col("length"))
+    rows = rows.withColumn("low", low).withColumn("high", high).where("low <= high")
+    rows = rows.withColumn("at", F.explode(F.sequence("low", "high")))
     return rows.select("probe", "size", "piece", F.expr("substring(probe, at + 1, length)").alias("part")).distinct()
 
 

@@ -84,10 +84,10 @@ def test_rounds_equal_the_sequential_rule(spark):
     assert {r["stem"]: r["leader"] for r in T.leaders(groups).collect()} == leader
 
 
-@pytest.mark.parametrize("threshold", [1, 3])
-def test_edit_join_misses_nothing(spark, threshold):
+@pytest.mark.parametrize(("threshold", "letters", "most"), [(1, "ab", 9), (2, "abc", 9), (3, "abc", 9), (3, "ab", 14)])
+def test_edit_join_misses_nothing(spark, threshold, letters, most):
     draw = random.Random(threshold)
-    left, right = ({"".join(draw.choice("abc") for _ in range(draw.randint(0, 9))) for _ in range(40)} for _ in range(2))
+    left, right = ({"".join(draw.choice(letters) for _ in range(draw.randint(0, most))) for _ in range(60)} for _ in range(2))
     got = edit_join(spark.createDataFrame([(x,) for x in left], "a string"), "a", spark.createDataFrame([(x,) for x in right], "b string"), "b", threshold)
     want = {(a, b, distance(a, b)) for a in left for b in right if distance(a, b) <= threshold}
     assert {tuple(r) for r in got.collect()} == want
