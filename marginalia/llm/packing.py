@@ -34,6 +34,8 @@ CACHED_WORDS = 200_000
 WORD_END, STOP = "</w>", re.compile(r"[.!?…。！？]")
 #: Signs that often follow a word; words are kept without them.
 TAIL = ".,;:!?"
+#: The one letter whose lower case ends with a mark, which then joins the signs after it.
+DOTTED = "\u0130"
 
 
 class WordEncoder(dict):
@@ -118,7 +120,8 @@ class WordEncoder(dict):
         distinct = coded.dictionary
         # the tokenizer splits signs from the letters before them, so words are kept without them
         base = pa.compute.utf8_rtrim(distinct, TAIL)
-        split = pa.compute.utf8_is_alpha(pa.compute.utf8_slice_codeunits(base, -1))
+        last = pa.compute.utf8_slice_codeunits(base, -1)
+        split = pa.compute.and_(pa.compute.utf8_is_alpha(last), pa.compute.not_equal(last, DOTTED))
         signs = pa.compute.struct_field(pa.compute.extract_regex(distinct, f"(?P<signs>[{TAIL}]*)$"), [0])
         head = self.places(pa.compute.if_else(split, base, distinct))
         tail = self.places(pa.compute.if_else(split, signs, ""))

@@ -55,7 +55,7 @@ def test_monotone_queue_finds_the_least_cost(steps):
     assert least_cost(places.tolist(), cost.tolist(), 64) <= paid + packing.padding(int(places[-1]) - last, 64)
 
 
-@settings(max_examples=60, deadline=None)
+@settings(max_examples=400, deadline=None)
 @given(st.lists(st.text(alphabet=st.sampled_from("aBé.,!?' \n\t\x1c\xa0ſİßΣ1²字-—‘s"), max_size=60), min_size=1, max_size=6))
 def test_words_encode_as_texts(texts):
     """Also when the cache shrinks between batches."""
