@@ -34,8 +34,9 @@ CACHED_WORDS = 200_000
 WORD_END, STOP = "</w>", re.compile(r"[.!?…。！？]")
 #: Signs that often follow a word; words are kept without them.
 TAIL = ".,;:!?"
-#: The one letter whose lower case ends with a mark, which then joins the signs after it.
-DOTTED = "\u0130"
+#: Letters that normalise to a letter and a mark keep the signs after them: one before BEYOND does, and
+#: words that end beyond it (Latin, Greek and Cyrillic lie before) are not split.
+DOTTED, BEYOND = "\u0130", "\u0530"
 
 
 class WordEncoder(dict):
@@ -121,7 +122,8 @@ class WordEncoder(dict):
         # the tokenizer splits signs from the letters before them, so words are kept without them
         base = pa.compute.utf8_rtrim(distinct, TAIL)
         last = pa.compute.utf8_slice_codeunits(base, -1)
-        split = pa.compute.and_(pa.compute.utf8_is_alpha(last), pa.compute.not_equal(last, DOTTED))
+        simple = pa.compute.and_(pa.compute.less(last, BEYOND), pa.compute.not_equal(last, DOTTED))
+        split = pa.compute.and_(pa.compute.utf8_is_alpha(last), simple)
         signs = pa.compute.struct_field(pa.compute.extract_regex(distinct, f"(?P<signs>[{TAIL}]*)$"), [0])
         head = self.places(pa.compute.if_else(split, base, distinct))
         tail = self.places(pa.compute.if_else(split, signs, ""))

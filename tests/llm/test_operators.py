@@ -56,7 +56,7 @@ def test_monotone_queue_finds_the_least_cost(steps):
 
 
 @settings(max_examples=400, deadline=None)
-@given(st.lists(st.text(alphabet=st.sampled_from("aBé.,!?' \n\t\x1c\xa0ſİßΣ1²字-—‘s"), max_size=60), min_size=1, max_size=6))
+@given(st.lists(st.text(alphabet=st.sampled_from("aBé.,!?' \n\t\x1c\xa0ſİßΣ1²字\u0958\u0301-—‘s"), max_size=60), min_size=1, max_size=6))
 def test_words_encode_as_texts(texts):
     """Also when the cache shrinks between batches."""
     coder = packing.encoder(packing.public_tokenizers.path("word_bpe_49k.json"))
