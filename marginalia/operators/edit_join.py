@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Up to so many edits, strings of up to so many characters meet by what is left after deletions.
+MOST_DELETIONS, MOST_CHARS = 2, 32
+
 
 def segments(strings: DataFrame, column: str, threshold: int) -> DataFrame:
     """threshold + 1 even pieces of each string: (string, size, piece, part)."""
@@ -37,17 +40,45 @@ def probes(strings: DataFrame, column: str, threshold: int) -> DataFrame:
     return rows.select("probe", "size", "piece", F.expr("substring(probe, at + 1, length)").alias("part")).distinct()
 
 
+def without_one(x: Column) -> Column:
+    """x with each of its characters left out in turn."""
+    n = F.char_length(x)
+    cut = F.transform(
+        F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.concat(F.substring(x, F.lit(1), i - 1), F.substring(x, i + 1, n))
+    )
+    return F.when(n > 0, cut).otherwise(F.array().cast("array<string>"))
+
+
+def deletions(strings: DataFrame, column: str, threshold: int) -> DataFrame:
+    """(string, key): hashes of all that a string becomes by leaving out up to threshold characters."""
+    forms = last = F.array(F.col(column))
+    for _ in range(threshold):
+        last = F.array_distinct(F.flatten(F.transform(last, without_one)))
+        forms = F.concat(forms, last)
+    keys = F.array_distinct(F.transform(forms, lambda x: F.xxhash64(x)))
+    return strings.select(F.col(column).alias("string"), F.explode(keys).alias("key"))
+
+
 def edit_join(left: DataFrame, left_col: str, right: DataFrame, right_col: str, threshold: int) -> DataFrame:
     """(left_col, right_col, edits) of the distinct strings within threshold edits (code points).
 
-    Of threshold + 1 pieces of a string, threshold edits leave one intact and move it by threshold
-    places at most; so strings can only be close if they share such a piece. Candidates meet by that
-    equality and are then measured. Nulls meet nothing.
+    Candidates meet by equality and are then measured. Short strings and thresholds up to
+    MOST_DELETIONS meet where both become the same by leaving out characters, which hardly any others
+    do. The rest meets by pieces: of threshold + 1 pieces of a string, threshold edits leave one intact
+    and move it little. A piece that very many strings share, such as a common ending, makes many
+    candidates; that is why short strings go the other way. Nulls meet nothing.
     """
     a = left.select(left_col).where(F.col(left_col).isNotNull()).distinct()
     b = right.select(right_col).where(F.col(right_col).isNotNull()).distinct()
-    met = probes(a, left_col, threshold).join(segments(b, right_col, threshold), ["size", "piece", "part"])
-    pairs = met.select("probe", "string").distinct()
+    met = []
+    if threshold <= MOST_DELETIONS:
+        short = [x.where(F.char_length(c) <= MOST_CHARS) for x, c in ((a, left_col), (b, right_col))]
+        probe = deletions(short[0], left_col, threshold).withColumnRenamed("string", "probe")
+        met.append(probe.join(deletions(short[1], right_col, threshold), "key").select("probe", "string"))
+        a, b = (x.where(F.char_length(c) > MOST_CHARS - threshold) for x, c in ((a, left_col), (b, right_col)))
+    pieces = segments(b, right_col, threshold)
+    met.append(probes(a, left_col, threshold).join(pieces, ["size", "piece", "part"]).select("probe", "string"))
+    pairs = met[0].unionByName(met[-1]) if len(met) > 1 else met[0]
     edits = F.levenshtein("probe", "string", threshold)
-    pairs = pairs.withColumn("edits", edits).where("edits >= 0")
+    pairs = pairs.distinct().withColumn("edits", edits).where("edits >= 0")
     return pairs.select(F.col("probe").alias(left_col), F.col("string").alias(right_col), "edits")

@@ -85,7 +85,8 @@ def test_rounds_equal_the_sequential_rule(spark):
 
 
 @pytest.mark.parametrize(("threshold", "letters", "most"), [(1, "ab", 9), (2, "abc", 9), (3, "abc", 9), (3, "ab", 14)])
-def test_edit_join_misses_nothing(spark, threshold, letters, most):
+def test_edit_join_misses_nothing(spark, monkeypatch, threshold, letters, most):
+    monkeypatch.setattr("marginalia.operators.edit_join.MOST_CHARS", 6)
     draw = random.Random(threshold)
     left, right = ({"".join(draw.choice(letters) for _ in range(draw.randint(0, most))) for _ in range(60)} for _ in range(2))
     got = edit_join(spark.createDataFrame([(x,) for x in left], "a string"), "a", spark.createDataFrame([(x,) for x in right], "b string"), "b", threshold)
