@@ -22,9 +22,9 @@ from .suffix import Hashed, chunks
 END = np.uint64(0x5851F42D4C957F2D)
 #: Distinct words in a bucket, about.
 BUCKET_WORDS = 1 << 18
-#: In each round one training document in so many trains the recurrent weights, other ones in the next;
-#: the same share at every size of the corpus. Counts, classes and the words' shares come from all.
-TRAIN_EACH, ROUNDS = 12, 3
+#: Training documents are dealt into so many rounds, each into one: all of them train the recurrent
+#: weights once. Tasks' weights are averaged after each round.
+ROUNDS = 3
 #: Groups in which the tasks' weights are averaged before they meet.
 AVERAGES = 16
 
@@ -122,7 +122,7 @@ def weights(model: Gru, lessons: DataFrame, rounds: int) -> Gru:
     return model
 
 
-def language_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modulus: int = 7, held_out: int = 2, train_each: int = TRAIN_EACH, rounds: int = ROUNDS) -> DataFrame:
+def language_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modulus: int = 7, held_out: int = 2, train_each: int = 1, rounds: int = ROUNDS) -> DataFrame:
     """id_col, held_out, n_tokens, n_known, train_tokens, base_score and score of each row of docs.
 
     Tokens are words between white space with A-Z lowered, and one end. Rows whose crc32 of the id as

@@ -105,28 +105,31 @@ class Gru:
             score[rows, kind] -= 1
             grads["class_out"], grads["class_bias"] = h.T @ score, score.sum(axis=0)
             grads["dh"] = score @ self.class_out.T
-            grads["word_out"], grads["word_bias"] = np.zeros_like(self.word_out), np.zeros_like(self.word_bias)
-        order = np.argsort(kind, kind="stable")
-        edges = np.searchsorted(kind[order], np.arange(N_CLASSES))
-        for k in range(TAIL):
-            some = order[edges[k] : edges[k + 1]]
-            if not len(some):
-                continue
-            span = slice(k * CLASS_WORDS, (k + 1) * CLASS_WORDS)
-            own, at = h[some], np.arange(len(some))
-            score = own @ self.word_out[span].T
-            score += self.word_bias[span]
-            score -= score.max(axis=1, keepdims=True)
-            place = targets[some] - k * CLASS_WORDS
-            chosen = score[at, place]
-            np.exp(score, out=score)
-            total = score.sum(axis=1)
-            out[some] += chosen - np.log(total)
-            if grads is not None:
-                score /= total[:, None]
-                score[at, place] -= 1
-                grads["word_out"][span], grads["word_bias"][span] = score.T @ own, score.sum(axis=0)
-                grads["dh"][some] += score @ self.word_out[span]
+        # words with a row of their own, ordered by class; the bias is one more weight
+        order = np.argsort(kind.astype(np.uint8), kind="stable")
+        edges = np.r_[0, np.cumsum(np.bincount(kind, minlength=N_CLASSES))]
+        some = order[: edges[TAIL]]
+        spans = [(slice(edges[k], edges[k + 1]), slice(k * CLASS_WORDS, (k + 1) * CLASS_WORDS)) for k in range(TAIL) if edges[k] < edges[k + 1]]
+        own = np.concatenate([h[some], np.ones((len(some), 1), np.float32)], axis=1)
+        rows = np.concatenate([self.word_out, self.word_bias[:, None]], axis=1)
+        score = np.empty((len(some), CLASS_WORDS), np.float32)
+        for at, span in spans:
+            np.matmul(own[at], rows[span].T, out=score[at])
+        score -= score.max(axis=1, keepdims=True)
+        at, place = np.arange(len(some)), targets[some] % CLASS_WORDS
+        chosen = score[at, place]
+        np.exp(score, out=score)
+        total = score @ np.ones(CLASS_WORDS, np.float32)
+        out[some] += chosen - np.log(total)
+        if grads is not None:
+            score /= total[:, None]
+            score[at, place] -= 1
+            both, dh = np.zeros_like(rows), np.empty((len(some), HIDDEN), np.float32)
+            for at, span in spans:
+                np.matmul(score[at].T, own[at], out=both[span])
+                np.matmul(score[at], self.word_out[span], out=dh[at])
+            grads["word_out"], grads["word_bias"] = both[:, :HIDDEN], both[:, HIDDEN]
+            grads["dh"][some] += dh
         return out
 
     def gradients(self, ids: np.ndarray, targets: np.ndarray, real: np.ndarray, h: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, float]:
@@ -143,53 +146,63 @@ class Gru:
         d_in, d_rec = np.zeros((steps, n, 3 * HIDDEN), np.float32), np.zeros_like(self.recurrent)
         into, out = self.recurrent[:, : 2 * HIDDEN], self.recurrent[:, 2 * HIDDEN :]
         carry = np.zeros((n, HIDDEN), np.float32)
+        z, r, before = gates[:, :, :HIDDEN], gates[:, :, HIDDEN:], hs[:-1]
+        to_fresh, to_z, to_r, kept = z * (1 - fresh * fresh), (fresh - before) * z * (1 - z), before * r * (1 - r), 1 - z
         for t in range(steps - 1, -1, -1):
             d = dh[t] + carry
-            z, r, c, before = gates[t, :, :HIDDEN], gates[t, :, HIDDEN:], fresh[t], hs[t]
-            dc = d * z * (1 - c * c)
+            d_gates, dc = d_in[t, :, : 2 * HIDDEN], d_in[t, :, 2 * HIDDEN :]
+            np.multiply(d, to_fresh[t], out=dc)
             mixed = dc @ out.T
-            dz = d * (c - before) * z * (1 - z)
-            dr = mixed * before * r * (1 - r)
-            d_gates = np.concatenate([dz, dr], axis=1)
-            carry = d * (1 - z) + mixed * r + d_gates @ into.T
-            d_in[t, :, : 2 * HIDDEN], d_in[t, :, 2 * HIDDEN :] = d_gates, dc
-            d_rec[:, : 2 * HIDDEN] += before.T @ d_gates
-            d_rec[:, 2 * HIDDEN :] += (r * before).T @ dc
+            np.multiply(d, to_z[t], out=d_gates[:, :HIDDEN])
+            np.multiply(mixed, to_r[t], out=d_gates[:, HIDDEN:])
+            carry = d * kept[t]
+            mixed *= r[t]
+            carry += mixed
+            carry += d_gates @ into.T
+        rows = d_in.reshape(-1, 3 * HIDDEN)
+        d_rec[:, : 2 * HIDDEN] = before.reshape(-1, HIDDEN).T @ rows[:, : 2 * HIDDEN]
+        d_rec[:, 2 * HIDDEN :] = (r * before).reshape(-1, HIDDEN).T @ rows[:, 2 * HIDDEN :]
         inputs = np.zeros_like(self.inputs)
-        np.add.at(inputs, ids.ravel(), d_in.reshape(-1, 3 * HIDDEN))
+        order = np.argsort(ids.ravel(), kind="stable")
+        sorted_ids = ids.ravel()[order]
+        starts = np.flatnonzero(np.r_[True, sorted_ids[1:] != sorted_ids[:-1]])
+        inputs[sorted_ids[starts]] = np.add.reduceat(rows[order], starts, axis=0)
         scale = np.float32(1 / max(1, int(mask.sum())))
         found = [inputs, d_rec, g["class_out"], g["class_bias"], g["word_out"], g["word_bias"]]
         return [x * scale for x in found], hs[-1], total
 
 
-def lanes(texts: list[np.ndarray], n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Texts' targets strung together on n lanes of equal length: inputs and targets, steps x n. A
-    lane goes on from text to text; each text's first input is the start row."""
+def lanes(texts: list[np.ndarray], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Texts' targets strung together on n lanes of equal length: inputs, targets and which of them are
+    real, steps x n. A lane goes on from text to text; each text's first input is the start row. The
+    last lane is filled up with the rest, not real."""
     whole = np.concatenate([*texts, np.zeros(0, np.int64)])
     before = np.concatenate([np.r_[N_WORDS + 1, x[:-1]] for x in texts] or [whole])
-    steps = len(whole) // n
-    cut = lambda x: x[: steps * n].reshape(n, steps).T
-    return cut(before), cut(whole)
+    steps = -(-len(whole) // n)
+    fill = steps * n - len(whole)
+    cut = lambda x, value: np.r_[x, np.full(fill, value, x.dtype)].reshape(n, steps).T
+    return cut(before, N_WORDS), cut(whole, N_WORDS), cut(np.ones(len(whole), bool), False)
 
 
 def train(model: Gru, texts: list[np.ndarray], n_lanes: int = 32, rate: float = 0.08) -> tuple[Gru, int]:
-    """One pass of truncated backpropagation with Adagrad; the number of tokens learned from. Fewer
-    tokens than fill a window on one lane teach nothing."""
+    """One pass of truncated backpropagation with Adagrad over every token; the number of tokens."""
     total = sum(map(len, texts))
     n = int(min(n_lanes, max(1, total // (4 * WINDOW))))
-    ids, targets = lanes(texts, n)
+    ids, targets, real = lanes(texts, n)
     now = model.filled(model.flat())
     sums = [np.full(x.shape, 1e-6, np.float32) for x in now.arrays()]
     h, seen = np.zeros((n, HIDDEN), np.float32), 0
-    for at in range(0, len(ids) - WINDOW + 1, WINDOW):
+    for at in range(0, len(ids), WINDOW):
         part = slice(at, at + WINDOW)
         h = h * (ids[at] != N_WORDS + 1)[:, None]
-        grads, h, _ = now.gradients(ids[part], targets[part], np.ones((WINDOW, n), bool), h)
-        seen += WINDOW * n
+        grads, h, _ = now.gradients(ids[part], targets[part], real[part], h)
+        seen += int(real[part].sum())
         for x, g, s in zip(now.arrays(), grads, sums):
             np.clip(g, -1, 1, out=g)
             s += g * g
-            x -= np.float32(rate) * g / np.sqrt(s)
+            g *= np.float32(rate)
+            g /= np.sqrt(s)
+            x -= g
     return now, seen
 
 

@@ -15,7 +15,7 @@ from conftest_texts import words_of
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from marginalia.llm import chat, graph, media, near, packing, queries, recurrent, shingles, suffix, tokens
+from marginalia.llm import chat, graph, language, media, near, packing, queries, recurrent, shingles, suffix, tokens
 from marginalia.llm.blocks import multikey_sort
 
 SF = "/root/testdata/sf0.001"
@@ -304,6 +304,27 @@ def test_training_lowers_the_loss():
     assert seen > 5000 and recurrent.score(trained, texts).sum() > before * 0.9
 
 
+@pytest.mark.parametrize("sizes", [[3], [31, 1], [700, 45, 2], [5000]])
+def test_training_sees_every_token(sizes):
+    texts = [np.random.default_rng(k).integers(0, recurrent.N_WORDS + 1, n) for k, n in enumerate(sizes)]
+    assert recurrent.train(recurrent.Gru.start(np.full(8, 10.0), 1.0), texts)[1] == sum(sizes)
+
+
+def test_every_training_document_changes_the_weights(spark, monkeypatch):
+    rows = [(k, f"own{k} " * (k % 5 + 1)) for k in range(200)]
+    rounds, step = [], language.weights
+
+    def weights(model, lessons, n):
+        rounds.extend((row["round"], len(row["tokens"]) // 2) for row in lessons.collect() if row["round"] < n)
+        return step(model, lessons, n)
+
+    monkeypatch.setattr(language, "weights", weights)
+    language.language_scores(spark.createDataFrame(rows, "doc_id long, text string")).count()
+    trained = [k % 5 + 2 for k, _ in rows if zlib.crc32(str(k).encode()) % 7 != 2]
+    assert sorted(n for _, n in rounds) == sorted(trained)
+    assert {k for k, _ in rounds} == set(range(language.ROUNDS))
+
+
 # the test tables
 
 
