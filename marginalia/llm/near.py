@@ -190,8 +190,11 @@ def near_components(
     again = chosen.where("_maybe").join(members, "id", "left_anti")
     leaders = chosen.where("NOT _maybe").unionByName(again).select("id", "keys")
 
-    # buckets with two members or more; those with the same members count once
-    rows = leaders.select("id", F.explode("keys").alias("key"))
+    # buckets with two members or more, rows that repeat an id being one; those with the same members
+    # count once
+    repeated = stash(linkable.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id"), "near-repeated")
+    rows = with_filter(leaders, repeated, ["id"]).select("id", F.explode("keys").alias("key"), "_maybe")
+    rows = rows.where("NOT _maybe").drop("_maybe").unionByName(rows.where("_maybe").drop("_maybe").distinct())
     buckets = stash(rows.groupBy("key").agg(F.count("*").alias("m"), F.min("id").alias("pivot")).where("m > 1"), "near-buckets")
     rows = with_filter(rows, buckets.select("key"), ["key"]).where("_maybe").drop("_maybe")
     held = stash(join_groups(rows, buckets, ["key"], "m", total, "inner"), "near-rows")

@@ -192,6 +192,29 @@ def test_large_near_group_in_tiles(spark, monkeypatch):
     assert {r["doc_id"]: r["component_id"] for r in got} == {k: find(k) for k, _ in rows}
 
 
+@pytest.mark.parametrize("times", [2, 3])
+def test_near_links_of_repeated_rows(spark, times):
+    """Every row comes several times: groups of a first text and others that differ from it elsewhere."""
+    draw, rows = random.Random(5), []
+    for group in range(20):
+        base = [f"w{group}-{k}" for k in range(60)]
+        for k in range(6):
+            own = list(base)
+            if k:
+                own[draw.randrange(4, 56)] = f"x{k}"
+            rows.append((group * 10 + k, " ".join(own)))
+    sets = {k: {tuple(t.split()[i : i + 4]) for i in range(57)} for k, t in rows}
+    comp = {k: k for k in sets}
+    for a in sets:
+        for b in sets:
+            if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]) and comp[a] != comp[b]:
+                low, high = sorted((comp[a], comp[b]))
+                comp = {k: low if c == high else c for k, c in comp.items()}
+    docs = spark.createDataFrame(rows * times, "doc_id long, text string").repartition(3)
+    got = Counter((r["doc_id"], r["component_id"]) for r in near.near_components(docs, n_words=4).collect())
+    assert got == Counter({(k, c): times for k, c in comp.items()})
+
+
 def test_components_of_long_paths(spark):
     links = [(k, k + 1) for k in range(40)] + [(100, 101), (7, 7)]
     got = graph.components(spark.createDataFrame(links, "a long, b long")).collect()
