@@ -80,7 +80,7 @@ STAGES = [
     ("packing", pack),
 ]
 
-#: No SQL can express the stages; tests/llm holds them against brute force.
+#: No SQL can express the stages; tests/llm holds their operators, not the chain, against brute force.
 ORACLE_SQL = None
 
 
