@@ -32,7 +32,7 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    groups = exact.exact_groups(documents(spark, sf_dir).select("doc_id", "text"), hash_all=True)
+    groups = exact.exact_groups(documents(spark, sf_dir).select("doc_id", "text"), digests=True)
     return groups.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 

@@ -78,18 +78,18 @@ def brute_exact(pairs):
     return same
 
 
-@pytest.mark.parametrize("hash_all", [True, False])
-def test_exact(awkward, nothing, hash_all):
+@pytest.mark.parametrize("digests", [True, False])
+def test_exact(awkward, nothing, digests):
     same = brute_exact(texts(awkward))
     want = Counter()
     for text, ids in same.items():
         keep = min((k for k in ids if k is not None), default=None)
         sha = hashlib.sha256(text.encode()).hexdigest()
         for k in ids:
-            want[k, keep, len(ids), k == keep, sha if hash_all or len(ids) > 1 else None] += 1
-    got = rows_of(exact.exact_groups(awkward, hash_all=hash_all))
+            want[k, keep, len(ids), k == keep, sha if digests or len(ids) > 1 else None] += 1
+    got = rows_of(exact.exact_groups(awkward, digests=digests))
     assert Counter((r["doc_id"], r["keep_id"], r["group_size"], r["kept"], r["text_sha256"]) for r in got) == want
-    assert exact.exact_groups(nothing, hash_all=hash_all).count() == 0
+    assert exact.exact_groups(nothing, digests=digests).count() == 0
 
 
 def test_exact_dedup_keeps_one_of_each(awkward, nothing):

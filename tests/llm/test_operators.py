@@ -15,8 +15,9 @@ from conftest_texts import words_of
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from marginalia.llm import chat, graph, language, media, near, packing, queries, recurrent, shingles, suffix, tokens
+from marginalia.llm import chat, exact, graph, language, media, near, packing, queries, recurrent, shingles, suffix, tokens
 from marginalia.llm.blocks import multikey_sort
+from marginalia.session import recording
 
 SF = "/root/testdata/sf0.001"
 tables = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
@@ -134,6 +135,26 @@ def test_close_images_have_close_hashes():
     assert distance(base, changed) <= 4 < distance(base, draw.integers(0, 256, (64, 192)).astype(np.uint8))
 
 
+# exact copies
+
+
+def test_only_survivors_have_their_full_text_hashed(spark):
+    """Length and prefix thin out first: texts of a length of their own, or with a prefix of their own
+    among equal lengths, are never hashed whole."""
+    start = "p" * exact.PREFIX_CHARS
+    rows = [(k, "x" * (k + 1)) for k in range(20)]  # lengths of their own
+    rows += [(100 + k, f"{k:04d}" + "y" * 400) for k in range(10)]  # one length, other prefixes
+    rows += [(200 + k, start + f"{k % 4:04d}") for k in range(6)]  # one length and prefix, four texts
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for digests, want in ((False, 6), (True, 36)):
+        with recording() as paths:
+            found = exact.exact_groups(docs, digests=digests)
+            hashed = spark.read.parquet(next(p for p in paths if "exact-hashes" in p))
+        assert hashed.where("text_sha256 IS NOT NULL").count() == want
+        assert {r["doc_id"] for r in hashed.where("_survives").collect()} == set(range(200, 206))
+        assert {(r["doc_id"], r["keep_id"]) for r in found.where("group_size > 1").collect()} == {(200, 200), (204, 200), (201, 201), (205, 201)}
+
+
 # sketches and components
 
 
