@@ -124,7 +124,7 @@ def term_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int = MOST_LABELLED, folds=(0, 1, 3)) -> Model:
     """Fits on at most 2 * most labelled documents, a documented bound: their terms are collected."""
-    sample = map_arrow(labelled(docs, labels, label, most, list(folds)), term_rows, "label int, terms binary")
+    sample = map_arrow(labelled(docs, labels, label, most, {0: list(folds)}).select("label", "text"), term_rows, "label int, terms binary")
     rows = sorted(sample.collect())
     terms, marks = np.zeros((len(rows), N_TERMS), np.float32), np.array([r["label"] for r in rows], np.float64)
     for k, row in enumerate(rows):

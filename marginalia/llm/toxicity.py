@@ -12,21 +12,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import stash, unstash
 from .common import map_arrow, slices, tidy
-from .samples import labelled, share
+from .samples import first_rows, labelled, share
 from .suffix import Hashed
 
-#: Labelled documents of each class whose words are counted, and that calibrate, at most.
-MOST_COUNTED, MOST_CALIBRATED = 1500, 1000
+#: Labelled documents of each class whose words are counted, and that calibrate, at most; and the most
+#: bytes of their texts.
+MOST_COUNTED, MOST_CALIBRATED, MOST_BYTES = 1500, 1000, 6 << 20
 #: Bytes in a gram: the predicted one and what it depends on, at most.
 ORDER = 8
 DISCOUNT = 0.75
 #: Counts that each class takes over from both classes' shared distribution of a context: choices.
 SHARED = (3.0, 30.0)
-#: A word whose two log-likelihoods differ by less than the dead zone counts alike in both classes, and
-#: another by what it differs more: choices. The mix of languages and subjects in the samples shifts all
-#: words a little, which would drown the few telling ones in long texts.
-DEAD_ZONES = (1.0, 2.0, 3.0, 4.0, 5.0)
+#: A toxic document draws a word from the toxic model with this probability, else from the ordinary one:
+#: choices. Most words of toxic documents are ordinary ones; without this share, the mix of languages and
+#: subjects in the samples, which shifts all words a little, would drown the few telling ones.
+MIXED = (0.03, 0.01, 0.003, 0.001)
 ROWS = 1024
 CACHED_WORDS = 500_000
 #: Signs around a word that do not belong to it.
@@ -86,7 +88,7 @@ class Model:
     context_ratios: np.ndarray
     slope: float = 1.0
     intercept: float = 0.0
-    dead_zone: float = DEAD_ZONES[1]
+    mixed: float = MIXED[1]
     cache: dict = field(default_factory=dict)
 
     def __getstate__(self):
@@ -101,24 +103,29 @@ class Model:
         ratio = np.bincount(owner, ratio, len(words))
         self.cache.update(zip(words, ratio.tolist()))
 
-    def ratios(self, texts: pa.Array, zones: tuple[float, ...] = ()) -> np.ndarray:
-        """The log-likelihood ratio of each text, divided by its number of words; 0 without words. A
-        column for each of zones, if given."""
-        bounds, words, which = split_words(texts)
+    def word_ratios(self, words: list[str]) -> np.ndarray:
+        """log P(word) of the toxic model less that of the ordinary one; 0 for no word."""
         if len(self.cache) > CACHED_WORDS:
             self.cache.clear()
         self.cache[""] = 0.0
         new = list({w for w in words if w not in self.cache})
         if new:
             self.learn(new)
-        raw = np.array([self.cache[w] for w in words] or [0.0])
+        return np.array([self.cache[w] for w in words] or [0.0])
+
+    def ratios(self, texts: pa.Array, choices: tuple[float, ...] = ()) -> np.ndarray:
+        """log P(text | toxic) less log P(text | ordinary), divided by the number of words; 0 without
+        words. A toxic text's words come from the ordinary model but for a share mixed; choices gives
+        several such shares, and a column for each."""
+        bounds, words, which = split_words(texts)
+        likelihoods = np.expm1(np.clip(self.word_ratios(words), -50, 50))
         counts = np.r_[0, np.cumsum(np.array([bool(w) for w in words] or [False])[which])]
         n = np.maximum(counts[bounds[1:]] - counts[bounds[:-1]], 1)
         out = []
-        for zone in zones or (self.dead_zone,):
-            sums = np.r_[0.0, np.cumsum((np.sign(raw) * np.maximum(np.abs(raw) - zone, 0))[which])]
+        for share in choices or (self.mixed,):
+            sums = np.r_[0.0, np.cumsum(np.log1p(share * likelihoods)[which])]
             out.append((sums[bounds[1:]] - sums[bounds[:-1]]) / n)
-        return np.stack(out, axis=1) if zones else out[0]
+        return np.stack(out, axis=1) if choices else out[0]
 
     def scores(self, texts: pa.Array) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * self.ratios(texts) + self.intercept, -30, 30)))
@@ -167,7 +174,7 @@ def interpolated(
 
 
 def train(words: list[str], toxic: np.ndarray, ordinary: np.ndarray, shared: float = SHARED[-1]) -> Model:
-    """words: distinct; the others: how many documents of each class have them."""
+    """words: distinct; the others: how often documents of each class have them."""
     if not words:
         empty = np.zeros(0, np.uint64)
         return Model(empty, np.zeros(0), empty, np.zeros(0))
@@ -205,22 +212,19 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, f
 
 
 def word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A document counts a word once, so that texts that repeat one do not make it a sign."""
     for batch in slices(batches, ROWS):
         label = batch.column(0).to_numpy()
         bounds, words, which = split_words(batch.column(1))
         doc = np.repeat(np.arange(len(label)), np.diff(bounds))
-        once = np.unique(doc * max(1, len(words)) + which)
-        doc, which = once // max(1, len(words)), once % max(1, len(words))
         counts = [np.bincount(which[label[doc] == k], minlength=len(words)) for k in (0, 1)]
         yield pa.RecordBatch.from_arrays(
             [pa.array(words, pa.string()), *(pa.array(x.astype(np.int64)) for x in counts)], names=["word", "ordinary", "toxic"]
         )
 
 
-def counted_words(docs: DataFrame, labels: DataFrame, label: str, most: int, folds: list[int]) -> tuple:
-    sample = labelled(docs, labels, label, most, folds)
-    rows = map_arrow(sample, word_counts, "word string, ordinary long, toxic long").where("word <> ''")
+def counted_words(sample: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Distinct words of (label, text), and how often documents of label 1 and of label 0 have them."""
+    rows = map_arrow(sample.select("label", "text"), word_counts, "word string, ordinary long, toxic long").where("word <> ''")
     table = rows.groupBy("word").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic")).toArrow().sort_by("word")
     return table.column("word").to_pylist(), table.column("toxic").to_numpy(), table.column("ordinary").to_numpy()
 
@@ -231,27 +235,31 @@ def fit(
     label: str = "toxic",
     most: int = MOST_COUNTED,
     calibrated: int = MOST_CALIBRATED,
+    most_bytes: int = MOST_BYTES,
     folds=(0, 1),
     last_fold: int = 3,
 ) -> Model:
     """Counts words of at most 2 * most labelled documents in folds, and calibrates on at most
-    2 * calibrated in last_fold the score of each choice of SHARED and DEAD_ZONES. The best choice then
-    counts in all these folds, at most 2 * most documents again: documented bounds, so that words and
-    ratios may be collected."""
-    counts = counted_words(docs, labels, label, most, list(folds))
+    2 * calibrated in last_fold the score of each choice of SHARED and MIXED. The best choice then
+    counts in all these folds, at most 2 * most documents again; no class's texts have more than
+    most_bytes together. These are documented bounds, so that words and ratios may be collected."""
+    halves = {0: list(folds), 1: [last_fold]}
+    sample = stash(labelled(docs, labels, label, max(most, calibrated), halves), "toxicity-sample")
+    counts = counted_words(first_rows(sample.where("part = 0"), most, most_bytes))
     models = [train(*counts, shared) for shared in SHARED]
     del counts
 
     def rated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, ROWS):
-            table = np.hstack([model.ratios(batch.column(1), DEAD_ZONES) for model in models])
+            table = np.hstack([model.ratios(batch.column(1), MIXED) for model in models])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(table))], names=["label", "ratios"])
 
-    found = map_arrow(labelled(docs, labels, label, calibrated, [last_fold]), rated, "label int, ratios array<double>").toArrow()
+    last = first_rows(sample.where("part = 1"), calibrated, most_bytes).select("label", "text")
+    found = map_arrow(last, rated, "label int, ratios array<double>").toArrow()
     del models
     y = found.column("label").to_numpy().astype(np.float64)
     base = share(labels, label, [*folds, last_fold])
-    best, shared, zone, slope, intercept = np.inf, SHARED[-1], DEAD_ZONES[1], 1.0, float(np.log((base + 1e-6) / (1 - base + 1e-6)))
+    best, shared, mixed, slope, intercept = np.inf, SHARED[-1], MIXED[1], 1.0, float(np.log((base + 1e-6) / (1 - base + 1e-6)))
     if len(y) and 0 < y.sum() < len(y):
         weight = np.where(y > 0, base / y.mean(), (1 - base) / (1 - y.mean()))
         table = np.array(found.column("ratios").to_pylist())
@@ -263,9 +271,10 @@ def fit(
             # a model that takes toxic words for ordinary ones has learned noise
             if loss < best and a > 0:
                 best, slope, intercept = loss, a / scale, b
-                shared, zone = SHARED[k // len(DEAD_ZONES)], DEAD_ZONES[k % len(DEAD_ZONES)]
-    model = train(*counted_words(docs, labels, label, most, [*folds, last_fold]), shared)
-    model.dead_zone, model.slope, model.intercept = zone, slope, intercept
+                shared, mixed = SHARED[k // len(MIXED)], MIXED[k % len(MIXED)]
+    model = train(*counted_words(first_rows(sample, most, most_bytes)), shared)
+    unstash(sample)
+    model.mixed, model.slope, model.intercept = mixed, slope, intercept
     return model
 
 
@@ -273,8 +282,9 @@ def toxicity_scores(docs: DataFrame, model: Model, text_col: str = "text", carry
     """The columns in carry (all of docs by default) and score: 0 to 1, higher for label 1.
 
     Two interpolated Kneser-Ney models spell each word of the whole text, one counted in toxic and
-    one in ordinary documents, with one backoff counted in both; the difference of their
-    log-likelihoods, divided by the number of words, is calibrated to a probability. Distinct words
+    one in ordinary documents, with one backoff counted in both. An ordinary text's words come from
+    the second, a toxic text's from both, mixed with a fixed share of the first; the difference of
+    the text's two log-likelihoods, divided by the number of words, is calibrated to a probability. Distinct words
     are spelled once for each worker. Documents are scored in place, without a shuffle. A null or
     empty text has difference 0. Rows come back as often as they came; a column of docs named score
     is replaced.
