@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from .blocks import text_buffer
 from .common import map_arrow, slices
 from .samples import labelled
-from .shingles import words
+from .shingles import lower_ascii, words
 from .suffix import Hashed, chunks
 
 #: Labelled documents of each class that are fitted on, at most.
@@ -25,8 +25,8 @@ DIMENSIONS, NEIGHBOURS = 48, 15
 SHARPNESS = 8
 #: Documents in one block of products.
 ROWS = 256
-#: Byte classes: their trigrams over runs are the terms, besides the tail for repeats and lengths.
-N_CLASSES, N_TAIL = 16, 32
+#: Terms: trigrams of byte classes over runs, a tail for repeats and lengths, and words by their hash.
+N_CLASSES, N_TAIL, N_HASHED = 16, 32, 2048
 
 
 def byte_classes() -> np.ndarray:
@@ -43,11 +43,13 @@ def byte_classes() -> np.ndarray:
 
 
 CLASSES = byte_classes()
-N_TERMS = N_CLASSES**3 + N_TAIL
+N_SHAPES = N_CLASSES**3
+N_TERMS = N_SHAPES + N_TAIL + N_HASHED
 
 
 def term_counts(raw: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """A row for each text: shares of the class trigrams, and of repeated words and word lengths."""
+    """A row for each text: shares of the class trigrams, of repeated words and word lengths, and of the
+    words with A-Z lowered, by hash."""
     n = len(bounds) - 1
     out = np.zeros((n, N_TERMS), np.float32)
     for first, last in chunks(bounds):
@@ -62,21 +64,27 @@ def term_counts(raw: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         runs, owner = kinds[new].astype(np.int64), doc[new]
         same = owner[2:] == owner[:-2]
         code = (runs[:-2] * N_CLASSES + runs[1:-1]) * N_CLASSES + runs[2:]
-        flat = np.bincount((owner[2:] * N_TERMS + code)[same], minlength=rows * N_TERMS).astype(np.float32)
-        table = flat.reshape(rows, N_TERMS)
-        table /= np.maximum(table.sum(axis=1, keepdims=True), 1)
+        shapes = np.bincount((owner[2:] * N_SHAPES + code)[same], minlength=rows * N_SHAPES).reshape(rows, N_SHAPES)
+        table = out[first:last]
+        table[:, :N_SHAPES] = shapes / np.maximum(shapes.sum(axis=1, keepdims=True), 1)
         starts, stops, of = words(part, edges)
         if len(starts):
-            hashes = Hashed(part).of(starts, stops)
+            hashes = Hashed(lower_ascii(part)).of(starts, stops)
             again = np.r_[False, (hashes[1:] == hashes[:-1]) & (of[1:] == of[:-1])]
             total = np.maximum(np.bincount(of, minlength=rows), 1)
             repeats = np.bincount(of[again], minlength=rows) / total
             long = np.minimum(stops - starts, 23)
             lengths = np.bincount(of * 24 + long, minlength=rows * 24).reshape(rows, 24) / total[:, None]
-            table[:, N_CLASSES**3] = repeats
-            table[:, N_CLASSES**3 + 1 : N_CLASSES**3 + 25] = lengths * 0.25
-        out[first:last] = table
-    return np.sqrt(out)
+            table[:, N_SHAPES] = repeats
+            table[:, N_SHAPES + 1 : N_SHAPES + 25] = lengths * 0.25
+            place = of * N_HASHED + (hashes % np.uint64(N_HASHED)).astype(np.int64)
+            table[:, N_SHAPES + N_TAIL :] = np.bincount(place, minlength=rows * N_HASHED).reshape(rows, N_HASHED) / total[:, None]
+    return np.sqrt(out, out=out)
+
+
+def unit(vectors: np.ndarray) -> np.ndarray:
+    norms = np.linalg.norm(vectors, axis=1, keepdims=True)
+    return vectors / np.where(norms > 0, norms, 1)
 
 
 @dataclass
@@ -89,9 +97,7 @@ class Model:
     labels: np.ndarray
 
     def project(self, terms: np.ndarray) -> np.ndarray:
-        vectors = (terms * self.weights) @ self.basis
-        norms = np.linalg.norm(vectors, axis=1, keepdims=True)
-        return vectors / np.where(norms > 0, norms, 1)
+        return unit((terms * self.weights) @ self.basis)
 
     def scores(self, terms: np.ndarray) -> np.ndarray:
         """Votes of the nearest labelled documents; 0 for texts without terms."""
@@ -134,17 +140,18 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int =
         return Model(np.ones(N_TERMS, np.float32), np.zeros((N_TERMS, 1), np.float32), np.zeros((0, 1), np.float32), marks)
     # terms that every document has weigh little
     weights = np.log(1 + len(rows) / (1 + (terms > 0).sum(axis=0))).astype(np.float32)
-    basis = singular_basis(terms * weights, min(DIMENSIONS, len(rows)))
+    terms *= weights
+    basis = singular_basis(terms, min(DIMENSIONS, len(rows)))
     model = Model(weights, basis, np.zeros((0, 0), np.float32), marks)
-    model.vectors = model.project(terms).astype(np.float32)
+    model.vectors = unit(terms @ basis).astype(np.float32)
     return model
 
 
 def quality_scores(docs: DataFrame, model: Model, text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
     """The columns in carry (all of docs by default) and score: 0 to 1, higher for label 1.
 
-    Each whole text becomes shares of byte-class trigrams, of repeated words and of word lengths,
-    projected on latent dimensions; in blocks of documents, exact cosines with all labelled vectors
+    Each whole text becomes shares of its words, of byte-class trigrams, of repeated words and of word
+    lengths, projected on latent dimensions; in blocks of documents, exact cosines with all labelled vectors
     choose the nearest, which vote by similarity. The model is of bounded size and goes to every
     task; documents are scored in place, without a shuffle. A null, empty or one-sign text scores 0.
     Rows come back as often as they came; a column of docs named score is replaced.
