@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..session import release, stash, unstash
 from .blocks import answers, blocks, from_bytes, receive, send, text_buffer
 from .common import map_arrow, remainder, text_or_empty
-from .recurrent import N_WORDS, Gru, score, train
+from .recurrent import CLASS_WORDS, MOST_CLASSES, Gru, n_words_for, score, train
 from .shingles import lower_ascii, words
 from .suffix import Hashed, chunks
 
@@ -25,8 +25,10 @@ BUCKET_WORDS = 1 << 18
 #: Training documents are dealt into so many rounds, each into one: all of them train the recurrent
 #: weights once. Tasks' weights are averaged after each round.
 ROUNDS = 3
-#: Groups in which the tasks' weights are averaged before they meet.
-AVERAGES = 16
+#: Tasks' weights are averaged in a tree; so many meet in one task.
+FAN = 32
+#: Words that a bucket proposes for rows of their own.
+MOST_WORDS = CLASS_WORDS * MOST_CLASSES
 
 
 def token_codes(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -44,13 +46,13 @@ def token_codes(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nda
     return codes, np.r_[0, np.cumsum(np.concatenate(counts) if counts else np.zeros(0, np.int64))]
 
 
-def short_ids(codes: np.ndarray, top: np.ndarray) -> np.ndarray:
-    """Places among the top words, N_WORDS for the rest."""
+def short_ids(codes: np.ndarray, top: np.ndarray, n_words: int) -> np.ndarray:
+    """Places among the top words, n_words for the rest."""
     if not len(top):
-        return np.full(len(codes), N_WORDS, np.int64)
+        return np.full(len(codes), n_words, np.int64)
     order = np.argsort(top)
     at = np.minimum(np.searchsorted(top[order], codes), len(top) - 1)
-    return np.where(top[order][at] == codes, order[at], N_WORDS)
+    return np.where(top[order][at] == codes, order[at], n_words)
 
 
 def counted(table: pa.Table) -> pa.Table:
@@ -67,7 +69,7 @@ def counted(table: pa.Table) -> pa.Table:
     edges = np.searchsorted(source, np.arange(len(froms) + 1))
     bodies = [each[a:b].astype("<u4" if sums.max() < 1 << 32 else "<i8") for a, b in zip(edges, edges[1:])]
     keys = key[order][starts]
-    best = np.lexsort((keys, -sums))[:N_WORDS]
+    best = np.lexsort((keys, -sums))[:MOST_WORDS]
     best = best[sums[best] > 0]
     n = len(froms)
     kinds = ["reply"] * n + ["total"] + ["top"] * len(best)
@@ -96,47 +98,63 @@ def replied(reply: list[dict] | None, n: int) -> np.ndarray:
     return out
 
 
+def averaged(trained: DataFrame, tasks: int) -> DataFrame:
+    """One row of (task, n, body): the weights of all tasks, weighed by their tokens. They meet FAN at a
+    time, level by level, so no task holds more than FAN of them."""
+
+    def mean(table: pa.Table) -> pa.Table:
+        ns = table.column("n").to_pylist()
+        total = np.zeros(len(table.column("body")[0].as_py()) // 4)
+        for n, body in zip(ns, table.column("body")):
+            total += np.frombuffer(body.as_py(), np.float32) * (n / sum(ns))
+        return pa.table({"task": [table.column("task")[0].as_py()], "n": [sum(ns)], "body": [total.astype(np.float32).tobytes()]})
+
+    while tasks > 1:
+        up = trained.select(F.floor(F.col("task") / FAN).alias("task"), "n", "body")
+        trained, tasks = up.groupBy("task").applyInArrow(mean, "task long, n long, body binary"), -(-tasks // FAN)
+    return trained
+
+
 def weights(model: Gru, lessons: DataFrame, rounds: int) -> Gru:
     """Each round every task trains a copy on its documents of that round; the average, by tokens, starts
-    the next. Tasks' weights are averaged in AVERAGES groups first, so few reach the driver."""
+    the next. The average depends on how the lessons lie in files, which are written once."""
     for k in range(rounds):
         now = model
 
         def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            texts = [np.frombuffer(x, "<u2").astype(np.int64) for batch in batches for x in batch.column(0).to_pylist()]
+            texts = (np.frombuffer(x.as_py(), "<u2") for batch in batches for x in batch.column(0))
             found, n = train(now, texts)
             if n:
-                body = (found.flat().astype(np.float64) * n).tobytes()
-                yield pa.RecordBatch.from_pydict({"task": [TaskContext.get().partitionId() % AVERAGES], "n": [n], "body": [body]})
-
-        def add(table: pa.Table) -> pa.Table:
-            total = np.sum([np.frombuffer(x, np.float64) for x in table.column("body").to_pylist()], axis=0)
-            return pa.table({"task": [0], "n": [sum(table.column("n").to_pylist())], "body": [total.tobytes()]})
-
-        schema = "task long, n long, body binary"
-        found = map_arrow(lessons.where(F.col("round") == k).select("tokens"), learn, schema).groupBy("task").applyInArrow(add, schema).collect()
-        n = sum(row["n"] for row in found)
-        if not n:
-            break
-        model = model.filled(sum(np.frombuffer(row["body"], np.float64) for row in found) / n)
+                task = TaskContext.get().partitionId()
+                yield pa.RecordBatch.from_pydict({"task": [task], "n": [n], "body": [found.flat().tobytes()]})
+
+        some = lessons.where(F.col("round") == k).select("tokens")
+        trained = map_arrow(some, learn, "task long, n long, body binary")
+        found = averaged(trained, some.rdd.getNumPartitions()).collect()
+        if not found:
+            continue
+        model = model.filled(np.frombuffer(found[0]["body"], np.float32))
     return model
 
 
-def language_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modulus: int = 7, held_out: int = 2, train_each: int = 1, rounds: int = ROUNDS) -> DataFrame:
+def language_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modulus: int = 7, held_out: int = 2, rounds: int = ROUNDS) -> DataFrame:
     """id_col, held_out, n_tokens, n_known, train_tokens, base_score and score of each row of docs.
 
     Tokens are words between white space with A-Z lowered, and one end. Rows whose crc32 of the id as
     text leaves another remainder than held_out are trained on. base_score: add-one unigram log10
     probability from the counts of all training tokens. score: log10 probability by a gated
-    recurrent network over the whole text. It gives each of the most frequent words in classes by
+    recurrent network over the whole text, its state zero where a text starts and carried to its end.
+    It gives each of the frequent words (more in a larger corpus, within a bound) in classes by
     frequency; one more class holds all other words, which it gives by add-one shares within it.
+    Every training document trains the network in one of the rounds.
 
     A null or empty text is the end alone. A null id counts as the empty text. Rows come back as often as
     they came. An empty table gives an empty result; without training tokens all words are unseen.
 
     Words are counted by packed exchanges: each distinct word goes once from each block of documents
     to its bucket and its count comes back, so frequent words are not gathered and no vocabulary is
-    broadcast. The network is of fixed size.
+    broadcast. The network is of bounded size. Its weights are averages over tasks, so score depends a
+    little on how the table lies in files; the other columns do not.
     """
     spark = docs.sparkSession
     held = remainder(modulus, id_col) == held_out
@@ -169,23 +187,22 @@ def language_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sent = None
     release(spark)
     distinct, tokens = found.where("kind = 'total'").agg(F.coalesce(F.sum("key"), F.lit(0)), F.coalesce(F.sum("count"), F.lit(0))).first()
-    best = found.where("kind = 'top'").orderBy(F.desc("count"), "key").limit(N_WORDS).select("key", "count").collect()
-    top = np.array([row["key"] for row in best], np.int64).view(np.uint64)
+    best = found.where("kind = 'top'").orderBy(F.desc("count"), "key").limit(MOST_WORDS).select("key", "count").collect()
     shares = np.array([row["count"] for row in best], np.float64)
-    rest_tokens, rest_words = tokens - int(shares.sum()), distinct - len(best)
+    n_words = n_words_for(shares)
+    top, shares = np.array([row["key"] for row in best[:n_words]], np.int64).view(np.uint64), shares[:n_words]
+    rest_tokens, rest_words = tokens - int(shares.sum()), distinct - len(top)
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             codes, bounds = token_codes(*text_buffer(batch.column(1)))
-            ids = short_ids(codes, top).astype("<u2")
+            ids = short_ids(codes, top, n_words).astype("<u2")
             texts = [ids[a:b].tobytes() for a, b in zip(bounds, bounds[1:])]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.binary())], names=["round", "tokens"])
 
-    round_ = F.pmod(F.xxhash64("id"), F.lit(train_each))
-    round_ = round_ if train_each >= rounds else F.pmod(F.xxhash64("id"), F.lit(rounds))
-    chosen = rows.where(~F.col("held")).select(round_.alias("round"), "text").where(F.col("round") < rounds)
+    chosen = rows.where(~F.col("held")).select(F.pmod(F.xxhash64("id"), F.lit(rounds)).alias("round"), "text")
     lessons = stash(map_arrow(chosen, coded, "round long, tokens binary"), "words-lessons")
-    model = weights(Gru.start(shares, rest_tokens), lessons, rounds)
+    model = weights(Gru.start(shares, rest_tokens, n_words), lessons, rounds)
     unlearned = np.log10(tokens + distinct + 1)
     within_rest = np.log10(max(rest_tokens, 0) + max(rest_words, 0) + 1)
     names = ["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
@@ -196,9 +213,9 @@ def language_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 table, codes, bounds, key, which, _ = tokens_of(body.as_py())
                 count = replied(reply.as_py(), len(key))
                 word_logs = np.log10(count + 1.0)
-                short = short_ids(key, top)
+                short = short_ids(key, top, n_words)
                 # the rest: its share within its class, on top of the class
-                inner = np.where(short == N_WORDS, word_logs - within_rest, 0.0)
+                inner = np.where(short == n_words, word_logs - within_rest, 0.0)
                 starts = bounds[:-1]
                 sums = lambda x: np.add.reduceat(x[which], starts) if len(starts) else np.zeros(0)
                 ids = short[which]

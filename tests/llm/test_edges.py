@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from conftest_texts import BRUTE_WINDOW, crc, words_of
 
-from marginalia.llm import exact, language, media, near, packing, quality, suffix, tokens, toxicity
+from marginalia.llm import exact, language, media, near, packing, quality, recurrent, suffix, tokens, toxicity
 
 
 def rows_of(df):
@@ -183,12 +183,57 @@ def test_language(awkward, nothing):
         own = [*words_of(t), None]
         base = sum(math.log10((counts[w] + 1) / (total + kinds + 1)) for w in own)
         want.append((str(k), crc(k) % 7 == 2, len(own), sum(counts[w] > 0 for w in own), total, round(base, 5)))
-    got = rows_of(language.language_scores(awkward, train_each=1, rounds=1))
+    got = rows_of(language.language_scores(awkward, rounds=1))
     assert sorted((str(r["doc_id"]), r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 5)) for r in got) == sorted(want)
     assert all(r["score"] < 0 and math.isfinite(r["score"]) for r in got)
     assert language.language_scores(nothing).count() == 0
 
 
+def log_sum(x):
+    return x.max() + math.log(np.exp(x - x.max()).sum())
+
+
+def test_language_scores_word_by_word(awkward, monkeypatch):
+    """score held against a plain pass over each whole text, one word at a time."""
+    kept, step = [], language.weights
+    monkeypatch.setattr(language, "weights", lambda *how: kept.append(step(*how)) or kept[-1])
+    got = rows_of(language.language_scores(awkward, rounds=2))
+    net = recurrent.Gru(*(x.astype(np.float64) for x in kept[0].arrays()))
+    pairs, counts = texts(awkward), Counter()
+    for k, t in pairs:
+        if crc(k) % 7 != 2:
+            counts.update([*words_of(t), None])
+
+    def code(w):
+        raw = np.frombuffer((w or "").encode(), np.uint8)
+        return int(language.token_codes(raw, np.array([0, len(raw)]))[0][:1].view(np.int64)[0])
+
+    n, size, wide = net.n_words, recurrent.CLASS_WORDS, recurrent.HIDDEN
+    top = sorted(counts, key=lambda w: (-counts[w], code(w)))[:n]
+    place = {w: k for k, w in enumerate(top)}
+    rest, kinds = sum(counts.values()) - sum(counts[w] for w in top), len(counts) - len(top)
+    want = Counter()
+    for doc_id, t in pairs:
+        h, last, total = np.zeros(wide), n + 1, 0.0
+        for w in [*words_of(t), None]:
+            at, x = place.get(w, n), net.inputs[last]
+            gates = 1 / (1 + np.exp(-(h @ net.recurrent[:, : 2 * wide] + x[: 2 * wide])))
+            h = h + gates[:wide] * (np.tanh((gates[wide:] * h) @ net.recurrent[:, 2 * wide :] + x[2 * wide :]) - h)
+            classes, own = h @ net.class_out + net.class_bias, min(at // size, n // size)
+            total += classes[own] - log_sum(classes)
+            if at < n:
+                inner = net.word_out[own * size : (own + 1) * size] @ h + net.word_bias[own * size : (own + 1) * size]
+                total += inner[at % size] - log_sum(inner)
+            else:
+                total += math.log((counts[w] + 1) / (rest + kinds + 1))
+            last = at
+        want[str(doc_id), total / math.log(10)] += 1
+    ours = sorted((str(r["doc_id"]), r["score"]) for r in got)
+    theirs = sorted(want.elements())
+    assert len(ours) == len(theirs) == len(pairs)
+    assert all(a == b and abs(x - y) < 0.1 + 1e-4 * abs(y) for (a, x), (b, y) in zip(ours, theirs))
+
+
 def test_stages(spark, awkward, nothing, labels, tmp_path):
     labels.write.parquet(f"{tmp_path}/labels.parquet")
     for docs in (awkward, nothing):

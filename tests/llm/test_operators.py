@@ -306,15 +306,19 @@ def test_chat_runs_no_python(spark):
 
 def test_gradients():
     draw = np.random.default_rng(1)
-    model = recurrent.Gru.start(np.arange(recurrent.N_WORDS, 0, -1.0), 500.0)
+    model = recurrent.Gru.start(np.arange(1024, 0, -1.0), 500.0, 1024)
     for x in model.arrays():
         x += (draw.standard_normal(x.shape) * 0.2).astype(np.float32)
     targets = draw.integers(0, 70, (4, 3))
-    targets[2, 1] = recurrent.N_WORDS
-    ids = np.vstack([np.full((1, 3), recurrent.N_WORDS + 1), targets[:-1]])
+    targets[2, 1] = 1024
+    ids = np.vstack([np.full((1, 3), 1025), targets[:-1]])
+    ids[2, 2] = 1025  # a text starts inside the window
     h, real = np.zeros((3, recurrent.HIDDEN), np.float32), np.ones((4, 3), bool)
     loss = lambda: -model.gradients(ids, targets, real, h)[2] / 12
-    grads = model.gradients(ids, targets, real, h)[0]
+    (rows, found), *rest = model.gradients(ids, targets, real, h)[0]
+    inputs = np.zeros_like(model.inputs)
+    inputs[rows] = found
+    grads = [inputs, *rest]
     for x, g in zip(model.arrays(), grads):
         for at in np.argsort(-np.abs(g).ravel())[:3]:
             old, step = x.ravel()[at], np.float32(1e-2)
@@ -327,11 +331,11 @@ def test_gradients():
 
 
 def test_probabilities_sum_to_one_and_state_is_carried():
-    model = recurrent.Gru.start(np.arange(recurrent.N_WORDS, 0, -1.0), 500.0)
+    model = recurrent.Gru.start(np.arange(1024, 0, -1.0), 500.0, 1024)
     model.word_out += 0.3
     model.class_out += np.random.default_rng(2).standard_normal(model.class_out.shape).astype(np.float32)
     h = np.random.default_rng(3).standard_normal((1, recurrent.HIDDEN)).astype(np.float32)
-    every = np.arange(recurrent.N_WORDS + 1)
+    every = np.arange(1025)
     assert abs(np.exp(model.logs(np.repeat(h, len(every), 0), every).astype(np.float64)).sum() - 1) < 1e-4
     text = np.random.default_rng(4).integers(0, 1025, 150)
     whole = recurrent.score(model, [text, text[:10], text[:0]], window=1000)
@@ -342,7 +346,7 @@ def test_probabilities_sum_to_one_and_state_is_carried():
 def test_training_lowers_the_loss():
     draw = np.random.default_rng(6)
     texts = [np.tile(draw.permutation(8), 40) for _ in range(30)]
-    model = recurrent.Gru.start(np.full(8, 10.0), 1.0)
+    model = recurrent.Gru.start(np.full(8, 10.0), 1.0, 512)
     before = recurrent.score(model, texts).sum()
     trained, seen = recurrent.train(model, texts)
     assert seen > 5000 and recurrent.score(trained, texts).sum() > before * 0.9
@@ -350,8 +354,8 @@ def test_training_lowers_the_loss():
 
 @pytest.mark.parametrize("sizes", [[3], [31, 1], [700, 45, 2], [5000]])
 def test_training_sees_every_token(sizes):
-    texts = [np.random.default_rng(k).integers(0, recurrent.N_WORDS + 1, n) for k, n in enumerate(sizes)]
-    assert recurrent.train(recurrent.Gru.start(np.full(8, 10.0), 1.0), texts)[1] == sum(sizes)
+    texts = [np.random.default_rng(k).integers(0, 513, n) for k, n in enumerate(sizes)]
+    assert recurrent.train(recurrent.Gru.start(np.full(8, 10.0), 1.0, 512), texts)[1] == sum(sizes)
 
 
 def test_every_training_document_changes_the_weights(spark, monkeypatch):
