@@ -14,7 +14,7 @@ HIDDEN = 16
 #: Steps between truncations; the state is carried from window to window.
 WINDOW = 32
 #: Lanes that are trained side by side, and tokens that are dealt to them at once.
-LANES, CHUNK_TOKENS = 128, 1 << 20
+LANES, CHUNK_TOKENS = 256, 1 << 20
 FLOOR = -30.0
 
 
@@ -211,7 +211,7 @@ def lanes(texts: list[np.ndarray], n: int, n_words: int) -> tuple[np.ndarray, np
 class Trainer:
     """Truncated backpropagation with Adagrad, one pass over every token of the texts that it is fed."""
 
-    def __init__(self, model: Gru, n_lanes: int = LANES, rate: float = 0.12):
+    def __init__(self, model: Gru, n_lanes: int = LANES, rate: float = 0.16):
         self.model = model.filled(model.flat())
         self.n_lanes, self.rate, self.seen = n_lanes, np.float32(rate), 0
         self.sums = [np.full(x.shape, 1e-6, np.float32) for x in self.model.arrays()]

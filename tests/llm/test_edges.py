@@ -143,10 +143,12 @@ def brute_spans(pairs, length):
     return out
 
 
-@pytest.mark.parametrize("bucket", [50, 1 << 18])
-def test_suffix(awkward, nothing, monkeypatch, bucket):
+@pytest.mark.parametrize(("bucket", "ranges", "around"), [(1 << 17, 4096, 1 << 14), (900, 4096, 1 << 14), (900, 3, 1)])
+def test_suffix(awkward, nothing, monkeypatch, bucket, ranges, around):
+    """In one bucket, in many ranges, and in parts of ranges with all common grams split by their windows."""
     monkeypatch.setattr(suffix, "BUCKET_ENTRIES", bucket)
-    got = suffix.repeated_spans(awkward, length=BRUTE_WINDOW)
+    monkeypatch.setattr(suffix, "MOST_RANGES", ranges)
+    got = suffix.repeated_spans(awkward, length=BRUTE_WINDOW, most_around=around)
     want = brute_spans(texts(awkward), BRUTE_WINDOW)
     assert Counter((r["doc_id"], r["text"], bytes(r["kept"]), len(r["spans"])) for r in rows_of(got)) == want
     cut = suffix.repeated_spans(awkward, length=BRUTE_WINDOW, cut_text=True)

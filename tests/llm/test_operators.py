@@ -15,7 +15,7 @@ from conftest_texts import words_of
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from marginalia.llm import chat, exact, graph, language, media, near, packing, queries, recurrent, shingles, suffix, tokens
+from marginalia.llm import blocks, chat, exact, graph, language, media, near, packing, queries, recurrent, shingles, suffix, tokens
 from marginalia.llm.blocks import multikey_sort
 from marginalia.session import recording
 
@@ -258,11 +258,39 @@ def test_equal_windows_choose_equal_anchors():
     found = []
     for _ in range(2):
         raw = np.r_[draw.integers(0, 4, 60), shared, draw.integers(0, 4, 60)].astype(np.uint8)
-        code, _, _, low, high = suffix.anchors(raw, np.array([0, 200]), 50, 18)
+        code, _, _, _, low, high = suffix.anchors(raw, np.array([0, 200]), 50, 18)
         found.append({(int(w) - 60): int(c) for c, a, b in zip(code, low, high) for w in range(a, b + 1) if 60 <= w <= 90})
     assert found[0] == found[1] and len(found[0]) == 31
 
 
+@pytest.mark.parametrize("chunk", [64, 100, 333])
+def test_long_documents_in_segments(monkeypatch, chunk):
+    """Every window of a long document has the anchor that it has where the document is hashed whole."""
+    draw = np.random.default_rng(chunk)
+    words_ = ["".join(chr(97 + c) for c in draw.integers(0, 3, 5)) for _ in range(700)]
+    table = pa.table({"id": [1, 2, 3], "text": [" ".join(words_[:500]), "short", " ".join(words_[100:])]})
+    body = blocks.to_bytes(table)
+
+    def chosen():
+        block = suffix.Block(body, "id", "text", 50, 18)
+        return {w: (int(p), int(c), int(d)) for p, c, d, a, b in zip(block.place, block.code, block.doc, block.low, block.high) for w in range(a, b + 1)}
+
+    whole = chosen()
+    monkeypatch.setattr(suffix, "CHUNK_BYTES", chunk)
+    assert chosen() == whole and len(whole) > 5000
+
+
+def test_records_sort_as_suffixes():
+    """The order of a bucket is that of the suffixes' bytes, and equal records are equal bytes."""
+    draw = np.random.default_rng(4)
+    raw = draw.integers(97, 99, 400).astype(np.uint8)
+    place = np.arange(32, 340)
+    rows = suffix.records(raw, np.array([0, 400]), np.zeros(len(place), np.int64), place, np.full(len(place), 32), np.zeros(len(place), np.int64), 50, 18)
+    order = multikey_sort(*suffix.words_of(rows))
+    suffixes = [raw[p : p + 50].tobytes() + raw[p - 32 : p].tobytes() for p in place]
+    assert [suffixes[k] for k in order] == sorted(suffixes)
+
+
 # chat
 
 
