@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from marginalia.llm import exact, near, packing, quality, suffix
 from marginalia.llm.common import documents
-from marginalia.session import drop_paths, prepare, recording, release, stash
+from marginalia.session import drop_paths, prepare, recording, stash
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Documents with a lower quality score go.
@@ -30,8 +30,7 @@ def stage(build: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callabl
         done = [path for path in _left if not any(path in file for file in read)]
         drop_paths(spark, done)
         _left[:] = [path for path in _left if path not in done]
-        release(spark)
-        with recording() as paths:
+            with recording() as paths:
             out = build(spark, docs, sf_dir)
         _left.extend(paths)
         return out

@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import gc
 import os
 import tempfile
-import time
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -33,8 +31,11 @@ def builder(master: str = "local[8]", shuffle_partitions: int = 8) -> SparkSessi
 
 def prepare(spark: SparkSession) -> SparkSession:
     """Lets Python workers import this package, whatever folder the driver runs in, and keeps the batches
-    that they get small: texts may be long."""
+    that they get small: texts may be long. Shuffle files go as soon as the query that wrote them ends:
+    what is needed later is stashed."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
     env = spark.sparkContext.environment
     paths = env.get("PYTHONPATH", "").split(os.pathsep)
     if ROOT not in paths:
@@ -43,18 +44,21 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where it is unset (tests), one of our own."""
+    """The folder named by spark.checkpoint.dir. Where it is unset, as in tests, one of our own: only on a
+    local master, as executors elsewhere would not share it."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         context = spark.sparkContext
         if context.getCheckpointDir() is None:
+            if not context.master.startswith("local[") and context.master != "local":
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             context.setCheckpointDir(tempfile.mkdtemp(prefix="marginalia-"))
         found = context.getCheckpointDir()
     return found.rstrip("/")
 
 
-#: Rows in a batch for Python workers.
-BATCH_ROWS = 2048
+#: Rows in a batch for Python workers, and bytes beyond which it ends earlier.
+BATCH_ROWS, BATCH_BYTES = 2048, 16 << 20
 #: Paths of stashed tables, by the innermost recording() that was open.
 _RECORDS: list[list[str]] = []
 
@@ -87,15 +91,6 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark delete shuffle files that no DataFrame needs any more, now rather than when the
-    driver next collects its garbage."""
-    for _ in range(2):  # what the first pass finalises, the second frees
-        gc.collect()
-        spark._jvm.System.gc()
-        time.sleep(0.5)
-
-
 def unstash(*tables: DataFrame) -> None:
     """Deletes tables made by stash(); call only when nothing lazy reads them any more."""
     for df in tables:
