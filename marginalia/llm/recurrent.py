@@ -9,7 +9,7 @@ import numpy as np
 
 #: Words that have a softmax row of their own come in classes of so many, by frequency; one more class
 #: holds the rest. There are classes enough for the words that occur LEAST_COUNT times, within bounds.
-CLASS_WORDS, LEAST_CLASSES, MOST_CLASSES, LEAST_COUNT = 64, 8, 64, 128
+CLASS_WORDS, LEAST_CLASSES, MOST_CLASSES, LEAST_COUNT = 64, 8, 32, 128
 HIDDEN = 16
 #: Steps between truncations; the state is carried from window to window.
 WINDOW = 32

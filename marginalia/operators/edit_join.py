@@ -1,12 +1,16 @@
-"""Similarity join on edit distance, without comparing all pairs."""
+"""Similarity joins on edit distance, without comparing all pairs."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import stash
+
 #: Up to so many edits, strings of up to so many characters meet by what is left after deletions.
 MOST_DELETIONS, MOST_CHARS = 2, 32
+#: A piece that more strings share than this is common: its strings are dealt out in parts.
+COMMON, PARTS = 1000, 64
 
 
 def segments(strings: DataFrame, column: str, threshold: int) -> DataFrame:
@@ -40,23 +44,40 @@ def probes(strings: DataFrame, column: str, threshold: int) -> DataFrame:
     return rows.select("probe", "size", "piece", F.expr("substring(probe, at + 1, length)").alias("part")).distinct()
 
 
-def without_one(x: Column) -> Column:
-    """x with each of its characters left out in turn."""
-    n = F.char_length(x)
-    cut = F.transform(
-        F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.concat(F.substring(x, F.lit(1), i - 1), F.substring(x, i + 1, n))
-    )
-    return F.when(n > 0, cut).otherwise(F.array().cast("array<string>"))
+def by_pieces(probe: DataFrame, pieces: DataFrame) -> DataFrame:
+    """(probe, string) with an equal piece. The strings of a common piece are dealt out in PARTS, and
+    what probes for it goes to each part."""
+    key = ["size", "piece", "part"]
+    common = pieces.groupBy(*key).agg(F.count("*").alias("_n")).where(F.col("_n") > COMMON).select(*key, F.lit(PARTS).alias("_parts"))
+    common = stash(common, "common-pieces")
+    dealt = F.when(F.col("_parts").isNull(), F.lit(0)).otherwise(F.pmod(F.hash("string"), F.lit(PARTS)))
+    pieces = pieces.join(common, key, "left").withColumn("_at", dealt)
+    places = F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1)
+    probe = probe.join(common, key, "left").withColumn("_at", F.explode(places))
+    return probe.join(pieces, [*key, "_at"]).select("probe", "string")
 
 
 def deletions(strings: DataFrame, column: str, threshold: int) -> DataFrame:
-    """(string, key): hashes of all that a string becomes by leaving out up to threshold characters."""
-    forms = last = F.array(F.col(column))
-    for _ in range(threshold):
-        last = F.array_distinct(F.flatten(F.transform(last, without_one)))
-        forms = F.concat(forms, last)
-    keys = F.array_distinct(F.transform(forms, lambda x: F.xxhash64(x)))
-    return strings.select(F.col(column).alias("string"), F.explode(keys).alias("key"))
+    """(string, key): hashes of all that a string becomes by leaving out up to threshold (1 or 2)
+    characters: the j-th, and the i-th before it, 0 being none. Of equal neighbours only the first is
+    left out, or both, so that few results come twice."""
+    s = F.col("string")
+    rows = strings.select(F.col(column).alias("string"), F.explode(F.sequence(F.lit(0), F.char_length(column))).alias("j"))
+    most = F.greatest(F.col("j") - 1, F.lit(0)) if threshold > 1 else F.lit(0)
+    rows = rows.withColumn("i", F.explode(F.sequence(F.lit(0), most)))
+    i, j = F.col("i"), F.col("j")
+    same = lambda at: F.substring(s, at, F.lit(1)) == F.substring(s, at - 1, F.lit(1))
+    rows = rows.where(~((i > 1) & same(i)) & ~((j > 1) & (i != j - 1) & same(j)))
+    rest = F.expr("substring(string, j + 1)")
+    left = F.when(j == 0, s).when(i == 0, F.concat(F.substring(s, F.lit(1), j - 1), rest))
+    left = left.otherwise(F.concat(F.substring(s, F.lit(1), i - 1), F.substring(s, i + 1, j - i - 1), rest))
+    return rows.select("string", F.xxhash64(left).alias("key"))
+
+
+def measured(pairs: DataFrame, threshold: int) -> DataFrame:
+    """(probe, string, edits) of the distinct pairs within threshold edits."""
+    near = F.abs(F.char_length("probe") - F.char_length("string")) <= threshold
+    return pairs.where(near).distinct().withColumn("edits", F.levenshtein("probe", "string", threshold)).where("edits >= 0")
 
 
 def edit_join(left: DataFrame, left_col: str, right: DataFrame, right_col: str, threshold: int) -> DataFrame:
@@ -76,9 +97,25 @@ def edit_join(left: DataFrame, left_col: str, right: DataFrame, right_col: str,
         probe = deletions(short[0], left_col, threshold).withColumnRenamed("string", "probe")
         met.append(probe.join(deletions(short[1], right_col, threshold), "key").select("probe", "string"))
         a, b = (x.where(F.char_length(c) > MOST_CHARS - threshold) for x, c in ((a, left_col), (b, right_col)))
-    pieces = segments(b, right_col, threshold)
-    met.append(probes(a, left_col, threshold).join(pieces, ["size", "piece", "part"]).select("probe", "string"))
+    met.append(by_pieces(probes(a, left_col, threshold), segments(b, right_col, threshold)))
     pairs = met[0].unionByName(met[-1]) if len(met) > 1 else met[0]
-    edits = F.levenshtein("probe", "string", threshold)
-    pairs = pairs.distinct().withColumn("edits", edits).where("edits >= 0")
+    pairs = measured(pairs, threshold)
     return pairs.select(F.col("probe").alias(left_col), F.col("string").alias(right_col), "edits")
+
+
+def edit_pairs(strings: DataFrame, column: str, threshold: int) -> DataFrame:
+    """(probe, string, edits) of the pairs of distinct strings of one table within threshold edits, each
+    pair once with probe < string. Candidates meet as in edit_join(), but what a string becomes by
+    leaving out characters is made once, and only what two strings become is kept."""
+    rows = strings.select(F.col(column).alias("string")).where(F.col(column).isNotNull()).distinct()
+    if threshold > MOST_DELETIONS:
+        pairs = by_pieces(probes(rows, "string", threshold), segments(rows, "string", threshold)).where("probe < string")
+        return measured(pairs, threshold)
+    short, long = rows.where(F.char_length("string") <= MOST_CHARS), rows.where(F.char_length("string") > MOST_CHARS - threshold)
+    keys = deletions(short, "string", threshold)
+    # dealt by key once: counting, and meeting within a key, need no other shuffle
+    again = keys.repartition("key").withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1").select("key", "string")
+    again = stash(again, "edit-keys")
+    pairs = again.withColumnRenamed("string", "probe").join(again, "key").where("probe < string").select("probe", "string")
+    more = by_pieces(probes(long, "string", threshold), segments(long, "string", threshold)).where("probe < string")
+    return measured(pairs.unionByName(more), threshold)

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.tags import THRESHOLD, are_similar, stem_tag
 from ..session import stash, unstash
-from .edit_join import edit_join
+from .edit_join import edit_pairs
+
+#: Pairs of similar stems that one task walks through, at most.
+MOST_EDGES = 200_000
 
 
 def tag_index(states: DataFrame) -> DataFrame:
@@ -41,7 +45,7 @@ def stems(counts: DataFrame) -> DataFrame:
 def similar_stems(groups: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """(earlier, later) pairs of similar stems, in the order of each stem's smallest tag."""
     names = groups.select("stem", "first_tag")
-    pairs = edit_join(names, "stem", names.select(F.col("stem").alias("other")), "other", threshold).where("stem < other")
+    pairs = edit_pairs(names, "stem", threshold).select(F.col("probe").alias("stem"), F.col("string").alias("other"))
     close = pairs.where(are_similar(F.col("stem"), F.col("other"), threshold))
     a = names.select("stem", F.col("first_tag").alias("first_a"))
     b = names.select(F.col("stem").alias("other"), F.col("first_tag").alias("first_b"))
@@ -51,17 +55,23 @@ def similar_stems(groups: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
         F.when(ahead, F.col("stem")).otherwise(F.col("other")).alias("earlier"),
         F.when(ahead, F.col("other")).otherwise(F.col("stem")).alias("later"),
         F.least("first_a", "first_b").alias("earlier_tag"),
+        F.greatest("first_a", "first_b").alias("later_tag"),
     )
 
 
-def leaders(groups: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """(stem, leader): greedy clustering. In the order of smallest tags a stem leads unless an earlier
-    leader is similar to it, and then follows the earliest such leader.
+def followers(table: pa.Table) -> pa.Table:
+    """(stem, leader) of the stems that follow one, by the sequential rule over all edges."""
+    found: dict[str, str] = {}
+    edges = table.sort_by([("later_tag", "ascending"), ("earlier_tag", "ascending")])
+    for earlier, later in zip(edges.column("earlier").to_pylist(), edges.column("later").to_pylist()):
+        if later not in found and earlier not in found:
+            found[later] = earlier
+    return pa.table({"stem": pa.array(found.keys(), pa.string()), "leader": pa.array(found.values(), pa.string())})
 
-    Rounds decide all stems whose earlier neighbours are decided; each round is a written table. Only
-    stems with a similar one take part.
-    """
-    edges = stash(similar_stems(groups, threshold), "similar-stems")
+
+def followers_by_rounds(edges: DataFrame) -> DataFrame:
+    """The same by rounds over written tables: each decides all stems whose earlier neighbours are
+    decided."""
     nodes = edges.select(F.col("later").alias("stem")).union(edges.select("earlier")).distinct()
     first = edges.select(F.col("later").alias("stem")).distinct().withColumn("waits", F.lit(True))
     role = F.when(F.col("waits"), F.lit("open")).otherwise(F.lit("leads"))
@@ -77,9 +87,22 @@ def leaders(groups: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     heads = state.where("role = 'leads'").select(F.col("stem").alias("earlier"))
     tails = state.where("role = 'follows'").select(F.col("stem").alias("later"))
     best = edges.join(heads, "earlier").join(tails, "later").groupBy("later").agg(F.min_by("earlier", "earlier_tag").alias("leader"))
-    return groups.select("stem").join(best.select(F.col("later").alias("stem"), "leader"), "stem", "left").select(
-        "stem", F.coalesce("leader", "stem").alias("leader")
-    )
+    return best.select(F.col("later").alias("stem"), "leader")
+
+
+def leaders(groups: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+    """(stem, leader): greedy clustering. In the order of smallest tags a stem leads unless an earlier
+    leader is similar to it, and then follows the earliest such leader.
+
+    Only stems with a similar one take part. Up to MOST_EDGES pairs of them, a counted number, are walked
+    through in one task; more are decided in rounds.
+    """
+    edges = stash(similar_stems(groups, threshold), "similar-stems")
+    if edges.count() <= MOST_EDGES:
+        best = edges.groupBy().applyInArrow(followers, "stem string, leader string")
+    else:
+        best = followers_by_rounds(edges)
+    return groups.select("stem").join(best, "stem", "left").select("stem", F.coalesce("leader", "stem").alias("leader"))
 
 
 def tag_groups(counts: DataFrame, threshold: int = THRESHOLD) -> DataFrame:

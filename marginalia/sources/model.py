@@ -1,11 +1,12 @@
-"""A chat client for a local model server that streams JSON lines, and its note tools."""
+"""A chat client for a local model server that streams JSON lines, and the note tools it may call."""
 
 from __future__ import annotations
 
 import json
 import urllib.request
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
+from typing import Protocol
 
 # Fixed values of the protocol and its limits.
 TIMEOUT_S, CONTEXT_TOKENS, MOST_STEPS = 600, 16384, 20
@@ -13,6 +14,14 @@ SYSTEM = "You suggest tags and links for Markdown notes. Answer with JSON only:
 JUDGE = "You judge whether two notes should be linked. Answer with JSON only: {should_link, reason, link_from, link_to}."
 
 
+class Tools(Protocol):
+    """What a client offers to its model; it travels to executors with the client."""
+
+    def schemas(self) -> list[dict]: ...
+
+    def __call__(self, name: str, arguments: dict) -> str: ...
+
+
 def joined(stream: Iterator[bytes]) -> dict:
     """One message of the streamed chunks: contents and thoughts one after the other, all tool calls."""
     message: dict = {"role": "assistant", "content": "", "thinking": "", "tool_calls": []}
@@ -39,18 +48,19 @@ def calls_of(reply: dict) -> list[dict]:
 
 @dataclass
 class ChatClient:
-    """Enricher and Verifier over HTTP; it travels to executors, so it holds settings only."""
+    """Enricher and Verifier over HTTP; it travels to executors, so it holds settings only. With tools,
+    the model may call them while it enriches a note."""
 
     url: str = "http://localhost:11434"
     model: str = "qwen3"
     think: bool = False
-    tools: Callable[[str, dict], str] | None = None
-    schemas: tuple = ()
+    tools: Tools | None = None
+    verbose: bool = False
 
-    def chat(self, messages: list[dict]) -> dict:
+    def chat(self, messages: list[dict], tools: Tools | None = None) -> dict:
         body = {"model": self.model, "messages": messages, "stream": True, "think": self.think, "options": {"num_ctx": CONTEXT_TOKENS}}
-        if self.schemas:
-            body["tools"] = list(self.schemas)
+        if tools is not None:
+            body["tools"] = tools.schemas()
         request = urllib.request.Request(f"{self.url}/api/chat", json.dumps(body).encode(), {"Content-Type": "application/json"})
         with urllib.request.urlopen(request, timeout=TIMEOUT_S) as response:
             return joined(response)
@@ -59,8 +69,11 @@ class ChatClient:
         """Answers tool calls until the model replies; an error text after MOST_STEPS."""
         messages = list(messages)
         for _ in range(MOST_STEPS):
-            reply = self.chat(messages)
+            reply = self.chat(messages, self.tools)
             calls = calls_of(reply)
+            if self.verbose:
+                said = reply.get("message", {})
+                print(f"[model] {said.get('thinking') or ''}{said.get('content') or ''} {[c.get('function') for c in calls]}", flush=True)
             if not calls or self.tools is None:
                 return content_of(reply)
             messages.append(reply["message"])

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from marginalia.functions.tags import are_similar, stem_tag
 from marginalia.operators import tags as T
-from marginalia.operators.edit_join import edit_join
+from marginalia.operators.edit_join import edit_join, edit_pairs
 
 
 def distance(a, b):
@@ -71,7 +71,10 @@ def test_canonical_by_count_then_length(spark):
     assert {m["canonical"] for m in even} == {"analyst"}
 
 
-def test_rounds_equal_the_sequential_rule(spark):
+@pytest.mark.parametrize("most", [200_000, 0])
+def test_rounds_equal_the_sequential_rule(spark, monkeypatch, most):
+    """In one task, and by rounds."""
+    monkeypatch.setattr(T, "MOST_EDGES", most)
     draw = random.Random(3)
     words = sorted({"".join(draw.choice("ab") for _ in range(draw.randint(6, 8))) for _ in range(60)})
     close = lambda a, b: distance(a, b) <= 2 and distance(a, b) / max(len(a), len(b)) < 0.2
@@ -94,6 +97,18 @@ def test_edit_join_misses_nothing(spark, monkeypatch, threshold, letters, most):
     assert {tuple(r) for r in got.collect()} == want
 
 
+@pytest.mark.parametrize(("threshold", "common"), [(1, 1000), (2, 1000), (2, 2), (3, 2)])
+def test_edit_pairs_of_one_table(spark, monkeypatch, threshold, common):
+    """Short strings by deletions, long ones by pieces, common pieces in parts; each pair once."""
+    monkeypatch.setattr("marginalia.operators.edit_join.MOST_CHARS", 7)
+    monkeypatch.setattr("marginalia.operators.edit_join.COMMON", common)
+    draw = random.Random(threshold)
+    words = {"".join(draw.choice("ab") for _ in range(draw.randint(0, 12))) for _ in range(90)}
+    got = edit_pairs(spark.createDataFrame([(x,) for x in [*words, None, *list(words)[:5]]], "w string"), "w", threshold)
+    want = sorted((a, b, distance(a, b)) for a in words for b in words if a < b and distance(a, b) <= threshold)
+    assert sorted(tuple(r) for r in got.collect()) == want
+
+
 def index(spark, notes):
     rows = [(t, p, k, i) for k, (p, ts) in enumerate(notes.items()) for i, t in enumerate(ts)]
     return spark.createDataFrame(rows, "tag string, path string, ord long, tag_pos int")
