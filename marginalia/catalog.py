@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import text as X
-from .functions.tags import WORD_FORMS, stem_tag
+from .functions.tags import RANKS, WORD_FORMS, stem_tag
 from .operators import enrich as E
 from .operators import links as L
 from .operators import rewrite as R
@@ -51,8 +51,8 @@ LINKED = f"""{NOTES}, linked AS (
 
 
 def tagged_states(spark: SparkSession, d: str) -> DataFrame:
-    """State records of English notes with deterministic tags, written as the store would."""
-    notes = docs(spark, d).where("lang = 'en'")
+    """State records of all notes with deterministic tags, written as the store would."""
+    notes = docs(spark, d)
     tags = T.deterministic_tags(notes.select("path", "content"))
     rows = notes.join(tags, "path").select("path", F.col("doc_id").alias("ord"), X.content_hash(F.col("content")).alias("content_hash"), "proposed_tags")
     rows = rows.select(
@@ -70,7 +70,7 @@ def tagged_states(spark: SparkSession, d: str) -> DataFrame:
 
 TAGGED = f"""{NOTES}, words AS (
     SELECT path, doc_id, regexp_replace(w, '[^a-z]', '', 'g') AS tag
-    FROM (SELECT path, doc_id, unnest(string_split_regex(lower(content), '\\s+')) AS w FROM docs WHERE lang = 'en')
+    FROM (SELECT path, doc_id, unnest(string_split_regex(lower(content), '\\s+')) AS w FROM docs)
 ), counted AS (
     SELECT path, doc_id, tag, count(*) AS n FROM words WHERE length(tag) >= 7 GROUP BY ALL
 ), entries AS (
@@ -313,7 +313,7 @@ def grouping(source: str) -> str:
         FROM (SELECT unnest(parts) AS part, generate_subscripts(parts, 1) AS k) LEFT JOIN forms ON form = part
     ) AS stem
     FROM (SELECT tag, n, string_split(regexp_replace(lower(tag),
-        '^(senior-|sr-|junior-|jr-|lead-|head-of-|head-|vp-|chief-|principal-|staff-|associate-)', ''), '-') AS parts FROM {source})
+        '{RANKS}', ''), '-') AS parts FROM {source})
 ), stems AS (
     SELECT stem, first_tag, row_number() OVER (ORDER BY first_tag) AS i, len(parts) AS n_parts, parts, length(stem) AS chars
     FROM (SELECT stem, min(tag) AS first_tag, string_split(stem, '-') AS parts FROM named GROUP BY stem)
@@ -659,7 +659,7 @@ REWRITE_SQL = {
 
 
 def enrich_mapinpandas(spark, d):
-    notes = Q.hashed(docs(spark, d).where("lang = 'en'").select("path", "content"))
+    notes = Q.hashed(docs(spark, d).select("path", "content"))
     replies = stash(E.enriched(notes, E.FrequentWords()), "replies")
     return E.parsed_replies(replies).where("size(proposed_tags) > 0").select("path", F.array_join("proposed_tags", ",").alias("tags"))
 
@@ -735,11 +735,6 @@ def vault_roundtrip(spark: SparkSession, rows: DataFrame) -> DataFrame:
 
 
 def vault_source_roundtrip(spark, d):
-    """Of every fourth note, as its SQL says; vault_source_roundtrip_all takes them all."""
-    return vault_roundtrip(spark, docs(spark, d).where("doc_id % 4 = 0"))
-
-
-def vault_source_roundtrip_all(spark, d):
     return vault_roundtrip(spark, docs(spark, d))
 
 
@@ -753,8 +748,7 @@ MODEL_SQL = {
     "read_note": f"WITH {NOTES} SELECT path, content FROM docs ORDER BY doc_id LIMIT 1",
     "note_metadata": rf"""WITH {FRONTED} SELECT path, CASE WHEN doc_id % 5 IN (0, 2) THEN 'tags' WHEN doc_id % 5 = 1 THEN 'key' ELSE '' END AS keys,
             array_to_string(list_sort(list_distinct(regexp_extract_all(head || body, '(?:^|\s)#([a-zA-Z][\w/-]*)', 1))), ',') AS tags FROM fronted""",
-    "vault_source_roundtrip": f"""WITH {NOTES} SELECT path, substr(sha256(content || chr(10) || 'end'), 1, 16) AS content_hash FROM docs WHERE doc_id % 4 = 0""",
-    "vault_source_roundtrip_all": f"""WITH {NOTES} SELECT path, substr(sha256(content || chr(10) || 'end'), 1, 16) AS content_hash FROM docs""",
+    "vault_source_roundtrip": f"""WITH {NOTES} SELECT path, substr(sha256(content || chr(10) || 'end'), 1, 16) AS content_hash FROM docs""",
 }
 
 ORACLES = SCAN_SQL | TEXT_SQL | TAG_SQL | LINK_SQL | STATE_SQL | REWRITE_SQL | MODEL_SQL

@@ -33,7 +33,7 @@ def test_query(spark, tables, name):
 
 def test_roundtrip_takes_every_note(spark):
     whole = {row["path"] for row in catalog.docs(spark, SF).collect()}
-    assert {row["path"] for row in catalog.QUERIES["vault_source_roundtrip_all"](spark, SF).collect()} == whole
+    assert {row["path"] for row in catalog.QUERIES["vault_source_roundtrip"](spark, SF).collect()} == whole
     # a smaller table does not find the notes of the one before
     few = catalog.vault_roundtrip(spark, catalog.docs(spark, SF).limit(3))
     assert few.count() == 3
