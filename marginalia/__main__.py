@@ -3,13 +3,18 @@
 from __future__ import annotations
 
 import argparse
+import difflib
 import os
 
 from .plans.pipeline import COMMAND_MAX_FREQUENCY, Notebook
 from .plans.store import Store
 from .session import builder
+from .plans.tools import SnapshotTools
 from .sources.model import ChatClient
 
+#: Notes, or pairs of them, that are asked about between two commits.
+MODEL_BATCH = 16
+
 
 def parser() -> argparse.ArgumentParser:
     out = argparse.ArgumentParser(prog="marginalia")
@@ -35,11 +40,22 @@ def parser() -> argparse.ArgumentParser:
         commands.add_parser(name).add_argument("-y", "--yes", action="store_true")
     for name in ("status", "proposals", "clean-links", "daily"):
         commands.add_parser(name)
+    for name in ("import-state", "export-state"):
+        commands.add_parser(name).add_argument("file", help="a state file of JSON")
     return out
 
 
+def listed(table) -> None:
+    """All rows, a line each, without holding them together."""
+    for row in table.toLocalIterator():
+        print("  ".join(str(x) for x in row if x is not None))
+
+
 def asked(edits) -> bool:
-    edits.select("path").show(1000, truncate=False)
+    """Shows what each note would become, and asks."""
+    for row in edits.toLocalIterator():
+        old, new = ((row[k] or "").splitlines() for k in ("old_content", "new_content"))
+        print(*difflib.unified_diff(old, new, row["path"], row["path"], n=1, lineterm=""), sep="\n")
     return input("Proceed? [y/N] ").strip().lower() in ("y", "yes")
 
 
@@ -51,29 +67,38 @@ def main(args: list[str] | None = None) -> None:
     spark.sparkContext.setLogLevel("ERROR")
     book = Notebook(spark, a.vault, Store(spark, a.state or os.path.join(os.path.abspath(a.vault), ".marginalia")))
     if a.model:
-        book.enricher = book.verifier = ChatClient(a.model_url, a.model, getattr(a, "think", False))
+        tools = SnapshotTools.write(book.notes()) if a.command in ("run", "daily") else None
+        book.enricher = book.verifier = ChatClient(a.model_url, a.model, getattr(a, "think", False), tools, a.verbose)
+        book.batch_notes = book.batch_pairs = MODEL_BATCH
     match a.command:
         case "run":
             print(book.run(a.force))
         case "discover-links":
             print(book.discover(a.min_tags, a.max_tag_freq, a.force))
         case "validate":
-            book.validate(a.fix).show()
+            print(book.validate(a.fix, listed).first().asDict())
         case "normalize-tags":
-            book.normalize(a.apply, a.threshold).show(1000, truncate=False)
+            listed(book.normalize(a.apply, a.threshold))
         case "apply-tags":
             print(book.apply_tags(None if a.yes else asked))
         case "apply-links":
             print(book.apply_links(None if a.yes else asked))
         case "proposals":
             for table in book.proposals():
-                table.show(1000, truncate=False)
+                listed(table)
         case "status":
             print(book.status())
         case "clean-links":
             print(book.clean())
         case "daily":
             print(book.daily())
+        case "import-state":
+            print(book.import_json(a.file))
+        case "export-state":
+            book.export_json(a.file)
+    if a.model and book.enricher.tools:
+        for edit in book.enricher.tools.planned():
+            print(f"planned by the model: {edit['operation']} {edit['path']}")
 
 
 if __name__ == "__main__":

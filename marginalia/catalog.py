@@ -565,7 +565,18 @@ def state_applied(spark, d):
     return S.mark_applied(link_states(spark, d), done, "links_applied").select("path", "links_applied", "tags_applied")
 
 
+def state_json_roundtrip(spark, d):
+    """All records as one state file, and read again."""
+    states = link_states(spark, d)
+    pairs = states.where("ord % 7 = 0").select(F.col("path").alias("note_a"), F.concat(F.lit("z|"), "path").alias("note_b"))
+    again, evaluated, _ = S.from_json(stash(S.json_file(states, pairs, 1.0), "state-json"))
+    rows = again.join(evaluated.withColumnRenamed("note_a", "path"), "path", "left")
+    return rows.select("path", "ord", F.array_join(F.transform("proposed_links", lambda x: x["target"]), ",").alias("targets"), "tags_applied", "links_applied", "note_b")
+
+
 STATE_SQL = {
+    "state_json_roundtrip": f"""WITH {STATES} SELECT path, row_number() OVER (ORDER BY doc_id) - 1 AS ord, array_to_string(targets, ',') AS targets,
+            doc_id % 3 = 0 AS tags_applied, doc_id % 4 = 0 AS links_applied, CASE WHEN doc_id % 7 = 0 THEN 'z|' || path END AS note_b FROM listed""",
     "pending_tags": f"""WITH {TAGGED} SELECT path, string_agg(tag, ',' ORDER BY tag_pos) AS tags FROM entries WHERE ord % 3 <> 0 GROUP BY path""",
     "pending_links": f"""WITH {STATES} SELECT path, string_agg(target, ',' ORDER BY pos) AS targets FROM links WHERE doc_id % 4 <> 0 GROUP BY path""",
     "state_summary": """SELECT count(*) AS total, count_if(doc_id % 3 <> 0) AS pending_tags, count_if(doc_id % 4 <> 0) AS pending_links FROM documents""",

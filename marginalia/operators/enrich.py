@@ -75,10 +75,16 @@ def parsed_verdicts(replies: DataFrame) -> DataFrame:
     but false, null, 0 or empty."""
     text = without_fence(F.col("reply"))
     row = F.from_json(text, VERDICT, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
-    said = F.get_json_object(text, "$.should_link")
+    said = F.try_variant_get(F.try_parse_json(text), "$.should_link", "variant")
+    kind, value = F.schema_of_variant(said), F.try_variant_get(said, "$", "string")
     # a string is true unless it is empty, also "false"
-    quoted = text.rlike(r'"should_link"\s*:\s*"[^"]')
-    yes = quoted | ~F.coalesce(said, F.lit("")).isin("", "false", "0", "0.0", "null", "[]", "{}")
+    yes = (
+        F.when(kind == "STRING", value != "")
+        .when(kind == "BOOLEAN", value == "true")
+        .when(kind == "VOID", F.lit(False))
+        .when(kind.startswith("ARRAY") | kind.startswith("OBJECT"), ~F.coalesce(F.to_json(said), F.lit("")).isin("", "[]", "{}"))
+        .otherwise(F.coalesce(value.try_cast("double") != 0, F.lit(False)))
+    )
     rows = replies.withColumn("_row", row).withColumn("_yes", yes)
     return rows.select(
         *replies.columns,
@@ -89,21 +95,30 @@ def parsed_verdicts(replies: DataFrame) -> DataFrame:
     )
 
 
+def asked(ask, *what) -> str | None:
+    """The reply, or null where asking fails: one lost answer does not undo those before it."""
+    try:
+        return ask(*what)
+    except Exception as error:  # noqa: BLE001  whatever the client or its server does
+        print(f"{type(error).__name__}: {error}", flush=True)
+        return None
+
+
 def enriched(notes: DataFrame, client: Enricher) -> DataFrame:
-    """(path, content_hash, reply): the client's reply for each note, in batches on the executors. Write
-    it before it is read twice: each read asks the client again."""
+    """(path, content_hash, reply): the client's reply for each note, in batches on the executors; null
+    where it fails. Write it before it is read twice: each read asks the client again."""
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            replies = [client.enrich(path, text) for path, text in zip(batch["path"], batch["content"])]
+            replies = [asked(client.enrich, path, text) for path, text in zip(batch["path"], batch["content"])]
             yield pd.DataFrame({"path": batch["path"], "content_hash": batch["content_hash"], "reply": replies})
 
     return notes.select("path", "content", "content_hash").mapInPandas(ask, "path string, content_hash string, reply string")
 
 
 def verified(pairs: DataFrame, notes: DataFrame, states: DataFrame, client: Verifier) -> DataFrame:
-    """pairs with the client's reply on the notes' tags and first characters; null where a note is
-    gone."""
+    """pairs with the client's reply on the notes' tags and first characters, null where a note is gone,
+    and failed: whether asking failed."""
     columns = pairs.columns
     rows = pairs
     for side in ("a", "b"):
@@ -114,8 +129,8 @@ def verified(pairs: DataFrame, notes: DataFrame, states: DataFrame, client: Veri
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             gone = batch["preview_a"].isna() | batch["preview_b"].isna()
-            replies = [None if lost else client.verify(pair) for lost, pair in zip(gone, batch.to_dict("records"))]
-            yield batch[columns].assign(reply=replies)
+            replies = [None if lost else asked(client.verify, pair) for lost, pair in zip(gone, batch.to_dict("records"))]
+            yield batch[columns].assign(reply=replies, failed=[x is None and not lost for lost, x in zip(gone, replies)])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pairs.schema.fields)
-    return rows.mapInPandas(ask, f"{schema}, reply string")
+    return rows.mapInPandas(ask, f"{schema}, reply string, failed boolean")

@@ -129,26 +129,26 @@ def read_json(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, Dat
     return from_json(spark.read.format("text").option("wholetext", True).load(path))
 
 
-def to_json(states: DataFrame, evaluated: DataFrame, last_run: float | None = None, last_completed_run: float | None = None) -> str:
-    """The state file's text. It is one document, so all records meet in one task: an export for
-    interchange, not the store."""
+def json_file(states: DataFrame, evaluated: DataFrame, last_run: float | None = None, last_completed_run: float | None = None) -> DataFrame:
+    """One row with the state file's text in value. It is one document, so all records meet in one task:
+    an export for interchange, not the store."""
     record = F.struct("content_hash", "processed_at", "proposed_tags", "proposed_links", "tags_applied", "links_applied")
     entries = F.array_sort(F.collect_list(F.struct("ord", "path", record.alias("record"))))
     notes = states.agg(F.map_from_entries(F.transform(entries, lambda x: F.struct(x["path"], x["record"]))).alias("notes"))
-    pairs = evaluated.agg(F.array_sort(F.collect_list(F.concat_ws("|", "note_a", "note_b"))).alias("pairs")).first()["pairs"]
-    row = notes.select(
-        F.to_json(
-            F.struct(
-                F.lit(1).alias("version"),
-                "notes",
-                F.array(*map(F.lit, pairs)).cast("array<string>").alias("evaluated_pairs"),
-                F.lit(last_run).cast("double").alias("last_run"),
-                F.lit(last_completed_run).cast("double").alias("last_completed_run"),
-            ),
-            {"ignoreNullFields": "false"},
-        ).alias("value")
+    pairs = evaluated.agg(F.array_sort(F.collect_list(F.concat_ws("|", "note_a", "note_b"))).alias("evaluated_pairs"))
+    whole = F.struct(
+        F.lit(1).alias("version"),
+        "notes",
+        "evaluated_pairs",
+        F.lit(last_run).cast("double").alias("last_run"),
+        F.lit(last_completed_run).cast("double").alias("last_completed_run"),
     )
-    return row.first()["value"]
+    # one row with one row
+    return notes.crossJoin(pairs).select(F.to_json(whole, {"ignoreNullFields": "false"}).alias("value"))
+
+
+def to_json(states: DataFrame, evaluated: DataFrame, last_run: float | None = None, last_completed_run: float | None = None) -> str:
+    return json_file(states, evaluated, last_run, last_completed_run).first()["value"]
 
 
 def schema_of(kind: str) -> T.StructType:

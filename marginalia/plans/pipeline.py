@@ -25,7 +25,8 @@ COMMAND_MAX_FREQUENCY = 10
 
 @dataclass
 class Notebook:
-    """A vault folder, its state store and the model clients; each command commits what it changed."""
+    """A vault folder, its state store and the model clients; each command commits what it changed, a
+    batch at a time: small batches lose little where a model is slow."""
 
     spark: SparkSession
     vault: str
@@ -33,6 +34,7 @@ class Notebook:
     enricher: E.Enricher = field(default_factory=E.FrequentWords)
     verifier: E.Verifier = field(default_factory=E.SharedTags)
     batch_notes: int = 10_000
+    batch_pairs: int = 100_000
     report: Callable[[str], None] = print
     now: Callable[[], float] = time.time
 
@@ -49,6 +51,7 @@ class Notebook:
         todo = stash(S.changed(self.notes(), now.states, force), "todo")
         places = stash(S.numbered(todo.select("path"), sort_key(F.col("path"))), "todo-places")
         total, processed, errors = places.count(), 0, 0
+        began = self.now()
         for start in range(0, total, self.batch_notes):
             some = places.where((F.col("seq") >= start) & (F.col("seq") < start + self.batch_notes))
             replies = stash(E.enriched(todo.join(some.select("path"), "path"), self.enricher), "replies")
@@ -58,55 +61,79 @@ class Notebook:
             now = self.store.commit(now)
             counts = parsed.agg(F.count_if("ok").alias("ok"), F.count_if(~F.col("ok")).alias("bad")).first()
             processed, errors = processed + counts["ok"], errors + counts["bad"]
-            self.report(f"{min(start + self.batch_notes, total)} of {total} notes, {errors} errors")
+            self.progress("notes", min(start + self.batch_notes, total), total, began, errors)
         if total:
             now = self.store.load()
             now.last_completed_run = self.now()
             self.store.commit(now)
         return {"processed": processed, "skipped": total - processed - errors, "errors": errors}
 
+    def progress(self, what: str, done: int, total: int, began: float, errors: int) -> None:
+        """How far a command is, its average and what is left at this pace."""
+        each = (self.now() - began) / max(done, 1)
+        self.report(f"{done} of {total} {what}, {errors} errors, {each:.2f} s each, about {each * (total - done):.0f} s left")
+
     def candidates(self, now: Snapshot, min_tags: int, max_frequency: int) -> DataFrame:
         return T.shared_tag_pairs(T.tag_index(now.states), min_tags, max_frequency)
 
     def discover(self, min_tags: int = 2, max_frequency: int = COMMAND_MAX_FREQUENCY, force: bool = False) -> dict[str, int]:
         """Asks for a verdict on each unevaluated pair of notes with shared tags that are not linked yet,
-        and adds confirmed links. All pairs looked at are marked, whatever the verdict."""
+        and adds confirmed links, a committed batch at a time. All pairs looked at are marked, whatever
+        the verdict; where asking fails, the pair is asked for again next time."""
         now = self.store.load()
         if force:
             now.evaluated = self.spark.createDataFrame([], S.PAIRS)
             now = self.store.commit(now)
-        notes = self.notes()
+        for row in T.skipped_tags(T.tag_index(now.states), max_frequency).toLocalIterator():
+            self.report(f"tag left out: {row['tag']} (on {row['n']} notes)")
+        notes = stash(self.notes(), "notes")
         pairs = stash(self.candidates(now, min_tags, max_frequency), "candidates")
         left = T.unevaluated(pairs, now.evaluated)
-        linked = L.already_linked(left, L.edges(notes)).select("note_a", "note_b")
-        asked = left.join(linked, ["note_a", "note_b"], "left_anti")
-        replies = stash(E.verified(asked, notes, now.states, self.verifier), "verdicts")
-        verdicts = E.parsed_verdicts(replies)
-        confirmed = verdicts.where("confirmed").select("note_a", "note_b", "n_shared", "link_from", "link_to", "reason")
-        confirmed = stash(S.numbered(confirmed, F.desc("n_shared"), F.col("note_a"), F.col("note_b")), "confirmed")
-        states = L.with_verdicts(now.states, confirmed)
-        self.store.commit(Snapshot(states, S.mark_evaluated(now.evaluated, left), now.last_run, now.last_completed_run))
-        n_left, n_confirmed = left.count(), confirmed.count()
-        return {"candidates": pairs.count(), "confirmed": n_confirmed, "skipped": n_left - n_confirmed}
+        linked = stash(L.already_linked(left, L.edges(notes)).select("note_a", "note_b"), "linked")
+        todo = left.join(linked, ["note_a", "note_b"], "left_anti")
+        todo = stash(S.numbered(todo, F.desc("n_shared"), F.col("note_a"), F.col("note_b")), "to-verify")
+        total, n_linked, began = todo.count(), linked.count(), self.now()
+        confirmed, errors = 0, 0
+        now.evaluated = S.mark_evaluated(now.evaluated, linked)
+        now = self.store.commit(now)
+        for start in range(0, total, self.batch_pairs):
+            some = todo.where((F.col("seq") >= start) & (F.col("seq") < start + self.batch_pairs))
+            replies = stash(E.verified(some, notes, now.states, self.verifier), "verdicts")
+            yes = E.parsed_verdicts(replies).where("confirmed").select("note_a", "note_b", "link_from", "link_to", "reason", "seq")
+            counts = E.parsed_verdicts(replies).agg(F.count_if("confirmed").alias("yes"), F.count_if("failed").alias("failed")).first()
+            now = self.store.load()
+            now.states = L.with_verdicts(now.states, yes)
+            now.evaluated = S.mark_evaluated(now.evaluated, replies.where("NOT failed"))
+            now = self.store.commit(now)
+            confirmed, errors = confirmed + counts["yes"], errors + counts["failed"]
+            self.progress("pairs", min(start + self.batch_pairs, total), total, began, errors)
+        return {"candidates": pairs.count(), "confirmed": confirmed, "skipped": n_linked + total - confirmed}
 
     def normalize(self, apply: bool = False, threshold: int = 2) -> DataFrame:
         """(canonical, n, variants) of what would be merged; with apply it is."""
         now = self.store.load()
         counts = stash(T.tag_counts(now.states), "tag-counts")
         mapping = stash(T.normalization_map(counts, threshold), "tag-map")
+        after = counts.join(mapping.withColumnRenamed("variant", "tag"), "tag", "left")
+        unique = after.select(F.count("*").alias("before"), F.count_distinct(F.coalesce("canonical", "tag")).alias("after")).first()
+        self.report(f"{unique['before']} different tags, {unique['after']} after merging")
         if apply:
             now.states = T.normalized(now.states, mapping).drop("replaced")
             self.store.commit(now)
         return T.merge_preview(counts, mapping).orderBy("canonical")
 
-    def validate(self, fix: bool = False) -> DataFrame:
-        """(valid, invalid, fixed, removed)."""
+    def validate(self, fix: bool = False, details: Callable[[DataFrame], None] | None = None) -> DataFrame:
+        """(valid, invalid, fixed, removed). details sees (path, target, status, correction) of the links
+        that are not valid as they are, in order."""
         now, files = self.store.load(), self.notes().select("path")
-        counts = stash(L.validation_counts(L.validated(now.states, files, fix)), "validation")
+        checked = stash(L.validated(now.states, files, fix), "validation")
+        if details:
+            found = checked.where("status <> 'valid' OR correction IS NOT NULL").orderBy("ord", "pos")
+            details(found.select("path", "target", "status", "correction"))
         if fix:
             now.states = L.fixed_links(now.states, files)
             self.store.commit(now)
-        return counts
+        return L.validation_counts(checked)
 
     def clean(self) -> dict[str, int]:
         now = self.store.load()
@@ -124,8 +151,10 @@ class Notebook:
 
     def _apply(self, plan: Callable, pending: Callable, flag: str, confirm: Callable[[DataFrame], bool] | None) -> int:
         now = self.store.load()
-        edits = stash(plan(self.notes(), pending(now.states)), "edits")
-        if confirm and not confirm(edits):
+        notes = stash(self.notes(), "notes")
+        edits = stash(plan(notes, pending(now.states)), "edits")
+        before = notes.select("path", F.col("content").alias("old_content"))
+        if confirm and not confirm(edits.join(before, "path").orderBy(sort_key(F.col("path")))):
             return 0
         done = write_edits(edits, self.vault).where("written")
         now.states = S.mark_applied(now.states, done, flag)
@@ -133,7 +162,8 @@ class Notebook:
         return done.count()
 
     def apply_tags(self, confirm: Callable[[DataFrame], bool] | None = None) -> int:
-        """Writes pending tags into notes; confirm sees the plan first. Returns the notes written."""
+        """Writes pending tags into notes; confirm sees (path, new_content, old_content) of the plan first.
+        Returns the notes written."""
         return self._apply(R.plan_tags, S.pending_tags, "tags_applied", confirm)
 
     def apply_links(self, confirm: Callable[[DataFrame], bool] | None = None) -> int:
@@ -149,6 +179,20 @@ class Notebook:
         now = self.store.load()
         return S.pending_tags(now.states).orderBy("ord"), S.pending_links(now.states).orderBy("ord")
 
+    def export_json(self, path: str) -> None:
+        """The state as one JSON file."""
+        now = self.store.load()
+        with open(path, "w", encoding="utf-8") as file:
+            file.write(S.to_json(now.states, now.evaluated, now.last_run, now.last_completed_run))
+
+    def import_json(self, path: str) -> dict[str, int]:
+        """Takes over a state file; what the store held is replaced."""
+        states, pairs, runs = S.read_json(self.spark, path)
+        runs = runs.first()
+        states = states.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in S.schema_of("state").fields))
+        now = self.store.commit(Snapshot(states, pairs, runs["last_run"], runs["last_completed_run"]))
+        return {"notes": now.states.count(), "pairs": now.evaluated.count()}
+
     def daily(self) -> dict:
         """Everything once, in the order of the daily job; the first error stops it."""
         return {

@@ -20,6 +20,10 @@ class Snapshot:
     last_completed_run: float | None = None
 
 
+#: Versions that stay; older ones are deleted after a commit.
+KEPT = 5
+
+
 class Store:
     """Snapshots below a folder that the driver and all executors reach. A reader sees the version that
     the newest complete commit file names; an interrupted commit is never seen."""
@@ -56,4 +60,7 @@ class Store:
         out.write(text.encode())
         out.close()
         fs.rename(part, self._fs(f"{self.folder}/commits/{version}.json")[1])
+        for old in self._commits()[:-KEPT]:
+            fs.delete(self._fs(old)[1], False)
+            fs.delete(self._fs(f"{self.folder}/{old.rsplit('/', 1)[-1].removesuffix('.json')}")[1], True)
         return self.load()

@@ -1,20 +1,27 @@
-"""The note tools a model may call, over a notes DataFrame, as texts."""
+"""The note tools a model may call, as texts: over a notes DataFrame on the driver, or over a written
+snapshot on executors."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import json
+import re
+import uuid
+from collections.abc import Callable, Iterator
 from typing import Any
 
+import pyarrow.dataset
+import pyarrow.fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import inline_tags, frontmatter, outgoing_links, sort_key
+from ..functions.text import frontmatter, inline_tags, is_hidden, lines, outgoing_links, sort_key
 from ..operators.links import backlinks
 from ..operators.rewrite import edited
-from ..operators.search import list_notes, search
+from ..operators.search import MOST_LINES, list_notes, search
+from ..session import shared_dir
 
 _PATH = {"path": ("string", "Path of a note, relative to the vault")}
-#: Name: what it does, its parameters, and which of them are required.
+# Fixed: the names of tools and parameters. Name: what it does, its parameters, and which of them are required.
 TOOLS: dict[str, tuple[str, dict[str, tuple[str, str]], list[str]]] = {
     "list_notes": ("List the notes of a folder.", {"folder": ("string", "Folder; all notes if empty")}, []),
     "read_note": ("Read a whole note.", _PATH, ["path"]),
@@ -53,7 +60,24 @@ def schemas() -> list[dict]:
     ]
 
 
-class NoteTools:
+class Called:
+    """Runs the methods that TOOLS names."""
+
+    def schemas(self) -> list[dict]:
+        return schemas()
+
+    def __call__(self, name: str, arguments: dict) -> str:
+        """Runs a tool; an unknown name or any error is answered by a text."""
+        tool: Callable[..., str] | None = getattr(self, name) if name in TOOLS else None
+        if tool is None:
+            return f"Error: unknown tool '{name}'"
+        try:
+            return tool(**arguments)
+        except Exception as error:  # noqa: BLE001  the model reads what went wrong
+            return f"Error: {error}"
+
+
+class NoteTools(Called):
     """Answers tool calls from one snapshot of the notes. Edits are only planned: they go to the planned
     list and change nothing."""
 
@@ -106,12 +130,100 @@ class NoteTools:
         self.planned.append(plan)
         return f"Planned an edit of '{path}' ({operation})"
 
-    def __call__(self, name: str, arguments: dict) -> str:
-        """Runs a tool; an unknown name or any error is answered by a text."""
-        tool: Callable[..., str] | None = getattr(self, name) if name in TOOLS else None
-        if tool is None:
-            return f"Error: unknown tool '{name}'"
+
+class SnapshotTools(Called):
+    """The same tools over notes that write() left in a shared folder. It holds two paths only, so it
+    travels to executors inside a client. Edits are planned: each is a file of JSON in the folder edits."""
+
+    def __init__(self, folder: str):
+        self.folder, self.edits = folder, f"{folder}-edits"
+
+    @classmethod
+    def write(cls, notes: DataFrame) -> SnapshotTools:
+        """notes in path order, with all that the tools answer from but patterns."""
+        back = backlinks(notes).groupBy("path").agg(F.array_sort(F.collect_list("src_path")).alias("back"))
+        rows = notes.join(back, "path", "left").select(
+            "path",
+            "content",
+            is_hidden(F.col("path")).alias("hidden"),
+            (~is_hidden(F.col("path")) & (F.col("valid_utf8") if "valid_utf8" in notes.columns else F.lit(True))).alias("searched"),
+            lines(F.col("content")).alias("lines"),
+            outgoing_links(F.col("content")).alias("out"),
+            "back",
+            F.to_json(frontmatter(F.col("content"))).alias("fields"),
+            inline_tags(F.col("content")).alias("tags"),
+        )
+        folder = f"{shared_dir(notes.sparkSession)}/tables/note-tools-{uuid.uuid4().hex[:12]}"
+        rows.repartitionByRange(sort_key(F.col("path"))).sortWithinPartitions(sort_key(F.col("path"))).write.parquet(folder)
+        return cls(folder)
+
+    def _opened(self, folder: str) -> tuple[Any, str]:
+        return pyarrow.fs.FileSystem.from_uri(folder if ":" in folder else f"file://{folder}")
+
+    def _rows(self, columns: list[str], wanted=None) -> Iterator[dict]:
+        """In path order: part files are numbered by ranges."""
+        fs, path = self._opened(self.folder)
+        files = sorted(x.path for x in fs.get_file_info(pyarrow.fs.FileSelector(path)) if x.path.endswith(".parquet"))
+        for file in files:
+            for batch in pyarrow.dataset.dataset(file, filesystem=fs, format="parquet").to_batches(columns=columns, filter=wanted):
+                yield from batch.to_pylist()
+
+    def _one(self, path: str, *columns: str) -> dict:
+        if not path:
+            raise ValueError("path is required")
+        row = next(self._rows(list(columns), pyarrow.dataset.field("path") == path), None)
+        if row is None:
+            raise ValueError(f"note '{path}' not found")
+        return row
+
+    def list_notes(self, folder: str = "") -> str:
+        start = folder.rstrip("/") + "/" if folder else ""
+        rows = [r["path"] for r in self._rows(["path", "hidden"]) if not r["hidden"] and r["path"].startswith(start)]
+        if folder and not rows:
+            raise ValueError(f"folder '{folder}' does not exist")
+        return "\n".join(rows) or "No notes found."
+
+    def read_note(self, path: str = "") -> str:
+        return self._one(path, "content")["content"]
+
+    def search_vault(self, query: str = "") -> str:
+        if not query:
+            raise ValueError("query is required")
         try:
-            return tool(**arguments)
-        except Exception as error:  # noqa: BLE001  the model reads what went wrong
-            return f"Error: {error}"
+            pattern = re.compile(query, re.IGNORECASE)
+        except re.error:
+            pattern = re.compile(re.escape(query), re.IGNORECASE)
+        found: list[str] = []
+        for row in self._rows(["path", "searched", "lines"]):
+            if row["searched"]:
+                found += [f"{row['path']}:{k}: {line.strip()}" for k, line in enumerate(row["lines"] or [], 1) if pattern.search(line)]
+            if len(found) > MOST_LINES:
+                found.append("... (truncated, too many results)")
+                break
+        return "\n".join(found) or "No matches found."
+
+    def get_note_links(self, path: str = "") -> str:
+        row = self._one(path, "out", "back")
+        return f"Outgoing links: {row['out'] or 'none'}\nBacklinks: {row['back'] or 'none'}"
+
+    def get_note_metadata(self, path: str = "") -> str:
+        row = self._one(path, "fields", "tags")
+        return f"Frontmatter: {json.loads(row['fields'] or '{}') or 'none'}\nInline tags: {row['tags'] or 'none'}"
+
+    def edit_note(self, path: str = "", operation: str = "append", content: str = "", target: str = "") -> str:
+        old = self._one(path, "content")["content"]
+        if operation not in ("append", "prepend", "replace"):
+            raise ValueError(f"unknown operation '{operation}'")
+        if operation == "replace" and (not target or target not in old):
+            raise ValueError("target not found")
+        fs, folder = self._opened(self.edits)
+        fs.create_dir(folder)
+        with fs.open_output_stream(f"{folder}/{uuid.uuid4().hex}.json") as out:
+            out.write(json.dumps({"path": path, "operation": operation, "content": content, "target": target}).encode())
+        return f"Planned an edit of '{path}' ({operation})"
+
+    def planned(self) -> list[dict]:
+        """The edits that were planned so far, by path."""
+        fs, folder = self._opened(self.edits)
+        found = fs.get_file_info(pyarrow.fs.FileSelector(folder, allow_not_found=True))
+        return sorted((json.loads(fs.open_input_stream(x.path).read()) for x in found), key=lambda x: x["path"])

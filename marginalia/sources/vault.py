@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions.text import content_hash
-from ..session import prepare
+from ..session import prepare, stash
 
 SCHEMA = "path string, content string, valid_utf8 boolean"
 
@@ -79,7 +79,7 @@ def read_vault(spark: SparkSession, path: str) -> DataFrame:
 
 def write_edits(edits: DataFrame, root: str) -> DataFrame:
     """Writes (path, new_content) into the folder's notes on the executors and returns (path, written)
-    as a local table; notes that are gone are not written. Paths outside of the folder fail."""
+    as a written table; notes that are gone are not written. Paths outside of the folder fail."""
     spark = edits.sparkSession
     prepare(spark)
 
@@ -95,5 +95,4 @@ def write_edits(edits: DataFrame, root: str) -> DataFrame:
                 done.append(file.exists())
             yield batch[["path"]].assign(written=done)
 
-    rows = edits.select("path", "new_content").mapInPandas(put, "path string, written boolean").toArrow()
-    return spark.createDataFrame(rows.to_pandas(), "path string, written boolean")
+    return stash(edits.select("path", "new_content").mapInPandas(put, "path string, written boolean"), "written")

@@ -11,7 +11,7 @@ from marginalia.operators import search as Q
 from marginalia.operators import state as S
 from marginalia.plans.pipeline import Notebook
 from marginalia.plans.store import Store
-from marginalia.plans.tools import NoteTools, schemas
+from marginalia.plans.tools import NoteTools, SnapshotTools, schemas
 from marginalia.sources.model import ChatClient, calls_of, content_of, joined
 from marginalia.sources.vault import inside, read_vault, write_edits
 from marginalia.streaming.incremental import follow
@@ -81,9 +81,11 @@ def test_replies(spark):
     rows = spark.createDataFrame(list(enumerate(replies)), "k int, reply string")
     got = {r["k"]: (r["ok"], r["proposed_tags"]) for r in E.parsed_replies(rows).collect()}
     assert got == {0: (True, ["a"]), 1: (False, []), 2: (False, []), 3: (False, []), 4: (True, []), 5: (False, [])}
-    verdicts = ['{"should_link": "false"}', '{"should_link": false}', '{"should_link": true, "reason": "r"}', "x", "{}", None]
-    rows = spark.createDataFrame(list(enumerate(verdicts)), "k int, reply string")
-    assert {r["k"]: r["confirmed"] for r in E.parsed_verdicts(rows).collect()} == {0: True, 1: False, 2: True, 3: False, 4: False, 5: False}
+    verdicts = {'{"should_link": "false"}': True, '{"should_link": false}': False, '{"should_link": true, "reason": "r"}': True, "x": False, "{}": False, None: False}
+    verdicts |= {'{"should_link": 0.0}': False, '{"should_link": -2}': True, '{"should_link": []}': False, '{"should_link": [0]}': True, '{"should_link": {}}': False}
+    verdicts |= {'{"should_link": null}': False, '{"should_link": ""}': False, '{"x": {"should_link": "yes"}, "should_link": false}': False}
+    rows = spark.createDataFrame([(x,) for x in verdicts], "reply string")
+    assert {r["reply"]: r["confirmed"] for r in E.parsed_verdicts(rows).collect()} == verdicts
 
 
 def test_commands(spark, tmp_path):
@@ -108,6 +110,66 @@ def test_commands(spark, tmp_path):
     assert set(book.daily()) == {"run", "normalized", "validated", "cleaned", "discovered", "tags", "links", "status"}
 
 
+def test_a_lost_answer_loses_nothing_else(spark, tmp_path):
+    class Shaky:
+        """Fails on one note, and on pairs with one note."""
+
+        def enrich(self, path, content):
+            if "two" in path:
+                raise OSError("no answer")
+            return json.dumps({"tags": ["planning", "quarterly"], "links": []})
+
+        def verify(self, pair):
+            if "three" in pair["note_a"] + pair["note_b"]:
+                raise OSError("no answer")
+            return json.dumps({"should_link": True, "link_from": pair["note_a"], "link_to": pair["note_b"]})
+
+    root = fill(tmp_path / "v", {f"{x}.md": b"text" for x in ("one", "two", "three", "four")})
+    said = []
+    book = Notebook(spark, root, Store(spark, str(tmp_path / "s")), Shaky(), Shaky(), batch_notes=2, batch_pairs=1, report=said.append)
+    assert book.run() == {"processed": 3, "skipped": 0, "errors": 1}
+    assert "3 of 4" not in said[0] and "2 of 4 notes" in said[0] and "s left" in said[-1]
+    assert book.run()["errors"] == 1  # only the lost one is asked about again
+    assert book.discover() == {"candidates": 3, "confirmed": 1, "skipped": 2}
+    book.verifier = E.SharedTags()
+    assert book.discover()["confirmed"] == 2  # the two pairs whose answers were lost
+    assert len(os.listdir(tmp_path / "s/commits")) <= 10  # five versions and their checksums
+
+
+def test_state_file_commands(spark, tmp_path):
+    root = fill(tmp_path / "v", {"one.md": b"planning planning quarterly", "two.md": b"planning quarterly"})
+    book = Notebook(spark, root, Store(spark, str(tmp_path / "s")), report=lambda _: None)
+    book.run()
+    book.discover()
+    book.export_json(str(tmp_path / "state.json"))
+    other = Notebook(spark, root, Store(spark, str(tmp_path / "t")), report=lambda _: None)
+    assert other.import_json(str(tmp_path / "state.json")) == {"notes": 2, "pairs": 1}
+    assert other.run()["processed"] == 0 and other.discover()["candidates"] == 1
+    other.export_json(str(tmp_path / "again.json"))
+    again, first = (json.loads((tmp_path / name).read_text()) for name in ("again.json", "state.json"))
+    assert again["notes"] == first["notes"] and again["evaluated_pairs"] == first["evaluated_pairs"] == ["one.md|two.md"]
+
+
+def test_details_and_previews(spark, tmp_path, capsys, monkeypatch):
+    from marginalia.__main__ import asked, listed
+
+    root = fill(tmp_path / "v", {"one.md": b"planning planning quarterly", "two.md": b"planning quarterly"})
+    said = []
+    book = Notebook(spark, root, Store(spark, str(tmp_path / "s")), report=said.append)
+    book.run()
+    book.discover(max_frequency=1)
+    assert any("planning" in x and "left out" in x for x in said)
+    now = book.store.load()
+    now.states = now.states.withColumn("proposed_links", F.expr("array(named_struct('target', 'Two.md', 'reason', ''), named_struct('target', 'nowhere at all', 'reason', ''))"))
+    book.store.commit(now)
+    book.validate(False, listed)
+    assert "one.md  Two.md  fixable  two.md" in capsys.readouterr().out
+    book.normalize()
+    assert "different tags" in said[-1]
+    monkeypatch.setattr("builtins.input", lambda _: "n")
+    assert book.apply_tags(asked) == 0 and "+tags: [planning, quarterly]" in capsys.readouterr().out
+
+
 def test_writer_skips_lost_notes(spark, tmp_path):
     root = fill(tmp_path, {"a.md": b"x"})
     plan = spark.createDataFrame([("a.md", "é\n"), ("gone.md", "y")], "path string, new_content string")
@@ -128,6 +190,22 @@ def test_tools(spark, tmp_path):
     assert all(hasattr(NoteTools, s["function"]["name"]) for s in schemas())
 
 
+def test_snapshot_tools_answer_alike(spark, tmp_path):
+    """Over a written snapshot as over the notes; they travel inside a client and plan edits as files."""
+    import pickle
+
+    files = {"a.md": b"see [[b]] #t", "d/b.md": b"---\nk: v\n---\nHit (x", "a-b.md": b"hit", ".hid/n.md": b"hit", "bad.md": b"\xff hit"}
+    notes = read_vault(spark, fill(tmp_path, files))
+    here, there = NoteTools(notes), pickle.loads(pickle.dumps(ChatClient(tools=SnapshotTools.write(notes)))).tools
+    calls = [("list_notes", {}), ("list_notes", {"folder": "d"}), ("list_notes", {"folder": "x"}), ("read_note", {"path": "a.md"}), ("search_vault", {"query": "hit"})]
+    calls += [("search_vault", {"query": "(x"}), ("search_vault", {"query": "zz"}), ("get_note_links", {"path": "d/b.md"}), ("get_note_links", {"path": "a.md"})]
+    calls += [("get_note_metadata", {"path": p}) for p in ("a.md", "d/b.md", "no.md")] + [("read_note", {}), ("edit_note", {"path": "no.md", "content": "x"})]
+    calls += [("edit_note", {"path": "a.md", "operation": "replace", "target": "none", "content": "x"}), ("edit_note", {"path": "a.md", "content": "x"}), ("no_tool", {})]
+    for name, arguments in calls:
+        assert there(name, arguments) == here(name, arguments), (name, arguments)
+    assert [x["path"] for x in there.planned()] == ["a.md"] and there.schemas() == schemas()
+
+
 def test_chat_stream():
     chunks = [{"message": {"content": "a", "thinking": "t"}}, {"message": {"content": "b", "tool_calls": [{"function": {"name": "f"}}]}, "done": True}, {"message": {"content": "late"}}]
     reply = joined(iter([json.dumps(c).encode() for c in chunks] + [b""]))
@@ -136,7 +214,7 @@ def test_chat_stream():
 
 def test_tool_loop_is_bounded():
     client = ChatClient(tools=lambda name, arguments: "again")
-    client.chat = lambda messages: {"message": {"content": "", "tool_calls": [{"function": {"name": "f", "arguments": {}}}]}}
+    client.chat = lambda messages, tools: {"message": {"content": "", "tool_calls": [{"function": {"name": "f", "arguments": {}}}]}}
     assert client.loop([]).startswith("Error")
 
 
