@@ -121,6 +121,7 @@ class NoteTools(Called):
         return f"Frontmatter: {row['fields'] or 'none'}\nInline tags: {row['tags'] or 'none'}"
 
     def edit_note(self, path: str = "", operation: str = "append", content: str = "", target: str = "") -> str:
+        self._one(path, "path")
         spark = self.notes.sparkSession
         asked = spark.createDataFrame([(path, operation, content, target)], "path string, operation string, content string, target string")
         plan = edited(self.notes, asked)
@@ -212,9 +213,13 @@ class SnapshotTools(Called):
 
     def edit_note(self, path: str = "", operation: str = "append", content: str = "", target: str = "") -> str:
         old = self._one(path, "content")["content"]
+        if not content:
+            raise ValueError("content is required")
         if operation not in ("append", "prepend", "replace"):
-            raise ValueError(f"unknown operation '{operation}'")
-        if operation == "replace" and (not target or target not in old):
+            raise ValueError("unknown operation")
+        if operation == "replace" and not target:
+            raise ValueError("target is required")
+        if operation == "replace" and target not in old:
             raise ValueError("target not found")
         fs, folder = self._opened(self.edits)
         fs.create_dir(folder)

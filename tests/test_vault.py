@@ -201,6 +201,7 @@ def test_snapshot_tools_answer_alike(spark, tmp_path):
     calls += [("search_vault", {"query": "(x"}), ("search_vault", {"query": "zz"}), ("get_note_links", {"path": "d/b.md"}), ("get_note_links", {"path": "a.md"})]
     calls += [("get_note_metadata", {"path": p}) for p in ("a.md", "d/b.md", "no.md")] + [("read_note", {}), ("edit_note", {"path": "no.md", "content": "x"})]
     calls += [("edit_note", {"path": "a.md", "operation": "replace", "target": "none", "content": "x"}), ("edit_note", {"path": "a.md", "content": "x"}), ("no_tool", {})]
+    calls += [("edit_note", {"path": "a.md", "operation": o, "content": c}) for o, c in (("append", ""), ("replace", "x"), ("other", "x"))]
     for name, arguments in calls:
         assert there(name, arguments) == here(name, arguments), (name, arguments)
     assert [x["path"] for x in there.planned()] == ["a.md"] and there.schemas() == schemas()
