@@ -40,6 +40,8 @@ BUCKET_GRAMS, BUCKET_ENTRIES = 1 << 20, 1 << 17
 MOST_RANGES, MOST_SAMPLED = 4096, 1 << 17
 #: A gram with more surroundings than this, as blocks count them, is split by its windows.
 MOST_AROUND = 1 << 14
+#: Records whose prefix sums are computed at once.
+SUMMED_ROWS = 1 << 13
 #: Low bits of a sort key that hold a place in a segment.
 PLACE_BITS = 28
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -271,10 +273,12 @@ def window_masks(rows: np.ndarray, group: np.ndarray, ids: np.ndarray, length: i
     side = length - gram
     early, late = rows[:, length + side + 2].astype(np.int64), rows[:, length + side + 3].astype(np.int64)
     # in the order of the text, as prefix sums of a polynomial
-    flat = np.concatenate([rows[:, length : length + side], rows[:, :length]], axis=1)
     up, _ = powers(CHUNK_BYTES * 2)
     sums = np.zeros((len(rows), side + length + 1), np.uint64)
-    np.cumsum((flat.astype(np.uint64) + np.uint64(1)) * up[: side + length], axis=1, out=sums[:, 1:])
+    for at in range(0, len(rows), SUMMED_ROWS):
+        part = rows[at : at + SUMMED_ROWS]
+        flat = np.concatenate([part[:, length : length + side], part[:, :length]], axis=1).astype(np.uint64)
+        np.cumsum((flat + np.uint64(1)) * up[: side + length], axis=1, out=sums[at : at + SUMMED_ROWS, 1:])
     masks = np.zeros(len(rows), np.uint64)
     own = mix(group.astype(np.uint64))
     for back in range(side + 1):
@@ -308,6 +312,7 @@ def earlier(table: pa.Table, length: int, gram: int) -> pa.Table:
     for word in words:
         own = word[order]
         new[1:] |= own[1:] != own[:-1]
+    del words
     firsts, kind = np.flatnonzero(new), np.cumsum(new) - 1
     least = np.minimum.reduceat(ids[order], firsts)
     # of records that are equal as a whole, all but the earliest document's go whole
