@@ -32,7 +32,7 @@ from .blocks import answers, blocks, from_bytes, ids_of, multikey_sort, text_buf
 LENGTH = 50
 GRAM = 18
 #: Bytes of text that are hashed at once; longer documents go in overlapping segments.
-CHUNK_BYTES = 1 << 19
+CHUNK_BYTES = 1 << 18
 #: Grams, and records, in a bucket, about.
 BUCKET_GRAMS, BUCKET_ENTRIES = 1 << 20, 1 << 17
 #: Ranges of leading bytes, at most, and sampled keys in all, about: they bound what the driver and
@@ -200,6 +200,16 @@ def records(raw: np.ndarray, bounds: np.ndarray, doc: np.ndarray, place: np.ndar
     return out
 
 
+def window_prints(raw: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
+    """Fingerprints of the windows of length bytes at starts, a slice of them at once."""
+    out = np.zeros(len(starts), np.uint64)
+    up, _ = powers(CHUNK_BYTES * 2)
+    for at in range(0, len(starts), SUMMED_ROWS):
+        seen = np.lib.stride_tricks.sliding_window_view(raw, length)[starts[at : at + SUMMED_ROWS]].astype(np.uint64)
+        out[at : at + SUMMED_ROWS] = ((seen + np.uint64(1)) * up[:length]).sum(axis=1)
+    return mix(out)
+
+
 def words_of(rows: np.ndarray) -> list[np.ndarray]:
     return list(np.ascontiguousarray(rows).view(">u8").astype(np.uint64).T)
 
@@ -404,7 +414,7 @@ def repeated_spans(
                 early = np.r_[block.place[one] - block.low[one], np.zeros(len(start), np.int64)]
                 late = np.r_[block.place[one] - block.high[one], np.zeros(len(start), np.int64)]
                 # first the suffixes that are alike by hash, then the records by their bytes
-                label = np.r_[block.around[one], Hashed(block.raw).of(start, start + length) if len(start) else np.zeros(0, np.uint64)]
+                label = np.r_[block.around[one], window_prints(block.raw, start, length)]
                 _, first, alike = np.unique(label, return_index=True, return_inverse=True)
                 rows = records(block.raw, block.bounds, doc[first], place[first], early[first], late[first], length, gram)
                 order = multikey_sort(*words_of(rows))
