@@ -58,7 +58,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 #: Rows in a batch for Python workers, and bytes beyond which it ends earlier.
-BATCH_ROWS, BATCH_BYTES = 2048, 16 << 20
+BATCH_ROWS, BATCH_BYTES = 2048, 4 << 20
 #: Paths of stashed tables, by the innermost recording() that was open.
 _RECORDS: list[list[str]] = []
 
