@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_arrow
+from .common import map_arrow, tidy
 from ..session import stash, unstash
 from .blocks import answers, blocks, from_bytes, ids_of, multikey_sort, text_buffer
 
@@ -33,6 +33,9 @@ LENGTH = 50
 GRAM = 18
 #: Bytes of text that are hashed at once; longer documents go in overlapping segments.
 CHUNK_BYTES = 1 << 18
+#: Bytes of text in a block: smaller than elsewhere, as a block's suffixes take many times its bytes, and
+#: its compressed row should stay well below a megabyte in the executor's heap.
+BLOCK_BYTES = 1 << 20
 #: Grams, and records, in a bucket, about.
 BUCKET_GRAMS, BUCKET_ENTRIES = 1 << 20, 1 << 17
 #: Ranges of leading bytes, at most, and sampled keys in all, about: they bound what the driver and
@@ -259,6 +262,13 @@ def replied(table: pa.Table, bodies: list[bytes | None]) -> pa.Table:
     return pa.Table.from_arrays([pa.array(x, f.type) for x, f in zip(columns, SENT)], schema=SENT)
 
 
+def tidied(f, table: pa.Table, *how) -> pa.Table:
+    """f of a bucket; what it took is given back before the next bucket."""
+    out = f(table, *how)
+    tidy()
+    return out
+
+
 def shared_grams(table: pa.Table, most_around: int) -> pa.Table:
     """A bucket of gram hashes: answers each block with a byte for each gram that it sent: 1 where another
     document has the gram, 2 where it also has too many surroundings for one bucket."""
@@ -377,7 +387,7 @@ def repeated_spans(
         docs = docs.drop("n_bytes", "spans", "kept")
     docs = docs.withColumn(text_col, F.col(text_col).cast("string"))
     names = docs.columns
-    packed = blocks(docs, text_col, "suffix-blocks")
+    packed = blocks(docs, text_col, "suffix-blocks", BLOCK_BYTES)
     total, n_blocks = packed.agg(F.coalesce(F.sum("n_bytes"), F.lit(0)), F.count("*")).first()
     n_gram_buckets = np.uint64(max(1, total * 2 // (length - gram + 2) // BUCKET_GRAMS))
 
@@ -493,7 +503,7 @@ def repeated_spans(
 
     sent_schema = "bucket long, block long, body binary"
     first = map_arrow(packed.select("block", "docs"), gram_hashes, sent_schema)
-    replies = answers(first.groupBy("bucket").applyInArrow(lambda table: shared_grams(table, most_around), sent_schema))
+    replies = answers(first.groupBy("bucket").applyInArrow(lambda table: tidied(shared_grams, table, most_around), sent_schema))
     with_replies = packed.join(replies, "block", "left").select("block", "docs", "answers")
     marked = stash(map_arrow(with_replies, shared, "block long, docs binary, held binary, n long, sample array<binary>"), "suffix-shared")
     unstash(packed)
@@ -525,7 +535,7 @@ def repeated_spans(
                 yield sent(number, owner[order], rows[order], least[order])
 
     second = map_arrow(marked.select("block", "docs", "held"), suffixes, sent_schema)
-    replies = answers(second.groupBy("bucket").applyInArrow(lambda table: earlier(table, length, gram), sent_schema))
+    replies = answers(second.groupBy("bucket").applyInArrow(lambda table: tidied(earlier, table, length, gram), sent_schema))
     waiting = marked.select("block", "docs", "held").join(replies, "block", "left").select("docs", "held", "answers")
     more = T._parse_datatype_string("n_bytes long, spans array<struct<start:long,stop:long>>, kept binary")
     schema = T.StructType([*docs.schema.fields, *([] if cut_text else more.fields)])
