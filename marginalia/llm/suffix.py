@@ -344,8 +344,15 @@ def earlier(table: pa.Table, length: int, gram: int) -> pa.Table:
     group = np.cumsum(fresh) - 1
     several = np.flatnonzero(np.bincount(group)[group] > 1)
     masks = np.zeros(len(firsts), np.uint64)
-    if len(several):
-        masks[several] = window_masks(rows[order[firsts[several]]], group[several], least[several], length, gram)
+    # whole groups at a time, as prefix sums take many times a record's bytes
+    heads = np.flatnonzero(np.r_[True, np.diff(group[several]) > 0]) if len(several) else several
+    start = 0
+    while start < len(several):
+        next_head = int(np.searchsorted(heads, start + SUMMED_ROWS))
+        stop = int(heads[next_head]) if next_head < len(heads) else len(several)
+        some = several[start:stop]
+        masks[some] = window_masks(rows[order[firsts[some]]], group[some], least[some], length, gram)
+        start = stop
     answer = np.empty(len(rows), np.uint64)
     answer[order] = np.where(ids[order] > least[kind], whole[kind], masks[kind])
     bodies = []
