@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact, language, media, near, packing, quality, suffix, tokens, toxicity
+from . import audit, chat, exact, language, licences, media, near, packing, quality, suffix, tokens, toxicity
 from .common import documents, remainder
 
 
@@ -83,6 +83,15 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.language_scores(documents(spark, sf_dir))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.filter_audit(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licences.licence_scan(documents(spark, sf_dir), carry=["doc_id"]).drop("places")
+    return found.withColumn("score", F.round("score", 6))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -96,9 +105,17 @@ QUERIES = {
         op8_minhash,
         op9_suffix_dedup,
         op10_language,
+        op11_filter_audit,
+        op12_license_scan,
     )
 }
 
+#: The notices that op12_license_scan looks for, as a table of their words.
+NOTICE_SQL = ", ".join(
+    f"({k}, '{n.label}', {n.base}, {n.share - 1e-9!r}, {n.words!r}, {[f' {key} ' for key in n.keys]!r}::VARCHAR[])"
+    for k, n in enumerate(licences.BASE + licences.NOTICES)
+)
+
 ORACLES = {
     "op2_chat": r"""
         WITH turns AS (
@@ -175,4 +192,73 @@ ORACLES = {
         SELECT doc_id, n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0) AS n_spans, kept_sha256
         FROM bytes JOIN kept USING (doc_id) LEFT JOIN counts USING (doc_id)
     """,
+    "op11_filter_audit": r"""
+        WITH words AS (
+            SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t,
+                regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+        ), copies AS (SELECT t, min(doc_id) AS least FROM words GROUP BY t), failed AS (
+            SELECT doc_id, part,
+                CASE WHEN len(w) < 200 THEN 'A' ELSE '' END
+                || CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 'B' ELSE '' END
+                || CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t) THEN 'C' ELSE '' END
+                || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END
+                || CASE WHEN doc_id > least THEN 'E' ELSE '' END AS fails
+            FROM words JOIN copies USING (t)
+        ), known AS (
+            SELECT doc_id, bool_or(coalesce(quality = 1, false)) AS good, bool_or(coalesce(toxic = 1, false)) AS toxic
+            FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id
+        ), counted AS (
+            SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS n_good, count(*) FILTER (toxic) AS n_toxic
+            FROM failed LEFT JOIN known USING (doc_id) GROUP BY part, fails
+        ), letters(l) AS (VALUES ('A'), ('B'), ('C'), ('D'), ('E')), orders AS (
+            SELECT a.l || b.l || c.l || d.l || e.l AS filter_order
+            FROM letters a, letters b, letters c, letters d, letters e
+            WHERE len(list_distinct([a.l, b.l, c.l, d.l, e.l])) = 5
+        ), steps AS (
+            SELECT filter_order, step, filter_order[step] AS own, filter_order[1:step - 1] AS before
+            FROM orders, (SELECT unnest(range(1, 6)) AS step)
+        ), stepped AS (
+            SELECT part, filter_order, step, own, n, n_good, n_toxic, fails = own AS alone,
+                contains(fails, own) AS hit, translate(fails, before, '') <> fails AS gone
+            FROM counted, steps
+        ), summed AS (
+            SELECT part, filter_order, step, own, sum(CASE WHEN NOT gone AND NOT hit THEN n ELSE 0 END)::BIGINT AS kept,
+                sum(CASE WHEN NOT gone AND hit THEN n ELSE 0 END)::BIGINT AS removed,
+                sum(CASE WHEN gone AND hit THEN n ELSE 0 END)::BIGINT AS redundant,
+                sum(CASE WHEN alone THEN n ELSE 0 END)::BIGINT AS unique_fails,
+                sum(CASE WHEN NOT gone AND hit THEN n_good ELSE 0 END)::BIGINT AS good_lost,
+                sum(CASE WHEN NOT gone AND hit THEN n_toxic ELSE 0 END)::BIGINT AS toxic_lost
+            FROM stepped GROUP BY part, filter_order, step, own
+        )
+        SELECT part, filter_order, step::INTEGER AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+            (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley
+        FROM summed
+    """,
+    "op12_license_scan": rf"""
+        WITH notices(k, label, base, least, own, keys) AS (VALUES {NOTICE_SQL}), numbered AS (
+            SELECT row_number() OVER () AS r, doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t
+            FROM documents
+        ), words AS (
+            SELECT r, doc_id, regexp_extract_all(t, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM numbered
+        ), places AS (SELECT r, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS pos FROM words),
+        templates AS (SELECT k, unnest(own) AS word, generate_subscripts(own, 1) - 1 AS place FROM notices),
+        held AS (SELECT word, count(DISTINCT r) AS n FROM places GROUP BY word), weighed AS (
+            SELECT k, word, place, 1 + ln(((SELECT count(*) FROM documents) + 1) / (coalesce(n, 0) + 1)) AS weight
+            FROM templates LEFT JOIN held USING (word)
+        ), shares AS (SELECT k, word, place, weight / sum(weight) OVER (PARTITION BY k) AS share FROM weighed), met AS (
+            SELECT r, k, pos - place AS start, sum(share) AS share FROM places JOIN shares USING (word) GROUP BY ALL
+        ), found AS (
+            SELECT r, start, label, base, least(share, 1.0) AS share FROM met JOIN notices USING (k) JOIN words USING (r)
+            WHERE share >= least AND len(list_filter(keys, lambda key: NOT contains(
+                ' ' || array_to_string(w[greatest(start, 0) + 1:start + len(own)], ' ') || ' ', key))) = 0
+        ), summed AS (
+            SELECT r, count(*) FILTER (base) AS n_base, min(start) FILTER (base) AS first_word, max(start) FILTER (base) AS last_word,
+                string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels,
+                string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(share) AS score
+            FROM found GROUP BY r
+        )
+        SELECT doc_id, len(w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels,
+            coalesce(labels, '') AS labels, round(coalesce(score, 0), 6) AS score
+        FROM words LEFT JOIN summed USING (r)
+    """,
 }
