@@ -30,6 +30,11 @@ def notes_of(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select(path.alias("path"), lang.alias("lang"), content.alias("content"), content_hash(content).alias("content_hash"), *more)
 
 
+def rows_read(docs: DataFrame) -> dict[str, int]:
+    """read and without_id: the rows of documents, and those without an id. Reads the ids alone."""
+    return docs.agg(F.count("*").alias("read"), F.count_if(F.col("doc_id").isNull()).alias("without_id")).first().asDict()
+
+
 def settings(defaults: dict[str, Any], given: dict[str, Any] | None) -> dict[str, Any]:
     """The defaults with what is given put in; unknown names are refused."""
     unknown = set(given or {}) - set(defaults)

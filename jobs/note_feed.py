@@ -12,14 +12,15 @@ from __future__ import annotations
 
 from typing import Any
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginalia.functions.text import frontmatter, outgoing_links
 from marginalia.operators.tags import deterministic_tags
 from marginalia.session import stash, unstash
 
-from .common import DOCUMENTS, command_line, log, notes_of, settings
+from .common import DOCUMENTS, command_line, log, notes_of, rows_read, settings
 
 DEFAULTS = {"pattern": "documents*.parquet", "files_per_batch": 1000, "most_tags": 6, "files_per_language": 8}
 FEED = (
@@ -34,6 +35,16 @@ def newest(rows: DataFrame) -> DataFrame:
     return rows.groupBy("path").agg(F.max_by(F.struct("lang", "content", "content_hash"), order).alias("note")).select("path", "note.*")
 
 
+def read_feed(spark: SparkSession, target: str) -> DataFrame:
+    """The feed as it stands; without rows as long as nothing was written."""
+    try:
+        return spark.read.schema(FEED).parquet(target)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], FEED)
+
+
 def last_hashes(feed: DataFrame, batch: int) -> DataFrame:
     """(path, last): the hash of each path in the feed before a batch."""
     earlier = feed.where(F.col("batch") < batch)
@@ -71,23 +82,20 @@ def note_feed(spark: SparkSession, source: str, target: str, checkpoint: str, co
     total = {"batches": 0, "read": 0, "without_id": 0, "written": 0}
 
     def take(batch: DataFrame, number: int) -> None:
-        session, seen, put = batch.sparkSession, Observation(), Observation()
-        batch = batch.observe(seen, F.count("*").alias("read"), F.count_if(F.col("doc_id").isNull()).alias("without_id"))
+        session, read = batch.sparkSession, rows_read(batch)
         rows = newest(notes_of(batch, "modified").where("path IS NOT NULL"))
-        last = last_hashes(session.read.schema(FEED).parquet(target), number) if number else None
+        last = last_hashes(read_feed(session, target), number) if number else None
         # read twice from here on, for tags and for the rest
         moved = stash(changed_notes(rows, last), "feed-notes")
         out = enriched(moved, use["most_tags"]).withColumn("batch", F.lit(number).cast("long"))
-        out = out.observe(put, F.count("*").alias("written"), F.count_if(F.col("status") == "new").alias("new"))
         spread = F.pmod(F.xxhash64("path"), F.lit(use["files_per_language"]))
         dealt = out.repartition("lang", spread)
         dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch", "lang").parquet(target)
+        found = read | {"written": moved.count(), "batches": 1}
         unstash(moved)
-        read, wrote = seen.get, put.get
-        log.info("batch %d: read %s, wrote %s to %s", number, read, wrote, target)
-        total["batches"] += 1
-        for name, found in (("read", read), ("without_id", read), ("written", wrote)):
-            total[name] += found[name]
+        log.info("batch %d: read %d rows (%d without an id), wrote %d notes to %s", number, found["read"], found["without_id"], found["written"], target)
+        for name, n in found.items():
+            total[name] += n
 
     stream = spark.readStream.schema(DOCUMENTS).option("maxFilesPerTrigger", use["files_per_batch"]).parquet(f"{source}/{use['pattern']}")
     stream = stream.withColumn("modified", F.col("_metadata.file_modification_time"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from marginalia.catalog import CAP, MIN_SHARED, TAGGED, grouping
 from marginalia.session import shared_dir
 
-from .note_feed import FEED, note_feed
+from .note_feed import note_feed, read_feed
 from .related_notes import REPORT, related_notes
 
 
@@ -33,8 +33,7 @@ def job2_note_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_folder(spark, "note-feed")
     for _ in range(2):
         note_feed(spark, sf_dir, f"{folder}/feed", f"{folder}/progress")
-    feed = spark.read.schema(FEED).parquet(f"{folder}/feed")
-    return feed.select(
+    return read_feed(spark, f"{folder}/feed").select(
         "lang",
         "path",
         "content_hash",

@@ -12,14 +12,14 @@ from __future__ import annotations
 
 from typing import Any
 
-from pyspark.sql import DataFrame, Observation, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marginalia.operators import links as L
 from marginalia.operators import tags as T
 from marginalia.session import stash, unstash
 
-from .common import DOCUMENTS, command_line, log, notes_of, settings
+from .common import DOCUMENTS, command_line, log, notes_of, rows_read, settings
 
 DEFAULTS = {"most_tags": 6, "threshold": 2, "min_shared": 2, "max_frequency": 10, "most_related": 5, "files_per_language": 8}
 REPORT = "lang string, path string, tags array<string>, n_merged long, related array<struct<path:string,n_shared:long>>"
@@ -47,9 +47,7 @@ def related_notes(spark: SparkSession, source: str, target: str, config: dict[st
     id (they are left out), notes written, notes with merged tags and with related notes. Of rows with the
     same path that with the greatest hash is the note."""
     use = settings(DEFAULTS, config)
-    seen, put = Observation(), Observation()
     docs = spark.read.schema(DOCUMENTS).parquet(f"{source}/documents.parquet")
-    docs = docs.observe(seen, F.count("*").alias("read"), F.count_if(F.col("doc_id").isNull()).alias("without_id"))
     rows = notes_of(docs, "doc_id").where("path IS NOT NULL")
     rows = rows.groupBy("path").agg(F.max_by(F.struct("lang", "content", "doc_id"), "content_hash").alias("note"))
     notes = stash(rows.select("path", "note.*"), "report-notes")
@@ -66,12 +64,11 @@ def related_notes(spark: SparkSession, source: str, target: str, config: dict[st
         F.col("replaced").cast("long").alias("n_merged"),
         F.coalesce("related", F.array().cast(empty)).alias("related"),
     )
-    counts = (F.count("*").alias("written"), F.count_if(F.col("n_merged") > 0).alias("merged"), F.count_if(F.size("related") > 0).alias("related"))
-    report = report.observe(put, *counts)
     spread = F.pmod(F.xxhash64("path"), F.lit(use["files_per_language"]))
     report.repartition("lang", spread).write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("lang").parquet(target)
     unstash(notes, states, mapping, merged, pairs)
-    found = seen.get | put.get
+    counts = (F.count("*").alias("written"), F.count_if(F.col("n_merged") > 0).alias("merged"), F.count_if(F.size("related") > 0).alias("related"))
+    found = rows_read(docs) | spark.read.schema(REPORT).parquet(target).agg(*counts).first().asDict()
     log.info("read %d documents from %s (%d without an id)", found["read"], source, found["without_id"])
     log.info("wrote %d notes to %s: %d with merged tags, %d with related notes", found["written"], target, found["merged"], found["related"])
     return found

@@ -170,7 +170,7 @@ def test_command_line(tmp_path):
     done = subprocess.run([sys.executable, "-m", "jobs.note_feed", *given], cwd=ROOT, capture_output=True, text=True, timeout=300)
     assert done.returncode == 0, done.stderr[-2000:]
     counts = json.loads(done.stdout.splitlines()[-1])
-    assert counts["read"] == counts["written"] > 0 and re.search(r"batch 0: read .* wrote", done.stderr)
+    assert counts["read"] == counts["written"] > 0 and re.search(r"batch 0: read \d+ rows .* wrote \d+ notes", done.stderr)
     assert any(p.name.startswith("lang=") for p in (tmp_path / "out" / "batch=0").iterdir())
 
 
