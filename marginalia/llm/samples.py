@@ -31,15 +31,22 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, most: int, parts: d
     return rows.groupBy("part", "label", "doc_id").agg(F.max("text").alias("text"))
 
 
+#: A text larger than this part of a cap on bytes is taken after all others.
+LARGE_PART = 32
+
+
 def first_rows(sample: DataFrame, most: int, most_bytes: int) -> DataFrame:
     """The rows of a labelled() sample that come first by hash, for each label at most `most` with at
-    most most_bytes of text together."""
-    by = Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id")
+    most most_bytes of text together. Texts over a LARGE_PART-th of most_bytes come last, the smallest
+    first, so that they cannot take the place of many; a label's first row stays whatever its size, so
+    the cap empties no label."""
+    large = F.col("size") > max(1, most_bytes // LARGE_PART)
+    by = Window.partitionBy("label").orderBy(large, F.when(large, F.col("size")), F.xxhash64("doc_id"), "doc_id")
     rows = sample.select("label", "doc_id", F.octet_length("text").cast("long").alias("size"))
     so_far = F.sum("size").over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     kept = rows.select("label", "doc_id", F.row_number().over(by).alias("place"), so_far.alias("bytes"))
-    kept = kept.where((F.col("place") <= most) & (F.col("bytes") <= most_bytes)).select("label", "doc_id")
-    return sample.join(F.broadcast(kept), ["label", "doc_id"], "left_semi")
+    kept = kept.where((F.col("place") <= most) & ((F.col("bytes") <= most_bytes) | (F.col("place") == 1)))
+    return sample.join(F.broadcast(kept.select("label", "doc_id")), ["label", "doc_id"], "left_semi")
 
 
 def share(labels: DataFrame, label: str, folds: list[int], modulus: int = 4) -> float:
