@@ -10,8 +10,10 @@ own by multikey quicksort over words of eight bytes and compares neighbours: rec
 as a whole, and, among those with the same leading gram, each window. A splitter never cuts between
 equal leading grams, so nothing is left to compare across boundaries.
 
-A gram with very many surroundings would fill one bucket. Its windows become suffixes of their own,
-which begin with the window's first bytes and so spread over all ranges.
+A gram with very many surroundings would fill one bucket. Its windows become suffixes of their own.
+All occurrences of a window share its anchor, so these meet only each other, and only where they
+are equal in all their bytes: they are dealt by a hash of the whole window, so that windows that begin
+alike do not meet in one bucket.
 """
 
 from __future__ import annotations
@@ -43,6 +45,8 @@ BUCKET_GRAMS, BUCKET_ENTRIES = 1 << 20, 1 << 17
 MOST_RANGES, MOST_SAMPLED = 4096, 1 << 17
 #: A gram with more surroundings than this, as blocks count them, is split by its windows.
 MOST_AROUND = 1 << 14
+#: Bytes of gram hashes in a partition, about.
+PARTITION_BYTES = 1 << 23
 #: Records whose prefix sums are computed at once.
 SUMMED_ROWS = 1 << 13
 #: Low bits of a sort key that hold a place in a segment.
@@ -179,13 +183,16 @@ class Block:
 
 
 def n_words(length: int, gram: int) -> int:
-    return -(-(2 * length - gram + 4) // 8)
+    return -(-(2 * length - gram + 5) // 8)
 
 
-def records(raw: np.ndarray, bounds: np.ndarray, doc: np.ndarray, place: np.ndarray, early: np.ndarray, late: np.ndarray, length: int, gram: int) -> np.ndarray:
+def records(
+    raw: np.ndarray, bounds: np.ndarray, doc: np.ndarray, place: np.ndarray, early: np.ndarray, late: np.ndarray, split: np.ndarray, length: int, gram: int
+) -> np.ndarray:
     """A row of big-endian words for each suffix: its bytes from place as far as the windows reach, then
-    those before it, then how many of each there are, and the first and last window (bytes before
-    place). What lies outside of the document, or of all windows, is zero."""
+    those before it, then how many of each there are, the first and last window (bytes before place),
+    and whether it is a window of its own. What lies outside of the document, or of all windows, is
+    zero."""
     side = length - gram
     out = np.zeros((len(place), 8 * n_words(length, gram)), np.uint8)
     padded = np.r_[np.zeros(side, np.uint8), raw, np.zeros(length, np.uint8)]
@@ -198,7 +205,7 @@ def records(raw: np.ndarray, bounds: np.ndarray, doc: np.ndarray, place: np.ndar
     if (after < length).mean() >= 0.02:
         out[:, :length] *= np.arange(length) < after[:, None]
     out[:, length : length + side] *= np.arange(side) >= side - before[:, None]
-    for k, column in enumerate((before, after, early, late)):
+    for k, column in enumerate((before, after, early, late, split)):
         out[:, length + side + k] = column
     return out
 
@@ -342,7 +349,7 @@ def earlier(table: pa.Table, length: int, gram: int) -> pa.Table:
     head = rows[order[firsts]][:, :gram]
     fresh = np.r_[True, (head[1:] != head[:-1]).any(axis=1)]
     group = np.cumsum(fresh) - 1
-    several = np.flatnonzero(np.bincount(group)[group] > 1)
+    several = np.flatnonzero((np.bincount(group)[group] > 1) & (rows[order[firsts], 2 * length - gram + 4] == 0))
     masks = np.zeros(len(firsts), np.uint64)
     # whole groups at a time, as prefix sums take many times a record's bytes
     heads = np.flatnonzero(np.r_[True, np.diff(group[several]) > 0]) if len(several) else several
@@ -362,6 +369,25 @@ def earlier(table: pa.Table, length: int, gram: int) -> pa.Table:
     return replied(table, bodies)
 
 
+def hashed_bytes(rows: np.ndarray, n: int) -> np.ndarray:
+    out = np.zeros(len(rows), np.uint64)
+    for k in range(n):
+        out = mix(out * np.uint64(257) + rows[:, k])
+    return out
+
+
+def buckets_of(rows: np.ndarray, splitters: np.ndarray, n_ranges: int, n_parts: int, n_buckets: int, length: int, gram: int) -> np.ndarray:
+    """The bucket of each of some sorted records: its range of leading bytes, which the hash of its leading
+    gram splits further. Windows of their own have n_buckets more, dealt by all their bytes."""
+    place = np.searchsorted(leading(rows), splitters, "left")
+    owner = np.searchsorted(place, np.arange(len(rows)), "right").astype(np.int64)
+    if n_parts > 1:
+        owner = owner * n_parts + (hashed_bytes(rows, gram) % np.uint64(n_parts)).astype(np.int64)
+    alone = np.flatnonzero(rows[:, 2 * length - gram + 4])
+    owner[alone] = n_ranges * n_parts + (hashed_bytes(rows[alone], length) % np.uint64(n_buckets)).astype(np.int64)
+    return owner
+
+
 def repeated_spans(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -430,29 +456,30 @@ def repeated_spans(
                 place, doc = np.r_[block.place[one], start], np.r_[block.doc[one], np.repeat(block.doc[many], sizes)]
                 early = np.r_[block.place[one] - block.low[one], np.zeros(len(start), np.int64)]
                 late = np.r_[block.place[one] - block.high[one], np.zeros(len(start), np.int64)]
+                split = np.r_[np.zeros(len(one), np.uint8), np.ones(len(start), np.uint8)]
                 # first the suffixes that are alike by hash, then the records by their bytes
                 label = np.r_[block.around[one], window_prints(block.raw, start, length)]
                 _, first, alike = np.unique(label, return_index=True, return_inverse=True)
-                rows = records(block.raw, block.bounds, doc[first], place[first], early[first], late[first], length, gram)
+                rows = records(block.raw, block.bounds, doc[first], place[first], early[first], late[first], split[first], length, gram)
                 order = multikey_sort(*words_of(rows))
                 entry = np.empty(len(order), np.int64)
                 entry[order] = np.arange(len(order))
-                keys = leading(rows[order])
+                keys = leading(rows[order][rows[order, 2 * length - gram + 4] == 0])
                 step = max(1, len(keys) // each)
                 sample = [x.ljust(16, b"\0") for x in keys[number % step :: step][:each].tolist()] if each > 1 or number % max(1, n_blocks // MOST_SAMPLED) == 0 else []
-                held = pack(place.astype("<i4"), early.astype("u1"), late.astype("u1"), doc.astype("<i4"), entry[alike].astype("<i4"), first[order].astype("<i4"))
+                held = pack(place.astype("<i4"), early.astype("u1"), late.astype("u1"), doc.astype("<i4"), entry[alike].astype("<i4"), first[order].astype("<i4"), split)
                 yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((number, body.as_py(), held, len(order), sample), SHARED)], schema=SHARED)
 
     def opened(body: bytes, held: bytes) -> tuple:
-        """table, raw, bounds, ids, and of each suffix place, early, late, doc, entry; the first of each
-        entry; and the least id of each entry."""
+        """table, raw, bounds, ids, and of each suffix place, early, late, split, doc, entry; the first of
+        each entry; and the least id of each entry."""
         table = from_bytes(body)
         raw, bounds = text_buffer(table.column(text_col))
-        place, early, late, doc, entry, first = (x.astype(np.int64) for x in unpack(held, "<i4", "u1", "u1", "<i4", "<i4", "<i4"))
+        place, early, late, doc, entry, first, split = (x.astype(np.int64) for x in unpack(held, "<i4", "u1", "u1", "<i4", "<i4", "<i4", "u1"))
         ids = ids_of(table, id_col)
         least = np.full(len(first), np.iinfo(np.int64).max)
         np.minimum.at(least, entry, ids[doc])
-        return table, raw, bounds, ids, place, early, late, doc, entry, first, least
+        return table, raw, bounds, ids, place, early, late, split, doc, entry, first, least
 
     def cover(n: int, low: np.ndarray, stop: np.ndarray) -> np.ndarray:
         steps = np.bincount(low, minlength=n + 1)
@@ -488,10 +515,10 @@ def repeated_spans(
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for body, held, reply in zip(*(batch.column(k) for k in range(3))):
-                table, raw, bounds, ids, place, early, late, doc, entry, first, least = opened(body.as_py(), held.as_py())
+                table, raw, bounds, ids, place, early, late, split, doc, entry, first, least = opened(body.as_py(), held.as_py())
                 masks = np.zeros(len(first), np.uint64)
                 if reply.is_valid:
-                    rows = records(raw, bounds, doc[first], place[first], early[first], late[first], length, gram)
+                    rows = records(raw, bounds, doc[first], place[first], early[first], late[first], split[first], length, gram)
                     owner, order = bucket_of(rows)
                     for x in reply.as_py():
                         at, bits = unpack(x["body"], "<u4", "<u8")
@@ -509,7 +536,9 @@ def repeated_spans(
                 yield from finished(table, raw, bounds, gone).to_batches(max_chunksize=512)
 
     sent_schema = "bucket long, block long, body binary"
-    first = map_arrow(packed.select("block", "docs"), gram_hashes, sent_schema)
+    # partitions by what is sent, whatever the session's number
+    n_sent = max(1, -(-total * 10 // ((length - gram + 2) * PARTITION_BYTES)))
+    first = map_arrow(packed.select("block", "docs"), gram_hashes, sent_schema).repartition(n_sent, "bucket")
     replies = answers(first.groupBy("bucket").applyInArrow(lambda table: tidied(shared_grams, table, most_around), sent_schema))
     with_replies = packed.join(replies, "block", "left").select("block", "docs", "answers")
     marked = stash(map_arrow(with_replies, shared, "block long, docs binary, held binary, n long, sample array<binary>"), "suffix-shared")
@@ -523,25 +552,18 @@ def repeated_spans(
     splitters = np.unique(keys[(np.arange(1, n_ranges) * len(keys)) // n_ranges]) if len(keys) else keys
 
     def bucket_of(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Each record's bucket, and the order by bucket of records that are sorted."""
-        place = np.searchsorted(leading(rows), splitters, "left")
-        owner = np.searchsorted(place, np.arange(len(rows)), "right").astype(np.int64)
-        if n_parts > 1:
-            part = np.zeros(len(rows), np.uint64)
-            for k in range(gram):
-                part = mix(part * np.uint64(257) + rows[:, k])
-            owner = owner * int(n_parts) + (part % n_parts).astype(np.int64)
+        owner = buckets_of(rows, splitters, n_ranges, int(n_parts), n_buckets, length, gram)
         return owner, np.argsort(owner, kind="stable")
 
     def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for number, body, held in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
-                _, raw, bounds, _, place, early, late, doc, _, first, least = opened(body.as_py(), held.as_py())
-                rows = records(raw, bounds, doc[first], place[first], early[first], late[first], length, gram)
+                _, raw, bounds, _, place, early, late, split, doc, _, first, least = opened(body.as_py(), held.as_py())
+                rows = records(raw, bounds, doc[first], place[first], early[first], late[first], split[first], length, gram)
                 owner, order = bucket_of(rows)
                 yield sent(number, owner[order], rows[order], least[order])
 
-    second = map_arrow(marked.select("block", "docs", "held"), suffixes, sent_schema)
+    second = map_arrow(marked.select("block", "docs", "held"), suffixes, sent_schema).repartition(n_buckets, "bucket")
     replies = answers(second.groupBy("bucket").applyInArrow(lambda table: tidied(earlier, table, length, gram), sent_schema))
     waiting = marked.select("block", "docs", "held").join(replies, "block", "left").select("docs", "held", "answers")
     more = T._parse_datatype_string("n_bytes long, spans array<struct<start:long,stop:long>>, kept binary")

@@ -12,8 +12,10 @@ from conftest_texts import words_of
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from marginalia.llm import near, packing, quality, toxicity
-from marginalia.llm.blocks import text_buffer
+from pyspark.sql import functions as F
+
+from marginalia.llm import near, packing, quality, samples, suffix, toxicity
+from marginalia.llm.blocks import multikey_sort, text_buffer
 
 # packing
 
@@ -173,6 +175,41 @@ def test_links_of_an_id_with_two_texts(spark):
     assert {r["component_id"] for r in got} == {1}
 
 
+# samples and suffixes
+
+
+def test_cap_on_bytes_empties_no_class(spark):
+    """The text that comes first by hash is larger than the cap, or takes most of it."""
+    rows = [(k, k % 2, "word " * 20) for k in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, label int, text string")
+    first = {r["label"]: r["doc_id"] for r in df.groupBy("label").agg(F.min_by("doc_id", F.xxhash64("doc_id")).alias("doc_id")).collect()}
+    for size in (540_000, 99_000):
+        text = F.when(F.col("doc_id").isin(*first.values()), F.repeat(F.lit("x"), size)).otherwise(F.col("text"))
+        kept = samples.first_rows(df.withColumn("text", text), 150, 100_000)
+        assert {r["label"]: r["count"] for r in kept.groupBy("label").count().collect()} == {0: 99, 1: 99}
+        assert kept.where(F.col("doc_id").isin(*first.values())).count() == 0
+    # texts that are all too large: the smallest of each label
+    large = df.withColumn("text", F.repeat(F.lit("x"), 200_000 + F.col("doc_id").cast("int")))
+    assert {r["doc_id"] for r in samples.first_rows(large, 150, 100_000).collect()} == {0, 1}
+
+
+def test_split_windows_spread_over_buckets():
+    """Windows around one phrase in many surroundings, as a gram with too many of them is split."""
+    draw, phrase = np.random.default_rng(3), b"All rights reserved by the owners"
+    texts = [bytes(draw.integers(97, 123, 40).astype(np.uint8)) + phrase + bytes(draw.integers(97, 123, 40).astype(np.uint8)) for _ in range(1500)]
+    raw, size = np.frombuffer(b"".join(texts), np.uint8), len(texts[0])
+    bounds = np.arange(len(texts) + 1) * size
+    place = np.concatenate([bounds[:-1] + k for k in range(24, size - 50 + 1)])
+    doc, none = place // size, np.zeros(len(place), np.int64)
+    rows = suffix.records(raw, bounds, doc, place, none, none, np.ones(len(place), np.uint8), 50, 18)
+    rows = rows[multikey_sort(*suffix.words_of(rows))]
+    n_buckets = len(rows) // 64
+    owner = suffix.buckets_of(rows, np.array([phrase[:16]], "S16"), 2, 1, n_buckets, 50, 18)
+    assert owner.min() >= 2 and owner.max() < 2 + n_buckets
+    counts = np.bincount(owner - 2, minlength=n_buckets)
+    assert counts.max() <= 4 * np.median(counts)
+
+
 # the pipeline
 
 

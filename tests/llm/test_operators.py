@@ -285,7 +285,7 @@ def test_records_sort_as_suffixes():
     draw = np.random.default_rng(4)
     raw = draw.integers(97, 99, 400).astype(np.uint8)
     place = np.arange(32, 340)
-    rows = suffix.records(raw, np.array([0, 400]), np.zeros(len(place), np.int64), place, np.full(len(place), 32), np.zeros(len(place), np.int64), 50, 18)
+    rows = suffix.records(raw, np.array([0, 400]), np.zeros(len(place), np.int64), place, np.full(len(place), 32), np.zeros(len(place), np.int64), np.zeros(len(place), np.uint8), 50, 18)
     order = multikey_sort(*suffix.words_of(rows))
     suffixes = [raw[p : p + 50].tobytes() + raw[p - 32 : p].tobytes() for p in place]
     assert [suffixes[k] for k in order] == sorted(suffixes)
