@@ -10,6 +10,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.state import numbered
 from ..session import stash
 from .blocks import text_buffer
 from .common import map_arrow, join_groups, slices, text_or_empty, with_filter
@@ -101,6 +102,31 @@ def tile_links(table: pa.Table, percent: int, least: float, n_samples: int, bits
     return found
 
 
+def set_marks(codes: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """128 bits that tell sets apart, as two rows; zeros for empty sets."""
+    marks = np.zeros((2, len(edges) - 1), np.int64)
+    full = np.flatnonzero(np.diff(edges))
+    if len(full):
+        for k, odd in enumerate((0x9FB21C651E98DF25, 0xB492B66FBE98F273)):
+            own = (codes ^ (codes >> np.uint64(29))) * np.uint64(odd)
+            own ^= own >> np.uint64(32)
+            marks[k, full] = np.add.reduceat(own * np.uint64(odd), edges[full]).view(np.int64)
+    return marks
+
+
+def further_sets(linkable: DataFrame, above: int) -> DataFrame:
+    """(id, mark1, mark2, node) of the sets of ids with several, but for the first of each id: node is a
+    number of its own, from above."""
+    mark = F.struct("mark1", "mark2")
+    several = linkable.groupBy("id").agg(F.min(mark).alias("first"), F.max(mark).alias("last")).where("first <> last")
+    several = stash(several.select("id", "first"), "near-several")
+    some = with_filter(linkable.select("id", "mark1", "mark2"), several, ["id"]).where("_maybe").drop("_maybe").distinct()
+    some = some.join(several, "id").where((F.col("mark1") != F.col("first.mark1")) | (F.col("mark2") != F.col("first.mark2"))).drop("first")
+    if not some.take(1):
+        return some.withColumn("node", F.col("id"))
+    return numbered(some, F.col("id"), F.col("mark1"), F.col("mark2"), name="at").select("id", "mark1", "mark2", (F.col("at") + above).alias("node"))
+
+
 def near_components(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -117,8 +143,8 @@ def near_components(
     where it is shorter). Two are linked if 100 * intersection >= percent * union, confirmed on full
     sets of 64-bit fingerprints; component_id is the smallest id that links reach, kept says it is
     the row's own. Without words (null, empty or blank texts) nothing is linked. Rows with the same
-    id are one document; a null id is never linked, has no component and is kept. Ids are integers.
-    An empty table gives an empty result.
+    id are one document, linked by what any of its texts is linked by; a null id is never linked, has no
+    component and is kept. Ids are integers below 2 ** 62. An empty table gives an empty result.
 
     Equal sets collapse first. MinHash samples give band keys, and parity bitmaps of the samples
     (odd sketches) say which pairs of a bucket to confirm: first every member against the bucket's
@@ -134,13 +160,7 @@ def near_components(
             codes, edges = shingle_sets(raw, bounds, n_words)
             n = np.diff(edges)
             samples = minhash(codes, edges, n_samples)
-            full = np.r_[np.flatnonzero(n)]
-            marks = np.zeros((2, len(n)), np.int64)
-            if len(full):
-                for k, odd in enumerate((0x9FB21C651E98DF25, 0xB492B66FBE98F273)):
-                    own = (codes ^ (codes >> np.uint64(29))) * np.uint64(odd)
-                    own ^= own >> np.uint64(32)
-                    marks[k, full] = np.add.reduceat(own * np.uint64(odd), edges[full]).view(np.int64)
+            marks = set_marks(codes, edges)
             keys = pa.array(bands(samples, band_rows).view(np.int64).ravel())
             sketch = odd_sketch(samples, bits)
             yield pa.RecordBatch.from_arrays(
@@ -159,7 +179,9 @@ def near_components(
         for batch in slices(batches, ROWS):
             codes, edges = shingle_sets(*text_buffer(batch.column(1)), n_words)
             sets = [codes[a:b].tobytes() for a, b in zip(edges, edges[1:])]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["id", "shingles"])
+            marks = set_marks(codes, edges)
+            columns = [batch.column(0), pa.array(marks[0]), pa.array(marks[1]), pa.array(sets, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "mark1", "mark2", "shingles"])
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in grouped(batches, 3):
@@ -177,9 +199,24 @@ def near_components(
     texts = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
     schema = "id long, n_shingles long, mark1 long, mark2 long, keys array<long>, sketch binary"
     marked = stash(map_arrow(texts, features, schema), "near-features")
-    total = marked.count()
+    total, largest = marked.agg(F.count("*"), F.coalesce(F.max("id"), F.lit(0))).first()
     linkable = marked.where("id IS NOT NULL AND n_shingles > 0")
 
+    # a set is compared under its id, or under a node of its own where the id has another set
+    further = stash(further_sets(linkable, largest + 1), "near-further")
+    any_further = bool(further.take(1))
+
+    def by_node(rows: DataFrame) -> DataFrame:
+        """rows (id, mark1, mark2, ...) with the id replaced by the set's node."""
+        if not any_further:
+            return rows
+        rows = with_filter(rows, further, ["id", "mark1", "mark2"])
+        some = rows.where("_maybe").drop("_maybe").join(further, ["id", "mark1", "mark2"], "left")
+        some = some.withColumn("id", F.coalesce("node", "id")).drop("node")
+        return rows.where("NOT _maybe").drop("_maybe").unionByName(some)
+
+    linkable = by_node(linkable)
+
     # equal sets: one representative each
     same = linkable.groupBy("mark1", "mark2").agg(F.min("id").alias("rep"), F.count("*").alias("n")).where("n > 1")
     same = stash(same, "near-equal")
@@ -204,9 +241,12 @@ def near_components(
 
     # the full sets of all that share a bucket
     needed = held.select("id").distinct()
-    some = with_filter(texts.where("id IS NOT NULL"), needed, ["id"]).where("_maybe").drop("_maybe")
-    some = some.join(needed.hint("shuffle_hash"), "id", "left_semi").join(members, "id", "left_anti")
-    shingles = map_arrow(some.select("id", "text"), full_sets, "id long, shingles binary").where("length(shingles) > 0")
+    ids = needed if not any_further else needed.unionByName(further.select("id")).distinct()
+    some = with_filter(texts.where("id IS NOT NULL"), ids, ["id"]).where("_maybe").drop("_maybe")
+    some = some.join(ids.hint("shuffle_hash"), "id", "left_semi")
+    some = some if any_further else some.join(members, "id", "left_anti")
+    shingles = map_arrow(some.select("id", "text"), full_sets, "id long, mark1 long, mark2 long, shingles binary").where("length(shingles) > 0")
+    shingles = by_node(shingles).select("id", "shingles")
     sketches = linkable.select("id", "sketch")
     sketches = with_filter(sketches, needed, ["id"]).where("_maybe").drop("_maybe")
     sets = stash(shingles.join(sketches, "id").dropDuplicates(["id"]), "near-sets")
@@ -222,7 +262,15 @@ def near_components(
     spokes = pairs.select(*tile, "id", F.col("id").alias("comp"), F.lit(1).alias("side"), no)
     hubs = sizes.select(F.col("pivot").alias("id"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("g2"))
     hubs = hubs.select(F.col("id").alias("g1"), "g2", F.lit(-1).cast("long").alias("g3"), "id", F.col("id").alias("comp"), F.lit(0).alias("side"), no)
-    links = stash(links_of(spokes.unionByName(hubs)), "near-links")
+    links = links_of(spokes.unionByName(hubs))
+    if any_further:
+        # the sets of one id are one document
+        reps = members.select(F.col("id").alias("x"), "rep")
+        same_id = further.select(F.col("id").alias("a"), F.col("node").alias("b"))
+        for end in ("a", "b"):
+            same_id = same_id.join(reps, same_id[end] == reps["x"], "left").withColumn(end, F.coalesce("rep", end)).drop("x", "rep")
+        links = links.unionByName(same_id)
+    links = stash(links, "near-links")
     labels = components(links)
 
     # what is left: buckets that still hold several components, in tiles

@@ -167,12 +167,33 @@ def test_kneser_ney_by_dictionaries(shared):
 # near copies
 
 
-@pytest.mark.xfail(reason="of an id with several texts, one text is compared: a link of another may be lost", strict=False)
-def test_links_of_an_id_with_two_texts(spark):
-    first, second = (" ".join(f"{c}{k}" for k in range(60)) for c in "ab")
-    rows = [(1, first), (1, second), (2, first + " end"), (3, second + " end")]
+def test_links_of_an_id_with_several_texts(spark):
+    draw = np.random.default_rng(5)
+    first, second, third = (" ".join(f"{c}{k}" for k in draw.integers(0, 10_000, 60)) for c in "abc")
+    rows = [(1, first), (1, second), (2, first + " end"), (3, second + " end"), (1, first), (5, third), (4, third), (4, second + " end"), (6, "alone " * 9), (7, None), (7, "")]
     got = near.near_components(spark.createDataFrame(rows, "doc_id long, text string"), n_words=4).collect()
-    assert {r["component_id"] for r in got} == {1}
+    assert sorted((r["doc_id"], r["component_id"]) for r in got) == [(1, 1)] * 3 + [(2, 1), (3, 1), (4, 1), (4, 1), (5, 1), (6, 6), (7, 7), (7, 7)]
+
+
+def test_components_where_every_id_has_several_texts(spark):
+    """Against all pairs of rows; half of the ids have two texts, one id has a third of all rows."""
+    draw = np.random.default_rng(11)
+    bases = [[f"w{k}" for k in draw.integers(0, 50_000, 80)] for _ in range(30)]
+    rows = []
+    for k in range(120):
+        words = list(bases[draw.integers(0, 30)])
+        words[draw.integers(0, 80)] = "changed"
+        rows.append((int(k if k % 3 else 0) // 2, " ".join(words)))
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (words_of(t) for _, t in rows)]
+    comp = {k: k for k, _ in rows}
+    for a, (k, _) in enumerate(rows):
+        for b in range(a):
+            m, both = rows[b][0], len(sets[a] & sets[b])
+            if 100 * both >= 80 * len(sets[a] | sets[b]) and comp[k] != comp[m]:
+                low, high = sorted((comp[k], comp[m]))
+                comp = {x: low if c == high else c for x, c in comp.items()}
+    got = near.near_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter((r["doc_id"], r["component_id"]) for r in got) == Counter((k, comp[k]) for k, _ in rows)
 
 
 # samples and suffixes
