@@ -6,7 +6,7 @@ import os
 import shutil
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text as X
@@ -17,6 +17,7 @@ from .operators import rewrite as R
 from .operators import search as Q
 from .operators import state as S
 from .operators import tags as T
+from .plans.store import Store
 from .session import shared_dir, stash
 from .sources.vault import read_vault, write_edits
 
@@ -101,8 +102,8 @@ def scan_hash(spark, d):
 
 
 def list_notes(spark, d):
-    place = Window.orderBy(X.sort_key(F.col("path")))
-    return Q.list_notes(docs(spark, d), "src1").select("path", F.row_number().over(place).alias("place"))
+    listed = Q.list_notes(docs(spark, d), "src1").select("path")
+    return S.numbered(listed, X.sort_key(F.col("path")), name="at").select("path", (F.col("at") + 1).alias("place"))
 
 
 def incremental_changed(spark, d):
@@ -560,6 +561,21 @@ def state_upsert(spark, d):
     return after.select("path", "ord", "content_hash", "processed_at", F.array_join("proposed_tags", ",").alias("tags"), F.size("proposed_links").alias("n_links"), "tags_applied", "links_applied")
 
 
+def state_log_merged(spark, d):
+    """A written log: all records, then three deltas of every second, third and fifth note, with pairs in
+    each; the second makes earlier pairs void."""
+    states = stash(link_states(spark, d), "log-base")
+    store = Store(spark, f"{shared_dir(spark)}/tables/log-{uuid.uuid4().hex[:12]}")
+    for k, every in enumerate((1, 2, 3, 5)):
+        some = states.where(F.col("ord") % every == 0)
+        pairs = some.select(F.col("path").alias("note_a"), F.lit(f"z{every}").alias("note_b"))
+        store.append(some.withColumn("content_hash", F.lit(f"h{k}")), pairs, clear_pairs=every == 2, last_run=float(k))
+    now = store.load()
+    found = now.evaluated.groupBy("note_a").agg(F.array_join(F.array_sort(F.collect_list("note_b")), ",").alias("pairs"))
+    rows = now.states.join(found, now.states["path"] == found["note_a"], "left")
+    return rows.select("path", "ord", "content_hash", F.size("proposed_links").alias("n_links"), "pairs", F.lit(now.last_run).alias("last_run"))
+
+
 def state_applied(spark, d):
     done = docs(spark, d).where("doc_id % 5 = 1").select("path")
     return S.mark_applied(link_states(spark, d), done, "links_applied").select("path", "links_applied", "tags_applied")
@@ -587,6 +603,10 @@ STATE_SQL = {
             CASE WHEN doc_id % 2 = 0 THEN 0 ELSE len(targets) END AS n_links,
             doc_id % 2 <> 0 AND doc_id % 3 = 0 AS tags_applied, doc_id % 2 <> 0 AND doc_id % 4 = 0 AS links_applied FROM listed
         UNION ALL SELECT 'new/' || doc_id || '.md', last + 1 + doc_id, 'h2', 1.0, 'c', 0, false, false FROM docs, top WHERE doc_id % 10 = 0""",
+    "state_log_merged": f"""WITH {STATES} SELECT path, doc_id AS ord, 'h' || CASE WHEN doc_id % 5 = 0 THEN 3 WHEN doc_id % 3 = 0 THEN 2
+            WHEN doc_id % 2 = 0 THEN 1 ELSE 0 END AS content_hash, len(targets) AS n_links, nullif(array_to_string(list_filter(
+            [CASE WHEN doc_id % 2 = 0 THEN 'z2' END, CASE WHEN doc_id % 3 = 0 THEN 'z3' END, CASE WHEN doc_id % 5 = 0 THEN 'z5' END],
+            lambda x: x IS NOT NULL), ','), '') AS pairs, 3.0::DOUBLE AS last_run FROM listed""",
     "state_applied": f"""WITH {NOTES} SELECT path, doc_id % 5 = 1 OR doc_id % 4 = 0 AS links_applied, doc_id % 3 = 0 AS tags_applied FROM docs""",
 }
 

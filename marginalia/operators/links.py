@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import is_hidden, name, outgoing_links, stem
 from .edit_join import edit_join
+from .state import next_place
 
 #: Fixed: the most edits of a fuzzy repair.
 FUZZY_EDITS = 3
@@ -152,11 +153,11 @@ def removed_links(before: DataFrame, after: DataFrame) -> DataFrame:
     return both.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("removed"))
 
 
-def with_verdicts(states: DataFrame, verdicts: DataFrame) -> DataFrame:
+def with_verdicts(states: DataFrame, verdicts: DataFrame, place: int | None = None) -> DataFrame:
     """states with confirmed links added. verdicts: (note_a, note_b, link_from, link_to, reason, seq);
     link_from and link_to default to note_a and note_b. A target that the note already has, or had from
     an earlier verdict, is skipped. An unknown link_from becomes a bare record without a hash, after all
-    others."""
+    others, or from place on."""
     rows = verdicts.select(
         F.coalesce("link_from", "note_a").alias("path"),
         F.coalesce("link_to", "note_b").alias("target"),
@@ -167,11 +168,11 @@ def with_verdicts(states: DataFrame, verdicts: DataFrame) -> DataFrame:
     rows = rows.join(proposals(states).select("path", "target").distinct(), ["path", "target"], "left_anti")
     entry = F.struct("seq", F.struct("target", "reason").alias("link"))
     added = rows.groupBy("path").agg(F.transform(F.array_sort(F.collect_list(entry)), lambda x: x["link"]).alias("_new"), F.min("seq").alias("_seq"))
-    last = states.agg(F.coalesce(F.max("ord"), F.lit(-1))).first()[0]
+    place = next_place(states) if place is None else place
     joined = states.join(added, "path", "full_outer")
     empty = F.array().cast(states.schema["proposed_links"].dataType)
     values = {
-        "ord": F.coalesce("ord", F.lit(last + 1) + F.col("_seq")),
+        "ord": F.coalesce("ord", F.lit(place) + F.col("_seq")),
         "proposed_links": F.concat(F.coalesce("proposed_links", empty), F.coalesce("_new", empty)),
         "links_applied": F.when(F.col("_new").isNotNull(), F.lit(False)).otherwise(F.col("links_applied")),
     }

@@ -56,14 +56,23 @@ def numbered(rows: DataFrame, *order: Column, name: str = "seq") -> DataFrame:
     return ranged.join(F.broadcast(starts), "_range").withColumn(name, F.col("_start") + F.col("_row")).drop("_range", "_row", "_start")
 
 
-def mark_processed(states: DataFrame, results: DataFrame, now: Column | None = None) -> DataFrame:
-    """states with the records of results (path, content_hash, proposed_tags, proposed_links, seq) put
-    in: flags reset, the old place kept, new notes after all others by seq."""
-    last = states.agg(F.coalesce(F.max("ord"), F.lit(-1))).first()[0]
+def next_place(states: DataFrame) -> int:
+    """The place after all others."""
+    return states.agg(F.coalesce(F.max("ord"), F.lit(-1))).first()[0] + 1
+
+
+def placed(results: DataFrame, states: DataFrame) -> DataFrame:
+    """results with ord: the old place of a known path, for new ones a place after all others by seq."""
     places = states.select("path", F.col("ord").alias("_ord"))
-    new = results.join(places, "path", "left").select(
+    new = F.lit(next_place(states)) + F.col("seq")
+    return results.join(places, "path", "left").withColumn("ord", F.coalesce("_ord", new)).drop("_ord")
+
+
+def processed(results: DataFrame, now: Column | None = None) -> DataFrame:
+    """The records of results (path, ord, content_hash, proposed_tags, proposed_links), flags reset."""
+    return results.select(
         "path",
-        F.coalesce("_ord", F.lit(last + 1) + F.col("seq")).alias("ord"),
+        "ord",
         "content_hash",
         (now if now is not None else F.unix_micros(F.current_timestamp()) / 1e6).alias("processed_at"),
         F.coalesce("proposed_tags", F.array().cast("array<string>")).alias("proposed_tags"),
@@ -71,13 +80,42 @@ def mark_processed(states: DataFrame, results: DataFrame, now: Column | None = N
         F.lit(False).alias("tags_applied"),
         F.lit(False).alias("links_applied"),
     )
+
+
+def mark_processed(states: DataFrame, results: DataFrame, now: Column | None = None) -> DataFrame:
+    """states with the records of results (path, content_hash, proposed_tags, proposed_links, seq) put
+    in: flags reset, the old place kept, new notes after all others by seq."""
+    new = processed(placed(results, states), now)
     return states.join(results.select("path"), "path", "left_anti").unionByName(new)
 
 
+def newest_records(deltas: DataFrame, keep: bool = False) -> DataFrame:
+    """Of records with versions the newest of each path; with keep its version too."""
+    names = [c for c in deltas.columns if keep or c != "version"]
+    return deltas.groupBy("path").agg(F.max_by(F.struct(*names), "version").alias("r")).select("r.*")
+
+
+def merged_log(base: DataFrame, deltas: DataFrame) -> DataFrame:
+    """base with the newest record of each path in deltas (its columns, and version) put in."""
+    newest = newest_records(deltas)
+    return base.join(newest.select("path"), "path", "left_anti").unionByName(newest)
+
+
+def changed_records(before: DataFrame, after: DataFrame) -> DataFrame:
+    """The rows of after that before does not have as they are."""
+    old = before.select("path", F.struct(*before.columns).alias("_old"))
+    rows = after.join(old, "path", "left")
+    return rows.where(~F.struct(*before.columns).eqNullSafe(F.col("_old"))).select(*before.columns)
+
+
+def ordered_pairs(pairs: DataFrame) -> DataFrame:
+    """(note_a, note_b) with paths in string order."""
+    return pairs.select(F.least("note_a", "note_b").alias("note_a"), F.greatest("note_a", "note_b").alias("note_b"))
+
+
 def mark_evaluated(evaluated: DataFrame, pairs: DataFrame) -> DataFrame:
     """The evaluated pairs and these, each once, with paths in string order."""
-    new = pairs.select(F.least("note_a", "note_b").alias("note_a"), F.greatest("note_a", "note_b").alias("note_b"))
-    return evaluated.unionByName(new).distinct()
+    return evaluated.unionByName(ordered_pairs(pairs)).distinct()
 
 
 def pending_tags(states: DataFrame) -> DataFrame:

@@ -15,13 +15,16 @@ from ..operators import links as L
 from ..operators import rewrite as R
 from ..operators import state as S
 from ..operators import tags as T
-from ..session import stash
+from ..session import stash, unstash
 from ..sources.vault import read_vault, write_edits
 from .store import Snapshot, Store
 
 #: Fixed: the command's default cap on a tag's notes; the operator's own default is none.
 COMMAND_MAX_FREQUENCY = 10
 
+#: Batches in a partition of the work to do.
+SHARD_BATCHES = 64
+
 
 @dataclass
 class Notebook:
@@ -45,29 +48,37 @@ class Notebook:
         """Enriches new and changed notes in path order, a committed batch at a time, so that an
         interrupted run goes on where it stopped. Replies that are no JSON object count as errors and
         are tried again next time."""
-        now = self.store.load()
-        now.last_run = self.now()
-        now = self.store.commit(now)
-        todo = stash(S.changed(self.notes(), now.states, force), "todo")
-        places = stash(S.numbered(todo.select("path"), sort_key(F.col("path"))), "todo-places")
-        total, processed, errors = places.count(), 0, 0
+        self.store.append(last_run=self.now())
+        states = self.store.load().states
+        todo = S.changed(self.notes(), states, force)
+        todo = stash(todo, "todo")
+        places = S.placed(S.numbered(todo.select("path"), sort_key(F.col("path"))), states)
+        todo = self.dealt(todo.join(places, "path"), self.batch_notes, "todo-batches")
+        total, processed, errors = todo.count(), 0, 0
         began = self.now()
         for start in range(0, total, self.batch_notes):
-            some = places.where((F.col("seq") >= start) & (F.col("seq") < start + self.batch_notes))
-            replies = stash(E.enriched(todo.join(some.select("path"), "path"), self.enricher), "replies")
-            parsed = E.parsed_replies(replies).join(some, "path")
-            now = self.store.load()
-            now.states = S.mark_processed(now.states, parsed.where("ok"), F.lit(self.now()))
-            now = self.store.commit(now)
+            some = self.batch(todo, start, self.batch_notes)
+            replies = stash(E.enriched(some, self.enricher), "replies")
+            parsed = E.parsed_replies(replies).join(some.select("path", "ord"), "path")
+            self.store.append(S.processed(parsed.where("ok"), F.lit(self.now())))
             counts = parsed.agg(F.count_if("ok").alias("ok"), F.count_if(~F.col("ok")).alias("bad")).first()
+            unstash(replies)
             processed, errors = processed + counts["ok"], errors + counts["bad"]
             self.progress("notes", min(start + self.batch_notes, total), total, began, errors)
         if total:
-            now = self.store.load()
-            now.last_completed_run = self.now()
-            self.store.commit(now)
+            self.store.append(last_completed_run=self.now())
         return {"processed": processed, "skipped": total - processed - errors, "errors": errors}
 
+    def dealt(self, rows: DataFrame, size: int, name: str) -> DataFrame:
+        """Numbered rows as a written table whose partitions hold SHARD_BATCHES batches each: a batch reads
+        its own partition, however many there are."""
+        shard = F.floor(F.col("seq") / (size * SHARD_BATCHES)).cast("long")
+        return stash(rows.withColumn("shard", shard).repartition("shard"), name, by="shard")
+
+    def batch(self, rows: DataFrame, start: int, size: int) -> DataFrame:
+        some = rows.where(F.col("shard") == start // (size * SHARD_BATCHES)).drop("shard")
+        return some.where((F.col("seq") >= start) & (F.col("seq") < start + size))
+
     def progress(self, what: str, done: int, total: int, began: float, errors: int) -> None:
         """How far a command is, its average and what is left at this pace."""
         each = (self.now() - began) / max(done, 1)
@@ -82,8 +93,8 @@ class Notebook:
         the verdict; where asking fails, the pair is asked for again next time."""
         now = self.store.load()
         if force:
-            now.evaluated = self.spark.createDataFrame([], S.PAIRS)
-            now = self.store.commit(now)
+            self.store.append(clear_pairs=True)
+            now = self.store.load()
         for row in T.skipped_tags(T.tag_index(now.states), max_frequency).toLocalIterator():
             self.report(f"tag left out: {row['tag']} (on {row['n']} notes)")
         notes = stash(self.notes(), "notes")
@@ -91,20 +102,21 @@ class Notebook:
         left = T.unevaluated(pairs, now.evaluated)
         linked = stash(L.already_linked(left, L.edges(notes)).select("note_a", "note_b"), "linked")
         todo = left.join(linked, ["note_a", "note_b"], "left_anti")
-        todo = stash(S.numbered(todo, F.desc("n_shared"), F.col("note_a"), F.col("note_b")), "to-verify")
+        todo = S.numbered(todo, F.desc("n_shared"), F.col("note_a"), F.col("note_b"))
+        todo = self.dealt(todo, self.batch_pairs, "to-verify")
         total, n_linked, began = todo.count(), linked.count(), self.now()
         confirmed, errors = 0, 0
-        now.evaluated = S.mark_evaluated(now.evaluated, linked)
-        now = self.store.commit(now)
+        self.store.append(pairs=S.ordered_pairs(linked))
         for start in range(0, total, self.batch_pairs):
-            some = todo.where((F.col("seq") >= start) & (F.col("seq") < start + self.batch_pairs))
+            some = self.batch(todo, start, self.batch_pairs)
             replies = stash(E.verified(some, notes, now.states, self.verifier), "verdicts")
             yes = E.parsed_verdicts(replies).where("confirmed").select("note_a", "note_b", "link_from", "link_to", "reason", "seq")
             counts = E.parsed_verdicts(replies).agg(F.count_if("confirmed").alias("yes"), F.count_if("failed").alias("failed")).first()
-            now = self.store.load()
-            now.states = L.with_verdicts(now.states, yes)
-            now.evaluated = S.mark_evaluated(now.evaluated, replies.where("NOT failed"))
-            now = self.store.commit(now)
+            states = self.store.load().states
+            named = states.join(yes.select(F.coalesce("link_from", "note_a").alias("path")), "path", "left_semi")
+            linked_now = L.with_verdicts(named, yes, S.next_place(states))
+            self.store.append(S.changed_records(named, linked_now), S.ordered_pairs(replies.where("NOT failed")))
+            unstash(replies)
             confirmed, errors = confirmed + counts["yes"], errors + counts["failed"]
             self.progress("pairs", min(start + self.batch_pairs, total), total, began, errors)
         return {"candidates": pairs.count(), "confirmed": confirmed, "skipped": n_linked + total - confirmed}
@@ -118,8 +130,7 @@ class Notebook:
         unique = after.select(F.count("*").alias("before"), F.count_distinct(F.coalesce("canonical", "tag")).alias("after")).first()
         self.report(f"{unique['before']} different tags, {unique['after']} after merging")
         if apply:
-            now.states = T.normalized(now.states, mapping).drop("replaced")
-            self.store.commit(now)
+            self.store.append(S.changed_records(now.states, T.normalized(now.states, mapping).drop("replaced")))
         return T.merge_preview(counts, mapping).orderBy("canonical")
 
     def validate(self, fix: bool = False, details: Callable[[DataFrame], None] | None = None) -> DataFrame:
@@ -131,8 +142,7 @@ class Notebook:
             found = checked.where("status <> 'valid' OR correction IS NOT NULL").orderBy("ord", "pos")
             details(found.select("path", "target", "status", "correction"))
         if fix:
-            now.states = L.fixed_links(now.states, files)
-            self.store.commit(now)
+            self.store.append(S.changed_records(now.states, L.fixed_links(now.states, files)))
         return L.validation_counts(checked)
 
     def clean(self) -> dict[str, int]:
@@ -144,8 +154,7 @@ class Notebook:
             "self_links": L.removed_links(single, clean).first()["removed"],
         }
         if any(found.values()):
-            now.states = clean
-            self.store.commit(now)
+            self.store.append(S.changed_records(now.states, clean))
             found |= L.validation_counts(L.validated(clean, self.notes().select("path"))).first().asDict()
         return found
 
@@ -157,8 +166,7 @@ class Notebook:
         if confirm and not confirm(edits.join(before, "path").orderBy(sort_key(F.col("path")))):
             return 0
         done = write_edits(edits, self.vault).where("written")
-        now.states = S.mark_applied(now.states, done, flag)
-        self.store.commit(now)
+        self.store.append(S.changed_records(now.states, S.mark_applied(now.states, done, flag)))
         return done.count()
 
     def apply_tags(self, confirm: Callable[[DataFrame], bool] | None = None) -> int:

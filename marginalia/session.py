@@ -80,12 +80,12 @@ def drop_paths(spark: SparkSession, paths: list[str]) -> None:
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def stash(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as a table in the shared folder and reads it back: lineage ends here, and a
-    lost executor costs only a reread."""
+def stash(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """Writes df as a table in the shared folder, partitioned by a column if named, and reads it back:
+    lineage ends here, and a lost executor costs only a reread."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     if _RECORDS:
         _RECORDS[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -32,8 +32,7 @@ def process_batch(batch: DataFrame, store: Store, enricher: E.Enricher) -> int:
     parsed = stash(parsed.withColumn("seq", F.monotonically_increasing_id()), "stream-parsed")
     if not parsed.take(1):
         return 0
-    now.states = S.mark_processed(now.states, parsed)
-    store.commit(now)
+    store.append(S.processed(S.placed(parsed, now.states)))
     return parsed.count()
 
 

@@ -133,7 +133,6 @@ def test_a_lost_answer_loses_nothing_else(spark, tmp_path):
     assert book.discover() == {"candidates": 3, "confirmed": 1, "skipped": 2}
     book.verifier = E.SharedTags()
     assert book.discover()["confirmed"] == 2  # the two pairs whose answers were lost
-    assert len(os.listdir(tmp_path / "s/commits")) <= 10  # five versions and their checksums
 
 
 def test_state_file_commands(spark, tmp_path):
