@@ -9,7 +9,7 @@ import os
 from .plans.pipeline import COMMAND_MAX_FREQUENCY, Notebook
 from .plans.store import Store
 from .session import builder
-from .plans.tools import SnapshotTools
+from .plans.tools import SnapshotTools, read_edits
 from .sources.model import ChatClient
 
 #: Notes, or pairs of them, that are asked about between two commits.
@@ -36,7 +36,7 @@ def parser() -> argparse.ArgumentParser:
     normalize = commands.add_parser("normalize-tags")
     normalize.add_argument("--apply", action="store_true")
     normalize.add_argument("--threshold", type=int, default=2)
-    for name in ("apply-tags", "apply-links"):
+    for name in ("apply-tags", "apply-links", "apply-edits"):
         commands.add_parser(name).add_argument("-y", "--yes", action="store_true")
     for name in ("status", "proposals", "clean-links", "daily"):
         commands.add_parser(name)
@@ -67,7 +67,7 @@ def main(args: list[str] | None = None) -> None:
     spark.sparkContext.setLogLevel("ERROR")
     book = Notebook(spark, a.vault, Store(spark, a.state or os.path.join(os.path.abspath(a.vault), ".marginalia")))
     if a.model:
-        tools = SnapshotTools.write(book.notes()) if a.command in ("run", "daily") else None
+        tools = SnapshotTools.write(book.notes(), book.edits_folder) if a.command in ("run", "daily") else None
         book.enricher = book.verifier = ChatClient(a.model_url, a.model, getattr(a, "think", False), tools, a.verbose)
         book.batch_notes = book.batch_pairs = MODEL_BATCH
     match a.command:
@@ -83,6 +83,8 @@ def main(args: list[str] | None = None) -> None:
             print(book.apply_tags(None if a.yes else asked))
         case "apply-links":
             print(book.apply_links(None if a.yes else asked))
+        case "apply-edits":
+            print(book.apply_edits(None if a.yes else asked))
         case "proposals":
             for table in book.proposals():
                 listed(table)
@@ -97,8 +99,9 @@ def main(args: list[str] | None = None) -> None:
         case "export-state":
             book.export_json(a.file)
     if a.model and book.enricher.tools:
-        for edit in book.enricher.tools.planned():
-            print(f"planned by the model: {edit['operation']} {edit['path']}")
+        planned = read_edits(spark, book.edits_folder).count()
+        if planned:
+            print(f"{planned} edits planned by the model: apply-edits shows and writes them")
 
 
 if __name__ == "__main__":

@@ -17,6 +17,7 @@ from .operators import rewrite as R
 from .operators import search as Q
 from .operators import state as S
 from .operators import tags as T
+from .operators.edit_log import replayed
 from .plans.store import Store
 from .session import shared_dir, stash
 from .sources.vault import read_vault, write_edits
@@ -573,7 +574,7 @@ def state_log_merged(spark, d):
     now = store.load()
     found = now.evaluated.groupBy("note_a").agg(F.array_join(F.array_sort(F.collect_list("note_b")), ",").alias("pairs"))
     rows = now.states.join(found, now.states["path"] == found["note_a"], "left")
-    return rows.select("path", "ord", "content_hash", F.size("proposed_links").alias("n_links"), "pairs", F.lit(now.last_run).alias("last_run"))
+    return rows.select("path", "ord", "content_hash", F.size("proposed_links").cast("long").alias("n_links"), "pairs", F.lit(now.last_run).alias("last_run"))
 
 
 def state_applied(spark, d):
@@ -664,7 +665,48 @@ def edit_replace_first(spark, d):
     return done.select("path", F.sha2("new_content", 256).alias("sha"), "error")
 
 
+def planned_edits(notes: DataFrame) -> DataFrame:
+    """Two to four edits of every note, not in their order; those of every third note on an older text."""
+    one = lambda seq, operation, content, target="": F.struct(
+        F.lit(seq).cast("long").alias("seq"), F.lit(operation).alias("operation"), content.alias("content"), F.lit(target).alias("target")
+    )
+    number, even = F.col("doc_id").cast("string"), F.col("doc_id") % 2 == 0
+    planned = F.array(
+        one(3, "append", F.concat(F.lit("end "), number)),
+        one(1, "replace", F.concat(F.lit(" DE "), number), " de "),
+        F.when(even, one(2, "replace", F.lit("twice"), " DE ")),
+        F.when(even, one(4, "prepend", F.lit("top"))),
+    )
+    base = F.when(F.col("doc_id") % 3 == 0, F.lit("older")).otherwise(F.col("content_hash"))
+    rows = notes.withColumn("e", F.explode(F.array_compact(planned)))
+    return rows.select("path", "e.seq", F.lit("").alias("tie"), "e.operation", "e.content", "e.target", base.alias("base_hash"))
+
+
+def edit_log_replayed(spark, d):
+    notes = Q.hashed(docs(spark, d))
+    found = replayed(notes, planned_edits(notes))
+    errors = F.array_join(F.transform("failed", lambda x: F.concat_ws(":", x["seq"], x["error"])), ",")
+    return found.select("path", F.sha2("new_content", 256).alias("sha"), "n_applied", errors.alias("errors"))
+
+
 REWRITE_SQL = {
+    "edit_log_replayed": f"""WITH {NOTES}, found AS (
+            SELECT *, strpos(content, ' de ') AS spot, doc_id % 2 = 0 AS even, doc_id % 3 = 0 AS old FROM docs
+        ), replaced AS (
+            SELECT *, CASE WHEN spot > 0 THEN substr(content, 1, spot - 1) || ' DE ' || doc_id || substr(content, spot + 4) ELSE content END AS one FROM found
+        ), again AS (
+            SELECT *, strpos(one, ' DE ') AS spot2 FROM replaced
+        ), ended AS (
+            SELECT *, (CASE WHEN even AND spot2 > 0 THEN substr(one, 1, spot2 - 1) || 'twice' || substr(one, spot2 + 4) ELSE one END)
+                || chr(10) || 'end ' || doc_id AS two FROM again
+        )
+        SELECT path, CASE WHEN NOT old THEN sha256(CASE WHEN even THEN 'top' || chr(10) || two ELSE two END) END AS sha,
+            CASE WHEN old THEN 0 ELSE 1 + (spot > 0)::BIGINT + (even AND spot2 > 0)::BIGINT + even::BIGINT END::BIGINT AS n_applied,
+            array_to_string(list_filter(CASE WHEN old THEN list_filter([1, CASE WHEN even THEN 2 END, 3, CASE WHEN even THEN 4 END], lambda x: x IS NOT NULL)
+                .list_transform(lambda x: x || ':note changed since')
+                ELSE [CASE WHEN spot = 0 THEN '1:target not found' END, CASE WHEN even AND spot2 = 0 THEN '2:target not found' END] END,
+                lambda x: x IS NOT NULL), ',') AS errors
+        FROM ended""",
     "rewrite_tags": f"""WITH {FRONTED} SELECT path, sha256(CASE doc_id % 5
             WHEN 0 THEN '---' || chr(10) || 'tags: [' || array_to_string(list_sort(list_distinct(['a', 'b', 'c', source])), ', ') || ']' || chr(10) || '---' || chr(10) || body
             WHEN 1 THEN '---' || chr(10) || 'key: value' || chr(10) || 'tags: [a, b]' || chr(10) || '---' || chr(10) || body

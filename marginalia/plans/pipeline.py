@@ -15,9 +15,11 @@ from ..operators import links as L
 from ..operators import rewrite as R
 from ..operators import state as S
 from ..operators import tags as T
-from ..session import stash, unstash
+from ..operators.edit_log import failures, replayed
+from ..session import drop_paths, stash, unstash
 from ..sources.vault import read_vault, write_edits
 from .store import Snapshot, Store
+from .tools import read_edits
 
 #: Fixed: the command's default cap on a tag's notes; the operator's own default is none.
 COMMAND_MAX_FREQUENCY = 10
@@ -161,7 +163,8 @@ class Notebook:
     def _apply(self, plan: Callable, pending: Callable, flag: str, confirm: Callable[[DataFrame], bool] | None) -> int:
         now = self.store.load()
         notes = stash(self.notes(), "notes")
-        edits = stash(plan(notes, pending(now.states)), "edits")
+        edits = plan(notes, pending(now.states))
+        edits = stash(edits.join(notes.select("path", F.col("content_hash").alias("base_hash")), "path"), "edits")
         before = notes.select("path", F.col("content").alias("old_content"))
         if confirm and not confirm(edits.join(before, "path").orderBy(sort_key(F.col("path")))):
             return 0
@@ -177,6 +180,32 @@ class Notebook:
     def apply_links(self, confirm: Callable[[DataFrame], bool] | None = None) -> int:
         return self._apply(R.plan_links, S.pending_links, "links_applied", confirm)
 
+    @property
+    def edits_folder(self) -> str:
+        """Where a model's tools leave the edits that they plan."""
+        return f"{self.store.folder}/edits"
+
+    def apply_edits(self, confirm: Callable[[DataFrame], bool] | None = None) -> dict[str, int]:
+        """Writes the edits that a model planned into the notes, in order, each on the text that it was planned
+        on; confirm sees (path, new_content, old_content) first. Edits that cannot be done are reported. All
+        are done with afterwards, unless confirm refuses."""
+        edits = stash(read_edits(self.spark, self.edits_folder), "planned")
+        notes = stash(self.notes(), "notes")
+        replays = stash(replayed(notes, edits), "replays")
+        plan = replays.where("n_applied > 0").select("path", "new_content", "base_hash", "n_applied")
+        before = notes.select("path", F.col("content").alias("old_content"))
+        if confirm and not confirm(plan.join(before, "path").orderBy(sort_key(F.col("path")))):
+            return {"written": 0, "applied": 0, "failed": 0}
+        done = write_edits(plan, self.vault).where("written")
+        lost = failures(replays)
+        for row in lost.orderBy("path", "seq").toLocalIterator():
+            self.report(f"edit not done: {row['path']}: {row['error']}")
+        applied = plan.join(done, "path").agg(F.coalesce(F.sum("n_applied"), F.lit(0))).first()[0]
+        found = {"written": done.count(), "applied": applied, "failed": lost.count()}
+        drop_paths(self.spark, [self.edits_folder])
+        unstash(edits, notes, replays)
+        return found
+
     def status(self) -> dict:
         now = self.store.load()
         todo = S.changed(self.notes(), now.states)

@@ -3,21 +3,23 @@ snapshot on executors."""
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
+import time
 import uuid
 from collections.abc import Callable, Iterator
 from typing import Any
 
 import pyarrow.dataset
 import pyarrow.fs
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import frontmatter, inline_tags, is_hidden, lines, outgoing_links, sort_key
+from ..operators.edit_log import EDITS, edit_applied, edit_error, with_edits
 from ..operators.links import backlinks
-from ..operators.rewrite import edited
-from ..operators.search import MOST_LINES, list_notes, search
+from ..operators.search import MOST_LINES, hashed, list_notes, search
 from ..session import shared_dir
 
 _PATH = {"path": ("string", "Path of a note, relative to the vault")}
@@ -78,12 +80,18 @@ class Called:
 
 
 class NoteTools(Called):
-    """Answers tool calls from one snapshot of the notes. Edits are only planned: they go to the planned
-    list and change nothing."""
+    """Answers tool calls from one snapshot of the notes and the edits planned on it, which go to the
+    planned list: later calls see them, the notes are not touched."""
 
     def __init__(self, notes: DataFrame):
-        self.notes = notes
-        self.planned: list[DataFrame] = []
+        self.before = hashed(notes) if "content_hash" not in notes.columns else notes
+        self.planned: list[dict] = []
+
+    @property
+    def notes(self) -> DataFrame:
+        if not self.planned:
+            return self.before
+        return with_edits(self.before, self.before.sparkSession.createDataFrame(self.planned, EDITS))
 
     def _one(self, path: str, *columns: Any):
         if not path:
@@ -121,31 +129,34 @@ class NoteTools(Called):
         return f"Frontmatter: {row['fields'] or 'none'}\nInline tags: {row['tags'] or 'none'}"
 
     def edit_note(self, path: str = "", operation: str = "append", content: str = "", target: str = "") -> str:
-        self._one(path, "path")
-        spark = self.notes.sparkSession
-        asked = spark.createDataFrame([(path, operation, content, target)], "path string, operation string, content string, target string")
-        plan = edited(self.notes, asked)
-        error = plan.first()["error"]
+        old = self._one(path, "content")["content"]
+        error = edit_error(path, old, operation, content, target)
         if error:
             raise ValueError(error)
-        self.planned.append(plan)
+        base = self.before.where(F.col("path") == path).first()["content_hash"]
+        seq = len(self.planned)
+        self.planned.append({"path": path, "seq": seq, "tie": "", "operation": operation, "content": content, "target": target, "base_hash": base})
         return f"Planned an edit of '{path}' ({operation})"
 
 
 class SnapshotTools(Called):
     """The same tools over notes that write() left in a shared folder. It holds two paths only, so it
-    travels to executors inside a client. Edits are planned: each is a file of JSON in the folder edits."""
+    travels to executors inside a client. Edits are planned: each is a line of JSON in a file of its own in
+    the folder edits, below a folder for its note. A note that is read is read with its edits; searches, links
+    and metadata are those of the snapshot."""
 
-    def __init__(self, folder: str):
-        self.folder, self.edits = folder, f"{folder}-edits"
+    def __init__(self, folder: str, edits: str | None = None):
+        self.folder, self.edits = folder, edits or f"{folder}-edits"
 
     @classmethod
-    def write(cls, notes: DataFrame) -> SnapshotTools:
+    def write(cls, notes: DataFrame, edits: str | None = None) -> SnapshotTools:
         """notes in path order, with all that the tools answer from but patterns."""
+        notes = hashed(notes) if "content_hash" not in notes.columns else notes
         back = backlinks(notes).groupBy("path").agg(F.array_sort(F.collect_list("src_path")).alias("back"))
         rows = notes.join(back, "path", "left").select(
             "path",
             "content",
+            "content_hash",
             is_hidden(F.col("path")).alias("hidden"),
             (~is_hidden(F.col("path")) & (F.col("valid_utf8") if "valid_utf8" in notes.columns else F.lit(True))).alias("searched"),
             lines(F.col("content")).alias("lines"),
@@ -156,7 +167,7 @@ class SnapshotTools(Called):
         )
         folder = f"{shared_dir(notes.sparkSession)}/tables/note-tools-{uuid.uuid4().hex[:12]}"
         rows.repartitionByRange(sort_key(F.col("path"))).sortWithinPartitions(sort_key(F.col("path"))).write.parquet(folder)
-        return cls(folder)
+        return cls(folder, edits)
 
     def _opened(self, folder: str) -> tuple[Any, str]:
         return pyarrow.fs.FileSystem.from_uri(folder if ":" in folder else f"file://{folder}")
@@ -184,8 +195,24 @@ class SnapshotTools(Called):
             raise ValueError(f"folder '{folder}' does not exist")
         return "\n".join(rows) or "No notes found."
 
+    def _edits_of(self, path: str, base: str) -> list[dict]:
+        """The edits planned on this text of a note, in order."""
+        fs, root = self._opened(self.edits)
+        found = fs.get_file_info(pyarrow.fs.FileSelector(f"{root}/{note_folder(path)}", allow_not_found=True))
+        read = (json.loads(fs.open_input_stream(x.path).read()) for x in found if x.path.endswith(".json"))
+        return sorted((x for x in read if x["base_hash"] == base), key=lambda x: (x["seq"], x["tie"]))
+
+    def _text(self, path: str) -> tuple[str, str]:
+        """A note's text after its edits, and the hash of the text before them."""
+        row = self._one(path, "content", "content_hash")
+        text = row["content"]
+        for x in self._edits_of(path, row["content_hash"]):
+            if edit_error(path, text, x["operation"], x["content"], x["target"]) is None:
+                text = edit_applied(text, x["operation"], x["content"], x["target"])
+        return text, row["content_hash"]
+
     def read_note(self, path: str = "") -> str:
-        return self._one(path, "content")["content"]
+        return self._text(path)[0]
 
     def search_vault(self, query: str = "") -> str:
         if not query:
@@ -212,23 +239,26 @@ class SnapshotTools(Called):
         return f"Frontmatter: {json.loads(row['fields'] or '{}') or 'none'}\nInline tags: {row['tags'] or 'none'}"
 
     def edit_note(self, path: str = "", operation: str = "append", content: str = "", target: str = "") -> str:
-        old = self._one(path, "content")["content"]
-        if not content:
-            raise ValueError("content is required")
-        if operation not in ("append", "prepend", "replace"):
-            raise ValueError("unknown operation")
-        if operation == "replace" and not target:
-            raise ValueError("target is required")
-        if operation == "replace" and target not in old:
-            raise ValueError("target not found")
-        fs, folder = self._opened(self.edits)
+        old, base = self._text(path)
+        error = edit_error(path, old, operation, content, target)
+        if error:
+            raise ValueError(error)
+        edit = {"path": path, "seq": time.time_ns(), "tie": uuid.uuid4().hex, "operation": operation, "content": content, "target": target, "base_hash": base}
+        fs, root = self._opened(self.edits)
+        folder = f"{root}/{note_folder(path)}"
         fs.create_dir(folder)
-        with fs.open_output_stream(f"{folder}/{uuid.uuid4().hex}.json") as out:
-            out.write(json.dumps({"path": path, "operation": operation, "content": content, "target": target}).encode())
+        with fs.open_output_stream(f"{folder}/{edit['seq']}-{edit['tie']}.json") as out:
+            out.write(json.dumps(edit).encode())
         return f"Planned an edit of '{path}' ({operation})"
 
-    def planned(self) -> list[dict]:
-        """The edits that were planned so far, by path."""
-        fs, folder = self._opened(self.edits)
-        found = fs.get_file_info(pyarrow.fs.FileSelector(folder, allow_not_found=True))
-        return sorted((json.loads(fs.open_input_stream(x.path).read()) for x in found), key=lambda x: x["path"])
+
+def note_folder(path: str) -> str:
+    return hashlib.sha256(path.encode()).hexdigest()[:32]
+
+
+def read_edits(spark: SparkSession, folder: str) -> DataFrame:
+    """The edits (EDITS) that tools left in a folder; none where there is no such folder."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+        return spark.createDataFrame([], EDITS)
+    return spark.read.schema(EDITS).option("recursiveFileLookup", "true").json(folder)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 from collections.abc import Iterator
 from pathlib import Path
@@ -79,15 +80,24 @@ def read_vault(spark: SparkSession, path: str) -> DataFrame:
 
 def write_edits(edits: DataFrame, root: str) -> DataFrame:
     """Writes (path, new_content) into the folder's notes on the executors and returns (path, written)
-    as a written table; notes that are gone are not written. Paths outside of the folder fail."""
+    as a written table; notes that are gone are not written, nor, where edits have a base_hash, notes
+    whose text is another by now: not even by an earlier try of the same task, which counts as
+    written. Paths outside of the folder fail."""
     spark = edits.sparkSession
     prepare(spark)
+    checked = "base_hash" in edits.columns
+    short = lambda text: hashlib.sha256(text.encode()).hexdigest()[:16]
 
     def put(batches):
         for batch in batches:
             done = []
-            for path, text in zip(batch["path"], batch["new_content"]):
+            for k, (path, text) in enumerate(zip(batch["path"], batch["new_content"])):
                 file = inside(Path(root), path)
+                if file.exists() and checked:
+                    found = folded(file.read_bytes().decode("utf-8", "replace"))
+                    if short(found) != batch["base_hash"][k]:
+                        done.append(found == folded(text))
+                        continue
                 if file.exists():
                     beside = file.with_name(f".{file.name}.new")
                     beside.write_bytes(text.encode())
@@ -95,4 +105,5 @@ def write_edits(edits: DataFrame, root: str) -> DataFrame:
                 done.append(file.exists())
             yield batch[["path"]].assign(written=done)
 
-    return stash(edits.select("path", "new_content").mapInPandas(put, "path string, written boolean"), "written")
+    columns = ["path", "new_content", *(["base_hash"] if checked else [])]
+    return stash(edits.select(*columns).mapInPandas(put, "path string, written boolean"), "written")

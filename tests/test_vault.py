@@ -11,7 +11,7 @@ from marginalia.operators import search as Q
 from marginalia.operators import state as S
 from marginalia.plans.pipeline import Notebook
 from marginalia.plans.store import Store
-from marginalia.plans.tools import NoteTools, SnapshotTools, schemas
+from marginalia.plans.tools import NoteTools, SnapshotTools, read_edits, schemas
 from marginalia.sources.model import ChatClient, calls_of, content_of, joined
 from marginalia.sources.vault import inside, read_vault, write_edits
 from marginalia.streaming.incremental import follow
@@ -203,7 +203,7 @@ def test_snapshot_tools_answer_alike(spark, tmp_path):
     calls += [("edit_note", {"path": "a.md", "operation": o, "content": c}) for o, c in (("append", ""), ("replace", "x"), ("other", "x"))]
     for name, arguments in calls:
         assert there(name, arguments) == here(name, arguments), (name, arguments)
-    assert [x["path"] for x in there.planned()] == ["a.md"] and there.schemas() == schemas()
+    assert [r["path"] for r in read_edits(spark, there.edits).collect()] == ["a.md"] and there.schemas() == schemas()
 
 
 def test_chat_stream():
