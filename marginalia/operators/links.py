@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import is_hidden, name, outgoing_links, stem
@@ -18,24 +18,39 @@ def edges(notes: DataFrame) -> DataFrame:
     return notes.select(F.col("path").alias("src_path"), F.posexplode(outgoing_links(F.col("content"))).alias("pos", "target"))
 
 
+def opened_texts(content: Column, longest: int) -> Column:
+    """Each text of at most longest characters between an opening bracket pair and, at once after it, closing
+    brackets or a bar: all of them, also those that hold such signs themselves."""
+    tails = F.regexp_extract_all(content, F.lit(rf"(?s)(?=\[\[(.{{1,{longest + 2}}}))"), F.lit(1))
+    ends = lambda tail: F.filter(
+        F.sequence(F.lit(2), F.char_length(tail)), lambda k: (F.substring(tail, k, F.lit(1)) == "|") | (F.substring(tail, k, F.lit(2)) == "]]")
+    )
+    inside = lambda tail: F.when(F.char_length(tail) > 1, F.transform(ends(tail), lambda k: F.substring(tail, F.lit(1), k - 1)))
+    return F.array_distinct(F.flatten(F.filter(F.transform(tails, inside), lambda x: x.isNotNull())))
+
+
 def backlinks(notes: DataFrame) -> DataFrame:
     """(path, src_path): the notes whose text opens a link to a note's stem, up to the closing brackets
     or an alias bar; hidden notes and the note itself excluded.
 
     The text after each opening bracket pair, up to the next bracket or bar, is joined with stems by
-    equality; stems that themselves hold such signs are the only ones searched for in texts.
+    equality. Where there are stems that hold such signs themselves, the texts up to every later bracket
+    or bar, as far as the longest of these stems reaches, are joined with them by equality too.
     """
     plain = r"\[\[([^\[\]|]*)(?=\]\]|\|)"
     sources = notes.where(~is_hidden(F.col("path")))
     names = notes.select("path", stem(F.col("path")).alias("stem"))
     opened = F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(plain), F.lit(1))))
     named = sources.select(F.col("path").alias("src_path"), opened.alias("stem"))
-    odd = names.where(F.col("stem").rlike(r"[\[\]|]"))
-    found = named.join(names.where(~F.col("stem").rlike(r"[\[\]|]")), "stem").select("path", "src_path")
-    texts = sources.select(F.col("path").alias("src_path"), "content")
-    inside = F.contains("content", F.concat(F.lit("[["), "stem", F.lit("]]"))) | F.contains("content", F.concat(F.lit("[["), "stem", F.lit("|")))
-    rare = texts.join(odd, inside).select("path", "src_path")
-    return found.union(rare).where("path <> src_path").distinct()
+    signs = F.col("stem").rlike(r"[\[\]|]")
+    found = named.join(names.where(~signs), "stem").select("path", "src_path")
+    odd = names.where(signs)
+    longest = odd.agg(F.max(F.char_length("stem"))).first()[0]
+    if longest:
+        texts = F.explode(opened_texts(F.col("content"), longest))
+        rare = sources.where(F.contains("content", F.lit("[["))).select(F.col("path").alias("src_path"), texts.alias("stem"))
+        found = found.union(rare.join(odd, "stem").select("path", "src_path"))
+    return found.where("path <> src_path").distinct()
 
 
 def already_linked(pairs: DataFrame, links: DataFrame) -> DataFrame:

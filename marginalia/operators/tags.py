@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,8 +12,12 @@ from ..functions.tags import THRESHOLD, are_similar, stem_tag
 from ..session import stash, unstash
 from .edit_join import edit_pairs
 
-#: Pairs of similar stems that one task walks through, at most.
+#: Pairs of similar stems in a piece that one task walks through, at most.
 MOST_EDGES = 200_000
+#: Edges in a partition that is replaced by stars, about.
+STAR_EDGES = 200_000
+#: Entries of a tag that are paired with as many others at once.
+TILE = 512
 
 
 def tag_index(states: DataFrame) -> DataFrame:
@@ -59,14 +65,61 @@ def similar_stems(groups: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     )
 
 
-def followers(table: pa.Table) -> pa.Table:
-    """(stem, leader) of the stems that follow one, by the sequential rule over all edges."""
-    found: dict[str, str] = {}
-    edges = table.sort_by([("later_tag", "ascending"), ("earlier_tag", "ascending")])
-    for earlier, later in zip(edges.column("earlier").to_pylist(), edges.column("later").to_pylist()):
-        if later not in found and earlier not in found:
-            found[later] = earlier
-    return pa.table({"stem": pa.array(found.keys(), pa.string()), "leader": pa.array(found.values(), pa.string())})
+def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(x, y): of what the edges of one partition connect, each stem with the smallest one."""
+    parent: dict[str, str] = {}
+
+    def head(x: str) -> str:
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            a, b = sorted((head(parent.setdefault(a, a)), head(parent.setdefault(b, b))))
+            parent[b] = a
+    if parent:
+        yield pa.RecordBatch.from_arrays([pa.array(parent, pa.string()), pa.array([head(x) for x in parent], pa.string())], ["x", "y"])
+
+
+def pieces(edges: DataFrame) -> DataFrame:
+    """(stem, piece) of the stems in edges (earlier, later): a piece is what edges connect, named by its
+    smallest stem. Partitions first replace their edges by stars, which shortens all paths. Then each round
+    takes the least name among neighbours, and that name's own; each is a written table."""
+    n = -(-edges.count() // STAR_EDGES)
+    pairs = edges.select("earlier", "later").repartition(max(1, n)).mapInArrow(stars, "x string, y string").where("x <> y")
+    pairs = stash(pairs.union(pairs.select("y", "x")), "piece-edges")
+    names = stash(pairs.groupBy("x").agg(F.min("y").alias("y")).select(F.col("x").alias("stem"), F.least("x", "y").alias("piece")), "pieces")
+    while True:
+        near = pairs.join(names, pairs["y"] == names["stem"]).groupBy("x").agg(F.min("piece").alias("near"))
+        best = names.join(near, names["stem"] == near["x"]).select("stem", F.col("piece").alias("old"), F.least("piece", "near").alias("best"))
+        jump = names.select(F.col("stem").alias("best"), F.col("piece").alias("further"))
+        moved = best.join(jump, "best", "left").select("stem", "old", F.least("best", "further").alias("piece"))
+        moved = stash(moved, "pieces")
+        unstash(names)
+        names = moved.select("stem", "piece")
+        if not moved.where("old <> piece").take(1):
+            unstash(pairs)
+            return names
+
+
+def followers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(stem, leader) of the stems that follow one, by the sequential rule. Rows are the edges of whole
+    pieces, one piece after the other, each in the order of later and then earlier tags; what is held at
+    a time is one piece."""
+    piece, found, done = None, {}, []
+    for batch in batches:
+        for own, earlier, later in zip(*(batch.column(k).to_pylist() for k in range(3))):
+            if own != piece:
+                done += found.items()
+                piece, found = own, {}
+            if later not in found and earlier not in found:
+                found[later] = earlier
+        if done:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in zip(*done)], ["stem", "leader"])
+            done = []
+    if found:
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in zip(*found.items())], ["stem", "leader"])
 
 
 def followers_by_rounds(edges: DataFrame) -> DataFrame:
@@ -94,14 +147,19 @@ def leaders(groups: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """(stem, leader): greedy clustering. In the order of smallest tags a stem leads unless an earlier
     leader is similar to it, and then follows the earliest such leader.
 
-    Only stems with a similar one take part. Up to MOST_EDGES pairs of them, a counted number, are walked
-    through in one task; more are decided in rounds.
+    Only stems with a similar one take part. What similarities do not connect is independent: pieces of
+    at most MOST_EDGES pairs are walked through each by itself, many pieces to a task, and larger ones are
+    decided in rounds over all tasks.
     """
     edges = stash(similar_stems(groups, threshold), "similar-stems")
-    if edges.count() <= MOST_EDGES:
-        best = edges.groupBy().applyInArrow(followers, "stem string, leader string")
-    else:
-        best = followers_by_rounds(edges)
+    named = edges.join(pieces(edges).withColumnRenamed("stem", "earlier"), "earlier")
+    sizes = named.groupBy("piece").agg(F.count("*").alias("n")).where(F.col("n") > MOST_EDGES)
+    named = stash(named.join(sizes, "piece", "left"), "piece-edges")
+    small = named.where("n IS NULL").repartition("piece").sortWithinPartitions("piece", "later_tag", "earlier_tag")
+    best = small.select("piece", "earlier", "later").mapInArrow(followers, "stem string, leader string")
+    giant = named.where("n IS NOT NULL").select(edges.columns)
+    if giant.take(1):
+        best = best.unionByName(followers_by_rounds(giant))
     return groups.select("stem").join(best, "stem", "left").select("stem", F.coalesce("leader", "stem").alias("leader"))
 
 
@@ -156,27 +214,67 @@ def normalized(states: DataFrame, mapping: DataFrame) -> DataFrame:
     return states.join(found, "path", "left").select(*columns, F.coalesce("replaced", F.lit(0)).alias("replaced"))
 
 
+def prefix_entries(entries: DataFrame, min_shared: int) -> DataFrame:
+    """(tag, path, twice) of the entries by which pairs are found. A note's tags are ordered from the rarest
+    to the most frequent: two notes that share min_shared tags share one among all but the last
+    min_shared - 1 of each. The order is by tag alone, so it is the same in all notes. A note that lists a
+    tag twice may reach min_shared by one tag; it is found by all its tags (twice), from its side and from
+    the others'."""
+    listed = entries.groupBy("tag", "path").agg(F.count("*").alias("times"))
+    counts = listed.groupBy("tag").agg(F.sum("times").alias("n"))
+    by = Window.partitionBy("path").orderBy("n", "tag")
+    whole = Window.partitionBy("path")
+    rows = listed.join(counts, "tag").withColumn("place", F.row_number().over(by))
+    rows = rows.withColumn("size", F.count("*").over(whole)).withColumn("twice", F.max("times").over(whole) > 1)
+    return rows.select("tag", "path", "twice", (F.col("place") <= F.col("size") - (min_shared - 1)).alias("first"))
+
+
+def met(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(note_a, note_b): the pairs of a row of left and one of right, or of two rows of the same table, with
+    the same tag. Tags with more than TILE
+    entries are split: each side into parts, and every part of one side meets every part of the other
+    in a group of its own."""
+    sizes = left.groupBy("tag").agg(F.count("*").alias("m")).join(right.groupBy("tag").agg(F.count("*").alias("n")), "tag")
+    parts = sizes.select("tag", F.ceil(F.col("m") / TILE).alias("rows"), F.ceil(F.col("n") / TILE).alias("columns"))
+    part = lambda c: F.pmod(F.xxhash64("path"), F.col(c))
+    every = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+    a = left.join(parts, "tag").select("tag", part("rows").alias("r"), every("columns").alias("c"), F.col("path").alias("path_a"))
+    b = right.join(parts, "tag").select("tag", every("rows").alias("r"), part("columns").alias("c"), F.col("path").alias("path_b"))
+    pairs = a.join(b, ["tag", "r", "c"]).where("path_a < path_b" if left is right else "path_a <> path_b")
+    return pairs.select(F.least("path_a", "path_b").alias("note_a"), F.greatest("path_a", "path_b").alias("note_b"))
+
+
+def candidate_pairs(entries: DataFrame, min_shared: int) -> DataFrame:
+    """(note_a, note_b), each once, of all notes that may share min_shared tags, and few others."""
+    found = stash(prefix_entries(entries, min_shared), "tag-prefixes")
+    first = found.where("first AND NOT twice")
+    return met(first, first).union(met(found.where("twice"), found)).distinct()
+
+
 def shared_tag_pairs(index: DataFrame, min_shared: int = 2, max_frequency: int = 0, distinct: bool = False) -> DataFrame:
     """(note_a, note_b, n_shared, shared): pairs of notes with at least min_shared common tags, paths in
     string order; shared is in index order.
 
     A tag that a note lists twice counts for each pair of listings, as the index has it, unless
-    distinct. Pairs grow with the square of a tag's frequency: a cap keeps that bounded and is the
-    default of the command; without it adaptive execution splits the skewed tags.
+    distinct. A cap leaves out frequent tags, and is the default of the command. Without one, pairs are
+    found by the rarer tags of each note, the few tags that stay frequent among these being split, and
+    only pairs found so are counted: they share a rarer tag at least.
     """
     entries = capped_index(index, max_frequency)
     if distinct:
         entries = entries.groupBy("tag", "path").agg(F.min("ord").alias("ord"), F.min("tag_pos").alias("tag_pos"))
     order = F.struct("ord", "tag_pos")
-    a = entries.select("tag", F.col("path").alias("path_a"), order.alias("at_a"))
-    b = entries.select("tag", F.col("path").alias("path_b"), order.alias("at_b"))
-    pairs = a.join(b, "tag").where("at_a < at_b AND path_a <> path_b")
-    pairs = pairs.select(F.least("path_a", "path_b").alias("note_a"), F.greatest("path_a", "path_b").alias("note_b"), "tag", "at_a", "at_b")
     # a tag's place is that of its first entry in the whole index
     places = entries.groupBy("tag").agg(F.min(order).alias("place"))
-    pairs = pairs.join(places, "tag")
+    entries = stash(entries.join(places, "tag").select("tag", "path", order.alias("at"), "place"), "tag-entries")
+    pairs = stash(candidate_pairs(entries, min_shared), "tag-candidates")
+    a = entries.select("tag", "place", F.col("path").alias("note_a"), F.col("at").alias("at_a"))
+    b = entries.select("tag", F.col("path").alias("note_b"), F.col("at").alias("at_b"))
+    rows = pairs.join(a, "note_a").join(b, ["note_b", "tag"])
+    # of two listings the earlier one comes first
+    rows = rows.select("note_a", "note_b", "tag", "place", F.least("at_a", "at_b").alias("at_a"), F.greatest("at_a", "at_b").alias("at_b"))
     shared = F.array_sort(F.collect_list(F.struct("place", "at_a", "at_b", "tag")))
-    grouped = pairs.groupBy("note_a", "note_b").agg(F.count("*").alias("n_shared"), shared.alias("entries"))
+    grouped = rows.groupBy("note_a", "note_b").agg(F.count("*").alias("n_shared"), shared.alias("entries"))
     grouped = grouped.where(F.col("n_shared") >= min_shared)
     return grouped.select("note_a", "note_b", "n_shared", F.transform("entries", lambda x: x["tag"]).alias("shared"))
 

@@ -67,6 +67,18 @@ def test_backlinks(spark):
     assert got == {("A.md", "b.md"), ("A.md", "d/e.md"), ("x[1].md", "f.md")}
 
 
+def test_backlinks_to_odd_stems(spark):
+    """Stems with brackets and bars, against a search of every text for every stem."""
+    names = ["a", "a]b", "a|b", "[a", "a]", "x[1]", "|", "]]", "a]]b", "[[a]]", "ab"]
+    texts = ["[[a]]", "[[a]b]]", "[[a|b]]", "[[[a]]", "[[a]]]", "[[x[1]]]", "[[||", "[[]]]]", "[[a]]b|", "[[[[a]]]]", "[[a|b|c]] [[ab", "[[\na]]", "[[", "[", "x"]
+    notes = [(f"{n}.md", t) for n, t in zip(names, texts)] + [(f"t{k}.md", t) for k, t in enumerate(texts[len(names) :])]
+    want = {(a, b) for a, _ in notes for b, t in notes if a != b and (f"[[{a[:-3]}]]" in t or f"[[{a[:-3]}|" in t)}
+    found = L.backlinks(spark.createDataFrame(notes, "path string, content string"))
+    assert {tuple(r) for r in found.collect()} == want and len(want) >= 9
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
 def test_verdicts(spark):
     rows = states(spark, [("old.md", "")], applied=True)
     verdicts = [("n.md", "old.md", None, None, "r", 1), ("n.md", "p.md", None, None, "r", 2), ("n.md", "p.md", None, None, "s", 3), ("n.md", "q.md", "new.md", "z.md", None, 4)]

@@ -130,3 +130,68 @@ def test_shared_tags(spark, notes, cap, pairs):
 
 def test_distinct_tags_count_once(spark):
     assert T.shared_tag_pairs(index(spark, {"A": "tt", "B": "t"}), 2, 0, distinct=True).count() == 0
+
+
+def plain_pairs(rows, least):
+    """All pairs of listings of all pairs of notes."""
+    out = {}
+    first = {}
+    for path, ord_, tags in rows:
+        for k, tag in enumerate(tags):
+            first[tag] = min(first.get(tag, (ord_, k)), (ord_, k))
+    for a, i, x in rows:
+        for b, j, y in rows:
+            if a < b:
+                met = [(first[s], *sorted([(i, k), (j, m)]), s) for k, s in enumerate(x) for m, t in enumerate(y) if s == t]
+                if len(met) >= least:
+                    out[a, b] = [s for *_, s in sorted(met)]
+    return out
+
+
+@pytest.mark.parametrize(("least", "repeats", "tile"), [(1, True, 4), (2, False, 512), (2, True, 3), (3, True, 512), (3, False, 2)])
+def test_pairs_by_rare_tags(spark, monkeypatch, least, repeats, tile):
+    monkeypatch.setattr(T, "TILE", tile)
+    draw = random.Random(least * 10 + tile)
+    rows = []
+    for k in range(60):
+        # some tags are on nearly all notes
+        tags = draw.sample([f"rare{j}" for j in range(40)], draw.randrange(4)) + [t for t in ("all", "most", "many") if draw.random() < 0.8]
+        draw.shuffle(tags)
+        rows.append((f"{draw.randrange(1000):03}-{k}.md", k, tags + (tags[:1] if repeats and k % 5 == 0 else [])))
+    states = spark.createDataFrame(rows, "path string, ord long, proposed_tags array<string>")
+    got = T.shared_tag_pairs(T.tag_index(states), least).collect()
+    assert {(r["note_a"], r["note_b"]): r["shared"] for r in got} == plain_pairs(rows, least)
+    assert all(r["n_shared"] == len(r["shared"]) for r in got)
+
+
+def test_frequent_tags_make_no_candidates(spark):
+    """Two tags on all of 2,000 notes, and a rare one on every pair: all pairs of notes share two tags in the
+    first half only."""
+    rows = [(f"{k:04}.md", k, ["common", f"rare{k // 2}"] + (["usual"] if k < 40 else [])) for k in range(2000)]
+    entries = T.tag_index(spark.createDataFrame(rows, "path string, ord long, proposed_tags array<string>"))
+    found = T.candidate_pairs(entries, 2)
+    assert found.count() == 1000 + 40 * 39 // 2 - 20
+    assert T.shared_tag_pairs(entries, 2).count() == 1000 + 40 * 39 // 2 - 20
+
+
+def test_pieces_and_large_ones(spark, monkeypatch):
+    """Chains of stems, some larger than a task may walk through, against the rule applied to all at once."""
+    draw, edges = random.Random(4), []
+    for piece in range(12):
+        names = [f"{chr(97 + piece)}{k:02}" for k in range(draw.randrange(2, 14))]
+        edges += [(a, b) for k, a in enumerate(names) for b in names[k + 1 : k + 3] if draw.random() < 0.8]
+    df = spark.createDataFrame([(a, b, a, b) for a, b in edges], "earlier string, later string, earlier_tag string, later_tag string")
+    named = {}
+    for r in T.pieces(df).collect():
+        named.setdefault(r["piece"], set()).add(r["stem"])
+    assert all({a in g for a, b in edges if b in g} <= {True} for g in named.values()) and all(p == min(g) for p, g in named.items())
+    want = {}
+    for a, b in sorted(edges, key=lambda e: (e[1], e[0])):
+        if b not in want and a not in want:
+            want[b] = a
+    groups = spark.createDataFrame([(x, x) for x in sorted({x for e in edges for x in e} | {"alone"})], "stem string, first_tag string")
+    monkeypatch.setattr(T, "similar_stems", lambda *_: df)
+    for most in (1000, 8, 0):
+        monkeypatch.setattr(T, "MOST_EDGES", most)
+        got = {r["stem"]: r["leader"] for r in T.leaders(groups).collect()}
+        assert got == {r["stem"]: want.get(r["stem"], r["stem"]) for r in groups.collect()}, most
