@@ -1,7 +1,9 @@
 """Results held against plain Python that shares no code with the operators."""
 
+import binascii
 import math
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import corpus_pipeline
@@ -14,7 +16,7 @@ from hypothesis import strategies as st
 
 from pyspark.sql import functions as F
 
-from marginalia.llm import near, packing, quality, samples, suffix, toxicity
+from marginalia.llm import media, near, packing, quality, samples, suffix, toxicity
 from marginalia.llm.blocks import multikey_sort, text_buffer
 
 # packing
@@ -196,6 +198,71 @@ def test_components_where_every_id_has_several_texts(spark):
     assert Counter((r["doc_id"], r["component_id"]) for r in got) == Counter((k, comp[k]) for k, _ in rows)
 
 
+# media
+
+
+def plain_png(raw):
+    """(width, rows of samples) of a grey PNG: one byte at a time, by the format's own words."""
+    assert raw[:8] == bytes([137, 80, 78, 71, 13, 10, 26, 10])
+    at, data, kinds = 8, b"", []
+    while at < len(raw):
+        size = int.from_bytes(raw[at : at + 4], "big")
+        kind, body = raw[at + 4 : at + 8], raw[at + 8 : at + 8 + size]
+        assert int.from_bytes(raw[at + 8 + size : at + 12 + size], "big") == binascii.crc32(kind + body)
+        kinds.append(kind)
+        if kind == b"IHDR":
+            width, height = int.from_bytes(body[:4], "big"), int.from_bytes(body[4:8], "big")
+            assert body[8:] == bytes([8, 0, 0, 0, 0])
+        data += body if kind == b"IDAT" else b""
+        at += 12 + size
+    assert kinds[0] == b"IHDR" and kinds[-1] == b"IEND" and set(kinds[1:-1]) == {b"IDAT"} and at == len(raw)
+    flat, above, rows = zlib.decompress(data), [0] * width, []
+    assert len(flat) == height * (width + 1)
+    for y in range(height):
+        kind, line = flat[y * (width + 1)], list(flat[y * (width + 1) + 1 : (y + 1) * (width + 1)])
+        for x in range(width):
+            a, b, c = line[x - 1] if x else 0, above[x], above[x - 1] if x else 0
+            p = a + b - c
+            paeth = min((a, b, c), key=lambda v: (abs(p - v), (a, b, c).index(v)))
+            line[x] = (line[x] + [0, a, b, (a + b) // 2, paeth][kind]) % 256
+        rows.append(line)
+        above = line
+    return width, rows
+
+
+def plain_hash(rows):
+    """Cell means of 32 x 32, their cosine transform from its definition, and the 64 lowest against the median."""
+    height, width, n = len(rows), len(rows[0]), 32
+
+    def cells(length):
+        edges = [k * length // n for k in range(n)] + [length]
+        return [(a, max(b, a + 1)) for a, b in zip(edges, edges[1:])]
+
+    small = [[sum(rows[y][x] for y in range(*v) for x in range(*h)) / (v[1] - v[0]) / (h[1] - h[0]) for h in cells(width)] for v in cells(height)]
+    wave = [[math.cos(math.pi / n * k * (x + 0.5)) for x in range(n)] for k in range(8)]
+    low = [sum(small[y][x] * wave[u][y] * wave[v][x] for y in range(n) for x in range(n)) for u in range(8) for v in range(8)]
+    middle = sorted(low[1:])[31]
+    return low, middle
+
+
+def test_media_by_another_reader(spark):
+    texts = ["", "short", "abc" * 700, "é🙂漢" * 500, "".join(chr(33 + (k * k) % 90) for k in range(20_000)), "x" * 192, " ".join(f"word{k % 37}" for k in range(3000))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    stored = media.media_columns(df).collect()
+    assert len(stored) == len(texts)
+    for r in stored:
+        raw = texts[r["doc_id"]].encode()
+        width, rows = plain_png(bytes(r["media"]))
+        payload = raw.ljust(max(1, -(-len(raw) // 192)) * 192)
+        assert width == 192 and bytes(v for row in rows for v in row) == payload == bytes(r["payload"])
+        low, middle = plain_hash(rows)
+        bits = [b >> k & 1 for b in bytes(r["hash"]) for k in range(7, -1, -1)]
+        # what lies at the median but for rounding may fall on either side
+        clear = [abs(v - middle) > 1e-6 * max(map(abs, low)) for v in low]
+        assert all(bit == (v > middle) for bit, v, sure in zip(bits, low, clear) if sure), r["doc_id"]
+    assert sum(r["media"] is not None for r in stored) == len({bytes(r["media"]) for r in stored})
+
+
 # samples and suffixes
 
 
