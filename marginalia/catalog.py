@@ -583,10 +583,12 @@ def state_applied(spark, d):
 
 
 def state_json_roundtrip(spark, d):
-    """All records as one state file, and read again."""
+    """All records as the parts of a state file, and read again."""
     states = link_states(spark, d)
     pairs = states.where("ord % 7 = 0").select(F.col("path").alias("note_a"), F.concat(F.lit("z|"), "path").alias("note_b"))
-    again, evaluated, _ = S.from_json(stash(S.json_file(states, pairs, 1.0), "state-json"))
+    folder = f"{shared_dir(spark)}/tables/state-json-{uuid.uuid4().hex[:12]}"
+    S.write_json(S.json_lines(states, pairs, 1.0), folder)
+    again, evaluated, _ = S.read_json(spark, folder)
     rows = again.join(evaluated.withColumnRenamed("note_a", "path"), "path", "left")
     return rows.select("path", "ord", F.array_join(F.transform("proposed_links", lambda x: x["target"]), ",").alias("targets"), "tags_applied", "links_applied", "note_b")
 

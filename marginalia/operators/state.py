@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -156,37 +158,75 @@ def from_json(text: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     notes = row.select(F.posexplode(F.map_entries("notes")).alias("at", "note"))
     states = notes.select(F.col("note.key").alias("path"), F.col("at").cast("long").alias("ord"), "note.value.*")
     pairs = row.select(F.explode("evaluated_pairs").alias("pair"))
-    # the bar between two paths; a path of an older file that holds one is cut at the first
-    pairs = pairs.where(F.col("pair").contains("|")).select(
+    return states, split_pairs(pairs), row.select("version", "last_run", "last_completed_run")
+
+
+def split_pairs(pairs: DataFrame) -> DataFrame:
+    """(note_a, note_b) of pairs of paths with a bar between them; a path of an older file that holds one
+    is cut at the first."""
+    return pairs.where(F.col("pair").contains("|")).select(
         F.substring_index("pair", "|", 1).alias("note_a"), F.regexp_replace("pair", r"(?s)^[^|]*\|", "").alias("note_b")
     )
-    return states, pairs, row.select("version", "last_run", "last_completed_run")
+
+
+#: Fixed by json_lines(): the first line of a state file with an entry on each line.
+HEAD = '{"version":1,"notes":{'
 
 
 def read_json(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(states, evaluated pairs, runs) of a state file, or of a folder of its parts. A file with an entry on
+    each line, as json_lines() gives it, is read in splits; any other is one document and is read whole."""
+    lines = spark.read.text(path)
+    if lines.where(F.col("value") == HEAD).take(1):
+        return from_lines(lines)
     return from_json(spark.read.format("text").option("wholetext", True).load(path))
 
 
-def json_file(states: DataFrame, evaluated: DataFrame, last_run: float | None = None, last_completed_run: float | None = None) -> DataFrame:
-    """One row with the state file's text in value. It is one document, so all records meet in one task:
-    an export for interchange, not the store."""
+def from_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """from_json() of a state file that is read by lines; ord is the place among the notes' lines."""
+    word = r'"(?:[^"\\]++|\\.)*+"'
+    entry = F.regexp_replace("value", "^,", "")
+    place = [F.col("_metadata.file_name"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id()]
+    rows = lines.select(*(c.alias(f"p{k}") for k, c in enumerate(place)), "value", entry.alias("entry"))
+    notes = rows.where(F.col("value").rlike(rf"^,?{word}:\{{"))
+    notes = numbered(notes, F.col("p0"), F.col("p1"), F.col("p2"), name="ord")
+    record = F.from_json(F.concat(F.lit("{"), "entry", F.lit("}")), f"map<string,{RECORD}>")
+    states = notes.select("ord", F.explode(record).alias("path", "note")).select("path", "ord", "note.*")
+    pairs = rows.where(F.col("value").rlike(rf"^,?{word}$"))
+    pairs = pairs.select(F.get(F.from_json(F.concat(F.lit("["), "entry", F.lit("]")), "array<string>"), F.lit(0)).alias("pair"))
+    last = F.concat(F.lit('{"version":1,'), F.regexp_replace("value", r"^\],", ""))
+    runs = rows.where(F.col("value").startswith("],")).select(F.from_json(last, RUNS).alias("s")).select("s.*")
+    return states, split_pairs(pairs), runs
+
+
+def json_lines(states: DataFrame, evaluated: DataFrame, last_run: float | None = None, last_completed_run: float | None = None) -> DataFrame:
+    """(section, seq, value): the lines of the state file in order, each note and each pair on one; sorted by
+    ranges over many tasks. Written as text, its parts one after the other are the file."""
+    quoted = lambda c: F.regexp_replace(F.to_json(F.array(c)), r"^\[|\]$", "")
+    comma = F.when(F.col("seq") > 0, ",").otherwise("")
     record = F.struct("content_hash", "processed_at", "proposed_tags", "proposed_links", "tags_applied", "links_applied")
-    entries = F.array_sort(F.collect_list(F.struct("ord", "path", record.alias("record"))))
-    notes = states.agg(F.map_from_entries(F.transform(entries, lambda x: F.struct(x["path"], x["record"]))).alias("notes"))
-    pairs = evaluated.agg(F.array_sort(F.collect_list(F.concat_ws("|", "note_a", "note_b"))).alias("evaluated_pairs"))
-    whole = F.struct(
-        F.lit(1).alias("version"),
-        "notes",
-        "evaluated_pairs",
-        F.lit(last_run).cast("double").alias("last_run"),
-        F.lit(last_completed_run).cast("double").alias("last_completed_run"),
-    )
-    # one row with one row
-    return notes.crossJoin(pairs).select(F.to_json(whole, {"ignoreNullFields": "false"}).alias("value"))
+    whole = {"ignoreNullFields": "false"}
+    notes = numbered(states.withColumn("record", F.to_json(record, whole)).select("path", "ord", "record"), F.col("ord"), F.col("path"))
+    notes = notes.select(F.lit(1).alias("section"), "seq", F.concat(comma, quoted(F.col("path")), F.lit(":"), "record").alias("value"))
+    pairs = evaluated.select(F.concat_ws("|", "note_a", "note_b").alias("pair"))
+    pairs = numbered(pairs, F.col("pair"))
+    pairs = pairs.select(F.lit(3).alias("section"), "seq", F.concat(comma, quoted(F.col("pair"))).alias("value"))
+    runs = json.dumps({"last_run": last_run, "last_completed_run": last_completed_run}, separators=(",", ":"))
+    frame = [(0, 0, HEAD), (2, 0, '},"evaluated_pairs":['), (4, 0, f"],{runs[1:]}")]
+    frame = states.sparkSession.createDataFrame(frame, "section int, seq long, value string")
+    lines = frame.unionByName(notes).unionByName(pairs)
+    return lines.repartitionByRange("section", "seq").sortWithinPartitions("section", "seq")
+
+
+def write_json(lines: DataFrame, folder: str) -> None:
+    """json_lines() as text files in a folder."""
+    lines.select("value").write.text(folder)
 
 
 def to_json(states: DataFrame, evaluated: DataFrame, last_run: float | None = None, last_completed_run: float | None = None) -> str:
-    return json_file(states, evaluated, last_run, last_completed_run).first()["value"]
+    """The state file's text; for small states, as the text is whole on the driver."""
+    lines = json_lines(states, evaluated, last_run, last_completed_run).orderBy("section", "seq")
+    return "\n".join(row["value"] for row in lines.toLocalIterator())
 
 
 def schema_of(kind: str) -> T.StructType:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -16,7 +17,7 @@ from ..operators import rewrite as R
 from ..operators import state as S
 from ..operators import tags as T
 from ..operators.edit_log import failures, replayed
-from ..session import drop_paths, stash, unstash
+from ..session import drop_paths, shared_dir, stash, unstash
 from ..sources.vault import read_vault, write_edits
 from .store import Snapshot, Store
 from .tools import read_edits
@@ -217,10 +218,22 @@ class Notebook:
         return S.pending_tags(now.states).orderBy("ord"), S.pending_links(now.states).orderBy("ord")
 
     def export_json(self, path: str) -> None:
-        """The state as one JSON file."""
+        """The state as one JSON file: its parts are written by many tasks and copied one after the other."""
         now = self.store.load()
-        with open(path, "w", encoding="utf-8") as file:
-            file.write(S.to_json(now.states, now.evaluated, now.last_run, now.last_completed_run))
+        parts = f"{shared_dir(self.spark)}/tables/state-json-{uuid.uuid4().hex[:12]}"
+        S.write_json(S.json_lines(now.states, now.evaluated, now.last_run, now.last_completed_run), parts)
+        hadoop, conf = self.spark._jvm.org.apache.hadoop, self.spark._jsc.hadoopConfiguration()
+        source, target = hadoop.fs.Path(parts), hadoop.fs.Path(path)
+        files, out = source.getFileSystem(conf), target.getFileSystem(conf).create(target, True)
+        try:
+            for name in sorted(x.getPath().getName() for x in files.listStatus(source)):
+                if name.startswith("part-"):
+                    part = files.open(hadoop.fs.Path(f"{parts}/{name}"))
+                    hadoop.io.IOUtils.copyBytes(part, out, conf, False)
+                    part.close()
+        finally:
+            out.close()
+        drop_paths(self.spark, [parts])
 
     def import_json(self, path: str) -> dict[str, int]:
         """Takes over a state file; what the store held is replaced."""

@@ -1,5 +1,6 @@
 """The state log: what is written, what is read, and what a crash leaves."""
 
+import json
 import random
 from pathlib import Path
 
@@ -119,3 +120,25 @@ def test_changed_records(spark):
     after = records(spark, [("a.md", 0, "h"), ("b.md", 1, "h"), ("c.md", 2, None)])
     assert sorted(r["path"] for r in S.changed_records(before, after).collect()) == ["b.md", "c.md"]
     assert S.changed_records(after, after).count() == 0
+
+
+def test_state_file_by_lines(spark, tmp_path):
+    """Odd paths and texts, in many parts and in one file, against the reader of whole documents."""
+    paths = ["a.md", 'quo"te.md', "back\\slash.md", "new\nline.md", "é/漢 🙂.md", '":{.md', "b|c.md", ",.md", "z" * 5000 + ".md"]
+    states = records(spark, [(p, 10 * k, None if k % 2 else f"h{k}") for k, p in enumerate(paths)]).repartition(4)
+    states = states.withColumn("proposed_tags", F.array(F.lit('"},{"'), F.lit("]"))).withColumn(
+        "proposed_links", F.array(F.struct(F.lit('t"').alias("target"), F.lit("r\n],").alias("reason")))
+    )
+    evaluated = pairs(spark, [(p, f"{p}x") for p in sorted(paths)])
+    S.write_json(S.json_lines(states, evaluated, 1.5), f"{tmp_path}/parts")
+    whole = "".join(p.read_text() for p in sorted(Path(tmp_path, "parts").glob("part-*")))
+    assert list(json.loads(whole)["notes"]) == paths and json.loads(whole) == json.loads(S.to_json(states, evaluated, 1.5))
+    Path(tmp_path, "state.json").write_text(whole)
+    Path(tmp_path, "indented.json").write_text(json.dumps(json.loads(whole), indent=2, ensure_ascii=False))
+    found = []
+    for name in ("parts", "state.json", "indented.json"):
+        states_, pairs_, runs = S.read_json(spark, f"{tmp_path}/{name}")
+        found.append((states_.orderBy("ord").select("path", "ord", "content_hash", "proposed_tags", "proposed_links").collect(), sorted(map(tuple, pairs_.collect())), runs.collect()))
+    assert found[0] == found[1] == found[2] and len(found[0][0]) == len(paths) and found[0][2][0]["last_run"] == 1.5
+    S.write_json(S.json_lines(states.limit(0), evaluated.limit(0)), f"{tmp_path}/none")
+    assert [df.count() for df in S.read_json(spark, f"{tmp_path}/none")] == [0, 0, 1]
