@@ -95,30 +95,29 @@ def parsed_verdicts(replies: DataFrame) -> DataFrame:
     )
 
 
-def asked(ask, *what) -> str | None:
-    """The reply, or null where asking fails: one lost answer does not undo those before it."""
+def asked(ask, *what) -> tuple[str | None, str | None]:
+    """The reply, or what went wrong: one lost answer does not undo those before it."""
     try:
-        return ask(*what)
+        return ask(*what), None
     except Exception as error:  # noqa: BLE001  whatever the client or its server does
-        print(f"{type(error).__name__}: {error}", flush=True)
-        return None
+        return None, f"{type(error).__name__}: {error}"
 
 
 def enriched(notes: DataFrame, client: Enricher) -> DataFrame:
-    """(path, content_hash, reply): the client's reply for each note, in batches on the executors; null
-    where it fails. Write it before it is read twice: each read asks the client again."""
+    """(path, content_hash, reply, failure): the client's reply for each note, in batches on the executors;
+    where it fails, null and why. Write it before it is read twice: each read asks the client again."""
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            replies = [asked(client.enrich, path, text) for path, text in zip(batch["path"], batch["content"])]
-            yield pd.DataFrame({"path": batch["path"], "content_hash": batch["content_hash"], "reply": replies})
+            said = [asked(client.enrich, path, text) for path, text in zip(batch["path"], batch["content"])]
+            yield batch[["path", "content_hash"]].assign(reply=[x for x, _ in said], failure=[x for _, x in said])
 
-    return notes.select("path", "content", "content_hash").mapInPandas(ask, "path string, content_hash string, reply string")
+    return notes.select("path", "content", "content_hash").mapInPandas(ask, "path string, content_hash string, reply string, failure string")
 
 
 def verified(pairs: DataFrame, notes: DataFrame, states: DataFrame, client: Verifier) -> DataFrame:
     """pairs with the client's reply on the notes' tags and first characters, null where a note is gone,
-    and failed: whether asking failed."""
+    failed: whether asking failed, and failure: why."""
     columns = pairs.columns
     rows = pairs
     for side in ("a", "b"):
@@ -129,8 +128,10 @@ def verified(pairs: DataFrame, notes: DataFrame, states: DataFrame, client: Veri
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             gone = batch["preview_a"].isna() | batch["preview_b"].isna()
-            replies = [None if lost else asked(client.verify, pair) for lost, pair in zip(gone, batch.to_dict("records"))]
-            yield batch[columns].assign(reply=replies, failed=[x is None and not lost for lost, x in zip(gone, replies)])
+            said = [(None, None) if lost else asked(client.verify, pair) for lost, pair in zip(gone, batch.to_dict("records"))]
+            replies = [x for x, _ in said]
+            lost = [x is None and not none for none, x in zip(gone, replies)]
+            yield batch[columns].assign(reply=replies, failed=lost, failure=[x for _, x in said])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pairs.schema.fields)
-    return rows.mapInPandas(ask, f"{schema}, reply string, failed boolean")
+    return rows.mapInPandas(ask, f"{schema}, reply string, failed boolean, failure string")

@@ -65,6 +65,8 @@ class Notebook:
             parsed = E.parsed_replies(replies).join(some.select("path", "ord"), "path")
             self.store.append(S.processed(parsed.where("ok"), F.lit(self.now())))
             counts = parsed.agg(F.count_if("ok").alias("ok"), F.count_if(~F.col("ok")).alias("bad")).first()
+            if counts["bad"]:
+                self.failures(replies)
             unstash(replies)
             processed, errors = processed + counts["ok"], errors + counts["bad"]
             self.progress("notes", min(start + self.batch_notes, total), total, began, errors)
@@ -82,6 +84,13 @@ class Notebook:
         some = rows.where(F.col("shard") == start // (size * SHARD_BATCHES)).drop("shard")
         return some.where((F.col("seq") >= start) & (F.col("seq") < start + size))
 
+    def failures(self, replies: DataFrame) -> None:
+        """Reports why answers were lost, the most frequent reasons first: a wrong client does not look like a
+        busy one."""
+        found = replies.where("failure IS NOT NULL").groupBy("failure").count().orderBy(F.desc("count"), "failure").limit(3)
+        for row in found.collect():
+            self.report(f"no answer ({row['count']}): {row['failure']}")
+
     def progress(self, what: str, done: int, total: int, began: float, errors: int) -> None:
         """How far a command is, its average and what is left at this pace."""
         each = (self.now() - began) / max(done, 1)
@@ -119,6 +128,8 @@ class Notebook:
             named = states.join(yes.select(F.coalesce("link_from", "note_a").alias("path")), "path", "left_semi")
             linked_now = L.with_verdicts(named, yes, S.next_place(states))
             self.store.append(S.changed_records(named, linked_now), S.ordered_pairs(replies.where("NOT failed")))
+            if counts["failed"]:
+                self.failures(replies)
             unstash(replies)
             confirmed, errors = confirmed + counts["yes"], errors + counts["failed"]
             self.progress("pairs", min(start + self.batch_pairs, total), total, began, errors)
