@@ -7,6 +7,7 @@ starts.
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,19 +21,20 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Documents with a lower quality score go.
 LEAST_QUALITY = 0.7
 
-_left: list[str] = []
+#: Tables that the stages of this thread's run left.
+_run = threading.local()
 
 
 def stage(build: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable:
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         prepare(spark)
         read = docs.inputFiles()
-        done = [path for path in _left if not any(path in file for file in read)]
+        left = getattr(_run, "left", [])
+        done = [path for path in left if not any(path in file for file in read)]
         drop_paths(spark, done)
-        _left[:] = [path for path in _left if path not in done]
         with recording() as paths:
             out = build(spark, docs, sf_dir)
-        _left.extend(paths)
+        _run.left = [path for path in left if path not in done] + paths
         return out
 
     run_stage.__name__, run_stage.__doc__ = build.__name__, build.__doc__

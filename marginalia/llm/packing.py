@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections import deque
 from collections.abc import Iterator
@@ -37,22 +38,38 @@ TAIL = ".,;:!?"
 #: Letters that normalise to a letter and a mark keep the signs after them: one before BEYOND does, and
 #: words that end beyond it (Latin, Greek and Cyrillic lie before) are not split.
 DOTTED, BEYOND = "\u0130", "\u0530"
+#: Fixed: the normaliser and the first split of the tokenizer whose texts may be encoded word by word.
+BY_WORD = (
+    [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}],
+    r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+",
+)
+
+
+def by_word(tokenizer: Tokenizer) -> bool:
+    """Whether a tokenizer lowers case, drops white space and joins nothing across it, in the way that
+    WordEncoder takes advantage of."""
+    said = json.loads(tokenizer.to_str())
+    splits = (said["pre_tokenizer"] or {}).get("pretokenizers") or [{}]
+    found = ((said["normalizer"] or {}).get("normalizers"), splits[0].get("pattern", {}).get("Regex"))
+    return found == BY_WORD and said["post_processor"] is None and said["model"].get("end_of_word_suffix") == WORD_END
 
 
 class WordEncoder(dict):
-    """Ids by words. The tokenizer lowers case, drops white space and joins nothing across it, so a
-    text's ids are its words' ids in a row, and each distinct word needs the tokenizer once."""
+    """Ids by words, for a tokenizer that lowers case, drops white space and joins nothing across it: a
+    text's ids are its words' ids in a row, and each distinct word needs the tokenizer once. Texts of any
+    other tokenizer are encoded as they are."""
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.by_word = by_word(self.tokenizer)
         vocabulary = self.tokenizer.get_vocab()
         self.stops = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
         self.ends = self.stops.copy()
         for token, at in vocabulary.items():
             sign = token.removesuffix(WORD_END)
             self.ends[at] = token != sign
-            self.stops[at] = token != sign and bool(STOP.search(sign)) and not any(map(str.isalnum, sign))
+            self.stops[at] = (token != sign or not self.by_word) and bool(STOP.search(sign)) and not any(map(str.isalnum, sign))
         self.reset()
 
     def reset(self) -> None:
@@ -112,6 +129,9 @@ class WordEncoder(dict):
 
     def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All texts' ids in a row, end_id after each, and the number of ids of each text."""
+        if not self.by_word:
+            found = [x.ids for x in self.tokenizer.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
+            return np.array([x for ids in found for x in [*ids, end_id]], np.uint32), np.array([len(ids) + 1 for ids in found], np.int64)
         if len(self) > CACHED_WORDS:
             self.shrink(CACHED_WORDS // 2)
         lowered = pa.compute.replace_substring(pa.compute.ascii_lower(texts), "\n", " ")
@@ -282,11 +302,13 @@ def pack_documents(
     empty table gives no pieces. The input must not depend on an unordered shuffle if reruns of
     lost tasks are to give the same sequences: read it from files.
     """
+    # tokenizer: the path of a tokenizer's JSON file that executors reach too
     path = tokenizer or public_tokenizers.path("word_bpe_49k.json")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = encoder(path)
-        packer = Packer(words.stops, capacity, TaskContext.get().partitionId() << 33)
+        stops = np.pad(words.stops, (0, max(0, end_id + 1 - len(words.stops))))
+        packer = Packer(stops, capacity, TaskContext.get().partitionId() << 33)
         for batch in slices(batches, ROWS):
             ids, sizes = words.encode(batch.column(1), end_id)
             packer.add(batch.column(0), ids, sizes)

@@ -15,6 +15,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer, models, pre_tokenizers
 
 from marginalia.llm import media, near, packing, quality, samples, suffix, toxicity
 from marginalia.llm.blocks import multikey_sort, text_buffer
@@ -56,6 +57,26 @@ def test_cuts_cost_the_least(steps):
     assert paid_for(ends, price, 64) == least_cost(places.tolist(), cost.tolist(), 64)
 
 
+@pytest.mark.parametrize("kind", ["cased words", "bytes"])
+def test_packing_with_another_tokenizer(spark, tmp_path, kind):
+    """One that keeps case, and one that keeps white space: ids are the tokenizer's own."""
+    if kind == "bytes":
+        made = Tokenizer(models.BPE({c: k for k, c in enumerate(sorted(pre_tokenizers.ByteLevel.alphabet()))}, []))
+        made.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False)
+    else:
+        made = Tokenizer(models.WordLevel({"[UNK]": 0, "Hello": 1, "world": 4, "hello": 2, ".": 3}, unk_token="[UNK]"))
+        made.pre_tokenizer = pre_tokenizers.Whitespace()
+    made.save(f"{tmp_path}/tokenizer.json")
+    texts = ["Hello world", "hello  world.\nHello", "", None, "WORLD . é" * 300]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = defaultdict(list)
+    for r in sorted(packing.pack_documents(df, tokenizer=f"{tmp_path}/tokenizer.json", end_id=9, capacity=64).collect(), key=lambda r: (r["doc_id"], r["start"])):
+        assert r["start"] == len(found[r["doc_id"]])
+        found[r["doc_id"]] += np.frombuffer(r["ids"], "<u4").tolist()
+    assert found == {k: [*made.encode(t or "", add_special_tokens=False).ids, 9] for k, t in enumerate(texts)}
+    assert not packing.by_word(made) and packing.by_word(Tokenizer.from_file(packing.public_tokenizers.path("word_bpe_49k.json")))
+
+
 # quality
 
 
