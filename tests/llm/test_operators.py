@@ -412,11 +412,11 @@ def documents():
 @tables
 def test_queries_with_sql(spark):
     con = duckdb.connect()
-    for name in ("documents", "conversations"):
+    for name in ("documents", "conversations", "labels"):
         con.sql(f"CREATE VIEW {name} AS SELECT * FROM '{SF}/{name}.parquet'")
     for name, sql in queries.ORACLES.items():
         got, want = queries.QUERIES[name](spark, SF).toPandas(), con.sql(sql).df()
-        rows = lambda f: sorted(map(tuple, f[sorted(f.columns)].astype(object).values.tolist()), key=repr)
+        rows = lambda f: sorted(map(tuple, f[sorted(f.columns)].astype(object).where(f[sorted(f.columns)].notna(), None).values.tolist()), key=repr)
         assert rows(got) == rows(want), name
 
 
