@@ -115,6 +115,7 @@ def segments(bounds: np.ndarray, length: int, gram: int) -> Iterator[tuple[int,
 
 def anchors(raw: np.ndarray, bounds: np.ndarray, length: int, gram: int, windows: tuple[int, int] | None = None) -> tuple[np.ndarray, ...]:
     """Of each anchor of the windows from windows[0] to windows[1] (all by default): its gram's hash,
+    mixed once more, as the hashes of anchors are small ones and would fill the first of any equal ranges;
     its surroundings' hash, its document (a place in bounds), its place in raw, and the first and last
     window that chose it."""
     n, wide = len(raw), length - gram + 1
@@ -148,7 +149,7 @@ def anchors(raw: np.ndarray, bounds: np.ndarray, length: int, gram: int, windows
     # a run that a segment cuts is told apart from the whole one
     run = ((place - lows) * 64 + (place - highs)).astype(np.uint64)
     around = mix(hashed.of(left, right) ^ mix(cut * np.uint64(4096) + run))
-    return codes[place], around, doc, place, lows, highs
+    return mix(codes[place]), around, doc, place, lows, highs
 
 
 class Block:

@@ -263,6 +263,14 @@ def test_equal_windows_choose_equal_anchors():
     assert found[0] == found[1] and len(found[0]) == 31
 
 
+def test_anchors_fill_equal_ranges_alike():
+    """Anchors have the least hashes of their windows; their codes are spread all the same."""
+    raw = np.random.default_rng(5).integers(32, 127, 200_000).astype(np.uint8)
+    code = np.unique(suffix.anchors(raw, np.array([0, len(raw)]), 50, 18)[0])
+    sizes = np.bincount((code >> np.uint64(59)).astype(np.int64), minlength=32)
+    assert sizes.max() < 1.3 * np.median(sizes) and sizes.min() > 0.7 * np.median(sizes)
+
+
 @pytest.mark.parametrize("chunk", [64, 100, 333])
 def test_long_documents_in_segments(monkeypatch, chunk):
     """Every window of a long document has the anchor that it has where the document is hashed whole."""
