@@ -18,6 +18,7 @@ from .operators import search as Q
 from .operators import state as S
 from .operators import tags as T
 from .operators.edit_log import replayed
+from .operators.search_index import SearchIndex
 from .plans.store import Store
 from .session import shared_dir, stash
 from .sources.vault import read_vault, write_edits
@@ -127,6 +128,14 @@ def search_cutoff(spark, d):
     return Q.search(docs(spark, d), WORD)
 
 
+def search_index_lines(spark, d):
+    return SearchIndex.build(docs(spark, d)).search_lines("license")
+
+
+def search_index_cutoff(spark, d):
+    return SearchIndex.build(docs(spark, d)).search(WORD)
+
+
 def note_preview(spark, d):
     return docs(spark, d).select("path", X.preview(F.col("content")).alias("preview"), X.stem(F.col("path")).alias("stem"))
 
@@ -158,6 +167,7 @@ SCAN_SQL = {
         SELECT path, line_no, line, before + n > 100 AS truncated FROM found JOIN running USING (path) WHERE before <= 100""",
     "note_preview": f"""WITH {NOTES} SELECT path, substr(content, 1, 500) AS preview, lang || '-' || doc_id AS stem FROM docs""",
 }
+SCAN_SQL |= {"search_index_lines": SCAN_SQL["search_lines"], "search_index_cutoff": SCAN_SQL["search_cutoff"]}
 
 
 # links, tags and frontmatter in texts
