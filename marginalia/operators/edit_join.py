@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+from itertools import combinations
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..session import stash
 
@@ -11,6 +17,8 @@ from ..session import stash
 MOST_DELETIONS, MOST_CHARS = 2, 32
 #: A piece that more strings share than this is common: its strings are dealt out in parts.
 COMMON, PARTS = 1000, 64
+#: Keys in a partition within which strings meet, about; rows and pairs that are held or sent at once.
+KEYS, KEY_ROWS, PAIR_ROWS = 2_000_000, 65_536, 1 << 20
 
 
 def segments(strings: DataFrame, column: str, threshold: int) -> DataFrame:
@@ -57,21 +65,89 @@ def by_pieces(probe: DataFrame, pieces: DataFrame) -> DataFrame:
     return probe.join(pieces, [*key, "_at"]).select("probe", "string")
 
 
-def deletions(strings: DataFrame, column: str, threshold: int) -> DataFrame:
-    """(string, key): hashes of all that a string becomes by leaving out up to threshold (1 or 2)
-    characters: the j-th, and the i-th before it, 0 being none. Of equal neighbours only the first is
-    left out, or both, so that few results come twice."""
-    s = F.col("string")
-    rows = strings.select(F.col(column).alias("string"), F.explode(F.sequence(F.lit(0), F.char_length(column))).alias("j"))
-    most = F.greatest(F.col("j") - 1, F.lit(0)) if threshold > 1 else F.lit(0)
-    rows = rows.withColumn("i", F.explode(F.sequence(F.lit(0), most)))
-    i, j = F.col("i"), F.col("j")
-    same = lambda at: F.substring(s, at, F.lit(1)) == F.substring(s, at - 1, F.lit(1))
-    rows = rows.where(~((i > 1) & same(i)) & ~((j > 1) & (i != j - 1) & same(j)))
-    rest = F.expr("substring(string, j + 1)")
-    left = F.when(j == 0, s).when(i == 0, F.concat(F.substring(s, F.lit(1), j - 1), rest))
-    left = left.otherwise(F.concat(F.substring(s, F.lit(1), i - 1), F.substring(s, i + 1, j - i - 1), rest))
-    return rows.select("string", F.xxhash64(left).alias("key"))
+#: Fixed: an odd base of the hashes of texts, its inverse modulo 2 ** 64, and a multiplier that mixes bits.
+BASE, MIX = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9
+UNBASE = pow(BASE, -1, 1 << 64)
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """A one-to-one scattering of 64-bit numbers."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(MIX)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(BASE)
+    return x ^ (x >> np.uint64(31))
+
+
+def deletion_hashes(codes: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key): hashes of all that each row of code points becomes by leaving out up to threshold of
+    them. A hash is a polynomial in the places of what is left, so that sums over the kept stretches give it.
+    Of equal neighbours only the first is left out, or several, so that few results come twice."""
+    n, size = codes.shape
+    powers = np.concatenate([np.ones(1, np.uint64), np.full(size, BASE, np.uint64)]).cumprod(dtype=np.uint64)
+    back = np.full(threshold + 1, UNBASE, np.uint64).cumprod(dtype=np.uint64)
+    sums = np.zeros((n, size + 1), np.uint64)
+    np.cumsum(mixed(codes.astype(np.uint64) + np.uint64(1)) * powers[:size], axis=1, dtype=np.uint64, out=sums[:, 1:])
+    same = np.zeros((n, size), bool)
+    same[:, 1:] = codes[:, 1:] == codes[:, :-1]
+    rows, keys = [np.arange(n)], [sums[:, size]]
+    for count in range(1, min(threshold, size) + 1):
+        for first in range(size - count + 1):
+            # all choices whose first place is this one: few enough at a time
+            left = np.array([(first, *more) for more in combinations(range(first + 1, size), count - 1)])
+            kept, start = sums[:, left[:, 0]], left[:, 0] + 1
+            fine = np.ones((n, len(left)), bool)
+            fine &= ~same[:, [first]]
+            for k in range(1, count):
+                kept += (sums[:, left[:, k]] - sums[:, start]) * back[k - 1]
+                fine &= ~same[:, left[:, k]] | (left[:, k - 1] == left[:, k] - 1)
+                start = left[:, k] + 1
+            kept += (sums[:, [size]] - sums[:, start]) * back[count - 1]
+            row, choice = np.nonzero(fine)
+            rows.append(row)
+            keys.append(kept[row, choice])
+    return np.concatenate(rows), mixed(np.concatenate(keys)).view(np.int64)
+
+
+def deletions(strings: DataFrame, column: str, threshold: int, key: str = "key") -> DataFrame:
+    """strings with a row for each key: hashes of all that a string becomes by leaving out up to
+    threshold characters."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(column).to_pylist()
+            sizes = np.fromiter(map(len, texts), int, len(texts))
+            for size in np.unique(sizes):
+                (own,) = np.nonzero(sizes == size)
+                codes = np.frombuffer("".join(texts[k] for k in own).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(own), size)
+                row, keys = deletion_hashes(codes, threshold)
+                row = own[row]
+                for k in range(0, len(row), KEY_ROWS):
+                    columns = batch.take(pa.array(row[k : k + KEY_ROWS])).columns
+                    yield pa.RecordBatch.from_arrays([*columns, pa.array(keys[k : k + KEY_ROWS])], [*batch.schema.names, key])
+
+    schema = StructType([*strings.schema.fields, StructField(key, LongType())])
+    return strings.mapInArrow(cut, schema)
+
+
+def meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b): the pairs of different ids with an equal key, of rows (key, id) that hold all of each of their
+    keys; most of them once. Rows are ordered by key, and met with the next, the next but one, and so on."""
+    parts = [(batch.column(0).to_numpy(), batch.column(1).to_numpy()) for batch in batches]
+    if not parts:
+        return
+    keys, ids = (np.concatenate(x) for x in zip(*parts))
+    parts.clear()
+    order = np.lexsort((ids, keys))
+    keys, ids = keys[order], ids[order]
+    at, step, found, held = np.arange(len(keys)), 1, [], 0
+    while len(at):
+        at = at[at + step < len(keys)]
+        at = at[keys[at + step] == keys[at]]
+        found.append(np.stack([ids[at], ids[at + step]]))
+        held, step = held + len(at), step + 1
+        if held and (held > PAIR_ROWS or not len(at)):
+            pairs = np.unique(np.concatenate(found, axis=1), axis=1)
+            pairs, found, held = pairs[:, pairs[0] != pairs[1]], [], 0
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
 
 
 def measured(pairs: DataFrame, threshold: int) -> DataFrame:
@@ -94,8 +170,8 @@ def edit_join(left: DataFrame, left_col: str, right: DataFrame, right_col: str,
     met = []
     if threshold <= MOST_DELETIONS:
         short = [x.where(F.char_length(c) <= MOST_CHARS) for x, c in ((a, left_col), (b, right_col))]
-        probe = deletions(short[0], left_col, threshold).withColumnRenamed("string", "probe")
-        met.append(probe.join(deletions(short[1], right_col, threshold), "key").select("probe", "string"))
+        probe = deletions(short[0].select(F.col(left_col).alias("probe")), "probe", threshold)
+        met.append(probe.join(deletions(short[1].select(F.col(right_col).alias("string")), "string", threshold), "key").select("probe", "string"))
         a, b = (x.where(F.char_length(c) > MOST_CHARS - threshold) for x, c in ((a, left_col), (b, right_col)))
     met.append(by_pieces(probes(a, left_col, threshold), segments(b, right_col, threshold)))
     pairs = met[0].unionByName(met[-1]) if len(met) > 1 else met[0]
@@ -112,10 +188,12 @@ def edit_pairs(strings: DataFrame, column: str, threshold: int) -> DataFrame:
         pairs = by_pieces(probes(rows, "string", threshold), segments(rows, "string", threshold)).where("probe < string")
         return measured(pairs, threshold)
     short, long = rows.where(F.char_length("string") <= MOST_CHARS), rows.where(F.char_length("string") > MOST_CHARS - threshold)
-    keys = deletions(short, "string", threshold)
-    # dealt by key once: counting, and meeting within a key, need no other shuffle
-    again = keys.repartition("key").withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1").select("key", "string")
-    again = stash(again, "edit-keys")
-    pairs = again.withColumnRenamed("string", "probe").join(again, "key").where("probe < string").select("probe", "string")
+    short = stash(short.withColumn("id", F.monotonically_increasing_id()), "edit-strings")
+    size = F.char_length("string")
+    n = short.agg(F.sum(1 + size + (size * (size - 1) / 2 if threshold > 1 else 0))).first()[0] or 0
+    keys = deletions(short, "string", threshold).select("key", "id").repartition(int(n) // KEYS + 1, "key")
+    met = keys.mapInArrow(meetings, "a long, b long").distinct()
+    name = lambda own, column: short.select(F.col("id").alias(own), F.col("string").alias(column))
+    pairs = met.join(name("a", "x"), "a").join(name("b", "y"), "b").select(F.least("x", "y").alias("probe"), F.greatest("x", "y").alias("string"))
     more = by_pieces(probes(long, "string", threshold), segments(long, "string", threshold)).where("probe < string")
     return measured(pairs.unionByName(more), threshold)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -12,7 +13,7 @@ from ..functions.tags import THRESHOLD, are_similar, stem_tag
 from ..session import stash, unstash
 from .edit_join import edit_pairs
 
-#: Pairs of similar stems in a piece that one task walks through, at most.
+#: Pairs of similar stems in a range that one task walks through, about.
 MOST_EDGES = 200_000
 #: Edges in a partition that is replaced by stars, about.
 STAR_EDGES = 200_000
@@ -103,63 +104,71 @@ def pieces(edges: DataFrame) -> DataFrame:
             return names
 
 
-def followers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(stem, leader) of the stems that follow one, by the sequential rule. Rows are the edges of whole
-    pieces, one piece after the other, each in the order of later and then earlier tags; what is held at
-    a time is one piece."""
-    piece, found, done = None, {}, []
+def decided(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(stem, follows) of the later stems whose role is settled. Rows (earlier, later, ahead) are all edges
+    of a range of later stems, in their order; ahead tells whether the earlier one leads, null if that
+    is open. What is held is the roles of one range."""
+    roles: dict[str, bool] = {}
+    stem, led, unsure = None, False, False
+    out: list[tuple[str, bool]] = []
+
+    def settle() -> None:
+        if stem is not None and (led or not unsure):
+            roles[stem] = not led
+            out.append((stem, led))
+
+    def batch_of() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.string()), pa.array([x for _, x in out], pa.bool_())], ["stem", "follows"])
+
     for batch in batches:
-        for own, earlier, later in zip(*(batch.column(k).to_pylist() for k in range(3))):
-            if own != piece:
-                done += found.items()
-                piece, found = own, {}
-            if later not in found and earlier not in found:
-                found[later] = earlier
-        if done:
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in zip(*done)], ["stem", "leader"])
-            done = []
-    if found:
-        yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in zip(*found.items())], ["stem", "leader"])
-
-
-def followers_by_rounds(edges: DataFrame) -> DataFrame:
-    """The same by rounds over written tables: each decides all stems whose earlier neighbours are
-    decided."""
-    nodes = edges.select(F.col("later").alias("stem")).union(edges.select("earlier")).distinct()
-    first = edges.select(F.col("later").alias("stem")).distinct().withColumn("waits", F.lit(True))
-    role = F.when(F.col("waits"), F.lit("open")).otherwise(F.lit("leads"))
-    state = stash(nodes.join(first, "stem", "left").select("stem", role.alias("role")), "stem-roles")
-    while state.where("role = 'open'").take(1):
-        ahead = state.select(F.col("stem").alias("earlier"), F.col("role").alias("ahead"))
-        seen = edges.join(ahead, "earlier").groupBy(F.col("later").alias("stem"))
-        seen = seen.agg(F.bool_or(F.col("ahead") == "leads").alias("led"), F.bool_or(F.col("ahead") == "open").alias("unsure"))
-        new = F.when(F.col("role") != "open", F.col("role")).when(F.col("led"), "follows").when(F.col("unsure"), "open").otherwise("leads")
-        after = stash(state.join(seen, "stem", "left").select("stem", new.alias("role")), "stem-roles")
-        unstash(state)
-        state = after
-    heads = state.where("role = 'leads'").select(F.col("stem").alias("earlier"))
-    tails = state.where("role = 'follows'").select(F.col("stem").alias("later"))
-    best = edges.join(heads, "earlier").join(tails, "later").groupBy("later").agg(F.min_by("earlier", "earlier_tag").alias("leader"))
-    return best.select(F.col("later").alias("stem"), "leader")
+        for earlier, later, ahead in zip(*(batch.column(k).to_pylist() for k in range(3))):
+            if later != stem:
+                settle()
+                stem, led, unsure = later, False, False
+            leads = roles.get(earlier) if ahead is None else ahead
+            led, unsure = led or leads is True, unsure or leads is None
+        yield batch_of()
+        out.clear()
+    settle()
+    yield batch_of()
+
+
+def followers(edges: DataFrame) -> DataFrame:
+    """(stem) of the stems that follow one, by the sequential rule. Each round walks through ranges of later
+    stems, each by itself: it settles whatever does not wait for an open stem of another range, the
+    first range wholly, so there are never more rounds than ranges. Only edges of open stems stay."""
+    after = edges.select(F.col("later").alias("earlier"), F.lit(True).alias("waits")).distinct()
+    ahead = F.when(F.col("waits").isNull(), True).alias("ahead")
+    rest = stash(edges.join(after, "earlier", "left").select("earlier", "later", "later_tag", ahead), "open-edges")
+    rounds = []
+    while n := rest.count():
+        ranges = -(-n // max(1, MOST_EDGES))
+        dealt = rest.repartitionByRange(ranges, "later_tag").sortWithinPartitions("later_tag")
+        roles = stash(dealt.select("earlier", "later", "ahead").mapInArrow(decided, "stem string, follows boolean"), "stem-roles")
+        rounds.append(roles)
+        if ranges == 1:
+            break
+        still = rest.join(roles.select(F.col("stem").alias("later")), "later", "left_anti")
+        known = roles.select(F.col("stem").alias("earlier"), (~F.col("follows")).alias("leads"))
+        still = still.join(known, "earlier", "left").select("earlier", "later", "later_tag", F.coalesce("ahead", "leads").alias("ahead"))
+        still = stash(still, "open-edges")
+        unstash(rest)
+        rest = still
+    if not rounds:
+        return edges.select(F.col("later").alias("stem")).limit(0)
+    return reduce(DataFrame.union, rounds).where("follows").select("stem")
 
 
 def leaders(groups: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """(stem, leader): greedy clustering. In the order of smallest tags a stem leads unless an earlier
     leader is similar to it, and then follows the earliest such leader.
 
-    Only stems with a similar one take part. What similarities do not connect is independent: pieces of
-    at most MOST_EDGES pairs are walked through each by itself, many pieces to a task, and larger ones are
-    decided in rounds over all tasks.
+    Only stems with a similar one take part. Which of them follow is settled in rounds over ranges of
+    about MOST_EDGES pairs; what is similar to an earlier one that does not follow has its leader there.
     """
     edges = stash(similar_stems(groups, threshold), "similar-stems")
-    named = edges.join(pieces(edges).withColumnRenamed("stem", "earlier"), "earlier")
-    sizes = named.groupBy("piece").agg(F.count("*").alias("n")).where(F.col("n") > MOST_EDGES)
-    named = stash(named.join(sizes, "piece", "left"), "piece-edges")
-    small = named.where("n IS NULL").repartition("piece").sortWithinPartitions("piece", "later_tag", "earlier_tag")
-    best = small.select("piece", "earlier", "later").mapInArrow(followers, "stem string, leader string")
-    giant = named.where("n IS NOT NULL").select(edges.columns)
-    if giant.take(1):
-        best = best.unionByName(followers_by_rounds(giant))
+    heads = edges.join(followers(edges).select(F.col("stem").alias("earlier")), "earlier", "left_anti")
+    best = heads.groupBy(F.col("later").alias("stem")).agg(F.min_by("earlier", "earlier_tag").alias("leader"))
     return groups.select("stem").join(best, "stem", "left").select("stem", F.coalesce("leader", "stem").alias("leader"))
 
 

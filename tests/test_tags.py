@@ -1,13 +1,15 @@
 """Tag stems, similarity, clustering and shared-tag pairs."""
 
 import random
+from itertools import combinations
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from marginalia.functions.tags import are_similar, stem_tag
 from marginalia.operators import tags as T
-from marginalia.operators.edit_join import edit_join, edit_pairs
+from marginalia.operators.edit_join import deletion_hashes, edit_join, edit_pairs
 
 
 def distance(a, b):
@@ -195,3 +197,25 @@ def test_pieces_and_large_ones(spark, monkeypatch):
         monkeypatch.setattr(T, "MOST_EDGES", most)
         got = {r["stem"]: r["leader"] for r in T.leaders(groups).collect()}
         assert got == {r["stem"]: want.get(r["stem"], r["stem"]) for r in groups.collect()}, most
+
+
+def test_a_long_chain_takes_few_rounds(spark, monkeypatch):
+    """Each stem is similar to the next: leaders alternate, and ranges settle what they hold in one round."""
+    names = [f"s{k:04}" for k in range(401)]
+    edges = spark.createDataFrame([(a, b, a, b) for a, b in zip(names, names[1:])], "earlier string, later string, earlier_tag string, later_tag string")
+    monkeypatch.setattr(T, "MOST_EDGES", 200)
+    monkeypatch.setattr(T, "similar_stems", lambda *_: edges)
+    written, stash = [], T.stash
+    monkeypatch.setattr(T, "stash", lambda df, name: (written.append(name), stash(df, name))[1])
+    groups = spark.createDataFrame([(x, x) for x in names], "stem string, first_tag string")
+    assert {r["stem"]: r["leader"] for r in T.leaders(groups).collect()} == {x: names[k - k % 2] for k, x in enumerate(names)}
+    assert written.count("stem-roles") <= 3
+
+
+def test_deletion_hashes_are_those_of_what_is_left():
+    draw = random.Random(7)
+    one = lambda w, t: deletion_hashes(np.frombuffer(w.encode("utf-32-le"), np.uint32).reshape(1, len(w)), t)[1].tolist()
+    for threshold in (0, 1, 2, 3) * 20:
+        word = "".join(draw.choice("aab😀é") for _ in range(draw.randrange(9)))
+        left = {"".join(c for k, c in enumerate(word) if k not in gone) for n in range(threshold + 1) for gone in combinations(range(len(word)), n)}
+        assert set(one(word, threshold)) == {key for w in left for key in one(w, 0)} and len(set(one(word, threshold))) == len(left)
