@@ -13,8 +13,9 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from ..session import stash
 
-#: Up to so many edits, strings of up to so many characters meet by what is left after deletions.
-MOST_DELETIONS, MOST_CHARS = 2, 32
+#: Up to so many edits, strings of up to so many characters meet by what is left after deletions; fewer
+#: characters where there are as many edits as that, since each string then has many results.
+MOST_DELETIONS, MOST_CHARS, FEWER_CHARS = 3, 32, 16
 #: A piece that more strings share than this is common: its strings are dealt out in parts.
 COMMON, PARTS = 1000, 64
 #: Keys in a partition within which strings meet, about; rows and pairs that are held or sent at once.
@@ -107,6 +108,10 @@ def deletion_hashes(codes: np.ndarray, threshold: int) -> tuple[np.ndarray, np.n
     return np.concatenate(rows), mixed(np.concatenate(keys)).view(np.int64)
 
 
+def short_chars(threshold: int) -> int:
+    return MOST_CHARS if threshold < MOST_DELETIONS else min(MOST_CHARS, FEWER_CHARS)
+
+
 def deletions(strings: DataFrame, column: str, threshold: int, key: str = "key") -> DataFrame:
     """strings with a row for each key: hashes of all that a string becomes by leaving out up to
     threshold characters."""
@@ -169,16 +174,32 @@ def edit_join(left: DataFrame, left_col: str, right: DataFrame, right_col: str,
     b = right.select(right_col).where(F.col(right_col).isNotNull()).distinct()
     met = []
     if threshold <= MOST_DELETIONS:
-        short = [x.where(F.char_length(c) <= MOST_CHARS) for x, c in ((a, left_col), (b, right_col))]
+        most = short_chars(threshold)
+        short = [x.where(F.char_length(c) <= most) for x, c in ((a, left_col), (b, right_col))]
         probe = deletions(short[0].select(F.col(left_col).alias("probe")), "probe", threshold)
         met.append(probe.join(deletions(short[1].select(F.col(right_col).alias("string")), "string", threshold), "key").select("probe", "string"))
-        a, b = (x.where(F.char_length(c) > MOST_CHARS - threshold) for x, c in ((a, left_col), (b, right_col)))
+        a, b = (x.where(F.char_length(c) > most - threshold) for x, c in ((a, left_col), (b, right_col)))
     met.append(by_pieces(probes(a, left_col, threshold), segments(b, right_col, threshold)))
     pairs = met[0].unionByName(met[-1]) if len(met) > 1 else met[0]
     pairs = measured(pairs, threshold)
     return pairs.select(F.col("probe").alias(left_col), F.col("string").alias(right_col), "edits")
 
 
+def nearest_join(left: DataFrame, left_col: str, right: DataFrame, right_col: str, threshold: int) -> DataFrame:
+    """(left_col, right_col, edits): of what edit_join() finds, at least all that is nearest to each left
+    string. Strings meet by fewer edits first, which few do; only those that nothing is so near to meet by
+    threshold edits, and only strings about as long as one of them."""
+    less = min(threshold, 2)
+    close = stash(edit_join(left, left_col, right, right_col, less), "nearest")
+    if less == threshold:
+        return close
+    rest = stash(left.select(left_col).where(F.col(left_col).isNotNull()).distinct().join(close, left_col, "left_anti"), "nearest-rest")
+    around = F.sequence(F.char_length(left_col) - threshold, F.char_length(left_col) + threshold)
+    sizes = rest.select(F.explode(around).alias("_size")).distinct()
+    near = right.select(right_col).join(F.broadcast(sizes), F.char_length(right_col) == F.col("_size"), "left_semi")
+    return close.unionByName(edit_join(rest, left_col, near, right_col, threshold))
+
+
 def edit_pairs(strings: DataFrame, column: str, threshold: int) -> DataFrame:
     """(probe, string, edits) of the pairs of distinct strings of one table within threshold edits, each
     pair once with probe < string. Candidates meet as in edit_join(), but what a string becomes by
@@ -187,10 +208,11 @@ def edit_pairs(strings: DataFrame, column: str, threshold: int) -> DataFrame:
     if threshold > MOST_DELETIONS:
         pairs = by_pieces(probes(rows, "string", threshold), segments(rows, "string", threshold)).where("probe < string")
         return measured(pairs, threshold)
-    short, long = rows.where(F.char_length("string") <= MOST_CHARS), rows.where(F.char_length("string") > MOST_CHARS - threshold)
+    most = short_chars(threshold)
+    short, long = rows.where(F.char_length("string") <= most), rows.where(F.char_length("string") > most - threshold)
     short = stash(short.withColumn("id", F.monotonically_increasing_id()), "edit-strings")
     size = F.char_length("string")
-    n = short.agg(F.sum(1 + size + (size * (size - 1) / 2 if threshold > 1 else 0))).first()[0] or 0
+    n = short.agg(F.sum(1 + size + (size * (size - 1) / 2 if threshold > 1 else 0) + (size * size * size / 6 if threshold > 2 else 0))).first()[0] or 0
     keys = deletions(short, "string", threshold).select("key", "id").repartition(int(n) // KEYS + 1, "key")
     met = keys.mapInArrow(meetings, "a long, b long").distinct()
     name = lambda own, column: short.select(F.col("id").alias(own), F.col("string").alias(column))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import is_hidden, name, outgoing_links, stem
-from .edit_join import edit_join
+from .edit_join import nearest_join
 from .state import next_place
 
 #: Fixed: the most edits of a fuzzy repair.
@@ -85,7 +85,7 @@ def repairs(targets: DataFrame, files: DataFrame) -> DataFrame:
     open_targets = open_targets.select("target", F.lower(name(F.col("target"))).alias("low_name"), F.lower(stem(F.col("target"))).alias("want"))
     staged = open_targets.join(low_names, "low_name", "left").join(low_stems.withColumnRenamed("low_stem", "want"), "want", "left")
     far = staged.where("by_low_name IS NULL AND by_low_stem IS NULL").select("want")
-    close = edit_join(far, "want", low_stems, "low_stem", FUZZY_EDITS).join(low_stems, "low_stem")
+    close = nearest_join(far, "want", low_stems, "low_stem", FUZZY_EDITS).join(low_stems, "low_stem")
     close = close.groupBy("want").agg(F.min_by("by_low_stem", F.struct("edits", "by_low_stem")).alias("by_edits"))
     staged = staged.join(close, "want", "left")
     fuzzy = staged.select("target", F.coalesce("by_low_name", "by_low_stem", "by_edits").alias("by_fuzzy"))

@@ -2,6 +2,7 @@
 
 import pytest
 
+from marginalia.operators import edit_join as E
 from marginalia.operators import links as L
 from marginalia.operators import state as S
 
@@ -87,3 +88,16 @@ def test_verdicts(spark):
     assert [tuple(x) for x in after["n.md"]["proposed_links"]] == [("old.md", ""), ("p.md", "r")]
     assert after["n.md"]["links_applied"] is False
     assert after["new.md"]["content_hash"] is None and [tuple(x) for x in after["new.md"]["proposed_links"]] == [("z.md", "")]
+
+
+def test_targets_near_a_name_do_not_meet_by_three_edits(spark, monkeypatch):
+    """Of 300 like names, each target meets the one it is nearest to; one target has none so near."""
+    names = [f"en-{k}" for k in range(1000, 1300)]
+    wanted = [f"{n}zz" for n in names[::10]] + ["en-1200xyz", "entirely different"]
+    calls, join = [], E.edit_join
+    monkeypatch.setattr(E, "edit_join", lambda left, a, right, b, n: (calls.append((n, left.count(), right.count())), join(left, a, right, b, n))[1])
+    table = lambda rows, name: spark.createDataFrame([(x,) for x in rows], f"{name} string")
+    found = E.nearest_join(table(wanted, "want"), "want", table(names, "stem"), "stem", 3)
+    best = {r["want"]: (r["edits"], r["stem"]) for r in found.orderBy("want", "edits", "stem").dropDuplicates(["want"]).collect()}
+    assert best == {f"{n}zz": (2, n) for n in names[::10]} | {"en-1200xyz": (3, "en-1200")}
+    assert calls == [(2, 32, 300), (3, 2, 300)]
