@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,6 +19,12 @@ MARK = "---"
 PREVIEW_CHARS = 500
 
 
+def once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), value being worked out once: beside and inside functions of elements, an expression that is
+    named twice is worked out twice, and one inside them for each element."""
+    return F.transform(F.array(value), then)[0]
+
+
 def trim(text: Column) -> Column:
     return F.regexp_replace(text, TRIM, "")
 
@@ -42,9 +50,8 @@ def inline_tags(content: Column) -> Column:
 
 def lines(content: Column) -> Column:
     """The lines of a text; no empty line after a final line end, none at all in an empty text."""
-    parts = F.split(content, LINE_END, -1)
-    whole = F.when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
-    return F.when(content == "", F.array().cast("array<string>")).otherwise(whole)
+    whole = lambda parts: F.when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
+    return F.when(content == "", F.array().cast("array<string>")).otherwise(once(F.split(content, LINE_END, -1), whole))
 
 
 def frontmatter_end(content: Column) -> Column:
@@ -62,19 +69,17 @@ def frontmatter_text(content: Column) -> Column:
 def frontmatter(content: Column) -> Column:
     """A map of the `key: value` lines, split at the first colon; of repeated keys the last counts.
     Empty without frontmatter."""
-    rows = F.filter(lines(trim(frontmatter_text(content))), lambda x: x.contains(":"))
-    pairs = F.transform(
-        rows,
-        lambda x: F.struct(
-            trim(F.substring_index(x, ":", 1)).alias("key"), trim(F.regexp_replace(x, r"(?s)^[^:]*:", "")).alias("value")
-        ),
+    pair = lambda x: F.struct(
+        trim(F.substring_index(x, ":", 1)).alias("key"), trim(F.regexp_replace(x, r"(?s)^[^:]*:", "")).alias("value")
     )
-    keys = F.transform(pairs, lambda p: p["key"])
+    rows = lambda text: F.filter(lines(trim(text)), lambda x: x.contains(":"))
     # a pair stays if its key does not come again after it
-    last = F.filter(
+    last = lambda pairs, keys: F.filter(
         pairs, lambda p, i: ~F.array_contains(F.slice(keys, i + 2, F.greatest(F.size(keys) - i - 1, F.lit(0))), p["key"])
     )
-    return F.coalesce(F.map_from_entries(last), F.create_map().cast("map<string,string>"))
+    found = lambda pairs: F.map_from_entries(once(F.transform(pairs, lambda p: p["key"]), lambda keys: last(pairs, keys)))
+    fields = once(frontmatter_text(content), lambda text: once(F.transform(rows(text), pair), found))
+    return F.coalesce(fields, F.create_map().cast("map<string,string>"))
 
 
 def name(path: Column) -> Column:
