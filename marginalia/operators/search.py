@@ -32,13 +32,16 @@ def java_pattern(spark, query: str) -> str:
     return pattern
 
 
+def readable(notes: DataFrame) -> DataFrame:
+    """Notes that a search reads: hidden and undecodable ones are left out."""
+    shown = notes.where(~is_hidden(F.col("path")))
+    return shown.where("valid_utf8") if "valid_utf8" in notes.columns else shown
+
+
 def search_lines(notes: DataFrame, query: str) -> DataFrame:
     """(path, line_no, line) of matching lines, trimmed; hidden and undecodable notes are left out."""
-    readable = notes.where(~is_hidden(F.col("path")))
-    if "valid_utf8" in notes.columns:
-        readable = readable.where("valid_utf8")
     pattern = java_pattern(notes.sparkSession, query)
-    return note_lines(readable).where(F.col("line").rlike(pattern)).withColumn("line", trim(F.col("line")))
+    return note_lines(readable(notes)).where(F.col("line").rlike(pattern)).withColumn("line", trim(F.col("line")))
 
 
 def search(notes: DataFrame, query: str, most: int = MOST_LINES) -> DataFrame:
@@ -46,14 +49,18 @@ def search(notes: DataFrame, query: str, most: int = MOST_LINES) -> DataFrame:
     including the note that brings the total above most. truncated marks that note's lines.
 
     Each note found has a line at least, so the first most + 1 of them settle the cutoff: a distributed
-    top-k, and an ordered window over its few rows.
+    top-k of notes by how many of their lines match, and an ordered window over its few rows. Only the
+    notes that are left are cut into rows.
     """
-    found = search_lines(notes, query)
-    counts = found.groupBy("path").agg(F.count("*").alias("n")).orderBy(sort_key(F.col("path"))).limit(most + 1)
+    pattern = java_pattern(notes.sparkSession, query)
+    matching = F.size(F.filter(lines(F.col("content")), lambda x: x.rlike(pattern))).cast("long")
+    counts = readable(notes).select("path", matching.alias("n")).where("n > 0")
+    counts = counts.groupBy("path").agg(F.sum("n").alias("n")).orderBy(sort_key(F.col("path"))).limit(most + 1)
     before = Window.orderBy(sort_key(F.col("path"))).rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).where(F.col("before") <= most)
-    counts = counts.select("path", (F.col("before") + F.col("n") > most).alias("truncated"))
-    return found.join(F.broadcast(counts), "path").select("path", "line_no", "line", "truncated")
+    counts = F.broadcast(counts.select("path", (F.col("before") + F.col("n") > most).alias("truncated")))
+    found = search_lines(notes.join(counts.select("path"), "path", "left_semi"), query)
+    return found.join(counts, "path").select("path", "line_no", "line", "truncated")
 
 
 def list_notes(notes: DataFrame, folder: str = "") -> DataFrame:

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from marginalia.functions import text as X
+from marginalia.operators import search as Q
 
 
 def value(spark, content, expression):
@@ -57,3 +58,17 @@ def test_stem(spark, path, stem):
 )
 def test_fence(spark, reply, text):
     assert value(spark, reply, X.without_fence) == text
+
+
+def test_frontmatter_is_cut_out_once(spark):
+    """The text is split into lines in one place of the plan, not once for each use of a line."""
+    rows = spark.createDataFrame([("---\na: 1\nb: x: y\na: 2\n---\n",), ("",), (None,)], "content string").select(X.frontmatter(F.col("content")).alias("f"))
+    assert [r["f"] for r in rows.collect()] == [{"a": "2", "b": "x: y"}, {}, {}]
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+
+
+def test_a_search_cuts_only_the_notes_it_shows(spark):
+    rows = spark.createDataFrame([("a/b.md", "The x\n y the \nno"), ("a-b.md", "the"), ("c.md", "the"), ("d.md", None)], "path string, content string")
+    found = Q.search(rows, "the", 2)
+    assert sorted(map(tuple, found.collect())) == [("a-b.md", 1, "the", True), ("a/b.md", 1, "The x", False), ("a/b.md", 2, "y the", False)]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Generate ") == 1
