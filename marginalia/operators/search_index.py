@@ -4,8 +4,8 @@ The texts that a pattern cannot match without are cut into trigrams; only notes
 of these are read, and their lines are matched by the pattern itself. A pattern without such texts, or
 with common ones only, is matched against all notes.
 
-Three Parquet tables lie in the index's folder: postings (part, gram, note), in folders by a hash of the
-gram; grams (gram, n), how many notes have each, and how many notes there are under the empty gram; and
+Three Parquet tables lie in the index's folder: postings (part, gram, notes), in folders by a hash
+of the gram; grams (gram, n), how many notes have each, and how many notes there are under the empty gram; and
 notes, in folders by a hash of the path. Grams are of printable ASCII, so there are at most 95 ** 3.
 """
 
@@ -15,14 +15,17 @@ import re
 import string
 import uuid
 import zlib
+from collections.abc import Iterator
 from re import _constants as ops
 from re import _parser
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import shared_dir, stash, unstash
-from .search import MOST_LINES, java_pattern, note_lines, search, search_lines
+from .search import MOST_LINES, java_pattern, search, search_lines
 
 GRAM = 3
 #: Folders of the postings, and of the notes.
@@ -74,9 +77,49 @@ def gram_part(gram: str) -> int:
     return zlib.crc32(gram.encode()) % FOLDERS
 
 
-def line_grams(line: Column) -> Column:
-    """Distinct trigrams of printable ASCII, folded; they may overlap."""
-    return F.array_distinct(F.regexp_extract_all(F.translate(line, _FROM, _TO), F.lit(r"(?=([\x20-\x7e]{3}))"), F.lit(1)))
+#: Fixed: what each code point is in a gram, folded; 0 if it is in none. All above the last one are in none.
+CODES = np.zeros(max(map(ord, ALIKE)) + 2, np.int64)
+CODES[0x20:0x7F] = [ord(folded(chr(c))) for c in range(0x20, 0x7F)]
+CODES[[ord(c) for c in ALIKE]] = [ord(c) for c in ALIKE.values()]
+#: Pairs of a gram and a note that a task holds until it sends a block of postings.
+BLOCK = 4_000_000
+
+
+def note_grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(gram, row): the distinct trigrams of printable ASCII of each text, folded, as numbers of three bytes. None
+    crosses a line's end, as no line end is printable ASCII."""
+    sizes = np.fromiter((len(x) + 1 for x in texts), np.int64, len(texts))
+    points = np.frombuffer("".join(x + "\n" for x in texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    codes = CODES[np.minimum(points, len(CODES) - 1)]
+    a, b, c = codes[:-2], codes[1:-1], codes[2:]
+    (at,) = np.nonzero((a > 0) & (b > 0) & (c > 0))
+    rows = np.repeat(np.arange(len(texts)), sizes)[at]
+    found = np.unique(rows << 24 | a[at] << 16 | b[at] << 8 | c[at])
+    return found & 0xFFFFFF, found >> 24
+
+
+def posting_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(gram, part, notes) of rows (note, content): a row for each gram of some BLOCK pairs."""
+    grams, notes, held = [], [], 0
+
+    def block() -> pa.RecordBatch:
+        gram, note = np.concatenate(grams), np.concatenate(notes)
+        order = np.lexsort((note, gram))
+        own, starts = np.unique(gram[order], return_index=True)
+        names = [bytes((x >> 16, x >> 8 & 255, x & 255)).decode() for x in own.tolist()]
+        lists = pa.ListArray.from_arrays(pa.array(np.append(starts, len(gram)), pa.int32()), pa.array(note[order]))
+        return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(map(gram_part, names), pa.int32()), lists], ["gram", "part", "notes"])
+
+    for batch in batches:
+        gram, row = note_grams([x or "" for x in batch.column(1).to_pylist()])
+        grams.append(gram)
+        notes.append(batch.column(0).to_numpy()[row])
+        held += len(gram)
+        if held > BLOCK:
+            yield block()
+            grams, notes, held = [], [], 0
+    if held:
+        yield block()
 
 
 def note_key(path: Column) -> Column:
@@ -96,20 +139,18 @@ class SearchIndex:
 
     @classmethod
     def build(cls, notes: DataFrame, folder: str | None = None) -> SearchIndex:
-        """Writes the index of notes (path, content, maybe valid_utf8) into a new folder. A line's grams
-        are distinct in the line, then once for each note, by a shuffle on both."""
+        """Writes the index of notes (path, content, maybe valid_utf8) into a new folder. A note's grams are
+        distinct in it; what is shuffled is blocks of notes of a gram."""
         spark = notes.sparkSession
         folder = folder or f"{shared_dir(spark)}/tables/search-index-{uuid.uuid4().hex[:12]}"
         valid = F.col("valid_utf8") if "valid_utf8" in notes.columns else F.lit(True)
         keyed = notes.select("path", "content", valid.alias("valid_utf8"), note_key(F.col("path")).alias("note"))
         keyed = stash(keyed.withColumn("part", F.pmod("note", F.lit(FOLDERS)).cast("int")), "search-notes")
         keyed.repartitionByRange("part", "note").sortWithinPartitions("part", "note").write.partitionBy("part").parquet(f"{folder}/notes")
-        lines_ = note_lines(keyed).select(note_key(F.col("path")).alias("note"), F.explode(line_grams(F.col("line"))).alias("gram"))
-        part = (F.crc32(F.encode("gram", "UTF-8")) % FOLDERS).cast("int")
-        held = stash(lines_.distinct().withColumn("part", part), "search-grams")
-        held.repartitionByRange("part", "gram", "note").sortWithinPartitions("part", "gram", "note").write.partitionBy("part").parquet(f"{folder}/postings")
+        held = stash(keyed.select("note", "content").mapInArrow(posting_blocks, "gram string, part int, notes array<long>"), "search-grams")
+        held.repartitionByRange("part", "gram").sortWithinPartitions("part", "gram").write.partitionBy("part").parquet(f"{folder}/postings")
         total = keyed.agg(F.lit("").alias("gram"), F.count("*").alias("n"))
-        held.groupBy("gram").agg(F.count("*").alias("n")).unionByName(total).coalesce(1).sortWithinPartitions("gram").write.parquet(f"{folder}/grams")
+        held.groupBy("gram").agg(F.sum(F.size("notes")).alias("n")).unionByName(total).coalesce(1).sortWithinPartitions("gram").write.parquet(f"{folder}/grams")
         unstash(keyed, held)
         return cls(spark, folder)
 
@@ -136,8 +177,9 @@ class SearchIndex:
             return self.notes().where(F.lit(False))
         if not grams:
             return self.notes()
-        postings = self.table("postings", "gram string, note long, part int")
+        postings = self.table("postings", "gram string, notes array<long>, part int")
         found = postings.where(F.col("part").isin(sorted(set(map(gram_part, grams)))) & F.col("gram").isin(grams))
+        found = found.select("gram", F.explode("notes").alias("note")).distinct()
         found = found.groupBy("note").agg(F.count("*").alias("n")).where(F.col("n") == len(grams)).select("note")
         parts = [r[0] for r in found.select(F.pmod("note", F.lit(FOLDERS)).cast("int")).distinct().collect()]
         return self.notes().where(F.col("part").isin(parts)).join(found, "note", "left_semi")

@@ -72,3 +72,12 @@ def test_rare_words_read_few_files(index):
 def test_an_empty_table(spark):
     empty = X.SearchIndex.build(spark.createDataFrame([], "path string, content string"))
     assert empty.search_lines("license").count() == 0 and empty.search("x*").count() == 0
+
+
+def test_postings_are_blocks_of_notes(spark, index):
+    """A gram of 120 notes is some rows of many notes, and the grams of a text are those of its lines."""
+    postings = index.table("postings", "gram string, notes array<long>, part int").where("gram = 'fil'")
+    assert postings.count() <= 5 and postings.agg(F.sum(F.size("notes"))).first()[0] == 120
+    grams, rows = X.note_grams(["ab\ncd\u017fE", "", "xyzxyz"])
+    names = [bytes((g >> 16, g >> 8 & 255, g & 255)).decode() for g in grams.tolist()]
+    assert sorted(zip(rows.tolist(), names)) == [(0, "cds"), (0, "dse"), (2, "xyz"), (2, "yzx"), (2, "zxy")]
