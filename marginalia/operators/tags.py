@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,8 +15,8 @@ from ..functions.tags import THRESHOLD, are_similar, stem_tag
 from ..session import stash, unstash
 from .edit_join import edit_pairs
 
-#: Pairs of similar stems in a range that one task walks through, about.
-MOST_EDGES = 200_000
+#: Pairs of similar stems in a range that one task holds, about.
+MOST_EDGES = 1_000_000
 #: Edges in a partition that is replaced by stars, about.
 STAR_EDGES = 200_000
 #: Entries of a tag that are paired with as many others at once.
@@ -105,53 +107,66 @@ def pieces(edges: DataFrame) -> DataFrame:
 
 
 def decided(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(stem, follows) of the later stems whose role is settled. Rows (earlier, later, ahead) are all edges
-    of a range of later stems, in their order; ahead tells whether the earlier one leads, null if that
-    is open. What is held is the roles of one range."""
-    roles: dict[str, bool] = {}
-    stem, led, unsure = None, False, False
-    out: list[tuple[str, bool]] = []
-
-    def settle() -> None:
-        if stem is not None and (led or not unsure):
-            roles[stem] = not led
-            out.append((stem, led))
-
-    def batch_of() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.string()), pa.array([x for _, x in out], pa.bool_())], ["stem", "follows"])
-
-    for batch in batches:
-        for earlier, later, ahead in zip(*(batch.column(k).to_pylist() for k in range(3))):
-            if later != stem:
-                settle()
-                stem, led, unsure = later, False, False
-            leads = roles.get(earlier) if ahead is None else ahead
-            led, unsure = led or leads is True, unsure or leads is None
-        yield batch_of()
-        out.clear()
-    settle()
-    yield batch_of()
+    """(stem, follows) of the later stems whose role is settled. Rows (earlier, later, ahead) are what is open of
+    a range of later stems; ahead tells whether the earlier one leads, null if that is open; a row of a
+    stem with itself only names it. Steps over all edges of the range settle what waits for nothing open,
+    until a step settles nothing. What is held is one range."""
+    found = [batch for batch in batches if batch.num_rows]
+    if not found:
+        return
+    table = pa.Table.from_batches(found).combine_chunks()
+    found.clear()
+    stems = pc.unique(table.column("later"))
+    later = pc.index_in(table.column("later"), stems).to_numpy()
+    earlier = pc.index_in(table.column("earlier"), stems).fill_null(-1).to_numpy()
+    # 1 leads, 0 follows, -1 open
+    ahead = pc.fill_null(table.column("ahead").cast(pa.int8()), -1).to_numpy()
+    n, edge = len(stems), later != earlier
+    later, earlier, ahead = later[edge], earlier[edge], ahead[edge]
+    role = np.full(n, -1, np.int8)
+    led = np.zeros(n, bool)
+    led[later[ahead == 1]] = True
+    later, earlier = later[ahead < 0], earlier[ahead < 0]
+    while True:
+        waits = np.zeros(n, bool)
+        waits[later] = True
+        now = (role < 0) & (led | ~waits)
+        if not now.any():
+            break
+        role[now] = ~led[now]
+        state = np.where(earlier < 0, np.int8(-1), role[earlier])
+        led[later[state == 1]] = True
+        rest = (state < 0) & (role[later] < 0)
+        later, earlier = later[rest], earlier[rest]
+    settled = np.flatnonzero(role >= 0)
+    yield pa.RecordBatch.from_arrays([stems.take(pa.array(settled)), pa.array(role[settled] == 0)], ["stem", "follows"])
 
 
 def followers(edges: DataFrame) -> DataFrame:
-    """(stem) of the stems that follow one, by the sequential rule. Each round walks through ranges of later
-    stems, each by itself: it settles whatever does not wait for an open stem of another range, the
-    first range wholly, so there are never more rounds than ranges. Only edges of open stems stay."""
-    after = edges.select(F.col("later").alias("earlier"), F.lit(True).alias("waits")).distinct()
+    """(stem) of the stems that follow one, by the sequential rule. Each round takes ranges of later stems, each
+    by itself: it settles whatever does not wait for an open stem of another range, the first range
+    wholly, so there are never more rounds than ranges. Only open stems go on, and of their edges only those
+    to stems that are open or lead: the others decide nothing. A row of each stem with itself stays as
+    long as it is open."""
+    later = edges.select("later", "later_tag").distinct()
+    after = later.select(F.col("later").alias("earlier"), F.lit(True).alias("waits"))
     ahead = F.when(F.col("waits").isNull(), True).alias("ahead")
-    rest = stash(edges.join(after, "earlier", "left").select("earlier", "later", "later_tag", ahead), "open-edges")
+    named = later.select(F.col("later").alias("earlier"), "later", "later_tag", F.lit(None).cast("boolean").alias("ahead"))
+    rest = edges.join(after, "earlier", "left").select("earlier", "later", "later_tag", ahead)
+    rest = stash(rest.unionByName(named), "open-edges")
     rounds = []
-    while n := rest.count():
-        ranges = -(-n // max(1, MOST_EDGES))
-        dealt = rest.repartitionByRange(ranges, "later_tag").sortWithinPartitions("later_tag")
-        roles = stash(dealt.select("earlier", "later", "ahead").mapInArrow(decided, "stem string, follows boolean"), "stem-roles")
+    sizes = F.count("*"), F.count_if(F.col("earlier") != F.col("later"))
+    while any(found := rest.agg(*sizes).first()):
+        ranges = max(1, -(-found[1] // max(1, MOST_EDGES)))
+        dealt = rest.repartitionByRange(ranges, "later_tag").select("earlier", "later", "ahead")
+        roles = stash(dealt.mapInArrow(decided, "stem string, follows boolean"), "stem-roles")
         rounds.append(roles)
         if ranges == 1:
             break
         still = rest.join(roles.select(F.col("stem").alias("later")), "later", "left_anti")
         known = roles.select(F.col("stem").alias("earlier"), (~F.col("follows")).alias("leads"))
-        still = still.join(known, "earlier", "left").select("earlier", "later", "later_tag", F.coalesce("ahead", "leads").alias("ahead"))
-        still = stash(still, "open-edges")
+        still = still.join(known, "earlier", "left").where("leads OR leads IS NULL")
+        still = stash(still.select("earlier", "later", "later_tag", F.coalesce("ahead", "leads").alias("ahead")), "open-edges")
         unstash(rest)
         rest = still
     if not rounds:

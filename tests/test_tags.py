@@ -212,6 +212,35 @@ def test_a_long_chain_takes_few_rounds(spark, monkeypatch):
     assert written.count("stem-roles") <= 3
 
 
+def test_edges_that_decide_nothing_go(spark, monkeypatch):
+    """All stems of a range are similar to those of the range before: once these are known to follow, their
+    edges are not dealt out again, while what they lead to still waits for others."""
+    names = [f"s{k:03}" for k in range(90)]
+    close = [(a, b) for k, a in enumerate(names) for b in names[k + 1 : k + 31]]
+    edges = spark.createDataFrame([(a, b, a, b) for a, b in close], "earlier string, later string, earlier_tag string, later_tag string")
+    monkeypatch.setattr(T, "MOST_EDGES", 100)
+    monkeypatch.setattr(T, "similar_stems", lambda *_: edges)
+    follow, idle, stash = set(), [], T.stash
+
+    def watched(df, name):
+        out = stash(df, name)
+        if name == "stem-roles":
+            follow.update(r["stem"] for r in out.where("follows").collect())
+        if name == "open-edges":
+            idle.append(sum(r["earlier"] in follow for r in out.collect()))
+        return out
+
+    monkeypatch.setattr(T, "stash", watched)
+    groups = spark.createDataFrame([(x, x) for x in names], "stem string, first_tag string")
+    leaders = {r["stem"]: r["leader"] for r in T.leaders(groups).collect()}
+    want, heads = {}, []
+    for name in names:
+        want[name] = next((h for h in heads if (h, name) in set(close)), name)
+        heads += [name] if want[name] == name else []
+    assert leaders == want
+    assert len(idle) > 2 and not any(idle)
+
+
 def test_deletion_hashes_are_those_of_what_is_left():
     draw = random.Random(7)
     one = lambda w, t: deletion_hashes(np.frombuffer(w.encode("utf-32-le"), np.uint32).reshape(1, len(w)), t)[1].tolist()
