@@ -156,9 +156,10 @@ def meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def measured(pairs: DataFrame, threshold: int) -> DataFrame:
-    """(probe, string, edits) of the distinct pairs within threshold edits."""
+    """(probe, string, edits) of the distinct pairs within threshold edits. Pairs are measured where they
+    meet, as many times as they do: few of them are so near, and only these are dealt out."""
     near = F.abs(F.char_length("probe") - F.char_length("string")) <= threshold
-    return pairs.where(near).distinct().withColumn("edits", F.levenshtein("probe", "string", threshold)).where("edits >= 0")
+    return pairs.where(near).withColumn("edits", F.levenshtein("probe", "string", threshold)).where("edits >= 0").distinct()
 
 
 def edit_join(left: DataFrame, left_col: str, right: DataFrame, right_col: str, threshold: int) -> DataFrame:
@@ -177,7 +178,9 @@ def edit_join(left: DataFrame, left_col: str, right: DataFrame, right_col: str,
         most = short_chars(threshold)
         short = [x.where(F.char_length(c) <= most) for x, c in ((a, left_col), (b, right_col))]
         probe = deletions(short[0].select(F.col(left_col).alias("probe")), "probe", threshold)
-        met.append(probe.join(deletions(short[1].select(F.col(right_col).alias("string")), "string", threshold), "key").select("probe", "string"))
+        # a string has many keys, which the planner's sizes leave out: it would send all keys of a side through the driver
+        keys = deletions(short[1].select(F.col(right_col).alias("string")), "string", threshold).hint("merge")
+        met.append(probe.join(keys, "key").select("probe", "string"))
         a, b = (x.where(F.char_length(c) > most - threshold) for x, c in ((a, left_col), (b, right_col)))
     met.append(by_pieces(probes(a, left_col, threshold), segments(b, right_col, threshold)))
     pairs = met[0].unionByName(met[-1]) if len(met) > 1 else met[0]
@@ -190,10 +193,11 @@ def nearest_join(left: DataFrame, left_col: str, right: DataFrame, right_col: st
     string. Strings meet by fewer edits first, which few do; only those that nothing is so near to meet by
     threshold edits, and only strings about as long as one of them."""
     less = min(threshold, 2)
+    left = stash(left.select(left_col).where(F.col(left_col).isNotNull()).distinct(), "nearest-left")
     close = stash(edit_join(left, left_col, right, right_col, less), "nearest")
     if less == threshold:
         return close
-    rest = stash(left.select(left_col).where(F.col(left_col).isNotNull()).distinct().join(close, left_col, "left_anti"), "nearest-rest")
+    rest = stash(left.join(close, left_col, "left_anti"), "nearest-rest")
     around = F.sequence(F.char_length(left_col) - threshold, F.char_length(left_col) + threshold)
     sizes = rest.select(F.explode(around).alias("_size")).distinct()
     near = right.select(right_col).join(F.broadcast(sizes), F.char_length(right_col) == F.col("_size"), "left_semi")

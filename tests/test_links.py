@@ -1,6 +1,7 @@
 """Validation, repair and cleaning of proposed links; edges and backlinks."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from marginalia.operators import edit_join as E
 from marginalia.operators import links as L
@@ -101,3 +102,12 @@ def test_targets_near_a_name_do_not_meet_by_three_edits(spark, monkeypatch):
     best = {r["want"]: (r["edits"], r["stem"]) for r in found.orderBy("want", "edits", "stem").dropDuplicates(["want"]).collect()}
     assert best == {f"{n}zz": (2, n) for n in names[::10]} | {"en-1200xyz": (3, "en-1200")}
     assert calls == [(2, 32, 300), (3, 2, 300)]
+
+
+def test_keys_of_targets_are_not_sent_through_the_driver(spark):
+    """Both sides are small by the planner's sizes; their keys, many for each string, are dealt out."""
+    a, b = (spark.range(n).select(F.concat(F.lit("name-"), "id").alias(c)) for n, c in ((9, "want"), (30, "stem")))
+    found = E.edit_join(a, "want", b, "stem", 2)
+    assert found.count() == 270
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [key#" in plan and "BroadcastHashJoin [key#" not in plan
