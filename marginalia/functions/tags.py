@@ -48,20 +48,21 @@ def stem_tag(tag: Column) -> Column:
 def are_similar(a: Column, b: Column, threshold: int = THRESHOLD) -> Column:
     """Whether two stems are close: at most threshold edits, fewer in short stems; stems of as many
     parts part by part, others by the share of edits."""
-    edits = F.levenshtein(a, b)
+    # -1 beyond the threshold
+    edits = F.levenshtein(a, b, threshold)
     longest = F.greatest(F.char_length(a), F.char_length(b))
     parts_a, parts_b = F.split(a, "-"), F.split(b, "-")
     by_part = F.forall(
         F.zip_with(
             parts_a,
             parts_b,
-            lambda p, q: F.when(F.greatest(F.char_length(p), F.char_length(q)) <= 3, p == q).otherwise(F.levenshtein(p, q) <= 1),
+            lambda p, q: F.when(F.greatest(F.char_length(p), F.char_length(q)) <= 3, p == q).otherwise(F.levenshtein(p, q, 1) >= 0),
         ),
         lambda ok: ok,
     )
     same_shape = (F.size(parts_a) == F.size(parts_b)) & (F.size(parts_a) > 1)
     return (
-        F.when(edits > threshold, False)
+        F.when(edits < 0, False)
         .when(longest <= 3, edits == 0)
         .when(longest <= 5, edits <= 1)
         .when(same_shape, by_part)

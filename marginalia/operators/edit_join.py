@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from ..session import stash
+from .state import numbered
 
 #: Up to so many edits, strings of up to so many characters meet by what is left after deletions; fewer
 #: characters where there are as many edits as that, since each string then has many results.
@@ -20,6 +21,8 @@ MOST_DELETIONS, MOST_CHARS, FEWER_CHARS = 3, 32, 16
 COMMON, PARTS = 1000, 64
 #: Keys in a partition within which strings meet, about; rows and pairs that are held or sent at once.
 KEYS, KEY_ROWS, PAIR_ROWS = 2_000_000, 65_536, 1 << 20
+#: Blocks of keys that are sent at once.
+BLOCKS = 64
 
 
 def segments(strings: DataFrame, column: str, threshold: int) -> DataFrame:
@@ -204,22 +207,142 @@ def nearest_join(left: DataFrame, left_col: str, right: DataFrame, right_col: st
     return close.unionByName(edit_join(rest, left_col, near, right_col, threshold))
 
 
+def left_out(codes: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(keys, marks), a column for each choice, of all ways to leave out 0, 1 .. most (2 at most) of each row's
+    code points. keys are the hashes of what is left, as in deletion_hashes(); marks say how many were left
+    out, at which places, and which they were: in bits from 26, 21 and 16, and 8 and 0. Code points from 255 are 255."""
+    n, size = codes.shape
+    powers = np.concatenate([np.ones(1, np.uint64), np.full(size, BASE, np.uint64)]).cumprod(dtype=np.uint64)
+    sums = np.zeros((n, size + 1), np.uint64)
+    np.cumsum(mixed(codes.astype(np.uint64) + np.uint64(1)) * powers[:size], axis=1, dtype=np.uint64, out=sums[:, 1:])
+    one, two = np.uint64(UNBASE), np.uint64(UNBASE * UNBASE % (1 << 64))
+    chars = np.minimum(codes, 255).astype(np.int64)
+    yield mixed(sums[:, size:]).view(np.int64), np.zeros((n, 1), np.int64)
+    if most > 0 and size > 0:
+        p = np.arange(size)
+        keys = sums[:, p] + (sums[:, [size]] - sums[:, p + 1]) * one
+        yield mixed(keys).view(np.int64), (1 << 26 | p << 21) + (chars << 8)
+    if most > 1 and size > 1:
+        p, q = np.triu_indices(size, 1)
+        keys = sums[:, p] + (sums[:, q] - sums[:, p + 1]) * one + (sums[:, [size]] - sums[:, q + 1]) * two
+        yield mixed(keys).view(np.int64), (2 << 26 | p << 21 | q << 16) + (chars[:, p] << 8) + chars[:, q]
+
+
+def dealt_keys(parts: int, threshold: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Of rows (id, string, fewer) the keys and marks of left_out(), of one place less where fewer, with the ids put before the marks: as
+    blocks (part, keys, marks), so that the exchange carries few and large rows."""
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, texts = batch.column("id").to_numpy(), batch.column("string").to_pylist()
+            fewer = batch.column("fewer").to_numpy(zero_copy_only=False)
+            shape = np.fromiter(map(len, texts), int, len(texts)) * 2 + fewer
+            keys, marks = [], []
+            for one in np.unique(shape):
+                (own,) = np.nonzero(shape == one)
+                codes = np.frombuffer("".join(texts[k] for k in own).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(own), one // 2)
+                for key, mark in left_out(codes, threshold - one % 2):
+                    keys.append(key.ravel())
+                    marks.append((mark + (ids[own, None] << 28)).ravel())
+            if not keys:
+                continue
+            keys, marks = np.concatenate(keys), np.concatenate(marks)
+            part = (keys.view(np.uint64) >> np.uint64(32)) % np.uint64(parts)
+            order = np.argsort(part.astype(np.uint16 if parts <= 1 << 16 else np.uint32), kind="stable")
+            keys, marks, part = keys[order], marks[order], part[order]
+            found, start = np.unique(part, return_index=True)
+            ends = [*start[1:], len(part)]
+            for k in range(0, len(found), BLOCKS):
+                spans = list(zip(start[k : k + BLOCKS], ends[k : k + BLOCKS]))
+                blocks = [pa.array([x[i:j].tobytes() for i, j in spans], pa.binary()) for x in (keys, marks)]
+                yield pa.RecordBatch.from_arrays([pa.array(found[k : k + BLOCKS].astype(np.int64)), *blocks], ["part", "keys", "marks"])
+
+    return deal
+
+
+def within(x: np.ndarray, y: np.ndarray, threshold: int) -> np.ndarray:
+    """Whether two strings that become the same by what marks x and y leave out are shown by just these to be within
+    threshold edits (1 or 2). Each pair within them is shown so by some marks: what replaces another is left out
+    at the same place of both, and differs; what comes in is left out of one. Pairs with less left out show the rest."""
+    swap = (x >> 26 & 3) < (y >> 26 & 3)
+    x, y = np.where(swap, y, x), np.where(swap, x, y)
+    n, m = x >> 26 & 3, y >> 26 & 3
+    p, q, r, s = x >> 21 & 31, x >> 16 & 31, y >> 21 & 31, y >> 16 & 31
+    differ = lambda a, b: (a != b) | (a == 255)
+    first, second = x >> 8 & 255, x & 255
+    other, last = y >> 8 & 255, y & 255
+    both = (p == r) & (q == s) & differ(first, other) & differ(second, last)
+    single = ((r == p) & differ(first, other)) | ((r == q - 1) & differ(second, other))
+    ones = (p == r) if threshold < 2 else True
+    return np.where(m == 0, True, np.where(m == 2, both, np.where(n == 2, single, ones)))
+
+
+def met_pairs(threshold: int) -> Callable[[pa.Table], pa.Table]:
+    """(a, b), a < b: of the blocks of one part the ids that within() accepts; most of them once. Rows are ordered
+    by key, and met with the next, the next but one, and so on."""
+
+    def meet(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        keys, marks = (np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in table.column(c)]) for c in ("keys", "marks"))
+        order = np.argsort(keys)
+        keys, marks = keys[order], marks[order]
+        again = np.zeros(len(keys), bool)
+        again[1:] = keys[1:] == keys[:-1]
+        again[:-1] |= again[1:]
+        keys, marks = keys[again], marks[again]
+        for k in range(0, len(keys), PAIR_ROWS):
+            at, step = np.arange(k, min(k + PAIR_ROWS, len(keys))), 1
+            while len(at):
+                at = at[at + step < len(keys)]
+                at = at[keys[at + step] == keys[at]]
+                x, y = marks[at], marks[at + step]
+                fine = within(x, y, threshold)
+                x, y = x[fine] >> 28, y[fine] >> 28
+                step += 1
+                differ = x != y
+                if differ.any():
+                    x, y = x[differ], y[differ]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
+
+    return lambda table: pa.Table.from_batches(meet(table), pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+
+
+def near_ids(short: DataFrame, threshold: int) -> DataFrame:
+    """(a, b), a < b: the ids of the distinct strings of short (id, string, fewer) within threshold edits, and hardly
+    any others (equal hashes). Where fewer, only what is left by one deletion less counts for a string."""
+    size = F.char_length("string")
+    n = short.agg(F.sum(1 + size + (size * (size - 1) / 2 if threshold > 1 else 0) + (size * size * size / 6 if threshold > 2 else 0))).first()[0] or 0
+    parts = int(n) // KEYS + 1
+    if threshold > 2:
+        keys = deletions(short.select("id", "string"), "string", threshold).select("key", "id").repartition(parts, "key")
+        return keys.mapInArrow(meetings, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    blocks = short.mapInArrow(dealt_keys(parts, threshold), "part long, keys binary, marks binary")
+    return blocks.groupBy("part").applyInArrow(met_pairs(threshold), "a long, b long").distinct()
+
+
+def pairs_of_ids(rows: DataFrame, threshold: int) -> DataFrame:
+    """(a, b), a < b: the ids of the rows (id, string, fewer) whose strings are within threshold edits, and hardly any
+    others. ids are less than 2 ** 35, strings distinct. Candidates meet as in edit_join(), but what a string becomes
+    by leaving out characters is made once, and the places of what is left out tell most others."""
+    long = rows
+    met = []
+    if threshold <= MOST_DELETIONS:
+        most = short_chars(threshold)
+        met.append(near_ids(rows.where(F.char_length("string") <= most), threshold))
+        long = rows.where(F.char_length("string") > most - threshold)
+    far = by_pieces(probes(long, "string", threshold), segments(long, "string", threshold)).where("probe < string")
+    # those of two short strings are met above
+    far = measured(far, threshold) if not met else measured(far.where(F.greatest(F.char_length("probe"), F.char_length("string")) > most), threshold)
+    name = lambda own, column: long.select(F.col("id").alias(own), F.col("string").alias(column))
+    far = far.join(name("x", "probe"), "probe").join(name("y", "string"), "string")
+    met.append(far.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
+    return met[0].union(met[-1]) if len(met) > 1 else met[0]
+
+
 def edit_pairs(strings: DataFrame, column: str, threshold: int) -> DataFrame:
     """(probe, string, edits) of the pairs of distinct strings of one table within threshold edits, each
-    pair once with probe < string. Candidates meet as in edit_join(), but what a string becomes by
-    leaving out characters is made once, and only what two strings become is kept."""
+    pair once with probe < string."""
     rows = strings.select(F.col(column).alias("string")).where(F.col(column).isNotNull()).distinct()
-    if threshold > MOST_DELETIONS:
-        pairs = by_pieces(probes(rows, "string", threshold), segments(rows, "string", threshold)).where("probe < string")
-        return measured(pairs, threshold)
-    most = short_chars(threshold)
-    short, long = rows.where(F.char_length("string") <= most), rows.where(F.char_length("string") > most - threshold)
-    short = stash(short.withColumn("id", F.monotonically_increasing_id()), "edit-strings")
-    size = F.char_length("string")
-    n = short.agg(F.sum(1 + size + (size * (size - 1) / 2 if threshold > 1 else 0) + (size * size * size / 6 if threshold > 2 else 0))).first()[0] or 0
-    keys = deletions(short, "string", threshold).select("key", "id").repartition(int(n) // KEYS + 1, "key")
-    met = keys.mapInArrow(meetings, "a long, b long").distinct()
-    name = lambda own, column: short.select(F.col("id").alias(own), F.col("string").alias(column))
-    pairs = met.join(name("a", "x"), "a").join(name("b", "y"), "b").select(F.least("x", "y").alias("probe"), F.greatest("x", "y").alias("string"))
-    more = by_pieces(probes(long, "string", threshold), segments(long, "string", threshold)).where("probe < string")
-    return measured(pairs.unionByName(more), threshold)
+    rows = stash(numbered(rows, F.col("string"), name="id").withColumn("fewer", F.lit(False)), "edit-strings")
+    name = lambda own, column: rows.select(F.col("id").alias(own), F.col("string").alias(column)).hint("merge")
+    pairs = pairs_of_ids(rows, threshold).join(name("a", "probe"), "a").join(name("b", "string"), "b")
+    return pairs.select("probe", "string", F.levenshtein("probe", "string", threshold).alias("edits")).where("edits >= 0")

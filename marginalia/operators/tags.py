@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from ..functions.tags import THRESHOLD, are_similar, stem_tag
 from ..session import stash, unstash
-from .edit_join import edit_pairs
+from .edit_join import pairs_of_ids
+from .state import numbered
 
 #: Pairs of similar stems in a range that one task holds, about.
 MOST_EDGES = 1_000_000
@@ -52,20 +53,19 @@ def stems(counts: DataFrame) -> DataFrame:
 
 
 def similar_stems(groups: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """(earlier, later) pairs of similar stems, in the order of each stem's smallest tag."""
-    names = groups.select("stem", "first_tag")
-    pairs = edit_pairs(names, "stem", threshold).select(F.col("probe").alias("stem"), F.col("string").alias("other"))
-    close = pairs.where(are_similar(F.col("stem"), F.col("other"), threshold))
-    a = names.select("stem", F.col("first_tag").alias("first_a"))
-    b = names.select(F.col("stem").alias("other"), F.col("first_tag").alias("first_b"))
-    close = close.join(a, "stem").join(b, "other")
-    ahead = F.col("first_a") < F.col("first_b")
-    return close.select(
-        F.when(ahead, F.col("stem")).otherwise(F.col("other")).alias("earlier"),
-        F.when(ahead, F.col("other")).otherwise(F.col("stem")).alias("later"),
-        F.least("first_a", "first_b").alias("earlier_tag"),
-        F.greatest("first_a", "first_b").alias("later_tag"),
-    )
+    """(earlier, later) pairs of similar stems, in the order of each stem's smallest tag, with their places in it
+    (earlier_id, later_id)."""
+    names = numbered(groups.select("stem", "first_tag"), F.col("first_tag"), name="id")
+    # stems of one part that are two edits apart are similar if the longer one has more than ten characters:
+    # a shorter one has one character less at least, and the other leaves that out
+    fewer = F.lit(threshold == 2) & (F.char_length("stem") <= 10) & ~F.contains("stem", F.lit("-"))
+    names = stash(names.select("id", "stem", "first_tag", fewer.alias("fewer")), "edit-strings")
+    pairs = pairs_of_ids(names.select("id", F.col("stem").alias("string"), "fewer"), threshold)
+    a = names.select(F.col("id").alias("a"), F.col("id").alias("earlier_id"), F.col("stem").alias("earlier"), F.col("first_tag").alias("earlier_tag"))
+    b = names.select(F.col("id").alias("b"), F.col("id").alias("later_id"), F.col("stem").alias("later"), F.col("first_tag").alias("later_tag"))
+    # there are many pairs to a stem, which the planner's sizes leave out: it would send all of them through the driver
+    close = pairs.join(a.hint("merge"), "a").join(b.hint("merge"), "b").where(are_similar(F.col("earlier"), F.col("later"), threshold))
+    return close.select("earlier", "later", "earlier_tag", "later_tag", "earlier_id", "later_id")
 
 
 def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,7 +143,8 @@ def decided(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def followers(edges: DataFrame) -> DataFrame:
-    """(stem) of the stems that follow one, by the sequential rule. Each round takes ranges of later stems, each
+    """(stem) of the stems that follow one, by the sequential rule; stems of edges (earlier, later, later_tag) may
+    be named by numbers too. Each round takes ranges of later stems, each
     by itself: it settles whatever does not wait for an open stem of another range, the first range
     wholly, so there are never more rounds than ranges. Only open stems go on, and of their edges only those
     to stems that are open or lead: the others decide nothing. A row of each stem with itself stays as
@@ -154,12 +155,12 @@ def followers(edges: DataFrame) -> DataFrame:
     named = later.select(F.col("later").alias("earlier"), "later", "later_tag", F.lit(None).cast("boolean").alias("ahead"))
     rest = edges.join(after, "earlier", "left").select("earlier", "later", "later_tag", ahead)
     rest = stash(rest.unionByName(named), "open-edges")
-    rounds = []
+    rounds, kind = [], edges.schema["later"].dataType.simpleString()
     sizes = F.count("*"), F.count_if(F.col("earlier") != F.col("later"))
     while any(found := rest.agg(*sizes).first()):
         ranges = max(1, -(-found[1] // max(1, MOST_EDGES)))
         dealt = rest.repartitionByRange(ranges, "later_tag").select("earlier", "later", "ahead")
-        roles = stash(dealt.mapInArrow(decided, "stem string, follows boolean"), "stem-roles")
+        roles = stash(dealt.mapInArrow(decided, f"stem {kind}, follows boolean"), "stem-roles")
         rounds.append(roles)
         if ranges == 1:
             break
@@ -182,7 +183,12 @@ def leaders(groups: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     about MOST_EDGES pairs; what is similar to an earlier one that does not follow has its leader there.
     """
     edges = stash(similar_stems(groups, threshold), "similar-stems")
-    heads = edges.join(followers(edges).select(F.col("stem").alias("earlier")), "earlier", "left_anti")
+    if "later_id" in edges.columns:
+        # numbers are less to deal out than texts
+        of = edges.select(F.col("earlier_id").alias("earlier"), F.col("later_id").alias("later"), F.col("later_id").alias("later_tag"))
+        heads = edges.join(followers(of).select(F.col("stem").alias("earlier_id")), "earlier_id", "left_anti")
+    else:
+        heads = edges.join(followers(edges).select(F.col("stem").alias("earlier")), "earlier", "left_anti")
     best = heads.groupBy(F.col("later").alias("stem")).agg(F.min_by("earlier", "earlier_tag").alias("leader"))
     return groups.select("stem").join(best, "stem", "left").select("stem", F.coalesce("leader", "stem").alias("leader"))
 

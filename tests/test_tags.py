@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from marginalia.functions.tags import are_similar, stem_tag
 from marginalia.operators import tags as T
-from marginalia.operators.edit_join import deletion_hashes, edit_join, edit_pairs
+from marginalia.operators.edit_join import deletion_hashes, edit_join, edit_pairs, near_ids
 
 
 def distance(a, b):
@@ -248,3 +248,28 @@ def test_deletion_hashes_are_those_of_what_is_left():
         word = "".join(draw.choice("aab😀é") for _ in range(draw.randrange(9)))
         left = {"".join(c for k, c in enumerate(word) if k not in gone) for n in range(threshold + 1) for gone in combinations(range(len(word)), n)}
         assert set(one(word, threshold)) == {key for w in left for key in one(w, 0)} and len(set(one(word, threshold))) == len(left)
+
+
+@pytest.mark.parametrize("threshold", [1, 2])
+def test_only_near_strings_meet(spark, threshold):
+    """What the places of what is left out tell: of strings that become the same, only those within as many edits
+    meet, each such pair, with runs, signs beyond a byte, and short ones."""
+    rng = random.Random(5)
+    words = {"", "a", "ab", "ba", "é", "ŝŝ", "ŝā", "āŝ"} | {"".join(rng.choice("aabŝāé") for _ in range(rng.randint(3, 9))) for _ in range(160)}
+    words = sorted(words | {w[1:] + w[:1] for w in words})
+    rows = spark.createDataFrame([(k, w, False) for k, w in enumerate(words)], "id long, string string, fewer boolean")
+    got = [(r["a"], r["b"]) for r in near_ids(rows, threshold).collect()]
+    assert len(got) == len(set(got))
+    assert set(got) == {(i, j) for (i, a), (j, b) in combinations(enumerate(words), 2) if distance(a, b) <= threshold}
+
+
+def test_similar_stems_lose_no_pair_by_fewer_deletions(spark):
+    """Stems of one part and up to ten characters have one deletion each: all similar pairs are still found."""
+    rng = random.Random(6)
+    tags = {"".join(rng.choice("aab") for _ in range(rng.randint(2, 13))) for _ in range(150)}
+    tags |= {x + "-" + y for x, y in zip(sorted(tags)[::3], sorted(tags)[1::3])} | {x[:5] + "-" + x[5:] for x in tags if len(x) > 9}
+    groups = T.stems(counts(spark, dict.fromkeys(tags, 1)))
+    got = {frozenset(r) for r in T.similar_stems(groups).select("earlier", "later").collect()}
+    names = spark.createDataFrame([(x, y) for x, y in combinations(sorted(tags), 2)], "a string, b string")
+    want = {frozenset(r) for r in names.where(are_similar(F.col("a"), F.col("b"))).collect()}
+    assert len(want) > 200 and got == want
