@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import shutil
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,7 +20,7 @@ from .operators.edit_log import replayed
 from .operators.search_index import SearchIndex
 from .plans.store import Store
 from .session import shared_dir, stash
-from .sources.vault import read_vault, write_edits
+from .sources.vault import drop_vault, read_vault, write_edits
 
 CAP, MIN_SHARED, WORD = 10, 2, "the"
 
@@ -804,9 +803,13 @@ def vault_roundtrip(spark: SparkSession, rows: DataFrame) -> DataFrame:
     root = shared_dir(spark).removeprefix("file:") + f"/vault-{uuid.uuid4().hex}"
 
     def put(batches):
+        made = set()
         for batch in batches:
             for path, text in zip(batch["path"], batch["content"]):
-                os.makedirs(os.path.dirname(f"{root}/{path}"), exist_ok=True)
+                folder = os.path.dirname(f"{root}/{path}")
+                if folder not in made:
+                    os.makedirs(folder, exist_ok=True)
+                    made.add(folder)
                 with open(f"{root}/{path}", "w", encoding="utf-8", newline="") as file:
                     file.write(text)
             yield batch[["path"]]
@@ -815,7 +818,7 @@ def vault_roundtrip(spark: SparkSession, rows: DataFrame) -> DataFrame:
     plan = read_vault(spark, root).select("path", F.concat("content", F.lit("\nend")).alias("new_content"))
     write_edits(stash(plan, "edits"), root)
     found = stash(read_vault(spark, root).select("path", "content_hash"), "vault-hashes")
-    shutil.rmtree(root, ignore_errors=True)
+    drop_vault(found, root)
     return found
 
 

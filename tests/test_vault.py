@@ -2,18 +2,21 @@
 
 import json
 import os
+import shutil
 
 import pytest
 from pyspark.sql import functions as F
 
+from marginalia import catalog
 from marginalia.operators import enrich as E
 from marginalia.operators import search as Q
 from marginalia.operators import state as S
 from marginalia.plans.pipeline import Notebook
 from marginalia.plans.store import Store
 from marginalia.plans.tools import NoteTools, SnapshotTools, read_edits, schemas
+from marginalia.sources import vault
 from marginalia.sources.model import ChatClient, calls_of, content_of, joined
-from marginalia.sources.vault import inside, read_vault, write_edits
+from marginalia.sources.vault import inside, listed, read_vault, write_edits
 from marginalia.streaming.incremental import follow
 
 FILES = {
@@ -48,6 +51,41 @@ def test_scan(spark, tmp_path):
         inside(tmp_path, "../out.md")
 
 
+def test_listing_names_files_alone(tmp_path):
+    root = fill(tmp_path / "v", FILES | {"folder.md/in.md": b"x", "no.md.txt": b"x"})
+    os.symlink(tmp_path / "v" / "a", tmp_path / "v" / "to-a")
+    assert sorted(listed(root)) == sorted([".hid/n.md", "_idx.md", "a/b.md", "a-b.md", "bad.md", "crlf.md", "empty.md", "folder.md/in.md"])
+
+
+def test_large_vaults_are_read_by_larger_tasks(monkeypatch):
+    """A task costs as much as reading hundreds of files; every file is in one task."""
+    for n, tasks in ((0, 1), (300, 2), (100_000, 128), (600_000, 147)):
+        monkeypatch.setattr(vault, "listed", lambda root: (f"{k}.md" for k in range(n)))  # noqa: B023
+        parts = vault.VaultReader("", 0).partitions()
+        assert len(parts) == tasks and sorted(x for p in parts for x in p.paths) == sorted(f"{k}.md" for k in range(n))
+    assert {len(p.paths) for p in vault.VaultReader("", 1000).partitions()} == {1000}
+
+
+def test_batches_of_a_read_hold_every_note(spark, tmp_path):
+    files = {f"{k}.md": b"x" * (k * 1_500_000) for k in range(6)}
+    got = read_vault(spark, fill(tmp_path, files)).selectExpr("path", "length(content) AS n").collect()
+    assert {r["path"]: r["n"] for r in got} == {path: len(raw) for path, raw in files.items()}
+
+
+def test_notes_of_a_roundtrip_are_deleted_in_tasks(spark, monkeypatch):
+    """The driver finds folders without notes, and deletes these."""
+    left, whole = [], shutil.rmtree
+
+    def rmtree(root, **how):
+        left.extend([root, *(name for _, _, names in os.walk(root) for name in names)])
+        whole(root, **how)
+
+    monkeypatch.setattr(shutil, "rmtree", rmtree)
+    notes = [(f"s{k % 3}/{k}.md", "text") for k in range(40)]
+    assert catalog.vault_roundtrip(spark, spark.createDataFrame(notes, "path string, content string")).count() == 40
+    assert len(left) == 1 and "/vault-" in left[0] and not os.path.exists(left[0])
+
+
 def test_search_stops_after_the_note_that_exceeds(spark):
     def found(*sizes):
         rows = [(f"{k}.md", "hit\n" * n, True) for k, n in enumerate(sizes)]
