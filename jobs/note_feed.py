@@ -16,8 +16,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marginalia.functions.tags import frequent_words
 from marginalia.functions.text import frontmatter, outgoing_links
-from marginalia.operators.tags import deterministic_tags
 from marginalia.session import stash, unstash
 
 from .common import DOCUMENTS, command_line, log, notes_of, rows_read, settings
@@ -30,9 +30,8 @@ FEED = (
 
 
 def newest(rows: DataFrame) -> DataFrame:
-    """One row for each path: of the file that changed last, of several the greatest hash."""
-    order = F.struct("modified", "content_hash")
-    return rows.groupBy("path").agg(F.max_by(F.struct("lang", "content", "content_hash"), order).alias("note")).select("path", "note.*")
+    """(path, modified, content_hash): of each path the file that changed last, of several the greatest hash."""
+    return rows.groupBy("path").agg(F.max(F.struct("modified", "content_hash")).alias("mark")).select("path", "mark.*")
 
 
 def read_feed(spark: SparkSession, target: str) -> DataFrame:
@@ -60,21 +59,32 @@ def changed_notes(notes: DataFrame, last: DataFrame | None) -> DataFrame:
 
 
 def enriched(notes: DataFrame, most_tags: int) -> DataFrame:
-    """Notes with what the feed says of them; their text stays behind."""
-    rows = notes.join(deterministic_tags(notes.select("path", "content"), most_tags), "path", "left")
-    words = F.size(F.filter(F.split("content", r"\s+"), lambda w: w != ""))
-    return rows.select(
+    """Notes with what the feed says of them, all of it worked out in the note's row; their text stays behind."""
+    content = F.col("content")
+    words = F.size(F.filter(F.split(content, r"\s+"), lambda w: w != ""))
+    return notes.select(
         "lang",
         "path",
         "content_hash",
         "status",
         words.cast("long").alias("n_words"),
-        F.coalesce("proposed_tags", F.array().cast("array<string>")).alias("tags"),
-        outgoing_links(F.col("content")).alias("links"),
-        frontmatter(F.col("content")).alias("fields"),
+        frequent_words(content, most_tags).alias("tags"),
+        outgoing_links(content).alias("links"),
+        frontmatter(content).alias("fields"),
     )
 
 
+def with_texts(marks: DataFrame, rows: DataFrame, most_tags: int) -> DataFrame:
+    """The feed's rows for marks (path, modified, content_hash, status), each once, out of all rows of the batch.
+    Tables are built of marks; texts run past them and are never sorted or held, and of rows with the same
+    mark one stays once their texts are gone."""
+    keys = marks.select("path", F.struct("modified", "content_hash").alias("mark"), "status")
+    met = rows.join(keys.hint("shuffle_hash"), "path").where(F.struct("modified", "content_hash") == F.col("mark"))
+    found = enriched(met, most_tags)
+    others = [c for c in found.columns if c != "path"]
+    return found.groupBy("path").agg(F.first(F.struct(*others)).alias("note")).select("path", "note.*")
+
+
 def note_feed(spark: SparkSession, source: str, target: str, checkpoint: str, config: dict[str, Any] | None = None) -> dict[str, int]:
     """Takes what is new in the documents files of source into the feed in target; returns the counts of
     rows read, rows without an id (they are left out) and notes written, and of batches."""
@@ -83,11 +93,10 @@ def note_feed(spark: SparkSession, source: str, target: str, checkpoint: str, co
 
     def take(batch: DataFrame, number: int) -> None:
         session, read = batch.sparkSession, rows_read(batch)
-        rows = newest(notes_of(batch, "modified").where("path IS NOT NULL"))
+        rows = notes_of(batch, "modified").where("path IS NOT NULL")
         last = last_hashes(read_feed(session, target), number) if number else None
-        # read twice from here on, for tags and for the rest
-        moved = stash(changed_notes(rows, last), "feed-notes")
-        out = enriched(moved, use["most_tags"]).withColumn("batch", F.lit(number).cast("long"))
+        moved = stash(changed_notes(newest(rows), last), "feed-marks")
+        out = with_texts(moved, rows, use["most_tags"]).withColumn("batch", F.lit(number).cast("long"))
         spread = F.pmod(F.xxhash64("path"), F.lit(use["files_per_language"]))
         dealt = out.repartition("lang", spread)
         dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch", "lang").parquet(target)

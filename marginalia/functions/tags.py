@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import once
+
 # Word forms that share a stem (the first of each), and prefixes of rank.
 WORD_FORMS = (
     ("manager", "management"),
@@ -68,3 +70,17 @@ def are_similar(a: Column, b: Column, threshold: int = THRESHOLD) -> Column:
         .when(same_shape, by_part)
         .otherwise(edits / longest < 0.2)
     )
+
+
+def frequent_words(content: Column, most: int = 6, least_chars: int = 7) -> Column:
+    """A text's most frequent long words, ties by word, as operators.tags.deterministic_tags has them for a note:
+    within the row, so that no word is shuffled. Empty without such words."""
+    # words end at white space alone: other signs inside them go first
+    letters = F.regexp_replace(F.lower(content), r"[^a-z\s]+", "")
+    words = F.array_sort(F.regexp_extract_all(letters, F.lit(f"[a-z]{{{least_chars},}}"), F.lit(0)))
+    # in sorted words each one's count is from its first place to the next one's
+    first = lambda w: F.filter(F.transform(w, lambda x, i: F.when((i == 0) | (x != F.get(w, i - 1)), i)), lambda i: i.isNotNull())
+    entry = lambda w, at: lambda i, k: F.struct((i - F.coalesce(F.get(at, k + 1), F.size(w))).alias("rank"), F.get(w, i).alias("tag"))
+    ranked = lambda w: once(first(w), lambda at: F.slice(F.array_sort(F.transform(at, entry(w, at))), 1, most))
+    tags = F.transform(once(words, ranked), lambda x: x["tag"])
+    return F.coalesce(tags, F.array().cast("array<string>"))

@@ -102,6 +102,31 @@ def test_feed_says_what_notes_hold(spark, tmp_path):
     assert (two["tags"], two["links"], two["fields"], two["n_words"]) == ([], [], {}, 0)
 
 
+def test_feed_of_repeated_rows(spark, tmp_path):
+    """Of rows with one path in one file the greatest hash counts, and a row that is there twice counts once."""
+    (tmp_path / "in").mkdir()
+    put(spark, tmp_path / "in", [note(1, "a"), note(1, "b"), note(1, "a"), note(1, "b"), note(2, "c"), note(2, "c")], 1000)
+    assert note_feed(spark, f"{tmp_path}/in", f"{tmp_path}/feed", f"{tmp_path}/progress")["written"] == 2
+    assert feed(spark, tmp_path) == [(0, "s/en-1.md", "new", max(short("a"), short("b"))), (0, "s/en-2.md", "new", short("c"))]
+
+
+def test_feed_holds_no_texts(spark, tmp_path, monkeypatch):
+    """What is written and sorted on the way has no texts, and no words are dealt out."""
+    from jobs import note_feed as job
+
+    tables, written = [], job.stash
+    monkeypatch.setattr(job, "stash", lambda df, name: tables.append(df.columns) or written(df, name))
+    (tmp_path / "in").mkdir()
+    put(spark, tmp_path / "in", [note(k, f"gardens {k}") for k in range(5)], 1000)
+    note_feed(spark, f"{tmp_path}/in", f"{tmp_path}/feed", f"{tmp_path}/progress")
+    assert tables == [["path", "modified", "content_hash", "status"]]
+    rows = spark.createDataFrame([], "path string, lang string, content string, content_hash string, modified timestamp")
+    marks = spark.createDataFrame([], "path string, modified timestamp, content_hash string, status string")
+    plan = job.with_texts(marks, rows, 6)._jdf.queryExecution().sparkPlan().toString()
+    assert "ShuffledHashJoin" in plan and "BuildRight" in plan
+    assert not re.search("SortMergeJoin|Generate|Window", plan)
+
+
 def test_feed_of_no_rows(spark, tmp_path):
     (tmp_path / "in").mkdir()
     put(spark, tmp_path / "in", [], 1000)

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from marginalia.functions.tags import are_similar, stem_tag
+from marginalia.functions.tags import are_similar, frequent_words, stem_tag
 from marginalia.operators import tags as T
 from marginalia.operators.edit_join import deletion_hashes, edit_join, edit_pairs, near_ids
 
@@ -37,6 +37,18 @@ def test_stem(spark, tag, stem):
     assert spark.createDataFrame([(tag,)], "t string").select(stem_tag(F.col("t"))).first()[0] == stem
 
 
+def test_frequent_words_of_a_row_are_those_of_words_dealt_out(spark):
+    texts = ["", " ", None, "short words", "planning", "Planning plan-ning; PLAN9NING gardens", "gardens\x0bplanning\x0cgardens\tx"]
+    texts += ["İstanbul über-planning plan\xa0ning plan -- ning", "alphabet betatest gammaray deltaone epsilon zetazeta thetatheta zetazeta"]
+    draw = random.Random(3)
+    texts += ["".join(draw.choice("abA-9é \n\x1c") * draw.randint(1, 4) for _ in range(400)) for _ in range(60)]
+    rows = spark.createDataFrame([(str(k), x) for k, x in enumerate(texts)], "path string, content string")
+    for most, least in ((6, 7), (1, 1), (3, 4)):
+        want = {r["path"]: r["proposed_tags"] for r in T.deterministic_tags(rows, most, least).collect()}
+        got = {r["path"]: r["tags"] for r in rows.select("path", frequent_words(F.col("content"), most, least).alias("tags")).collect()}
+        assert len(want) > 3 and got == {str(k): want.get(str(k), []) for k in range(len(texts))}
+
+
 @pytest.mark.parametrize(
     ("a", "b", "similar"),
     [
