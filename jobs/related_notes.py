@@ -15,6 +15,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from marginalia.functions.tags import frequent_words
 from marginalia.operators import links as L
 from marginalia.operators import tags as T
 from marginalia.session import stash, unstash
@@ -51,8 +52,8 @@ def related_notes(spark: SparkSession, source: str, target: str, config: dict[st
     rows = notes_of(docs, "doc_id").where("path IS NOT NULL")
     rows = rows.groupBy("path").agg(F.max_by(F.struct("lang", "content", "doc_id"), "content_hash").alias("note"))
     notes = stash(rows.select("path", "note.*"), "report-notes")
-    tags = T.deterministic_tags(notes.select("path", "content"), use["most_tags"])
-    states = stash(notes.select("path", "lang", F.col("doc_id").alias("ord")).join(tags, "path", "left"), "report-states")
+    tags = frequent_words(F.col("content"), use["most_tags"]).alias("proposed_tags")
+    states = stash(notes.select("path", "lang", F.col("doc_id").alias("ord"), tags), "report-states")
     mapping = stash(T.normalization_map(T.tag_counts(states), use["threshold"]), "report-map")
     merged = stash(T.normalized(states, mapping), "report-merged")
     pairs = stash(unlinked_pairs(merged, notes, use["min_shared"], use["max_frequency"]), "report-pairs")

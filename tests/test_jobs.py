@@ -172,6 +172,25 @@ def test_report(spark, tmp_path):
     assert related_notes(spark, f"{tmp_path}", f"{tmp_path}/report")["written"] == 0
 
 
+def test_report_deals_out_no_words(spark, tmp_path, monkeypatch):
+    """A note's tags are counted in its row, not shuffled by word."""
+    from jobs import related_notes as job
+
+    plans, written = {}, job.stash
+
+    def stash(df, name):
+        plans[name] = df._jdf.queryExecution().sparkPlan().toString()
+        if name == "report-states":
+            raise InterruptedError
+        return written(df, name)
+
+    monkeypatch.setattr(job, "stash", stash)
+    spark.createDataFrame(TOPICS, COLUMNS).write.parquet(f"{tmp_path}/documents.parquet")
+    with pytest.raises(InterruptedError):
+        job.related_notes(spark, f"{tmp_path}", f"{tmp_path}/report")
+    assert not re.search("Generate|Window|Join", plans["report-states"])
+
+
 def test_settings_are_checked(spark, tmp_path):
     with pytest.raises(ValueError, match="unknown"):
         related_notes(spark, SF, f"{tmp_path}/report", {"most_relatives": 1})
