@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.catalog import CAP, MIN_SHARED, TAGGED, grouping
+from marginalia.catalog import MIN_SHARED, TAGGED, grouping
 from marginalia.session import shared_dir
 
 from .note_feed import note_feed, read_feed
@@ -52,10 +52,10 @@ ORACLES = {
             FROM entries LEFT JOIN mapping ON variant = tag
         ), merged AS (
             SELECT path, ord, tag, min(tag_pos) AS tag_pos, count_if(moved) AS moved FROM mapped GROUP BY path, ord, tag
-        ), rare AS (SELECT tag FROM merged GROUP BY tag HAVING count(*) <= {CAP}), pairs AS (
+        ), pairs AS (
             SELECT a.path, b.path AS other, count(*) AS n_shared
             FROM merged a JOIN merged b ON a.tag = b.tag AND a.path <> b.path
-            WHERE a.tag IN (SELECT tag FROM rare) GROUP BY ALL HAVING count(*) >= {MIN_SHARED}
+            GROUP BY ALL HAVING count(*) >= {MIN_SHARED}
         ), linked AS (
             SELECT path, other FROM pairs JOIN docs a USING (path) JOIN docs b ON b.path = other
             WHERE regexp_matches(a.content, '\[\[' || b.lang || '-' || b.doc_id || '(\|[^\]]+)?\]\]')

@@ -3,7 +3,7 @@
     python -m jobs.related_notes --input TABLES --output REPORT --config jobs/related_notes.json
 
 Tags that are forms of each other are merged over the whole vault first. Two notes are related if they share
-enough merged tags and neither links to the other yet; tags on very many notes relate nothing. The report is
+enough merged tags and neither links to the other yet, on however many notes the tags are. The report is
 Parquet, partitioned by language; a run replaces the whole report, so that it is the same however often it
 is run.
 """
@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginalia.functions.tags import frequent_words
@@ -22,23 +22,14 @@ from marginalia.session import stash, unstash
 
 from .common import DOCUMENTS, command_line, log, notes_of, rows_read, settings
 
-DEFAULTS = {"most_tags": 6, "threshold": 2, "min_shared": 2, "max_frequency": 10, "most_related": 5, "files_per_language": 8}
+DEFAULTS = {"most_tags": 6, "threshold": 2, "min_shared": 2, "most_related": 5, "files_per_language": 8}
 REPORT = "lang string, path string, tags array<string>, n_merged long, related array<struct<path:string,n_shared:long>>"
 
 
-def unlinked_pairs(states: DataFrame, notes: DataFrame, min_shared: int, max_frequency: int) -> DataFrame:
-    """Pairs of notes that share enough tags, without those that a link in a text already joins."""
-    pairs = T.shared_tag_pairs(T.tag_index(states), min_shared, max_frequency).select("note_a", "note_b", "n_shared")
-    linked = L.already_linked(pairs, L.edges(notes)).select("note_a", "note_b")
-    return pairs.join(linked, ["note_a", "note_b"], "left_anti")
-
-
-def related(pairs: DataFrame, most: int) -> DataFrame:
-    """(path, related): for each note the notes it shares most tags with, ties by path."""
-    both = pairs.select(F.col("note_a").alias("path"), F.col("note_b").alias("other"), "n_shared")
-    both = both.unionByName(pairs.select(F.col("note_b").alias("path"), F.col("note_a").alias("other"), "n_shared"))
-    place = F.row_number().over(Window.partitionBy("path").orderBy(F.desc("n_shared"), "other"))
-    best = both.withColumn("place", place).where(F.col("place") <= most)
+def related(states: DataFrame, notes: DataFrame, min_shared: int, most: int) -> DataFrame:
+    """(path, related): for each note the notes it shares most tags with, ties by path, without those that a link
+    in a text already joins."""
+    best = T.most_shared(T.tag_index(states), L.linked_pairs(notes), most, min_shared)
     entries = F.array_sort(F.collect_list(F.struct("place", F.struct(F.col("other").alias("path"), "n_shared").alias("note"))))
     return best.groupBy("path").agg(F.transform(entries, lambda x: x["note"]).alias("related"))
 
@@ -56,9 +47,9 @@ def related_notes(spark: SparkSession, source: str, target: str, config: dict[st
     states = stash(notes.select("path", "lang", F.col("doc_id").alias("ord"), tags), "report-states")
     mapping = stash(T.normalization_map(T.tag_counts(states), use["threshold"]), "report-map")
     merged = stash(T.normalized(states, mapping), "report-merged")
-    pairs = stash(unlinked_pairs(merged, notes, use["min_shared"], use["max_frequency"]), "report-pairs")
+    others = stash(related(merged, notes, use["min_shared"], use["most_related"]), "report-related")
     empty = "array<struct<path:string,n_shared:long>>"
-    report = merged.join(related(pairs, use["most_related"]), "path", "left").select(
+    report = merged.join(others, "path", "left").select(
         "lang",
         "path",
         F.coalesce("proposed_tags", F.array().cast("array<string>")).alias("tags"),
@@ -67,7 +58,7 @@ def related_notes(spark: SparkSession, source: str, target: str, config: dict[st
     )
     spread = F.pmod(F.xxhash64("path"), F.lit(use["files_per_language"]))
     report.repartition("lang", spread).write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("lang").parquet(target)
-    unstash(notes, states, mapping, merged, pairs)
+    unstash(notes, states, mapping, merged, others)
     counts = (F.count("*").alias("written"), F.count_if(F.col("n_merged") > 0).alias("merged"), F.count_if(F.size("related") > 0).alias("related"))
     found = rows_read(docs) | spark.read.schema(REPORT).parquet(target).agg(*counts).first().asDict()
     log.info("read %d documents from %s (%d without an id)", found["read"], source, found["without_id"])

@@ -61,6 +61,13 @@ def already_linked(pairs: DataFrame, links: DataFrame) -> DataFrame:
     return forth.unionByName(back).dropDuplicates(["note_a", "note_b"])
 
 
+def linked_pairs(notes: DataFrame) -> DataFrame:
+    """(path, other), both ways: notes of which one's text links to the other's stem, by the raw link text."""
+    named = notes.select(F.col("path").alias("other"), stem(F.col("path")).alias("target"))
+    forth = edges(notes).select("src_path", "target").distinct().join(named, "target").select(F.col("src_path").alias("path"), "other")
+    return forth.unionByName(forth.select(F.col("other").alias("path"), F.col("path").alias("other"))).where("path <> other").distinct()
+
+
 def proposals(states: DataFrame) -> DataFrame:
     """(path, ord, pos, target, reason): a row for each proposed link; a missing target is empty."""
     rows = states.select("path", "ord", F.posexplode("proposed_links").alias("pos", "link"))

@@ -8,7 +8,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.tags import THRESHOLD, are_similar, stem_tag
@@ -22,6 +22,8 @@ MOST_EDGES = 1_000_000
 STAR_EDGES = 200_000
 #: Entries of a tag that are paired with as many others at once.
 TILE = 512
+#: Tags of a note beyond which its sets of tags (two to that power) are more than the pairs they spare.
+SET_TAGS = 10
 
 
 def tag_index(states: DataFrame) -> DataFrame:
@@ -309,6 +311,68 @@ def shared_tag_pairs(index: DataFrame, min_shared: int = 2, max_frequency: int =
     return grouped.select("note_a", "note_b", "n_shared", F.transform("entries", lambda x: x["tag"]).alias("shared"))
 
 
+def tag_sets(index: DataFrame, min_shared: int) -> DataFrame:
+    """(id, path, tags): the tags of each note that other notes have too, as sorted numbers, of notes with
+    min_shared of these. Ids are in the order of paths."""
+    listed = index.select("tag", "path").distinct()
+    common = numbered(listed.groupBy("tag").agg(F.count("*").alias("n")).where("n > 1").select("tag"), F.col("tag"), name="number")
+    sets = listed.join(common, "tag").groupBy("path").agg(F.array_sort(F.collect_list("number")).alias("tags"))
+    return stash(numbered(sets.where(F.size("tags") >= min_shared), F.col("path"), name="id"), "tag-sets")
+
+
+def tag_parts(tags: Column, least: int) -> Column:
+    """All parts of a set with at least so many members."""
+    both = lambda found, tag: F.concat(found, F.transform(found, lambda part: F.array_append(part, tag)))
+    return F.filter(F.aggregate(tags, F.array(F.array().cast("array<bigint>")), both), lambda part: F.size(part) >= least)
+
+
+def first_sharers(sets: DataFrame, apart: DataFrame, most: int, min_shared: int) -> DataFrame:
+    """(id, other, n_shared): at least the most notes that share most tags with each note, and some others, for
+    which n_shared may be too small. Pairs (id, other) in apart do not count as such.
+
+    Notes are listed under every part of their tags, by id. Another note stands in the list of exactly the
+    tags that it shares with a note; those before it there share no fewer, so it is among the most only if
+    it stands within the first most of them, with the note itself and what is apart from it left out. Where
+    a list is so long, lists of fewer tags give nothing more. So what is read of the lists grows with the
+    notes and with what is apart, however many notes have a tag.
+    """
+    keys = sets.select("id", F.explode(tag_parts(F.col("tags"), min_shared)).alias("part"))
+    lists = numbered(keys, F.col("part"), F.col("id"), name="at")
+    spans = lists.groupBy("part").agg(F.min("at").alias("start"), F.count("*").alias("n")).where("n > 1")
+    near = lists.join(spans.hint("merge"), "part").select("id", F.size("part").cast("long").alias("n_shared"), "start", "n")
+    depths = apart.groupBy("id").agg(F.count("*").alias("left_out"))
+    near = near.join(depths, "id", "left").withColumn("depth", F.lit(most + 1) + F.coalesce("left_out", F.lit(0)))
+    enough = F.max(F.when(F.col("n") >= F.col("depth"), F.col("n_shared"))).over(Window.partitionBy("id"))
+    near = near.withColumn("enough", enough).where("enough IS NULL OR n_shared >= enough")
+    places = F.sequence(F.col("start"), F.col("start") + F.least("n", "depth") - 1)
+    near = near.select("id", "n_shared", F.explode(places).alias("at"))
+    return near.join(lists.select("at", F.col("id").alias("other")).hint("merge"), "at").select("id", "other", "n_shared")
+
+
+def most_shared(index: DataFrame, apart: DataFrame, most: int, min_shared: int = 2) -> DataFrame:
+    """(path, other, n_shared, place): for each note the notes that share most tags with it, min_shared at least,
+    ties by path; without those that apart (path, other) names. A tag that a note lists twice counts
+    once. No tag is too frequent: pairs are not listed, unless some note has more than SET_TAGS common tags.
+    """
+    least = max(1, min_shared)
+    sets = tag_sets(index, least)
+    one, two = sets.select("id", "path", "tags"), sets.select(F.col("id").alias("other_id"), F.col("path").alias("other"), F.col("tags").alias("others"))
+    met = apart.join(one, "path").join(two, "other").where(F.size(F.array_intersect("tags", "others")) >= least)
+    met = stash(met.select("id", F.col("other_id").alias("other")).distinct(), "notes-apart")
+    if (sets.agg(F.max(F.size("tags"))).first()[0] or 0) <= SET_TAGS:
+        found = first_sharers(sets, met, max(0, most), least)
+    else:
+        pairs = shared_tag_pairs(index, least, distinct=True)
+        pairs = pairs.join(one.select("id", F.col("path").alias("note_a")), "note_a").join(two.select("other_id", F.col("other").alias("note_b")), "note_b")
+        found = pairs.select("id", F.col("other_id").alias("other"), "n_shared")
+        found = found.unionByName(found.select(F.col("other").alias("id"), F.col("id").alias("other"), "n_shared"))
+    found = found.where("id <> other").groupBy("id", "other").agg(F.max("n_shared").alias("n_shared"))
+    place = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("n_shared"), "other"))
+    best = found.join(met, ["id", "other"], "left_anti").withColumn("place", place).where(F.col("place") <= most)
+    best = best.join(one.select("id", "path"), "id").withColumnRenamed("other", "other_id")
+    return best.join(two.select("other_id", "other"), "other_id").select("path", "other", "n_shared", "place")
+
+
 def ranked_pairs(pairs: DataFrame) -> DataFrame:
     """Pairs by falling overlap, then by path."""
     return pairs.orderBy(F.desc("n_shared"), "note_a", "note_b")

@@ -191,6 +191,16 @@ def test_report_deals_out_no_words(spark, tmp_path, monkeypatch):
     assert not re.search("Generate|Window|Join", plans["report-states"])
 
 
+def test_report_of_frequent_tags(spark, tmp_path):
+    """Tags that are on very many notes relate them like others."""
+    rows = [note(k, "painting gardening" + (" [[en-12]]" if k == 10 else "")) for k in range(10, 40)]
+    spark.createDataFrame(rows, COLUMNS).write.parquet(f"{tmp_path}/documents.parquet")
+    assert related_notes(spark, f"{tmp_path}", f"{tmp_path}/report")["related"] == 30
+    found = {path: [int(other[5:-3]) for other, n in related if n == 2] for _, path, _, _, related in report(spark, tmp_path)}
+    # 10 links to 12, so that they are no suggestion for each other
+    assert found == {f"s/en-{k}.md": [j for j in range(10, 40) if j != k and {j, k} != {10, 12}][:5] for k in range(10, 40)}
+
+
 def test_settings_are_checked(spark, tmp_path):
     with pytest.raises(ValueError, match="unknown"):
         related_notes(spark, SF, f"{tmp_path}/report", {"most_relatives": 1})

@@ -111,3 +111,14 @@ def test_keys_of_targets_are_not_sent_through_the_driver(spark):
     assert found.count() == 270
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin [key#" in plan and "BroadcastHashJoin [key#" not in plan
+
+
+def test_linked_pairs(spark):
+    """Both ways, of all notes with the stem, as already_linked finds them among all pairs."""
+    rows = [("s/a.md", "[[b]] [[b|x]] [[a]]"), ("t/b.md", ""), ("u/b.md", "[[c#h]]"), ("c.md", "[[a]] [[none]] [[s/a]]"), ("d.md", None)]
+    notes = spark.createDataFrame(rows, "path string, content string")
+    both = {("s/a.md", "t/b.md"), ("s/a.md", "u/b.md"), ("c.md", "s/a.md")}
+    got = [tuple(r) for r in L.linked_pairs(notes).collect()]
+    assert len(got) == 6 and {tuple(sorted(r)) for r in got} == both and set(got) == {(b, a) for a, b in got}
+    pairs = spark.createDataFrame([(a, b) for a, _ in rows for b, _ in rows if a < b], "note_a string, note_b string")
+    assert {tuple(r) for r in L.already_linked(pairs, L.edges(notes)).select("note_a", "note_b").collect()} == both

@@ -285,3 +285,41 @@ def test_similar_stems_lose_no_pair_by_fewer_deletions(spark):
     names = spark.createDataFrame([(x, y) for x, y in combinations(sorted(tags), 2)], "a string, b string")
     want = {frozenset(r) for r in names.where(are_similar(F.col("a"), F.col("b"))).collect()}
     assert len(want) > 200 and got == want
+
+
+@pytest.mark.parametrize(("most", "least", "set_tags"), [(1, 2, 10), (3, 2, 10), (3, 1, 10), (5, 3, 10), (0, 2, 10), (100, 2, 10), (3, 2, 2)])
+def test_most_shared(spark, monkeypatch, most, least, set_tags):
+    """Against all pairs: tags on nearly all notes, copies, repeated tags, and notes linked with many others."""
+    monkeypatch.setattr(T, "SET_TAGS", set_tags)
+    draw = random.Random(most * 10 + least)
+    notes = {}
+    for k in range(70):
+        tags = draw.sample([f"rare{j}" for j in range(30)], draw.randrange(4)) + [t for t in ("all", "most", "many") if draw.random() < 0.8]
+        draw.shuffle(tags)
+        notes[f"{draw.randrange(100):02}-{k}.md"] = tags + tags[: k % 2]
+    names = list(notes)
+    for k in range(20):
+        notes[f"copy-{k}.md"] = notes[names[0]]
+    linked = {tuple(sorted(draw.sample(list(notes), 2))) for _ in range(200)} | {tuple(sorted((names[1], b))) for b in list(notes)[2:60]}
+    apart = spark.createDataFrame([*linked, *((b, a) for a, b in linked), ("none.md", names[0])], "path string, other string")
+    got = sorted(tuple(r) for r in T.most_shared(index(spark, notes), apart, most, least).collect())
+    want = []
+    for a, x in notes.items():
+        shared = {b: len(set(x) & set(y)) for b, y in notes.items() if a != b and tuple(sorted((a, b))) not in linked}
+        best = sorted((b for b, n in shared.items() if n >= least), key=lambda b: (-shared[b], b))[:most]
+        want += [(a, b, shared[b], k + 1) for k, b in enumerate(best)]
+    assert got == sorted(want)
+
+
+def test_frequent_tags_list_no_pairs(spark):
+    """What is read of the lists of 400 notes with the same tags grows with the notes."""
+    sets = spark.createDataFrame([(k, f"{k:03}.md", [0, 1, 2]) for k in range(400)], "id long, path string, tags array<long>")
+    apart = spark.createDataFrame([(k, j) for k in range(1, 400) for j in (0,)] + [(0, k) for k in range(1, 400)], "id long, other long")
+    # 0 is apart from all others, so its four lists are read whole
+    assert T.first_sharers(sets, apart, 5, 2).count() == 399 * 7 + 4 * 400
+    assert T.first_sharers(sets, apart.limit(0), 5, 2).count() == 400 * 6
+
+
+def test_most_shared_of_no_tags(spark):
+    assert T.most_shared(index(spark, {}), spark.createDataFrame([], "path string, other string"), 5).count() == 0
+    assert T.most_shared(index(spark, {"A": "xy", "B": "x"}), spark.createDataFrame([], "path string, other string"), 5).count() == 0
